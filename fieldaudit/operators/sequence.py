@@ -17,8 +17,11 @@ from .ordered import previous_row
 
 def path_steps(vertices: DataFrame, keys, order, block: Column | None = None) -> DataFrame:
     """Adds ``step``: distance from the previous vertex of the path (NULL on the first)."""
-    b = F.lit(0) if block is None else block
-    d = previous_row(vertices.withColumn("_block", b), XYZ, order, keys=keys)
+    if block is None:
+        w = W.partitionBy(*keys).orderBy(*order)
+        d = vertices.select("*", *[F.lag(a).over(w).alias(f"prev_{a}") for a in XYZ])
+    else:
+        d = previous_row(vertices.withColumn("_block", block), XYZ, order, keys=keys)
     step = distance([F.col(a) for a in XYZ], [F.col(f"prev_{a}") for a in XYZ])
     return d.withColumn("step", step).drop("_block", *[f"prev_{a}" for a in XYZ])
 

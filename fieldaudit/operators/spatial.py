@@ -9,10 +9,11 @@ Only boxes that the sphere cuts through are opened.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import XYZ, distance
+from ..functions.geometry import XYZ
 from ..session import cols
 
 FINE = 8  # fine boxes per cell edge; a power of two, so that a fine index shifts to its cell
@@ -20,27 +21,36 @@ _SHIFT = 3
 _PAD = 1e-6  # cell cover only; the distance test itself is exact
 
 
-def _fine(axis: Column, side: float) -> Column:
-    return F.floor(axis / F.lit(side / FINE)).cast("long")
+def _fine(axis: str, side: float) -> str:
+    return f"cast(floor({axis} / {side / FINE!r}D) as bigint)"
 
 
-def _cells(side: float, axes) -> list[Column]:
-    return [F.shiftright(_fine(F.col(a), side), _SHIFT).alias(f"_c{i}") for i, a in enumerate(axes)]
+def _cell(axis: str, side: float) -> str:
+    return f"shiftright({_fine(axis, side)}, {_SHIFT})"
+
+
+def _cell_names(axes) -> list[str]:
+    return [f"_c{i}" for i in range(len(axes))]
 
 
 def _cover(df: DataFrame, r: float, side: float, axes) -> DataFrame:
     """One row per cell that the ball of radius ``r`` around the point can touch (8 on average
     for cells of edge 2r, against 27 for cells of edge r)."""
+    pad = f"{r * (1 + _PAD) + _PAD!r}D"
     for i, a in enumerate(axes):
-        pad = F.lit(r * (1 + _PAD) + _PAD)
-        lo = F.shiftright(_fine(F.col(a) - pad, side), _SHIFT)
-        hi = F.shiftright(_fine(F.col(a) + pad, side), _SHIFT)
-        df = df.withColumn(f"_c{i}", F.explode(F.sequence(lo, hi)))
+        lo, hi = _cell(f"({a} - {pad})", side), _cell(f"({a} + {pad})", side)
+        df = df.selectExpr("*", f"explode(sequence({lo}, {hi})) as _c{i}")
     return df
 
 
-def _cell_names(axes) -> list[str]:
-    return [f"_c{i}" for i in range(len(axes))]
+def _distance(left, right) -> str:
+    """Compared by the square root, never by its square, so that a point exactly at the radius falls
+    on the same side everywhere."""
+    return "sqrt(" + " + ".join(f"({p} - {q}) * ({p} - {q})" for p, q in zip(left, right)) + ")"
+
+
+def _within(d: str, r: float, strict: bool) -> str:
+    return f"{d} {'<' if strict else '<='} {float(r)!r}D"
 
 
 def pairs_within(
@@ -58,40 +68,31 @@ def pairs_within(
     where the pairs themselves are the result, or where one side has bounded density.
     """
     side = 2.0 * r if r > 0 else 1.0
-    keys = list(keys)
-    probe = _cover(left, r, side, axes)
-    build = right.select(
-        *[F.col(c) for c in right.columns if c not in axes],
-        *[F.col(a).alias(f"r_{a}") for a in axes],
-        *_cells(side, axes),
+    cells = _cell_names(axes)
+    build = right.selectExpr(
+        *[c for c in right.columns if c not in axes],
+        *[f"{a} as r_{a}" for a in axes],
+        *[f"{_cell(a, side)} as {c}" for a, c in zip(axes, cells)],
     )
-    d = distance([F.col(a) for a in axes], [F.col(f"r_{a}") for a in axes])
-    test = d < F.lit(r) if strict else d <= F.lit(r)
-    joined = probe.join(build, cols(keys, _cell_names(axes)))
-    return joined.withColumn("dist", d).filter(test).drop(*_cell_names(axes))
+    joined = _cover(left, r, side, axes).join(build, cols(keys, cells))
+    d = _distance(axes, [f"r_{a}" for a in axes])
+    return joined.selectExpr("*", f"{d} as dist").filter(_within("dist", r, strict)).drop(*cells)
 
 
 def _boxes(targets: DataFrame, group, side: float, axes) -> DataFrame:
-    """Fine boxes of the targets: (group, fine index) with count and corners."""
-    fine = [_fine(F.col(a), side).alias(f"_f{i}") for i, a in enumerate(axes)]
-    aggs = []
-    for i, a in enumerate(axes):
-        aggs += [F.min(a).alias(f"_lo{i}"), F.max(a).alias(f"_hi{i}")]
-    fnames = [f"_f{i}" for i in range(len(axes))]
-    boxes = targets.select(*group, *[F.col(a) for a in axes], *fine).groupBy(*group, *fnames).agg(*aggs)
-    return boxes.select("*", *[F.shiftright(F.col(f), _SHIFT).alias(f"_c{i}") for i, f in enumerate(fnames)])
+    """Fine boxes of the targets: (group, fine index) with their corners."""
+    n = range(len(axes))
+    fine = targets.selectExpr(*group, *axes, *[f"{_fine(a, side)} as _f{i}" for i, a in enumerate(axes)])
+    aggs = [F.expr(f"{fn}({a}) as _{e}{i}") for i, a in enumerate(axes) for fn, e in (("min", "lo"), ("max", "hi"))]
+    boxes = fine.groupBy(*group, *[f"_f{i}" for i in n]).agg(*aggs)
+    return boxes.selectExpr("*", *[f"shiftright(_f{i}, {_SHIFT}) as _c{i}" for i in n])
 
 
-def _box_bounds(axes) -> tuple[Column, Column]:
+def _box_bounds(axes) -> tuple[str, str]:
     """(least, greatest) distance from the point to anything inside the box."""
-    near, far = None, None
-    for i, a in enumerate(axes):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        g = F.greatest(lo - F.col(a), F.col(a) - hi, F.lit(0.0))
-        f = F.greatest(F.abs(F.col(a) - lo), F.abs(F.col(a) - hi))
-        near = g * g if near is None else near + g * g
-        far = f * f if far is None else far + f * f
-    return F.sqrt(near), F.sqrt(far)
+    gap = [f"greatest(_lo{i} - {a}, {a} - _hi{i}, 0D)" for i, a in enumerate(axes)]
+    far = [f"greatest(abs({a} - _lo{i}), abs({a} - _hi{i}))" for i, a in enumerate(axes)]
+    return tuple("sqrt(" + " + ".join(f"{v} * {v}" for v in side) + ")" for side in (gap, far))
 
 
 def matches_within(
@@ -112,29 +113,25 @@ def matches_within(
     """
     ids, keys, tags = list(ids), list(keys), list(tags)
     side = 2.0 * r if r > 0 else 1.0
-    cells, fines = _cell_names(axes), [f"_f{i}" for i in range(len(axes))]
+    n = range(len(axes))
+    cells, fines = _cell_names(axes), [f"_f{i}" for i in n]
     boxes = _boxes(targets, cols(keys, tags), side, axes)
     probe = _cover(queries.select(*cols(ids, keys, axes)), r, side, axes)
     near, far = _box_bounds(axes)
-    inside = (far < F.lit(r)) if strict else (far <= F.lit(r))
-    reach = (near < F.lit(r)) if strict else (near <= F.lit(r))
-    cand = probe.join(boxes, cols(keys, cells)).filter(reach).withColumn("_sure", inside)
+    cand = probe.join(boxes, cols(keys, cells)).filter(_within(near, r, strict))
+    cand = cand.selectExpr(*cols(ids, keys, tags, axes, fines), f"{_within(far, r, strict)} as _sure")
     found = cols(ids, tags)
     settled = cand.filter("_sure").select(*found)
 
-    opened = cand.filter(~F.col("_sure")).select(*cols(ids, keys, tags, axes, fines))
-    members = targets.select(
+    opened = cand.filter("not _sure").drop("_sure")
+    members = targets.selectExpr(
         *cols(keys, tags),
-        *[F.col(a).alias(f"_t{i}") for i, a in enumerate(axes)],
-        *[_fine(F.col(a), side).alias(f) for a, f in zip(axes, fines)],
+        *[f"{a} as _t{i}" for i, a in enumerate(axes)],
+        *[f"{_fine(a, side)} as {f}" for a, f in zip(axes, fines)],
     )
-    d = distance([F.col(a) for a in axes], [F.col(f"_t{i}") for i in range(len(axes))])
-    exact = (
-        opened.join(members, cols(keys, tags, fines))
-        .filter(d < F.lit(r) if strict else d <= F.lit(r))
-        .select(*found)
-    )
-    return settled.unionByName(exact).distinct()
+    exact = _within(_distance(axes, [f"_t{i}" for i in n]), r, strict)
+    hits = opened.join(members, cols(keys, tags, fines)).filter(exact).select(*found)
+    return settled.unionByName(hits).distinct()
 
 
 def without_match(queries: DataFrame, targets: DataFrame, r: float, ids, keys=(), axes=XYZ) -> DataFrame:
@@ -165,43 +162,38 @@ def nearest(
     group = cols(keys, tags)
     n = len(axes)
     finest = top_side / FINE ** (levels - 1)
-    idx = [F.floor(F.col(a) / F.lit(finest)).cast("long").alias(f"_b{levels - 1}_{i}") for i, a in enumerate(axes)]
-    points = targets.select(*group, *[F.col(a).alias(f"_t{i}") for i, a in enumerate(axes)], *idx)
-
-    def corner_aggs(lo, hi):
-        out = []
-        for i in range(n):
-            out += [F.min(lo(i)).alias(f"_lo{i}"), F.max(hi(i)).alias(f"_hi{i}")]
-        return out
-
-    level_boxes = {}
-    last = [f"_b{levels - 1}_{i}" for i in range(n)]
-    level_boxes[levels - 1] = points.groupBy(*group, *last).agg(*corner_aggs(lambda i: f"_t{i}", lambda i: f"_t{i}"))
+    m = range(n)
+
+    def box(lv):
+        return [f"_b{lv}_{i}" for i in m]
+
+    last = box(levels - 1)
+    points = targets.selectExpr(
+        *group, *[f"{a} as _t{i}" for i, a in enumerate(axes)],
+        *[f"cast(floor({a} / {finest!r}D) as bigint) as {b}" for a, b in zip(axes, last)],
+    )
+    level = {levels - 1: points.groupBy(*group, *last).agg(
+        *[F.expr(f"{fn}(_t{i}) as _{e}{i}") for i in m for fn, e in (("min", "lo"), ("max", "hi"))])}
     for lv in range(levels - 2, -1, -1):
-        up = [F.shiftright(F.col(f"_b{lv + 1}_{i}"), _SHIFT).alias(f"_b{lv}_{i}") for i in range(n)]
-        names = [f"_b{lv}_{i}" for i in range(n)]
-        finer = level_boxes[lv + 1].select("*", *up)
-        level_boxes[lv + 1] = finer
-        level_boxes[lv] = finer.groupBy(*group, *names).agg(*corner_aggs(lambda i: f"_lo{i}", lambda i: f"_hi{i}"))
+        level[lv + 1] = level[lv + 1].selectExpr(
+            "*", *[f"shiftright({f}, {_SHIFT}) as {b}" for f, b in zip(box(lv + 1), box(lv))])
+        level[lv] = level[lv + 1].groupBy(*group, *box(lv)).agg(
+            *[F.expr(f"{fn}(_{e}{i}) as _{e}{i}") for i in m for fn, e in (("min", "lo"), ("max", "hi"))])
 
     near, far = _box_bounds(axes)
-    search = queries.select(*cols(ids, keys, axes)).withColumn("_q", F.struct(*ids, *axes))
-    from pyspark.sql import Window as W
-
+    carry = cols(ids, group, axes)
+    search = queries.selectExpr(*cols(ids, keys, axes), f"struct({', '.join(cols(ids, axes))}) as _q")
+    best = F.min("_far").over(W.partitionBy("_q", *cols(keys, tags)))
     for lv in range(levels):
-        names = [f"_b{lv}_{i}" for i in range(n)]
-        on = cols(keys) if lv == 0 else cols(group, [f"_b{lv - 1}_{i}" for i in range(n)])
-        step = search.join(level_boxes[lv], on).withColumn("_near", near).withColumn("_far", far)
+        on = cols(keys) if lv == 0 else cols(group, box(lv - 1))
+        step = search.join(level[lv], on).selectExpr("*", f"{near} as _near", f"{far} as _far")
         if bound is not None:
-            step = step.filter(F.col("_near") <= F.lit(bound))
-        best = F.min("_far").over(W.partitionBy("_q", *cols(keys, tags)))
-        search = step.withColumn("_best", best).filter(F.col("_near") <= F.col("_best")).select(
-            *cols(ids, group, axes), "_q", *names
-        )
-    d = distance([F.col(a) for a in axes], [F.col(f"_t{i}") for i in range(n)])
-    hits = search.join(points, cols(group, last)).withColumn("_d", d)
+            step = step.filter(f"_near <= {float(bound)!r}D")
+        search = step.withColumn("_best", best).filter("_near <= _best").select(*carry, "_q", *box(lv))
+    d = _distance(axes, [f"_t{i}" for i in m])
+    hits = search.join(points, cols(group, last)).selectExpr(*cols(ids, tags), f"{d} as _d")
     if bound is not None:
-        hits = hits.filter(F.col("_d") <= F.lit(bound))
+        hits = hits.filter(f"_d <= {float(bound)!r}D")
     return hits.groupBy(*cols(ids, tags)).agg(F.min("_d").alias("nearest"))
 
 
@@ -209,8 +201,6 @@ def k_nearest_within(
     queries: DataFrame, targets: DataFrame, k: int, r: float, ids, order=(), keys=(), axes=XYZ
 ) -> DataFrame:
     """The at most ``k`` nearest targets within ``r`` of each query (ties broken by ``order``)."""
-    from pyspark.sql import Window as W
-
     pairs = pairs_within(queries, targets, r, keys=keys, axes=axes)
     rank = F.row_number().over(W.partitionBy(*ids).orderBy("dist", *order))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)

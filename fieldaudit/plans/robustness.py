@@ -104,7 +104,8 @@ def census(bench: Benchmark, subset: Column) -> DataFrame:
         F.count_if(s == "contradicted").alias("contradicted"), F.count_if(s == "unconfirmed").alias("unconfirmed"),
         F.count_if(F.col("stratum") == "abrupt").alias("abrupt"),
     )
-    per_run = bench.runs.groupBy("patch").agg(
+    lengths = bench.run_lengths.select("run_id", "length")
+    per_run = bench.runs.join(lengths, "run_id").groupBy("patch").agg(
         F.count_if(s == CONFIRMED).alias("runs_confirmed"), F.count_if(s != CONFIRMED).alias("runs_other"),
         F.sum(F.when(s == CONFIRMED, F.col("length"))).alias("length_confirmed"),
     )

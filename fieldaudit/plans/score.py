@@ -29,13 +29,15 @@ class Benchmark:
     """Lazily built tables of one labelled corpus.
 
     events(event_id, patch, status), event_points(event_id, patch, x, y, z),
-    runs(run_id, patch, status, length), run_vertices(run_id, patch, x, y, z),
-    surface(patch, x, y, z) of valid vertices, optional.  Lengths are in mm.
+    runs(run_id, patch, status), run_lengths(run_id, patch, length), run_vertices(run_id, patch, x, y, z),
+    surface(patch, x, y, z) of valid vertices, optional.  Lengths are in mm and kept apart from the run
+    labels, so that choosing patches never computes a length.
     """
 
     events: DataFrame
     event_points: DataFrame
     runs: DataFrame
+    run_lengths: DataFrame
     run_vertices: DataFrame
     surface: DataFrame | None = None
     voxel_mm: float = VOXEL_MM
@@ -167,20 +169,21 @@ class ScoreFrames:
 def patch_scores(bench: Benchmark, alarms: Alarms, r: float, dedup_r: float, cap: int | None = None, seed=SEED) -> DataFrame:
     """One row per (scored patch, detector): verdict, alarms, kept, events, hits, length, false alarms."""
     patches = bench.scored_patches()
-    raw = alarms.alarms.join(patches, "patch", "left_semi")
     counted = counted_events(bench.events, cap, seed)
-    all_points = bench.event_points.join(patches, "patch", "left_semi")
-    hit = event_hits(bench.event_points.join(counted.select("event_id"), "event_id", "left_semi"), raw, r)
-    kept = greedy_dedup(raw, dedup_r)
+    # A counted event or a confirmed run makes its patch a scored one, so only the de-duplication
+    # needs the explicit restriction to scored patches.
+    hit = event_hits(bench.event_points.join(counted.select("event_id"), "event_id", "left_semi"), alarms.alarms, r)
+    kept = greedy_dedup(alarms.alarms.join(patches, "patch", "left_semi"), dedup_r)
     confirmed_runs = bench.runs.filter(F.col("status") == CONFIRMED)
     vertices = bench.run_vertices.join(confirmed_runs.select("run_id"), "run_id", "left_semi")
-    fa = false_alarm_counts(kept, vertices, all_points, r)
+    lengths = bench.run_lengths.join(confirmed_runs.select("run_id"), "run_id", "left_semi")
+    fa = false_alarm_counts(kept, vertices, bench.event_points, r)
 
-    n_alarms = raw.groupBy("detector", "patch").agg(F.count(F.lit(1)).alias("alarms"))
+    n_alarms = alarms.alarms.groupBy("detector", "patch").agg(F.count(F.lit(1)).alias("alarms"))
     n_kept = kept.groupBy("detector", "patch").agg(F.count(F.lit(1)).alias("kept"))
     n_hits = hit.groupBy("detector", "patch").agg(F.countDistinct("event_id").alias("hits"))
     n_events = counted.groupBy("patch").agg(F.count(F.lit(1)).alias("events"))
-    n_runs = confirmed_runs.groupBy("patch").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("runs"))
+    n_runs = lengths.groupBy("patch").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("runs"))
 
     rows = patches.join(n_events, "patch", "left").join(n_runs, "patch", "left")
     rows = rows.crossJoin(F.broadcast(alarms.names()))  # one row per detector: manifest-sized

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,61 +52,71 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._load(name)
+        return self._frames[name]
+
+    def _load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ------------------------------------------------------------ events as points
-    def pt(self) -> DataFrame:
-        hours = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 3.6e9
-        return self.read("events").select(
-            "event_id", F.col("user_id").alias("patch"), F.col("event_type").alias("kind"),
-            F.col("event_id").alias("ord"), F.col("value").alias("x"), hours.alias("y"),
-            F.regexp_extract("props", r'"k": (\d+)', 1).cast("double").alias("z"),
+    @cached_property
+    def _pt(self) -> DataFrame:
+        return self.read("events").selectExpr(
+            "event_id", "user_id as patch", "event_type as kind", "event_id as ord", "value as x",
+            "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 3.6e9D as y",
+            r"""cast(regexp_extract(props, '"k": (\\d+)', 1) as double) as z""",
         )
 
-    def gt_event(self) -> DataFrame:
-        d = F.col("event_id") % 10
-        return self.pt().filter(F.col("kind") == "purchase").select(
+    def pt(self) -> DataFrame:
+        return self._pt
+
+    @cached_property
+    def _gt_event(self) -> DataFrame:
+        return self.pt().filter("kind = 'purchase'").selectExpr(
             "event_id", "patch", "x", "y", "z",
-            F.when(d <= 5, "confirmed").when(d <= 8, "contradicted").otherwise("unconfirmed").alias("status"),
-            F.when(F.col("x") > 50, "abrupt").otherwise("gradual").alias("stratum"),
-            F.when(F.col("patch") % 2 == 0, "v0").otherwise("new").alias("subset"),
+            """case when event_id % 10 <= 5 then 'confirmed' when event_id % 10 <= 8 then 'contradicted'
+               else 'unconfirmed' end as status""",
+            "case when x > 50 then 'abrupt' else 'gradual' end as stratum",
+            "case when patch % 2 = 0 then 'v0' else 'new' end as subset",
         )
 
+    def gt_event(self) -> DataFrame:
+        return self._gt_event
+
     def verdict(self) -> DataFrame:
         """Verdict rows for every patch that has any row at all."""
-        who = self.read("events").select(F.col("user_id").alias("patch")).distinct()
-        five = F.col("patch") % 5
-        dets = F.filter(
-            F.array(
-                F.when(five != 0, F.lit("error")), F.when(five != 0, F.lit("click")), F.when(five < 2, F.lit("signup"))
-            ),
-            lambda v: v.isNotNull(),
+        who = self.read("events").selectExpr("user_id as patch").distinct()
+        return who.selectExpr(
+            """explode(filter(array(if(patch % 5 <> 0, 'error', null), if(patch % 5 <> 0, 'click', null),
+               if(patch % 5 < 2, 'signup', null)), v -> v is not null)) as detector""", "patch",
         )
-        return who.select(F.explode(dets).alias("detector"), "patch")
 
     def alarm(self) -> DataFrame:
-        five = F.col("patch") % 5
-        has = F.when(F.col("kind") == "signup", five < 2).otherwise(five != 0)
-        return self.pt().filter(F.col("kind").isin("error", "click", "signup") & has).select(
-            F.col("kind").alias("detector"), "patch", F.col("ord").alias("alarm_ord"), "x", "y", "z"
+        return self.pt().filter("kind in ('error', 'click', 'signup')").filter(
+            "case when kind = 'signup' then patch % 5 < 2 else patch % 5 <> 0 end"
+        ).selectExpr("kind as detector", "patch", "ord as alarm_ord", "x", "y", "z")
+
+    @cached_property
+    def _run_vertex(self) -> DataFrame:
+        return self.pt().filter("kind = 'view'").selectExpr(
+            "patch * 100 + cast(floor(y / 168) as bigint) as run_id", "patch",
+            "cast(floor(y / 168) as bigint) as week", "event_id", "x", "y", "z",
+            "if((patch + cast(floor(y / 168) as bigint)) % 4 = 3, 'contradicted', 'confirmed') as status",
         )
 
     def run_vertex(self) -> DataFrame:
-        week = F.floor(F.col("y") / 168).cast("long")
-        return self.pt().filter(F.col("kind") == "view").select(
-            (F.col("patch") * 100 + week).alias("run_id"), "patch", week.alias("week"), "event_id", "x", "y", "z",
-            F.when((F.col("patch") + week) % 4 == 3, "contradicted").otherwise("confirmed").alias("status"),
-        )
+        return self._run_vertex
 
     def run(self) -> DataFrame:
         """Runs with their arc length (blocks of 24 hours keep a long run out of one task)."""
         from ..operators.sequence import arc_length
 
         v = self.run_vertex()
-        arcs = arc_length(v, ["run_id", "patch", "status"], ["y", "event_id"], block=F.floor(F.col("y") / 24))
-        return arcs.select("run_id", "patch", "status", "length", "vertices")
+        return arc_length(v, ["run_id", "patch"], ["y", "event_id"], block=F.floor(F.col("y") / 24))
 
     def benchmark(self):
         from ..plans.score import Benchmark
@@ -114,7 +125,8 @@ class Tables:
         return Benchmark(
             events=ev.select("event_id", "patch", "status", "stratum", "subset"),
             event_points=ev.select("event_id", "patch", "x", "y", "z"),
-            runs=self.run(),
+            runs=self.run_vertex().select("run_id", "patch", "status").distinct(),
+            run_lengths=self.run(),
             run_vertices=self.run_vertex().select("run_id", "patch", "x", "y", "z"),
             voxel_mm=1.0,
             defaults={"match_mm": RADIUS, "fa_dedup_mm": DEDUP, "bootstrap": 200},
