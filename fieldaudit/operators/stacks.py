@@ -15,10 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, voxels
-from ..session import cols
+from ..session import cols, cut_lineage
 from . import sequence as Q
 from .components import spatial_clusters
-from .spatial import pairs_within
 
 NXYZ = ("nx", "ny", "nz")
 
@@ -52,19 +51,46 @@ class Rules:
 def line_crossings(probes: DataFrame, cloud: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Where the line through a probe along its normal meets the tangent planes of reference vertices.
 
+    A crossing lies within ``lateral`` of the line, so a probe is joined on the cells around its line only
+    (balls around points every two lateral widths), a small part of the sphere of radius ``reach``.
+
     probes(patch, row, col, x, y, z, nx, ny, nz), cloud(p, r, c, x, y, z, nx, ny, nz).  Reference vertices
     of the probe's own patch are left out.  Result: (patch, row, col, p, r, c, t, lat).
     """
-    left = probes.select("patch", "row", "col", *XYZ, *NXYZ)
-    right = cloud.select("p", "r", "c", *XYZ, *[F.col(n).alias(f"r_{n}") for n in NXYZ])
-    near = pairs_within(left, right, rules.reach).filter("p <> patch")
-    near = near.selectExpr("*", "nx * r_nx + ny * r_ny + nz * r_nz as cos").filter(f"abs(cos) >= {rules.cos_min}")
+    h = 2.0 * rules.lateral
+    ball = (rules.lateral**2 + (h / 2) ** 2) ** 0.5 * (1 + 1e-6) + 1e-6
+    edge = 2.0 * ball
+    steps = int(-(-2.0 * rules.reach // h))
+
+    def cells(axis: str, sign: str) -> str:
+        return f"cast(floor(({axis} + d * n{axis} {sign} {ball!r}D) / {edge!r}D) as bigint)"
+
+    corners = ", ".join(
+        f"named_struct('i', {cells('x', a)}, 'j', {cells('y', b)}, 'k', {cells('z', c)})" for a in "-+" for b in "-+" for c in "-+"
+    )
+    cover = (
+        f"array_distinct(flatten(transform(sequence(0, {steps}), i -> transform(array(-{rules.reach!r}D + i * {h!r}D), d -> array({corners}))[0])))"
+    )
+    left = probes.selectExpr("patch", "row", "col", *XYZ, *NXYZ, f"explode({cover}) as _c")
+    left = left.selectExpr("patch", "row", "col", *XYZ, *NXYZ, "_c.i as _i", "_c.j as _j", "_c.k as _k")
+    # The join multiplies the rows, so it gets every shuffle partition even where the input is small.
+    left = left.repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_i", "_j", "_k")
+    right = cloud.selectExpr(
+        "p", "r", "c", *[f"{a} as r_{a}" for a in XYZ], *[f"{n} as r_{n}" for n in NXYZ],
+        *[f"cast(floor({a} / {edge!r}D) as bigint) as {c}" for a, c in zip(XYZ, ("_i", "_j", "_k"))],
+    )
+    near = left.join(right, ["_i", "_j", "_k"]).filter("p <> patch")
+    near = near.selectExpr("*", "nx * r_nx + ny * r_ny + nz * r_nz as cos").filter(f"abs(cos) >= {rules.cos_min}D")
     near = near.selectExpr("*", "((r_x - x) * r_nx + (r_y - y) * r_ny + (r_z - z) * r_nz) / cos as t")
     off = ["(x + t * nx - r_x)", "(y + t * ny - r_y)", "(z + t * nz - r_z)"]
+    gap = ["(x - r_x)", "(y - r_y)", "(z - r_z)"]
     near = near.selectExpr(
-        "patch", "row", "col", "p", "r", "c", "t", f"sqrt({' + '.join(f'{o} * {o}' for o in off)}) as lat"
+        "patch", "row", "col", "p", "r", "c", "t", f"sqrt({' + '.join(f'{o} * {o}' for o in off)}) as lat",
+        f"sqrt({' + '.join(f'{o} * {o}' for o in gap)}) as dist",
     )
-    return near.filter(f"lat <= {rules.lateral} and abs(t) <= {rules.reach}")
+    return near.filter(
+        f"lat <= {rules.lateral}D and abs(t) <= {rules.reach}D and dist <= {rules.reach}D"
+    ).drop("dist")
 
 
 def split_crossings(crossings: DataFrame, rules: Rules = Rules(), keys=("patch", "row", "col")) -> DataFrame:
@@ -82,13 +108,29 @@ def merge_sheets(crossings: DataFrame, rules: Rules = Rules(), keys=("patch", "r
     A crossing opens a new sheet if it is at least ``min_spacing`` beyond the last one, or if the sheet
     already holds its patch at a distant grid position (another turn of the same patch).
     """
-    line = crossings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "p", "r", "c"))).alias("_line"))
+    keys = list(keys)
+    w = W.partitionBy(*keys).orderBy("t", "p", "r", "c")
+    far = F.coalesce((F.col("t") - F.lag("t").over(w) >= rules.min_spacing).cast("int"), F.lit(0))
+    d = crossings.select(*keys, "t", "p", "r", "c").withColumn("_far", far)
+    d = d.withColumn("_isl", F.sum("_far").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    groups = d.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(F.struct("t", "p", "r", "c"))).alias("_line"))
+
+    # One island is one sheet unless it holds a patch at two distant grid positions.
+    conflict = (
+        "exists(_line, a -> exists(_line, b -> a.p = b.p and "
+        f"sqrt(pow(a.r - b.r, 2) + pow(a.c - b.c, 2)) > {rules.same_patch_cells}))"
+    )
+    first_of_patch = "filter(_line, (q, i) -> i = 0 or not exists(slice(_line, 1, i), m -> m.p = q.p))"
+    single = (
+        f"array(named_struct('ts', transform(_line, q -> q.t), 'members', "
+        f"transform({first_of_patch}, q -> named_struct('p', q.p, 'r', q.r, 'c', q.c))))"
+    )
     member = "named_struct('p', q.p, 'r', q.r, 'c', q.c)"
     fresh = f"named_struct('ts', array(q.t), 'members', array({member}))"
     last = "element_at(acc, -1)"
     same = f"filter({last}.members, m -> m.p = q.p)"
     near = (
-        f"size(acc) > 0 and q.t - element_at({last}.ts, -1) < {rules.min_spacing} and (size({same}) = 0 or "
+        f"size(acc) > 0 and (size({same}) = 0 or "
         f"sqrt(pow(element_at({same}, 1).r - q.r, 2) + pow(element_at({same}, 1).c - q.c, 2)) <= {rules.same_patch_cells})"
     )
     grown = (
@@ -96,15 +138,17 @@ def merge_sheets(crossings: DataFrame, rules: Rules = Rules(), keys=("patch", "r
         f"if(size({same}) = 0, concat({last}.members, array({member})), {last}.members))"
     )
     types = dict(crossings.dtypes)
-    empty = (
-        f"cast(array() as array<struct<ts: array<double>, members: array<struct<p: {types['p']}, r: {types['r']}, c: {types['c']}>>>>)"
-    )
+    sheet_type = f"array<struct<ts: array<double>, members: array<struct<p: {types['p']}, r: {types['r']}, c: {types['c']}>>>>"
     fold = (
-        f"aggregate(_line, {empty}, (acc, q) -> if({near}, "
+        f"aggregate(_line, cast(array() as {sheet_type}), (acc, q) -> if({near}, "
         f"concat(slice(acc, 1, size(acc) - 1), array({grown})), concat(acc, array({fresh}))))"
     )
+    sheets = groups.selectExpr(*keys, "_isl", "_line", f"{conflict} as _conflict")
+    sheets = sheets.selectExpr(*keys, "_isl", f"if(_conflict, {fold}, {single}) as _sheets")
     mid = "(element_at(s.ts, cast(floor((size(s.ts) + 1) / 2) as int)) + element_at(s.ts, cast(floor(size(s.ts) / 2) as int) + 1)) / 2"
-    return line.selectExpr(*keys, f"transform({fold}, s -> named_struct('t', {mid}, 'members', s.members)) as stack")
+    sheets = sheets.selectExpr(*keys, "_isl", f"transform(_sheets, s -> named_struct('t', {mid}, 'members', s.members)) as _sheets")
+    stack = F.array_sort(F.collect_list(F.struct("_isl", "_sheets")))
+    return sheets.groupBy(*keys).agg(stack.alias("_parts")).selectExpr(*keys, "flatten(transform(_parts, q -> q._sheets)) as stack")
 
 
 # ---------------------------------------------------------------- arithmetic on one stack (SQL text)
@@ -240,7 +284,7 @@ def label_surfaces(vertices: DataFrame, cloud: DataFrame, rules: Rules = Rules()
     """
     keys = ["patch", "row", "col"]
     stack = merge_sheets(split_crossings(line_crossings(vertices, cloud, rules), rules), rules)
-    asg = assign(stack, rules)
+    asg = cut_lineage(assign(stack, rules))  # read by both axes, segments and switches
     mm = voxels(1.0, rules.voxel_mm)
     segs, dets = None, None
     for axis in ("row", "col"):
