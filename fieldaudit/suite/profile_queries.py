@@ -47,7 +47,9 @@ def sql_rule(sigmas, zones, darks, qs, biases) -> dict[str, str]:
           FROM profile p JOIN ctrl c USING (profile_id) WHERE p.t >= least(t0, t1) - 3 * s - 1e-9 AND p.t <= greatest(t0, t1) + 3 * s + 1e-9""",
         "sm": union,
         "par": f"SELECT * FROM {vals(zones, 'end_zone')} CROSS JOIN {vals(darks, 'min_dark')} CROSS JOIN {vals(qs, 'q')} CROSS JOIN {vals(biases, 'mid_bias')}",
-        "lev": "SELECT sigma, profile_id, q, quantile_cont(vs, q / 100) AS lo, quantile_cont(vs, 1 - q / 100) AS hi FROM sm, (SELECT DISTINCT q FROM par) GROUP BY 1, 2, 3",
+        "lev": " UNION ALL ".join(
+            f"SELECT sigma, profile_id, {float(q)!r}::DOUBLE AS q, quantile_cont(vs, {q / 100!r}) AS lo, quantile_cont(vs, {1 - q / 100!r}) AS hi FROM sm GROUP BY 1, 2"
+            for q in qs),
         "lim": """SELECT c.*, l.sigma, p.*, l.lo, l.hi, (l.lo + l.hi) / 2 AS thr, (l.lo + l.hi) / 2 - p.mid_bias * (l.hi - l.lo) AS mid,
           greatest(p.end_zone * c.s, 0.500001) AS ez, row_number() OVER () AS case_id FROM ctrl c JOIN lev l USING (profile_id) JOIN par p ON p.q = l.q""",
         "pts": """SELECT l.case_id, m.t, m.vs, l.thr, l.mid, l.ez, least(t0, t1) AS a, greatest(t0, t1) AS b, l.min_dark FROM lim l JOIN sm m ON m.profile_id = l.profile_id AND m.sigma = l.sigma""",
