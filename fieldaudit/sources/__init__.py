@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Readers, adapters and writers.  Nothing is collected to the driver except a handful of scalar settings."""

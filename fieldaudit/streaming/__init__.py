@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Incremental re-scoring: batch discovery, micro-batch scoring, comparison with a baseline."""

@@ -1 +1,60 @@
-"""Queries."""
+"""Incremental discovery, state merging and board comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans.leaderboard import leaderboard
+from ..plans.score import Alarms, pool, score
+from ..streaming import incremental as inc
+from .base import Tables, query, rounded, s6, with_views
+from .score_queries import SUMS, sql_rates
+
+NAME = "concat('auto_grown_', date_format(o_orderdate, 'yyyyMMdd'), '000000000_region_', o_orderkey)"
+SQL_NAME = "'auto_grown_' || strftime(o_orderdate, '%Y%m%d') || '000000000_region_' || o_orderkey"
+
+
+@query("new_batches", "SELECT strftime(o_orderdate, '%Y%m%d') || '000000000' AS batch, strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS patches FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1, 2")
+def new_batches(t: Tables):
+    live = t.read("orders").selectExpr(f"{NAME} as patch", "o_orderdate")
+    return inc.new_batches(live.select("patch"), live.filter("o_orderdate < timestamp_ntz'2000-01-01 00:00:00'").select("patch"))[0].select("batch", "date", "patches")
+
+
+@query("stale_batches", "SELECT strftime(o_orderdate, '%Y%m%d') || '000000000' AS batch, (SELECT max(strftime(o_orderdate, '%Y%m%d')) || '000000000' FROM orders WHERE o_orderkey % 10 <> 0) AS cutoff FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1")
+def stale_batches(t: Tables):
+    """Names that are new but belong to batches not newer than the newest known one."""
+    live = t.read("orders").selectExpr(f"{NAME} as patch", "o_orderkey")
+    return inc.new_batches(live.select("patch"), live.filter("o_orderkey % 10 <> 0").select("patch"))[1]
+
+
+@query("batch_overview", f"SELECT count(*) FILTER (o_orderkey % 10 <> 0) AS known_patches, max(strftime(o_orderdate, '%Y%m%d')) FILTER (o_orderkey % 10 <> 0) || '000000000' AS cutoff, count(*) AS live_patches, count(*) FILTER (o_orderkey % 10 = 0) AS new_patches, 0::BIGINT AS without_batch FROM orders")
+def batch_overview(t: Tables):
+    live = t.read("orders").selectExpr(f"{NAME} as patch", "o_orderkey")
+    return inc.batch_overview(live.select("patch"), live.filter("o_orderkey % 10 <> 0").select("patch"))
+
+
+@query(
+    "merged_state_board",
+    with_views(f"SELECT detector, hits, events, {sql_rates()}, false_alarms, patches FROM (SELECT {SUMS} FROM patch_score GROUP BY detector)", "patch_score"),
+)
+def merged_state_board(t: Tables):
+    """A board from a state whose even patches were scored again: replacing their rows changes nothing."""
+    full = score(t.benchmark(), t.alarms()).patch_score
+    board = pool(inc.merge_scores(full, full.filter("patch % 2 = 0")))
+    return rounded(board.select("detector", "hits", "events", "recall", "wilson_lo", "wilson_hi", "false_alarms", "patches"), "recall", "wilson_lo", "wilson_hi")
+
+
+@query("board_diff")
+def board_diff(t: Tables):
+    """Odd patches as the candidate against even patches as the baseline, per detector."""
+    frames = score(t.benchmark(), t.alarms(), bootstrap=100)
+    rows = frames.patch_score
+
+    def board(keep):
+        import dataclasses
+
+        part = dataclasses.replace(frames, patch_score=rows.filter(keep), detector_score=pool(rows.filter(keep)))
+        return leaderboard(part)
+
+    out = inc.diff_boards(board("patch % 2 = 1"), board("patch % 2 = 0"))
+    return rounded(out, "recall", "base_recall", "fa_per_100", "base_fa_per_100")
