@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 from ..session import cols
 
-QUANTILE_BLOCKS = 64
+def value_blocks(df: DataFrame, value: str, keys=(), width: int = 32, name: str = "_block") -> DataFrame:
+    """Add one of ``width`` squared block numbers, monotone in ``value``, cut at approximate quantiles of each
+    key group.
 
-
-def value_blocks(df: DataFrame, value: str, keys=(), blocks: int = QUANTILE_BLOCKS, name: str = "_block") -> DataFrame:
-    """Add a block number monotone in ``value``, cut at approximate quantiles of each key group.
-
-    The cut points only balance the blocks; no result depends on where they lie.
+    The cut points only balance the blocks; no result depends on where they lie.  A row finds its block
+    in two rounds of ``width`` comparisons.
     """
     keys = list(keys)
-    probs = [i / blocks for i in range(1, blocks)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(2000)).alias("_cuts"))
+    n = width * width
+    probs = "array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")"
+    cuts = df.groupBy(*keys).agg(F.expr(f"percentile_approx({value}, {probs}, {4 * n})").alias("_cuts"))
     if keys:
         cond = None
         renamed = cuts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_cuts")
@@ -33,7 +33,10 @@ def value_blocks(df: DataFrame, value: str, keys=(), blocks: int = QUANTILE_BLOC
         joined = df.join(renamed, cond).drop(*[f"_k_{k}" for k in keys])
     else:
         joined = df.crossJoin(F.broadcast(cuts))  # one row
-    return joined.withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    coarse = " + ".join(f"if({value} > _cuts[{width * i - 1}], 1, 0)" for i in range(1, width))
+    fine = " + ".join(f"if({value} > _cuts[_coarse * {width} + {i}], 1, 0)" for i in range(width - 1))
+    out = joined.selectExpr("*", f"{coarse} as _coarse")
+    return out.selectExpr("*", f"_coarse * {width} + {fine} as {name}").drop("_cuts", "_coarse")
 
 
 def running_total(

@@ -9,6 +9,7 @@ Lengths are in voxels and come from :class:`Rules`, so another voxel size only n
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -62,24 +63,29 @@ def line_crossings(probes: DataFrame, cloud: DataFrame, rules: Rules = Rules())
     edge = 2.0 * ball
     steps = int(-(-2.0 * rules.reach // h))
 
-    def cells(axis: str, sign: str) -> str:
-        return f"cast(floor(({axis} + d * n{axis} {sign} {ball!r}D) / {edge!r}D) as bigint)"
-
-    corners = ", ".join(
-        f"named_struct('i', {cells('x', a)}, 'j', {cells('y', b)}, 'k', {cells('z', c)})" for a in "-+" for b in "-+" for c in "-+"
-    )
-    cover = (
-        f"array_distinct(flatten(transform(sequence(0, {steps}), i -> transform(array(-{rules.reach!r}D + i * {h!r}D), d -> array({corners}))[0])))"
-    )
-    left = probes.selectExpr("patch", "row", "col", *XYZ, *NXYZ, f"explode({cover}) as _c")
-    left = left.selectExpr("patch", "row", "col", *XYZ, *NXYZ, "_c.i as _i", "_c.j as _j", "_c.k as _k")
-    # The join multiplies the rows, so it gets every shuffle partition even where the input is small.
-    left = left.repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_i", "_j", "_k")
+    def cell(i: str, j: str, k: str) -> str:
+        """One number per cell; a collision of far cells only adds a candidate for the exact test."""
+        return f"shiftleft({i}, 42) + shiftleft({j}, 21) + {k}"
+
+    def index(value: str) -> str:
+        return f"(cast(floor({value} / {edge!r}D) as bigint) + 1048576L)"
+
+    offsets = [-rules.reach + i * h for i in range(steps + 1)]
+    ends = [
+        f"{index(f'({a} + {d!r}D * n{a} {sign} {ball!r}D)')} as _{a}{i}{name}"
+        for i, d in enumerate(offsets) for a in XYZ for sign, name in (("-", "l"), ("+", "h"))
+    ]
+    corners = [cell(*[f"_{a}{i}{e}" for a, e in zip(XYZ, ends_of)]) for i in range(len(offsets)) for ends_of in product("lh", repeat=3)]
+    keep = ["patch", "row", "col", *XYZ, *NXYZ]
+    # Every probe grows into some thirty rows and every row into several candidates, so both steps get all
+    # shuffle partitions even where the probes alone are few; next to the grown rows this shuffle is small.
+    wide = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = probes.repartition(wide, "patch", "row", "col").selectExpr(*keep, *ends).selectExpr(*keep, f"explode(array_distinct(array({', '.join(corners)}))) as _cell")
+    left = left.repartition(wide, "_cell")
     right = cloud.selectExpr(
-        "p", "r", "c", *[f"{a} as r_{a}" for a in XYZ], *[f"{n} as r_{n}" for n in NXYZ],
-        *[f"cast(floor({a} / {edge!r}D) as bigint) as {c}" for a, c in zip(XYZ, ("_i", "_j", "_k"))],
+        "p", "r", "c", *[f"{a} as r_{a}" for a in XYZ], *[f"{n} as r_{n}" for n in NXYZ], f"{cell(*[index(a) for a in XYZ])} as _cell"
     )
-    near = left.join(right, ["_i", "_j", "_k"]).filter("p <> patch")
+    near = left.join(right, ["_cell"]).filter("p <> patch")
     near = near.selectExpr("*", "nx * r_nx + ny * r_ny + nz * r_nz as cos").filter(f"abs(cos) >= {rules.cos_min}D")
     near = near.selectExpr("*", "((r_x - x) * r_nx + (r_y - y) * r_ny + (r_z - z) * r_nz) / cos as t")
     off = ["(x + t * nx - r_x)", "(y + t * ny - r_y)", "(z + t * nz - r_z)"]
@@ -337,10 +343,10 @@ def winding_mismatches(attached: DataFrame, group, order: str = "point_id") -> D
     keys = cols("patch", "component", list(group))
     cell, turn = f"{{t}} / (2 * pi()) * {ANGLE_CELLS}", "(2 * pi())"
     pts = attached.filter("w is not null and unwrapped is not null and not isnan(w)").selectExpr(
-        *keys, f"{order} as id", "theta", f"w - (unwrapped - theta) / {turn} as g",
+        *keys, f"{order} as id", "theta", f"w - (unwrapped - theta) / {turn} as _g",
         f"cast(floor({cell.format(t='(theta + pi())')}) as bigint) as ac",
-    ).selectExpr("*", "cast(rint(g * 64) as bigint) as gc")
-    classes = pts.groupBy(*keys, "ac", "gc").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    ).selectExpr("*", "cast(rint(_g * 64) as bigint) as gc")
+    classes = pts.groupBy(*keys, "ac", "gc").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"))
 
     def side(df, tag, *extra):
         return df.selectExpr(*keys, *[f"{c} as {tag}_{c}" for c in ("ac", "gc", *extra)])
@@ -351,9 +357,9 @@ def winding_mismatches(attached: DataFrame, group, order: str = "point_id") -> D
     fixed = f"case when b_ac - a_ac >= {half + 1} then 1 when b_ac - a_ac <= {-half - 1} then -1 when abs(b_ac - a_ac) < {half} then 0 end"
     zero = f"coalesce(b_lo - a_hi - {fixed} > -0.499999 and b_hi - a_lo - {fixed} < 0.499999, false)"
     open_classes = pairs.filter(f"not {zero}").select(*keys, "a_ac", "a_gc", "b_ac", "b_gc")
-    one = open_classes.join(side(pts, "a", "id", "theta", "g"), cols(keys, "a_ac", "a_gc"))
-    both = one.join(side(pts, "b", "id", "theta", "g"), cols(keys, "b_ac", "b_gc")).filter("a_id < b_id")
+    one = open_classes.join(side(pts, "a", "id", "theta", "_g"), cols(keys, "a_ac", "a_gc"))
+    both = one.join(side(pts, "b", "id", "theta", "_g"), cols(keys, "b_ac", "b_gc")).filter("a_id < b_id")
     n = f"floor((b_theta - a_theta + pi()) / {turn})"
     return both.selectExpr(
-        *keys, "a_id as a", "b_id as b", f"cast(rint(b_g - a_g - {n}) as bigint) as mismatch"
+        *keys, "a_id as a", "b_id as b", f"cast(rint(b__g - a__g - {n}) as bigint) as mismatch"
     ).filter("mismatch <> 0")

@@ -387,7 +387,7 @@ def labelled_segments(t: Tables):
 def labelled_switches(t: Tables):
     """Clustered switch events of the labelled surfaces (permissive lengths for the noisy fixture)."""
     probes, cloud = _cloud(t)
-    rules = st.Rules(event_mm=0.2)
+    rules = st.Rules(event_mm=0.0)
     ev = st.label_surfaces(probes, cloud, rules).events(rules)
     return rounded(ev.select("patch", "cluster", "members", *XYZ), *XYZ)
 
