@@ -34,4 +34,3 @@ EDGES = (
 AFTER_EDGES = "rel_pcl_id string, from_point_id string, to_point_id string"
 STRATA = "results struct<per_event: array<struct<patch: string, xyz: array<double>, abrupt_primary_sf: boolean>>>"
 ENTRIES = "name string, alarms string, tool string, mode string, notes string"
-META = "patch string, area_cm2 double, scale array<double>, seed array<double>, gen_avg_cost array<double>, source_tifxyz string"
