@@ -104,3 +104,14 @@ def level_coordinate(c: Column, level: int, base: int = 2) -> Column:
 
 def chunk_index(c: Column, edge: int = 128) -> Column:
     return F.floor(c / F.lit(edge)).cast("long")
+
+
+SEGMENT_POINTS = 20  # fixed value: points per segment
+
+
+def segment_points(p: Column, q: Column, n: int = SEGMENT_POINTS) -> Column:
+    """Evenly spaced points from ``p`` to ``q`` (structs x, y, z), both ends included, as an array of structs."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.struct(*[(p[a] + i / F.lit(float(n - 1)) * (q[a] - p[a])).alias(a) for a in XYZ]),
+    )

@@ -168,3 +168,17 @@ def smallest_k_above(spark, bar: float, n: int) -> DataFrame:
 
     ks = spark.range(n + 1).select(F.col("id").alias("k"))
     return ks.agg(F.min(F.when(wilson_parts(F.col("k"), F.lit(n))[1] > bar, F.col("k"))).alias("k"))
+
+
+def independence(offsets: DataFrame, offset: str, keys, reach: float = 1.0, close: float = 0.5, min_points: int = 50) -> DataFrame:
+    """Does a trace copy a reference layer?  Per key: points on the layer, median offset, share within ``close``.
+
+    ``offsets`` holds the nearest distance of every trace point that met the layer within its bound.  A
+    trace is dependent if at least ``min_points`` points are on the layer and their median offset is
+    below ``reach`` or half of them lie within ``close``.
+    """
+    keys = list(keys)
+    med = exact_percentiles(offsets, offset, [0.5], keys).selectExpr(*keys, "n", "p0 as median")
+    share = offsets.groupBy(*keys).agg(F.avg((F.col(offset) <= close).cast("double")).alias("share"))
+    d = med.join(share, keys)
+    return d.withColumn("dependent", (F.col("n") >= min_points) & ((F.col("median") < reach) | (F.col("share") >= 0.5)))

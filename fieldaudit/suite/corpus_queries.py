@@ -322,3 +322,78 @@ def in_sample(t: Tables):
     a = t.grid(valid_only=False).groupBy("patch").agg(F.count_if(F.col("valid") & (F.col("v") > 0.12)).alias("assigned"), F.count_if("valid").alias("valid"))
     share = F.col("assigned") / F.greatest(F.lit(1), F.col("valid"))
     return rounded(a.withColumn("share", share).filter("share >= 0.05"), "share")
+
+
+# ------------------------------------------------------------------ further sources and lookups
+@query("annotation_points", with_views(f"SELECT CASE WHEN event_id % 2 = 0 THEN 'same_windings' ELSE 'relative_windings' END AS file, event_id::VARCHAR AS point_id, {POINT}, CASE WHEN event_id % 2 = 0 THEN 0.0::DOUBLE WHEN event_id % 3 = 0 THEN NULL ELSE z END AS w FROM pt WHERE kind = 'view'", "pt"))
+def annotation_points(t: Tables):
+    """Annotated points of two files; the winding is 0 in one of them and may be missing in the other."""
+    from .. import schema
+
+    item = "struct(cast(event_id as string) as k, named_struct('p', array(x, y, z), 'wind_a', if(event_id % 3 = 0, null, z)) as v)"
+    body = "named_struct('collections', map('c', named_struct('points', map_from_entries(items))))"
+    docs = {}
+    for name, rest in (("same_windings", 0), ("relative_windings", 1)):
+        half = Tables(t.spark, t.sf_dir)
+        half.__dict__["_pt"] = t.pt().filter(f"event_id % 2 = {rest}")
+        docs[name] = documents(half, "'view'", body, item).select(F.from_json("doc", schema.COLLECTIONS).alias("d")).select("d.*")
+    return rounded(co.annotation_points(docs).select("file", "point_id", "x", "y", "z", "w"), "x", "y", "z", "w")
+
+
+@query(
+    "segment_points",
+    with_views(
+        f"""SELECT event_id, i.i AS i, {s6('x + i.i / 19.0::DOUBLE * (nx - x)')} AS x, {s6('y + i.i / 19.0::DOUBLE * (ny - y)')} AS y FROM
+        (SELECT event_id, x, y, x + 10 AS nx, y * 2 AS ny FROM pt WHERE kind = 'signup') p, (SELECT unnest(range(20)) AS i) i""", "pt"),
+)
+def segment_points(t: Tables):
+    from ..functions.geometry import segment_points as points
+
+    d = t.pt().filter("kind = 'signup'").selectExpr("event_id", "struct(x, y, z) as p", "struct(x + 10 as x, y * 2 as y, z as z) as q")
+    out = d.select("event_id", F.posexplode(points(F.col("p"), F.col("q"))).alias("i", "s"))
+    return out.select("event_id", F.col("i").cast("long").alias("i"), r6("s.x").alias("x"), r6("s.y").alias("y"))
+
+
+@query("model_footprint", "SELECT p_partkey, greatest(p_size, 3 * p_size, 64)::BIGINT AS side, CASE WHEN p_partkey % 3 = 0 THEN (2 ** (p_partkey % 4))::BIGINT ELSE 1 END AS down FROM part")
+def model_footprint(t: Tables):
+    """Sides and downsampling written in file names."""
+    from ..functions.text import model_footprint as footprint
+
+    d = t.read("part").selectExpr("p_partkey", "concat('pred_ps', p_size, '_', 3 * p_size, '_64', if(p_partkey % 3 = 0, concat('_scale', p_partkey % 4), '')) as name")
+    side, down = footprint(F.col("name"))
+    return d.select("p_partkey", side.alias("side"), down.alias("down"))
+
+
+@query(
+    "trilinear_lookup",
+    with_views(
+        f"""SELECT p.event_id, {s6('sum(CASE a.a WHEN 1 THEN fz ELSE 1 - fz END * CASE b.b WHEN 1 THEN fy ELSE 1 - fy END * CASE c.c WHEN 1 THEN fx ELSE 1 - fx END * greatest(0, least(255, floor(127.5 + 300 * e.embedding[((iz + a.a) * 4 + iy + b.b) * 4 + ix + c.c + 1]::DOUBLE))))')} AS value
+        FROM (SELECT event_id, event_id % 200 AS vec, (event_id % 3)::BIGINT AS iz, (event_id % 2)::BIGINT AS iy, ((event_id // 7) % 3)::BIGINT AS ix, (event_id % 10) / 10.0::DOUBLE AS fz, (event_id % 7) / 7.0::DOUBLE AS fy, (event_id % 9) / 9.0::DOUBLE AS fx FROM pt) p
+        JOIN embeddings e ON e.vec_id = p.vec, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c) GROUP BY 1""", "pt"),
+)
+def trilinear_lookup(t: Tables):
+    """Points in landed byte chunks (an embedding is one 4 x 4 x 4 chunk)."""
+    from ..operators.profile import sample_volume
+
+    byte = "lpad(hex(cast(greatest(0, least(255, floor(127.5 + 300 * cast(v as double)))) as bigint)), 2, '0')"
+    chunks = t.read("embeddings").selectExpr("vec_id as cz", "0L as cy", "0L as cx", f"unhex(concat_ws('', transform(embedding, v -> {byte}))) as bytes")
+    pts = t.pt().selectExpr(
+        "event_id as point_id", "(event_id div 7) % 3 + (event_id % 9) / 9D as x", "event_id % 2 + (event_id % 7) / 7D as y", "(event_id % 200) * 4 + event_id % 3 + (event_id % 10) / 10D as z")
+    return sample_volume(pts, chunks, edge=4).select(F.col("point_id").alias("event_id"), r6("value").alias("value"))
+
+
+@query(
+    "independence",
+    with_views(
+        f"""SELECT patch, count(*) AS n, {s6('quantile_cont(d, 0.5)')} AS median, {s6('avg((d <= 8)::INT)')} AS share, count(*) >= 50 AND (quantile_cont(d, 0.5) < 9 OR avg((d <= 8)::INT) >= 0.5) AS dependent FROM (
+          SELECT u.patch, u.row, u.col, min(sqrt((u.x-v.x)*(u.x-v.x) + (u.y-v.y)*(u.y-v.y) + (u.z-v.z)*(u.z-v.z))) AS d FROM grid u JOIN grid v ON v.patch = u.patch + 1 AND v.row BETWEEN u.row - 1 AND u.row + 1 AND v.col BETWEEN u.col - 1 AND u.col + 1
+          GROUP BY 1, 2, 3) WHERE d <= 20 GROUP BY 1""", "grid"),
+)
+def independence(t: Tables):
+    """Offset of every patch to the next reference layer within a bound, and whether it copies that layer."""
+    from ..operators.spatial import nearest
+    from ..operators.stats import independence as rule
+
+    g = t.grid()
+    near = nearest(g, g.withColumn("patch", F.col("patch") - 1), ["patch", "row", "col"], ["patch"], top_side=160.0, bound=20.0)
+    return rounded(rule(near, "nearest", ["patch"], reach=9.0, close=8.0), "median", "share")

@@ -534,3 +534,10 @@ def unknown_patches(t: Tables):
         (F.col("patch") % 400 + F.when(F.col("kind") == "error", 100000).otherwise(0)).alias("patch"),
     )
     return classify_patches(t.benchmark(), ids)
+
+
+@query("board_rank", with_views("SELECT 1 + count(*) FILTER (r > 0.05) AS rank FROM (SELECT detector, count(h.event_id)::DOUBLE / count(*) AS r FROM (SELECT e.event_id, d.detector FROM ev e CROSS JOIN dets d WHERE e.status = 'confirmed') LEFT JOIN hit h USING (event_id, detector) GROUP BY 1)", "ev", "dets", "hit"))
+def board_rank(t: Tables):
+    """Place a recall of 0.05 would take among the detectors."""
+    rows = rob.recall_by(t.gt_event().withColumn("all", F.lit(1)), t.alarms(), RADIUS, ["all"])
+    return board.rank_of(rows, 0.05)
