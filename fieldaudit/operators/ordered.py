@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from ..session import cols
 
-def value_blocks(df: DataFrame, value: str, keys=(), width: int = 32, name: str = "_block") -> DataFrame:
-    """Add one of ``width`` squared block numbers, monotone in ``value``, cut at approximate quantiles of each
-    key group.
+def value_blocks(df: DataFrame, value: str, keys=(), name: str = "_block") -> DataFrame:
+    """Add one of 1,000 block numbers, monotone in ``value``, cut at approximate quantiles of each key group.
 
     The cut points only balance the blocks; no result depends on where they lie.  A row finds its block
-    in two rounds of ``width`` comparisons.
+    digit by digit, nine comparisons each, which keeps the generated code small enough to be compiled.
     """
     keys = list(keys)
-    n = width * width
+    n = 1000
     probs = "array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")"
     cuts = df.groupBy(*keys).agg(F.expr(f"percentile_approx({value}, {probs}, {4 * n})").alias("_cuts"))
     if keys:
@@ -33,10 +32,12 @@ def value_blocks(df: DataFrame, value: str, keys=(), width: int = 32, name: str
         joined = df.join(renamed, cond).drop(*[f"_k_{k}" for k in keys])
     else:
         joined = df.crossJoin(F.broadcast(cuts))  # one row
-    coarse = " + ".join(f"if({value} > _cuts[{width * i - 1}], 1, 0)" for i in range(1, width))
-    fine = " + ".join(f"if({value} > _cuts[_coarse * {width} + {i}], 1, 0)" for i in range(width - 1))
-    out = joined.selectExpr("*", f"{coarse} as _coarse")
-    return out.selectExpr("*", f"_coarse * {width} + {fine} as {name}").drop("_cuts", "_coarse")
+    out, before = joined, "0"
+    for step, digit in ((100, "_d1"), (10, "_d2"), (1, "_d3")):
+        over = " + ".join(f"if({value} > _cuts[{before} + {step * i - 1}], 1, 0)" for i in range(1, 10))
+        out = out.selectExpr("*", f"{over} as {digit}")
+        before = f"{before} + {digit} * {step}"
+    return out.selectExpr("*", f"{before} as {name}").drop("_cuts", "_d1", "_d2", "_d3")
 
 
 def running_total(
