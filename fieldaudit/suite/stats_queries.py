@@ -95,7 +95,7 @@ LG = "list_sum(list_transform(range(1, ({n}) + 1), lambda i: ln(i)))"
         f"""SELECT lang, a_hit, a_n, b_hit, b_n, undetermined, {s6('''(SELECT least(1.0, sum(CASE WHEN lp <= obs + 1e-7 THEN exp(lp) ELSE 0 END)) FROM (
             SELECT f(a_n) - f(x) - f(a_n - x) + f(b_n) - f(k - x) - f(b_n - (k - x)) - f(a_n + b_n) + f(k) + f(a_n + b_n - k) AS lp,
               f(a_n) - f(a_hit) - f(a_n - a_hit) + f(b_n) - f(k - a_hit) - f(b_n - (k - a_hit)) - f(a_n + b_n) + f(k) + f(a_n + b_n - k) AS obs
-            FROM (SELECT unnest(range(greatest(0, k - b_n), least(k, a_n) + 1)) AS x)))''')} AS fisher_p FROM tab""", "scored_doc",
+            FROM (SELECT unnest(range(greatest(0, k - b_n), least(k, a_n) + 1)) AS x)))''')} * CASE WHEN a_n > 0 AND b_n > 0 THEN 1 END AS fisher_p FROM tab""", "scored_doc",
         extra={"tab": """SELECT lang, count(*) FILTER (long AND toxic = 1) AS a_hit, count(*) FILTER (long) AS a_n, count(*) FILTER (NOT long AND toxic = 1) AS b_hit, count(*) FILTER (NOT long) AS b_n,
           count(*) FILTER (long IS NULL) AS undetermined, count(*) FILTER (long IS NOT NULL AND toxic = 1) AS k
           FROM (SELECT *, CASE WHEN n_chars <> 0 AND doc_id % 11 <> 0 THEN n_chars > 600 END AS long FROM scored_doc) GROUP BY 1"""}),
