@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-fieldaudit-", dir="/tmp")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once per application.
+
+    Functions that run in Python workers refer to their modules by name.  Spark serves the archive to
+    executors that join later, too.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fieldaudit_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-fieldaudit-"), "fieldaudit.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._fieldaudit_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and return it with its lineage cut."""
     spark = df.sparkSession
