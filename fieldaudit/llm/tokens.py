@@ -19,13 +19,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most words that one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Longer words are encoded on their own and not remembered.
 LONG_WORD = 400
 #: Texts with any of these are encoded whole: two spaces or line ends in a row, other white space, white space at an end.
-_ODD = "  |\n\n| \n|\n |[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|^[ \n]|[ \n]$"
+_ODD = "<\\||  |\n\n| \n|\n |[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|^[ \n]|[ \n]$"
 
 
+#: Marks that are pieces of their own behind a letter or digit in both vocabularies.
+_MARKS = ".,!?;:&%$#*|)"
+
 _WORKER: dict[tuple[str, str], "WordEncoder"] = {}
 
 
@@ -53,6 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         ids = self._plain(["a\nb", "a b"])
         self.keeps_space = ids[0] != ids[1]
         if self.keeps_space:
@@ -69,6 +73,23 @@ class WordEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
+        """Add words to the cache; marks behind a word are looked up apart from it."""
+        heads, tailed = {}, []
+        for w in new:
+            head = w.rstrip(_MARKS)
+            if len(head) < len(w) and head and head[-1].isalnum():
+                tailed.append((w, head, w[len(head) :]))
+                if head not in self.words:
+                    heads[head] = None
+            else:
+                heads[w] = None
+        unknown = list({t for _, _, t in tailed} - self.marks.keys())
+        self.marks.update(zip(unknown, self._plain(unknown), strict=True))
+        self._learn_whole(list(heads))
+        for w, head, tail in tailed:
+            self.words[w] = self.words[head] + self.marks[tail]
+
+    def _learn_whole(self, new: list[str]) -> None:
         alone = [w for w in new if len(w) > LONG_WORD or "<|" in w or not w.strip("\n")]  # also the empty word
         if alone:
             skip = set(alone)
@@ -122,7 +143,9 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD)
         plain = pc.if_else(odd, "", texts)
-        if self.keeps_space:  # no space stands before the first word of a text
+        if not self.keeps_space:  # this vocabulary has lower case only
+            plain = pc.ascii_lower(plain)
+        else:  # no space stands before the first word of a text
             plain = pc.binary_replace_slice(plain.cast(pa.large_binary()), 0, 0, b"\n").cast(pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         words = pc.dictionary_encode(cut.flatten())
