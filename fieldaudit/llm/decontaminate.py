@@ -38,7 +38,8 @@ def _seeds(rows: DataFrame, spans: list[int], keep: list[str]) -> DataFrame:
     """One row per position and mask: ``seed`` and ``p``; ``h`` are hashed tokens."""
     out = []
     for span in spans:
-        at = rows.filter(F.size("h") >= span).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("p"))
+        places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
+        at = rows.select(*keep, "h", F.explode(places).alias("p"))
         seeds = F.array(*[_seed(F.col("h"), F.col("p"), m[:span], i) for i, m in enumerate(MASKS)])
         out.append(at.select(*keep, "h", "p", F.explode(seeds).alias("seed")))
     return reduce(DataFrame.unionByName, out)
@@ -67,7 +68,8 @@ def contaminated(
         part = known if blocks <= 1 else known.filter(F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)) == b)
         hits = _seeds(rows, spans, ["doc_id"]).join(F.broadcast(part), "seed")  # the block's rows are bounded, see above
         at = F.col("p") + F.col("shift")
-        same = F.size(F.filter("expected", lambda t, i: F.get(F.col("h"), at + i).eqNullSafe(t)))
+        # comparisons are spelled out: they stay in the generated code of the scan, and no hit carries its document along
+        same = reduce(lambda x, y: x + y, [F.when(F.get("expected", F.lit(k)) == F.get("h", at + k), F.lit(1)).otherwise(F.lit(0)) for k in range(WINDOW)])
         hits = hits.select("doc_id", "rep", at.alias("at"), same.alias("matched"), F.size("expected").alias("width")).filter(F.col("matched") >= F.col("width") * F.lit(share))
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("doc_id", "rep").agg(F.max("matched").cast("long").alias("matched"), F.max("width").cast("long").alias("width"), F.greatest(F.min("at"), F.lit(0)).cast("long").alias("first_token"))
