@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, token_files, toxicity, warc
+from . import chat, decontaminate, ngram_join, packing, quality, token_files, toxicity, warc
 from ..session import ship
 from .common import shared_dir, table
 from .tokens import vocabulary
@@ -15,6 +15,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -65,7 +69,7 @@ def _shipped(f):
     return query
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_decontaminate, op4_token_files, op5_quality, op7_chat, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op7_chat, op8_warc, op9_toxicity, op10_packing)}
 
 
 def _escaped(text: str) -> str:
