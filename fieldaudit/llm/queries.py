@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngram_join, packing, quality, token_files, toxicity, warc
+from . import chat, decontaminate, fingerprints, ngram_join, packing, quality, token_files, toxicity, warc
 from ..session import ship
 from .common import shared_dir, table
 from .tokens import vocabulary
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +73,7 @@ def _shipped(f):
     return query
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op7_chat, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op7_chat, op8_warc, op9_toxicity, op10_packing)}
 
 
 def _escaped(text: str) -> str:
