@@ -1,13 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A text is cut into short paragraphs (sentences and lines, at most ``LONGEST`` characters each), whose distinct 64-bit
-digests go into cells: each digest is added to one cell of every sub-table, as a count, an exclusive or of digests and
+A text is cut into short paragraphs: a line, or of a long line the sentences that end behind ``SHORTEST`` characters
+(``SHORTEST + LONGER`` at most).  Their distinct 64-bit digests go into cells: each digest is added to one cell of every sub-table, as a count, an exclusive or of digests and
 one of check values.  The fingerprint is the first sketch of ``3 * CELLS[0]`` cells, whatever the text's size.
 
 Two sketches subtract cell by cell; digests of both cancel.  Peeling takes a cell that holds a single digest, removes
 it from its other cells, and goes on until nothing is left: what it took are the digests that differ.  If cells remain,
 the sketch was too small.  Then both texts' digests are dealt by hash into blocks of a few digests with a sketch each, and a
-block that fails is built anew with twice the cells and other hashes.  A block that fails at every size is compared
+block that fails is built anew with more cells and other hashes.  A block that fails at every size is compared
 digest by digest, so the difference is always exact.  Work per document is nearly linear in its paragraphs.
 
 Null texts are empty; two empty texts are alike (1), an empty and another one are not (0).  Equal texts have equal
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import ordered_blocks
 
-LONGEST, PER_BLOCK = 160, 6
-#: Cells of one sub-table: of the fingerprint, then of the blocks at each try.
-CELLS = [8, 6, 12, 24, 48]
-_PIECE = rf"[^.!?\n]{{1,{LONGEST}}}[.!?\n]*|[.!?\n]+"
+SHORTEST, LONGER, PER_BLOCK = 100, 120, 3
+#: Cells of one sub-table: of the fingerprint, then of the blocks at each try; three sub-tables fit 64 bits.
+CELLS = [8, 5, 9, 14, 21]
+_PIECE = rf"[^\n]{{1,{SHORTEST}}}[^.!?\n]{{0,{LONGER}}}[.!?\n]*|\n+"
 
 
 def let(value: Column, body) -> Column:
@@ -44,13 +44,12 @@ def _check(d: Column) -> Column:
 
 
 def _placed(signed: Column, attempt: int) -> Column:
-    """Signed digests with their check value and their cells."""
+    """Signed digests with their check value and the bits of their cells."""
     m = CELLS[attempt]
-    spread = lambda e: F.xxhash64(e["d"], F.lit(1000 + attempt))
-    place = lambda g, j: (F.pmod(F.shiftright(g, 20 * j), F.lit(m)) + j * m).cast("int")
+    bit = lambda g, j: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.shiftright(g, 20 * j), F.lit(m)) + j * m).cast("int"))
+    bits = lambda g: bit(g, 0).bitwiseOR(bit(g, 1)).bitwiseOR(bit(g, 2))
     return F.transform(signed, lambda e: F.struct(
-        e["d"].alias("d"), e["s"].alias("s"), _check(e["d"]).alias("c"),
-        *[place(spread(e), j).alias(f"p{j}") for j in range(3)]))
+        e["d"].alias("d"), e["s"].alias("s"), _check(e["d"]).alias("c"), let(F.xxhash64(e["d"], F.lit(1000 + attempt)), bits).alias("at")))
 
 
 def _cell(n: Column, d: Column, c: Column) -> Column:
@@ -62,7 +61,7 @@ def _nothing() -> Column:
 
 
 def _here(e: Column, j: Column) -> Column:
-    return (e["p0"] == j) | (e["p1"] == j) | (e["p2"] == j)
+    return F.getbit(e["at"], j) == 1
 
 
 def sketch(signed: Column, attempt: int) -> Column:
@@ -142,7 +141,7 @@ def fingerprint(d: Column, cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, own, next_text, next_own)``: each text with its digests and those of the next document.
+    """``(doc_id, text, own, next_text, next_own)``: each text with its digests and sketch and those of the next document.
 
     Blocks of the id order are windowed alone; the first row of a block also stands at the end of the block before.
     """
@@ -154,7 +153,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first = rows.withColumn("key", key).join(F.broadcast(lowest), ["b", "key"]).groupBy("b", "doc_id").agg(F.min("text").alias("text"))
     first = first.select("doc_id", "text", F.pmod(F.col("b") - 1, F.lit(count)).cast("int").alias("b"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("b", F.col("b").cast("int")).withColumn("guest", F.lit(False)).select("doc_id", "text", "b", "guest").unionByName(first).repartition("b")
-    dealt = dealt.withColumn("own", digests(F.col("text")))
+    dealt = dealt.withColumn("own", let(digests(F.col("text")), lambda d: F.struct(d.alias("d"), sketch(_signed(d, 1), 0).alias("cells"))))
     after = Window.partitionBy("b").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     seen = dealt.withColumn("next_text", F.lead("text").over(after)).withColumn("next_own", F.lead("own").over(after))
     return seen.filter(~F.col("guest")).select("doc_id", "text", "own", "next_text", "next_own")
@@ -165,13 +164,12 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    plus = lambda d: sketch(_signed(d, 1), 0)
     own, after = F.col("own"), F.col("next_own")
 
     def told(text: Column) -> Column:
-        return let(digests(text), lambda e: let(plus(e), lambda ce: let(plus(own), lambda co: let(plus(after), lambda cn: F.struct(
-            F.sha2(text, 256).alias("sha"), fingerprint(own, co).alias("f"), fingerprint(e, ce).alias("fe"),
-            likeness(own, e, co, ce).alias("near_edited"), likeness(own, after, co, cn).alias("near_next"))))))
+        return let(digests(text), lambda e: let(sketch(_signed(e, 1), 0), lambda ce: F.struct(
+            F.sha2(text, 256).alias("sha"), fingerprint(own["d"], own["cells"]).alias("f"), fingerprint(e, ce).alias("fe"),
+            likeness(own["d"], e, own["cells"], ce).alias("near_edited"), likeness(own["d"], after["d"], own["cells"], after["cells"]).alias("near_next"))))
 
     out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), let(edited, told).alias("t"))
     return out.select(
