@@ -6,7 +6,8 @@ verified on ``WINDOW`` tokens of the item around it: at least three quarters of
 distance in the document, so substituted words do not hide a passage and a shared phrase does not make one.
 
 The benchmark's seeds are broadcast in blocks of at most ``BLOCK_SEEDS`` rows; a larger benchmark takes more passes.
-Document windows are hashed, probed and verified inside one stage; only verified hits are shuffled.
+Document windows are probed by the tokens that all masks share, the few that pass are hashed under every mask and
+verified, all inside one stage; only verified hits are shuffled.
 
 Tokens are lower-case runs of letters and digits.  Null and empty texts have none.  Items with fewer than ``LEAST``
 tokens are no evidence and match nothing; items shorter than a mask use the mask's beginning.  Items of equal tokens
@@ -34,15 +35,17 @@ def _seed(h: Column, p: Column, mask: str, number: int) -> Column:
     return F.xxhash64(F.lit(number), F.lit(len(mask)), *[F.get(h, p + i) for i, c in enumerate(mask) if c == "1"])
 
 
-def _seeds(rows: DataFrame, spans: list[int], keep: list[str]) -> DataFrame:
+def _windows(rows: DataFrame, span: int, keep: list[str]) -> DataFrame:
+    """One row per position ``p`` that has ``span`` tokens; ``anchor`` hashes the tokens that every mask takes."""
+    places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
+    shared = [i for i in range(span) if all(m[i] == "1" for m in MASKS)]
+    return rows.select(*keep, "h", F.explode(places).alias("p")).withColumn("anchor", F.xxhash64(F.lit(span), *[F.get("h", F.col("p") + i) for i in shared]))
+
+
+def _seeds(windows: DataFrame, span: int, keep: list[str]) -> DataFrame:
     """One row per position and mask: ``seed`` and ``p``; ``h`` are hashed tokens."""
-    out = []
-    for span in spans:
-        places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
-        at = rows.select(*keep, "h", F.explode(places).alias("p"))
-        seeds = F.array(*[_seed(F.col("h"), F.col("p"), m[:span], i) for i, m in enumerate(MASKS)])
-        out.append(at.select(*keep, "h", "p", F.explode(seeds).alias("seed")))
-    return reduce(DataFrame.unionByName, out)
+    seeds = F.array(*[_seed(F.col("h"), F.col("p"), m[:span], i) for i, m in enumerate(MASKS)])
+    return windows.select(*keep, "h", "p", "anchor", F.explode(seeds).alias("seed"))
 
 
 def contaminated(
@@ -60,13 +63,16 @@ def contaminated(
     spans, blocks = [SPAN, *sorted(size["s"])], -(-(size["n"] or 0) // BLOCK_SEEDS)
     own = kinds.withColumn("short", F.least(F.size("h"), F.lit(SPAN)))
     begin = F.greatest(F.lit(0), F.least(F.col("p") - LEAD, F.size("h") - WINDOW))
-    known = reduce(DataFrame.unionByName, [_seeds(own.filter(F.col("short") == n), [n], ["rep"]) for n in spans]).select(
-        "seed", "rep", (begin - F.col("p")).alias("shift"), F.slice("h", begin + 1, F.lit(WINDOW)).alias("expected"))
+    known = reduce(DataFrame.unionByName, [_seeds(_windows(own.filter(F.col("short") == n), n, ["rep"]), n, ["rep"]) for n in spans]).select(
+        "anchor", "seed", "rep", (begin - F.col("p")).alias("shift"), F.slice("h", begin + 1, F.lit(WINDOW)).alias("expected"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), hashed(F.col(text_col).cast("string")).alias("h"))
     found = None
     for b in range(max(blocks, 1)):
         part = known if blocks <= 1 else known.filter(F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)) == b)
-        hits = _seeds(rows, spans, ["doc_id"]).join(F.broadcast(part), "seed")  # the block's rows are bounded, see above
+        # both broadcasts are bounded, see above; few positions pass the anchors, and only these are hashed under all masks
+        anchors = F.broadcast(part.select("anchor").distinct())
+        near = [_seeds(_windows(rows, n, ["doc_id"]).join(anchors, "anchor", "left_semi"), n, ["doc_id"]) for n in spans]
+        hits = reduce(DataFrame.unionByName, near).drop("anchor").join(F.broadcast(part.drop("anchor")), "seed")
         at = F.col("p") + F.col("shift")
         # comparisons are spelled out: they stay in the generated code of the scan, and no hit carries its document along
         same = reduce(lambda x, y: x + y, [F.when(F.get("expected", F.lit(k)) == F.get("h", at + k), F.lit(1)).otherwise(F.lit(0)) for k in range(WINDOW)])
