@@ -4,8 +4,8 @@
 2. Under one global order of n-grams, sets that reach the threshold share an n-gram among the first
    ``size - ceil(t * size) + 1`` of both.  The order puts frequent n-grams last (those in more than one of
    ``HOT_SHARE`` documents, counted over all documents), so common passages name few candidates.
-3. Classes that share such an n-gram are first linked to the group's first class only, which joins groups of
-   copies with one exact comparison per member.
+3. Of the classes that share such an n-gram, those with no partner of a fitting size go; the others are first compared
+   with their first partner only, which joins groups of copies with one exact comparison per member.
 4. Where a group still holds several components, its classes go to size-banded tiles.  Hashed bitmaps bound the
    overlap of two sets from above (a bit set in one only is an element of one only); pairs of different
    components that may reach the threshold are compared exactly, as sorted arrays.  First the best pair for each
@@ -32,7 +32,7 @@ from .common import text_slices, written
 from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
-HOT_SHARE, TILE, BITS = 2000, 2048, 4
+HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 1, 1 << 20
 
 
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,33 +87,54 @@ def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int) -> D
     return docs.mapInArrow(run, "doc_id long, size int, sig long, prefix array<long>")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """``(key, sig, size, rep)`` of n-grams that two classes or more share; ``rep`` is the first class of the group."""
+def partners(key: np.ndarray, size: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (key, size): whether a row of the same key, another component and a fitting size exists, and the first row that fits."""
+    n = len(key)
+    group = np.append(0, np.cumsum(key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
+    wide = int(size.max()) + 2 if n else 2
+    place = group * wide + size
+    low = np.searchsorted(place, group * wide + -(-size * num // den), "left")
+    high = np.searchsorted(place, group * wide + np.minimum(size * den // num, wide - 1), "right")
+    change = np.append(0, np.cumsum(comp[1:] != comp[:-1])) if n else np.zeros(0, np.int64)
+    return change[np.maximum(high - 1, 0)] > change[low], low
+
+
+def _streamed(rows: DataFrame, comp: str, num: int, den: int) -> DataFrame:
+    """``(key, sig, size, comp, rep)`` of the rows (key, sig, size, comp) that have a partner; ``rep`` is their first one.
+
+    Rows come sorted by key and size.  A group that a batch cuts is kept whole, as far as it holds two rows.
+    """
+    names = list(dict.fromkeys(["key", "sig", "size", comp]))
+
+    def solve(key, sig, size, own, cut):
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        key, sig, size, own = key[fresh], sig[fresh], size[fresh], own[fresh]
+        keep, low = partners(key, size, own, num, den)
+        for k in cut:
+            keep |= key == k
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, sig, size, own, sig[low])], ["key", "sig", "size", "comp", "rep"])
 
     def run(batches):
-        hold = None  # the last class seen, in case it is the only one of its group so far
+        rest, cut = None, []
         for batch in batches:
-            key, sig, size = (np.asarray(c) for c in batch.columns)
-            if hold is not None:
-                key, sig, size = (np.append(h, c) for h, c in zip(hold[:3], (key, sig, size), strict=True))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-            key, sig, size = key[fresh], sig[fresh], size[fresh]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            first = np.flatnonzero(new)
-            rep = np.repeat(sig[first], np.diff(np.append(first, len(key))))
-            shared = np.repeat(np.diff(np.append(first, len(key))) > 1, np.diff(np.append(first, len(key))))
-            if hold is not None and key[0] == hold[0][0]:  # the group began in an earlier batch
-                same = key == key[0]
-                rep[same], shared[same] = hold[3], shared[same] | hold[4]
-                shared[0] &= not hold[4]  # then it is out already
-            tail = (key[-1:], sig[-1:], size[-1:], rep[-1], bool(hold is not None and key[-1] == hold[0][0] and hold[4]) or bool((key == key[-1]).sum() > 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (key, sig, size, rep)], ["key", "sig", "size", "rep"])
-            hold = tail
-
-    sorted_rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "sig")
-    return sorted_rows.mapInArrow(run, "key long, sig long, size int, rep long")
+            c = [np.asarray(batch.column(names.index(x)), np.int64) for x in ("key", "sig", "size", comp)]
+            if rest is not None:
+                c = [np.append(x, y) for x, y in zip(rest, c, strict=True)]
+            begin = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on
+            if begin == 0 and len(c[0]) > MOST:
+                yield solve(*c, [*cut, c[0][-1]])
+                rest, cut = [x[-1:] for x in c], [c[0][-1]]
+                continue
+            if begin:
+                yield solve(*(x[:begin] for x in c), cut)
+                cut = [k for k in cut if k == c[0][-1]]
+            rest = [x[begin:] for x in c]
+        if rest is not None and len(rest[0]):
+            yield solve(*rest, cut)
+
+    ordered = rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key", "size", "sig")
+    return ordered.mapInArrow(run, "key long, sig long, size long, comp long, rep long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -197,16 +218,19 @@ def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossin
 
 def _tiles(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, best: bool, num: int, den: int) -> DataFrame:
     """Pairs (u, v) to compare in groups that hold several components."""
-    named = members.join(comp, "sig").select("key", "sig", "size", "comp")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("key")
+    named = _streamed(members.select("key", "sig", "size").join(comp, "sig").select("key", "sig", "size", "comp"), "comp", num, den)
+    named = written(named.select("key", "sig", "size", "comp"), "ngram-mixed")
+    count = named.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    big = count.filter(F.col("k") > TILE)
+    small = named.join(count.filter(F.col("k") <= TILE).select("key"), "key").select("key", F.lit(-1).alias("low"), F.lit(0).alias("i"), F.lit(0).alias("j"), "sig", "size", "comp", F.lit(-1).alias("band"), F.lit(0).alias("salt"))
+    # groups of more than one tile: neighbouring size bands, and in them pairs of hashed shares
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    named = named.join(mixed, "key").withColumn("band", band)
-    cells = named.select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
-    count = cells.groupBy("key", "low").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b")
-    cells = cells.join(count.select("key", "low", F.ceil(F.col("k") / TILE).cast("int").alias("t")), ["key", "low"])
+    cells = named.join(big.select("key"), "key").withColumn("band", band).select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
+    share = cells.groupBy("key", "low").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b")
+    cells = cells.join(share.select("key", "low", F.ceil(F.col("k") / TILE).cast("int").alias("t")), ["key", "low"])
     salt = F.pmod(F.xxhash64("sig"), F.col("t")).cast("int")
     cells = cells.withColumn("salt", salt).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    cells = cells.select("key", "low", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "sig", "size", "comp", "band", "salt")
+    cells = cells.select("key", "low", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "sig", "size", "comp", "band", "salt").unionByName(small)
     used = cells.select("sig").distinct()
     cells = cells.join(_bitmaps(texts.join(used, "sig"), n), "sig")
 
@@ -250,19 +274,20 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     hot = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     described = written(_describe(rows, n, hot, num, den), "ngram-sets")
     some = described.filter(F.col("size") > 0)
-    members = written(_members(some.select(F.explode("prefix").alias("key"), "sig", "size")), "ngram-members")
+    members = written(_streamed(some.select(F.explode("prefix").alias("key"), "sig", "size"), "sig", num, den), "ngram-members")
     classes = some.groupBy("sig").agg(F.min("doc_id").alias("first"))
     asked = members.select("sig").distinct()
     texts = written(rows.join(classes.join(asked, "sig").select("sig", F.col("first").alias("doc_id")), "doc_id").groupBy("sig").agg(F.first("text").alias("text")), "ngram-texts")
-    star = members.filter(F.col("sig") != F.col("rep")).select(F.col("sig").alias("v"), F.col("rep").alias("u"), "size").distinct()
-    reps = members.filter(F.col("sig") == F.col("rep")).select(F.col("sig").alias("u"), F.col("size").alias("rep_size")).distinct()
-    star = star.join(reps, "u").filter((F.least("size", "rep_size") * den >= F.greatest("size", "rep_size") * num)).select("u", "v")
+    star = members.filter(F.col("sig") != F.col("rep")).select(F.least("sig", "rep").alias("u"), F.greatest("sig", "rep").alias("v")).distinct()
     edges = written(_verified(star, texts, n, num, den), "ngram-links")
+    nodes = asked.withColumnRenamed("sig", "node")
+    linked = lambda: connected_components(nodes, edges, "node").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    comp = written(linked(), "ngram-comp")
     for best in (True, False):
-        comp = written(connected_components(asked.withColumnRenamed("sig", "node"), edges, "node").select(F.col("node").alias("sig"), F.col("component").alias("comp")), "ngram-comp")
         more = written(_verified(_tiles(members, comp, texts, n, best, num, den), texts, n, num, den), "ngram-links")
-        edges = edges.unionByName(more)
-    comp = connected_components(asked.withColumnRenamed("sig", "node"), edges, "node").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+        if more.count():
+            edges = edges.unionByName(more)
+            comp = written(linked(), "ngram-comp")
     named = classes.join(comp, "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = named.join(lowest, "comp").select("sig", "component_id")
