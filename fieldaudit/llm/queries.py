@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, ngram_join, packing, quality, token_files, toxicity, warc
+from . import chat, decontaminate, fingerprints, html_text, ngram_join, packing, quality, token_files, toxicity, warc
 from ..session import ship
 from .common import shared_dir, table
 from .tokens import vocabulary
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,7 +77,7 @@ def _shipped(f):
     return query
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op7_chat, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op6_html_text, op7_chat, op8_warc, op9_toxicity, op10_packing)}
 
 
 def _escaped(text: str) -> str:
@@ -90,6 +94,13 @@ _BASE32 = " || ".join(
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.oracle_sql(),
+    # these pages hold their main text in one plain article element, so a pattern finds it
+    "op6_html_text": """
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS x FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h[1-6]|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+        c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM b),
+        d AS (SELECT page_id, url, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS text FROM c)
+        SELECT page_id, url, text, length(text) AS n_chars FROM d""",
     "op7_chat": f"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
