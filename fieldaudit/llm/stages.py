@@ -1,18 +1,55 @@
-"""Stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame``."""
+"""Stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame``; all but the last keep the columns of ``docs``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import packing
+from . import decontaminate, ngram_join, packing, quality, toxicity
+from .common import table
+from .labelled import with_score
 from .tokens import vocabulary
 
+#: The thresholds of the classifiers' own queries.
+GOOD, TOXIC = 0.3, 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    ship(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return with_score(docs, model.score, "text", "_score").filter(F.col("_score") >= GOOD).drop("_score")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model lets pass."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return with_score(docs, model.score, "text", "_score").filter(F.col("_score") < TOXIC).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class of near copies (five words, similarity 0.8 or more).
+
+    Rows that repeat an id stay as often as they occur; rows without an id stay.
+    """
+    ship(spark)
+    found = ngram_join.ngram_components(docs, n=5, num=80, den=100)
+    gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: pieces of cost-balanced sequences."""
+    """Pieces of cost-balanced sequences."""
     ship(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack_sequences)]

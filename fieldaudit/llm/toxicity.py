@@ -23,8 +23,10 @@ from .common import text_slices, written
 from .grams import PUNCTUATION, words
 from .labelled import remainder, training_rows, with_score
 
-BUCKETS, TERMS, FACTORS, STEMS = 1 << 20, 4096, 8, (4, 6)
-ROUNDS, EPOCHS, PARTITIONS, BATCH, RATE, DECAY, SEED = 6, 3, 4, 64, 0.1, 1e-5, 5
+BUCKETS, TERMS, FACTORS, STEMS = 1 << 20, 256, 8, (4, 6)
+ROUNDS, EPOCHS, PARTITIONS, BATCH, RATE, DECAY, SEED = 6, 6, 4, 64, 0.2, 1e-5, 5
+#: Weights start at this share of a term's log odds.
+START = 0.2
 #: Occurrences of the rarest terms that may enter.
 LEAST = 3
 
@@ -116,11 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, tar
     counts = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("k"))
     gap = F.col("a") * (n - toxic) - (F.col("k") - F.col("a")) * toxic
     chi = gap * gap / (F.col("k") * (n - F.col("k") + 1))
-    best = counts.filter(F.col("k") >= LEAST).select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    chosen = sorted(r["term"] for r in best)
+    best = counts.filter(F.col("k") >= LEAST).select("term", "a", "k", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    best.sort(key=lambda r: r["term"])
+    chosen = [r["term"] for r in best]
     place[chosen] = np.arange(len(chosen))
+    a, k = np.array([r["a"] for r in best]), np.array([r["k"] for r in best])
+    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((k - a + 0.5) / (n - toxic + 1))
     rng = np.random.default_rng(SEED)
-    model = Model(place, float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS)))
+    model = Model(place, float(np.log(share / (1 - share))), START * odds, rng.normal(0, 0.02, (len(chosen), FACTORS)))
 
     def shrink(batches):
         for batch in batches:
