@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GRID_STEP, XYZ, cross, distance, norm
-from ..session import cols
+from ..session import cols, join_same
 from .ordered import exact_percentiles
 
 
@@ -104,7 +104,7 @@ def step_outliers(vertices: DataFrame, factor: float = 5.0, by=("patch",)) -> Da
     by = list(by)
     steps = neighbour_steps(vertices, by)
     med = exact_percentiles(steps, "step", [0.5], keys=cols(by, "axis")).select(*by, "axis", F.col("p0").alias("_med"))
-    d = steps.join(med, cols(by, "axis"))
+    d = join_same(steps, med, cols(by, "axis"))
     return d.filter(F.col("step") > F.col("_med") * factor).withColumn("times", F.col("step") / F.col("_med")).drop("_med")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cols
+from ..session import cols, join_same
 
 def value_blocks(df: DataFrame, value: str, keys=(), name: str = "_block") -> DataFrame:
     """Add one of 1,000 block numbers, monotone in ``value``, cut at approximate quantiles of each key group.
@@ -111,7 +111,7 @@ def exact_percentiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
     ranked = running_total(value_blocks(counts, value, keys), F.col("_c"), [value], keys=keys, name="_upto")
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     if keys:
-        ranked = ranked.join(total, keys)
+        ranked = join_same(ranked, total, keys)
     else:
         ranked = ranked.crossJoin(F.broadcast(total))  # one row
     picks = []

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SEED, digest, uniform
-from ..session import cols
+from ..functions.hashing import SEED, digest, pick, uniform
+from ..session import cols, join_same
 
 
 def first_per_group(df: DataFrame, n: int | Column, by, order) -> DataFrame:
@@ -62,15 +62,11 @@ def preferred(df: DataFrame, flag: Column, order, n: int) -> DataFrame:
     return df.orderBy(flag.desc(), *order).limit(n)
 
 
-POISSON_TERMS = 80
+POISSON_TERMS, SHARE_MEAN = 120, 10
 
 
 def poisson_count(mean: Column, u: Column) -> Column:
-    """Poisson quantile of a uniform number, for means up to 20 (a longer series would add nothing).
-
-    Larger means are split by the caller: a Poisson count over an area is the sum of independent
-    counts over its parts.
-    """
+    """Poisson quantile of a uniform number, for means up to 40 (a longer series would add nothing)."""
     zero = F.struct(F.exp(-mean).alias("p"), F.lit(0.0).alias("c"), F.lit(0).alias("k"))
 
     def step(acc, i):
@@ -86,15 +82,19 @@ def poisson_count(mean: Column, u: Column) -> Column:
 def random_alarms(surface: DataFrame, density: Column | float, vertex_area: float, by, key, seed=SEED) -> DataFrame:
     """Random baseline: a Poisson number of vertices per part of a surface, without replacement.
 
-    ``by`` names the parts, for example (patch, block of rows); a part must expect at most 20 alarms.
-    ``density`` is per unit area and ``vertex_area`` the area one vertex stands for.  The alarms of a
-    part are its first k vertices in hash order; ``rank`` numbers them.
+    ``by`` names the parts, for example the patch, of any size.  ``density`` is per unit area and
+    ``vertex_area`` the area one vertex stands for.  A Poisson count over an area is the sum of
+    independent counts over its shares, so each part is dealt by hash into shares that expect
+    ``SHARE_MEAN`` alarms or a little more; the alarms of a share are its first k vertices in hash
+    order, numbered by ``rank``.
     """
     by, key = list(by), list(key)
     density = density if isinstance(density, Column) else F.lit(float(density))
-    sizes = surface.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    mean = density * F.col("_n") * F.lit(vertex_area)
-    wanted = sizes.withColumn("_k", poisson_count(mean, uniform(seed, *[F.col(c) for c in by])))
-    mixed = digest(f"{seed}.vertex", *[F.col(c) for c in cols(by, key)])
-    ranked = first_per_group(surface, POISSON_TERMS + 1, by, [mixed, *key])
-    return ranked.join(wanted, by).filter(F.col("rank") <= F.col("_k")).drop("_n", "_k")
+    sizes = surface.groupBy(*by).agg((density * F.count(F.lit(1)) * F.lit(vertex_area)).alias("_mean"))
+    shares = sizes.select(*by, F.greatest(F.ceil(F.col("_mean") / SHARE_MEAN), F.lit(1)).cast("long").alias("_shares"))
+    own = [F.col(c) for c in cols(by, key)]
+    dealt = join_same(surface, shares, by).withColumn("_share", pick(F.col("_shares"), f"{seed}.share", *own)).drop("_shares")
+    count = dealt.groupBy(*by, "_share").agg((density * F.count(F.lit(1)) * F.lit(vertex_area)).alias("_mean"))
+    wanted = count.select(*by, "_share", poisson_count(F.col("_mean"), uniform(seed, *[F.col(c) for c in by], F.col("_share"))).alias("_k"))
+    ranked = first_per_group(dealt, POISSON_TERMS + 1, [*by, "_share"], [digest(f"{seed}.vertex", *own), *key])
+    return join_same(ranked, wanted, [*by, "_share"]).filter(F.col("rank") <= F.col("_k")).drop("_share", "_k")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, distance
-from ..session import cols
+from ..session import cols, join_same
 from .ordered import previous_row
 
 
@@ -122,7 +122,7 @@ def run_acceptance(rows: DataFrame, keys, order: str, on_layer: str, min_decided
         F.count(F.lit(1)).alias("n"), F.count(flag).alias("decided"), F.count_if(flag).alias("on")
     )
     off = longest_streak(rows, keys, order, ~flag).withColumnRenamed("longest", "off_streak")
-    d = agg.join(off, list(keys))
+    d = join_same(agg, off, keys)
     undecided = (F.col("decided") < min_decided * F.col("n")) | (F.col("decided") == 0)
     frac = F.col("on") / F.nullif(F.col("decided").cast("double"), F.lit(0.0))
     return d.withColumn("fraction_on", frac).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED
 from ..functions.stats import ratio
-from ..session import cols
+from ..session import cols, join_same
 from .bootstrap import DRAWS, draw_slots
 from .ordered import exact_percentiles, hashed_ordinal, running_total, value_blocks
 
@@ -71,7 +71,7 @@ def distribution(df: DataFrame, value: str, keys=()) -> DataFrame:
     q = exact_percentiles(finite, value, [0.1, 0.25, 0.5, 0.75, 0.9], keys)
     q = q.select(*keys, "n", *[F.col(f"p{i}").alias(a) for i, a in enumerate(["p10", "q1", "median", "q3", "p90"])])
     m = finite.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return q.join(m, keys) if keys else q.crossJoin(m)  # one row each without keys
+    return join_same(q, m, keys) if keys else q.crossJoin(m)  # one row each without keys
 
 
 def bin_counts(df: DataFrame, value: Column, edges, labels, keys=()) -> DataFrame:
@@ -132,7 +132,7 @@ def fisher_two_sided(table: DataFrame, a: str, a_n: str, b: str, b_n: str, keys=
     term, seen = logp(F.col("_x")), logp(F.col(a))
     p = F.least(F.lit(1.0), F.sum(F.when(term <= seen + 1e-7, F.exp(term))))
     tested = grid.groupBy(*cols(keys, a, a_n, b, b_n)).agg(p.alias("fisher_p"))
-    return table.join(tested, cols(keys, a, a_n, b, b_n), "left")
+    return join_same(table, tested, cols(keys, a, a_n, b, b_n), "left")
 
 
 def contingency(df: DataFrame, flag: Column, hit: Column, keys=()) -> DataFrame:
@@ -180,5 +180,5 @@ def independence(offsets: DataFrame, offset: str, keys, reach: float = 1.0, clos
     keys = list(keys)
     med = exact_percentiles(offsets, offset, [0.5], keys).selectExpr(*keys, "n", "p0 as median")
     share = offsets.groupBy(*keys).agg(F.avg((F.col(offset) <= close).cast("double")).alias("share"))
-    d = med.join(share, keys)
+    d = join_same(med, share, keys)
     return d.withColumn("dependent", (F.col("n") >= min_points) & ((F.col("median") < reach) | (F.col("share") >= 0.5)))

@@ -9,23 +9,22 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is only broadcast by hand after its row count was checked against this bound.
-BROADCAST_ROWS = 200_000
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     The cluster names it in ``spark.checkpoint.dir``.  A local session without that setting
-    gets a scratch folder; a cluster session without it is refused, because a folder on one
-    machine does not survive the loss of that machine.
+    gets one scratch folder of its own; a cluster session without it is refused, because a folder
+    on one machine does not survive the loss of that machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-fieldaudit-", dir="/tmp")
+    if not hasattr(sc, "_fieldaudit_scratch"):
+        sc._fieldaudit_scratch = tempfile.mkdtemp(prefix="spark-fieldaudit-", dir="/tmp")
+    return sc._fieldaudit_scratch
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,15 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``limit`` rows; otherwise leave the join to Spark.
-
-    The check reads at most ``limit + 1`` rows, so it costs no full count on a large table.
-    """
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
-
-
 def cols(*groups) -> list[str]:
     """Flatten column-name arguments (strings or sequences) into one list without repeats."""
     out: list[str] = []
@@ -82,3 +72,13 @@ def same(a: str, b: str, names) -> Column:
     for n in names:
         cond = cond & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
     return cond
+
+
+def join_same(left: DataFrame, right: DataFrame, names, how: str = "inner") -> DataFrame:
+    """Join on ``names`` where NULL equals NULL; the columns of ``left``, then the others of ``right``."""
+    names = list(names)
+    renamed = right.select(*[F.col(n).alias(f"_same_{n}") for n in names], *[c for c in right.columns if c not in names])
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"_same_{n}"))
+    return left.join(renamed, cond, how).drop(*[f"_same_{n}" for n in names])

@@ -201,17 +201,18 @@ def preferred_keys(t: Tables):
 @query(
     "random_baseline",
     with_views(
-        f"""SELECT v.patch, v.row, v.col FROM (SELECT *, row // 5 AS part, row_number() OVER (PARTITION BY patch, row // 5 ORDER BY md5('{SEED}.vertex|' || patch || '|' || (row // 5) || '|' || row || '|' || col), row, col) AS k FROM grid) v
-        JOIN cdf c ON c.patch = v.patch AND c.part = v.part WHERE v.k <= c.k""", "grid",
+        f"""SELECT v.patch, v.row, v.col FROM (SELECT *, row_number() OVER (PARTITION BY patch, share ORDER BY md5('{SEED}.vertex|' || patch || '|' || row || '|' || col), row, col) AS k FROM dealt) v
+        JOIN cdf c ON c.patch = v.patch AND c.share = v.share WHERE v.k <= c.k""", "grid",
         extra={
-            "sz": f"SELECT patch, row // 5 AS part, count(*) * 0.02::DOUBLE AS mean, ('0x' || substr(md5('{SEED}|' || patch || '|' || (row // 5)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM grid GROUP BY 1, 2",
-            "ps": "SELECT patch, part, mean, u, 0 AS i, exp(-mean) AS p, exp(-mean) AS c FROM sz UNION ALL SELECT patch, part, mean, u, i + 1, p * mean / (i + 1), c + p * mean / (i + 1) FROM ps WHERE i < 80",
-            "cdf": "SELECT patch, part, count(*) FILTER (u >= c) AS k FROM ps GROUP BY 1, 2",
+            "dealt": f"SELECT patch, row, col, ('0x' || substr(md5('{SEED}.share|' || patch || '|' || row || '|' || col), 1, 8))::BIGINT % s.n AS share FROM grid JOIN (SELECT patch, greatest(ceil(count(*) * 0.1::DOUBLE / 10), 1)::BIGINT AS n FROM grid GROUP BY 1) s USING (patch)",
+            "sz": f"SELECT patch, share, count(*) * 0.1::DOUBLE AS mean, ('0x' || substr(md5('{SEED}|' || patch || '|' || share), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM dealt GROUP BY 1, 2",
+            "ps": "SELECT patch, share, mean, u, 0 AS i, exp(-mean) AS p, exp(-mean) AS c FROM sz UNION ALL SELECT patch, share, mean, u, i + 1, p * mean / (i + 1), c + p * mean / (i + 1) FROM ps WHERE i < 120",
+            "cdf": "SELECT patch, share, count(*) FILTER (u >= c) AS k FROM ps GROUP BY 1, 2",
         }),
 )
 def random_baseline(t: Tables):
-    g = t.grid().selectExpr("patch", "row div 5 as part", "row", "col")
-    return smp.random_alarms(g, 0.02, 1.0, ["patch", "part"], ["row", "col"], SEED).select("patch", "row", "col")
+    """Whole patches as parts, each with some 300 expected alarms."""
+    return smp.random_alarms(t.grid().select("patch", "row", "col"), 0.1, 1.0, ["patch"], ["row", "col"], SEED).select("patch", "row", "col")
 
 
 @query(
