@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: Rows that one ordered block should hold, and the most blocks.
 BLOCK_ROWS, BLOCKS = 1000, 1024
 
@@ -14,12 +16,9 @@ BLOCK_ROWS, BLOCKS = 1000, 1024
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session.  Sessions without it are refused: a folder of one machine is lost
-    with the machine.
+    The setting is read from the session; local sessions without it get a scratch folder, others are refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
