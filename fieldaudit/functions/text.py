@@ -15,6 +15,7 @@ REVERSE_MARK = "reverse"
 PIXEL_SIZE = r"_(\d+(?:\.\d+)?)um_"
 MODEL_SIDE = r"ps(\d+)"
 MODEL_SIDE_PAIR = r"ps\d+_(\d+)_(\d+)"
+MODEL_SIDE_EMA = r"betti_ema_(\d+)_forward"
 MODEL_SCALE = r"scale(\d+)"
 SHORT_NAME = r"_2um$"
 
@@ -51,8 +52,13 @@ def lineage(name: Column, source: Column | None = None) -> Column:
 
 
 def lineage_stem(name: Column) -> Column:
-    """Growth stem of a name; the whole name where the pattern does not apply."""
-    return F.coalesce(_or_null(F.regexp_extract(name, LINEAGE_STEM, 1)), name)
+    """Growth stem of a name; where the pattern does not apply, the name up to its selection mark."""
+    return F.coalesce(_or_null(F.regexp_extract(name, LINEAGE_STEM, 1)), parent_stem(name))
+
+
+def same_lineage(a: Column, b: Column) -> Column:
+    """Do two surfaces stem from one growth?  Such relatives are left out where surfaces meet others."""
+    return lineage_stem(a) == lineage_stem(b)
 
 
 def parent_stem(name: Column) -> Column:
@@ -77,7 +83,8 @@ def model_footprint(name: Column) -> tuple[Column, Column]:
     one = F.regexp_extract_all(name, F.lit(MODEL_SIDE), F.lit(1))
     left = F.regexp_extract_all(name, F.lit(MODEL_SIDE_PAIR), F.lit(1))
     right = F.regexp_extract_all(name, F.lit(MODEL_SIDE_PAIR), F.lit(2))
-    sides = F.transform(F.concat(one, left, right), lambda v: v.cast("long"))
+    ema = F.regexp_extract_all(name, F.lit(MODEL_SIDE_EMA), F.lit(1))
+    sides = F.transform(F.concat(one, left, right, ema), lambda v: v.cast("long"))
     scale = _or_null(F.regexp_extract(name, MODEL_SCALE, 1)).cast("int")
     down = F.coalesce(F.pow(F.lit(2.0), scale), F.lit(1.0)).cast("long")
     return F.coalesce(F.array_max(sides), F.lit(0).cast("long")), down

@@ -8,6 +8,7 @@ position), packed into one number.  ``ADAPTERS`` is the registry; add a function
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -26,20 +27,24 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_directories(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """(patch, part, doc, file) from one directory per patch; parts follow the file name."""
+    """(patch, part, doc, file) from one directory per patch; ``part`` is the file's rank by name in it."""
     d = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     f = F.col("_metadata.file_path")
-    return d.select(
-        F.regexp_extract(f, r"([^/]+)/[^/]+$", 1).alias("patch"), F.pmod(F.xxhash64(F.col("_metadata.file_name")), F.lit(2**20)).alias("part"),
-        F.col("value").alias("doc"), F.col("_metadata.file_name").alias("file"))
+    d = d.select(F.regexp_extract(f, r"([^/]+)/[^/]+$", 1).alias("patch"), F.col("value").alias("doc"), F.col("_metadata.file_name").alias("file"), f.alias("path"))
+    rank = F.row_number().over(W.partitionBy("patch").orderBy("file", "path")) - 1
+    return d.select("patch", rank.cast("long").alias("part"), "doc", "file")
 
 
 def _parsed(docs: DataFrame, fields: str) -> DataFrame:
     return docs.select("patch", "part", F.from_json("doc", fields).alias("d"))
 
 
-def _ordinal(pos: Column) -> Column:
-    return (F.shiftleft(F.col("part").cast("long"), 32) + pos).alias("alarm_ord")
+#: Added to the part of side data, which follow all reports of a patch.
+SIDE_PART = 1 << 30
+
+
+def _ordinal(pos: Column, side: bool = False) -> Column:
+    return (F.shiftleft(F.col("part").cast("long") + (SIDE_PART if side else 0), 32) + pos).alias("alarm_ord")
 
 
 def _points(parsed: DataFrame, coords: Column) -> DataFrame:
@@ -47,9 +52,9 @@ def _points(parsed: DataFrame, coords: Column) -> DataFrame:
     return d.select("patch", _ordinal(F.col("pos")), *[F.col("c")[i].alias(a) for i, a in enumerate(XYZ)])
 
 
-def _cells(parsed: DataFrame, coords: Column, offset: int = 0) -> DataFrame:
+def _cells(parsed: DataFrame, coords: Column, side: bool = False) -> DataFrame:
     d = parsed.select("patch", "part", F.posexplode(coords).alias("pos", "c"))
-    return d.select("patch", _ordinal(F.col("pos") + offset), F.col("c")[0].alias("row"), F.col("c")[1].alias("col"))
+    return d.select("patch", _ordinal(F.col("pos"), side), F.col("c")[0].alias("row"), F.col("c")[1].alias("col"))
 
 
 def _verdict(docs: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def review_cues(docs: DataFrame, side: DataFrame | None = None):
     alarms = _cells(d.filter(emitted), F.filter(examples, lambda c: c.isNotNull()))
     if side is not None:
         s = _parsed(side, schema.SIDE)
-        alarms = alarms.unionByName(_cells(s, F.col("d.arrays.coherent_normal_step_cells"), offset=2**31))
+        alarms = alarms.unionByName(_cells(s, F.col("d.arrays.coherent_normal_step_cells"), side=True))
         alarms = alarms.groupBy("patch", "row", "col").agg(F.min("alarm_ord").alias("alarm_ord")).select("patch", "alarm_ord", "row", "col")
     return _verdict(docs), alarms
 

@@ -38,10 +38,17 @@ def parse_points(entries: DataFrame) -> DataFrame:
     return d.select("detector", "patch", F.col("alarm_ord").cast("long").alias("alarm_ord"), F.size("coords").alias("n"), "coords")
 
 
-def detect_format(points: DataFrame) -> DataFrame:
-    """(detector, format): grid if every point has two numbers, xyz if three or if there is no point; else mixed."""
-    return points.groupBy("detector").agg(
+def detect_format(points: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(detector, format): grid if every point has two numbers, xyz if three or if there is no point; else mixed.
+
+    With ``entries`` every detector of the input has a row, also one with empty lists only.
+    """
+    found = points.groupBy("detector").agg(
         F.when((F.min("n") == 2) & (F.max("n") == 2), "grid").when((F.min("n") == 3) & (F.max("n") == 3), "xyz").otherwise("mixed").alias("format"))
+    if entries is None:
+        return found
+    every = entries.groupBy("detector").agg(F.max("declared").alias("declared"))
+    return every.join(found, "detector", "left").select("detector", F.coalesce("declared", "format", F.lit("xyz")).alias("format"))
 
 
 def input_violations(entries: DataFrame, fmt: str, shapes: DataFrame | None = None) -> DataFrame:
@@ -79,18 +86,23 @@ def xyz_alarms(entries: DataFrame) -> Alarms:
     return Alarms(verdicts(entries), pts, entries.select("detector").distinct())
 
 
-def on_grid(points: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Grid alarms (detector, patch, alarm_ord, row, col) -> (alarms with coordinates, (detector, dropped_invalid))."""
+def on_grid(points: DataFrame, vertices: DataFrame, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Grid alarms (detector, patch, alarm_ord, row, col) -> (alarms with coordinates, (detector, dropped_invalid)).
+
+    Alarms of patches without vertices, or outside ``scored`` (patch), have no place to look up: they are left out
+    before the lookup and not counted as invalid.
+    """
     v = vertices.filter("valid").select("patch", "row", "col", *XYZ)
-    j = points.join(v, ["patch", "row", "col"], "left")
+    known = (vertices if scored is None else scored).select("patch").distinct()
+    j = points.join(known, "patch", "left_semi").join(v, ["patch", "row", "col"], "left")
     dropped = j.groupBy("detector").agg(F.count_if(F.col("x").isNull()).alias("dropped_invalid"))
     return j.filter("x is not null").select("detector", "patch", "alarm_ord", *XYZ), dropped
 
 
-def grid_alarms(entries: DataFrame, vertices: DataFrame) -> tuple[Alarms, DataFrame]:
+def grid_alarms(entries: DataFrame, vertices: DataFrame, scored: DataFrame | None = None) -> tuple[Alarms, DataFrame]:
     p = parse_points(entries)
     rc = p.select("detector", "patch", "alarm_ord", *[F.col("coords")[i].cast("double").cast("long").alias(a) for i, a in enumerate(("row", "col"))])
-    pts, dropped = on_grid(rc, vertices)
+    pts, dropped = on_grid(rc, vertices, scored)
     return Alarms(verdicts(entries), pts, entries.select("detector").distinct()), dropped
 
 
@@ -103,29 +115,39 @@ def mask_alarms(masks: DataFrame, mask_patches: DataFrame, vertices: DataFrame)
     return Alarms(mask_patches.distinct(), pts), dropped
 
 
-def load_alarms(spark: SparkSession, path: str, bench_vertices: DataFrame | None = None, fmt: str = "auto", detector=None) -> tuple[Alarms, DataFrame | None]:
-    """Read, check and convert alarm files; raises :class:`AlarmsError` on malformed input."""
+def load_alarms(spark: SparkSession, path: str, bench_vertices: DataFrame | None = None, fmt: str = "auto", detector=None, scored: DataFrame | None = None) -> tuple[Alarms, DataFrame | None]:
+    """Read, check and convert alarm files; raises :class:`AlarmsError` on malformed input.
+
+    Each detector has its own format: the one it declares, else the one its points show.
+    """
     entries = read_alarm_files(spark, path, detector)
-    declared = {r["declared"] for r in entries.select("declared").distinct().collect()} - {None}  # at most two values
+    declared = {r["declared"] for r in entries.select("declared").distinct().limit(3).collect()} - {None}
     if declared - {"xyz", "grid"}:
         raise AlarmsError(f"format must be xyz or grid, got {sorted(declared)}")
-    if fmt == "auto":
-        found = {r["format"] for r in detect_format(parse_points(entries)).select("format").distinct().collect()}
-        kinds = declared or found or {"xyz"}
-        if len(kinds) > 1 or "mixed" in kinds:
-            raise AlarmsError("alarms mix [x, y, z] and [row, col]; use one format per input")
-        fmt = kinds.pop()
-    elif declared and declared != {fmt}:
+    if fmt != "auto" and declared - {fmt}:
         raise AlarmsError(f"the input declares {sorted(declared)}, not {fmt}")
+    if fmt == "auto":
+        kind = detect_format(parse_points(entries), entries)
+    else:
+        kind = entries.select("detector").distinct().withColumn("format", F.lit(fmt))
+    kinds = {r["format"] for r in kind.select("format").distinct().collect()}  # at most three values
+    if "mixed" in kinds:
+        raise AlarmsError("alarms of one detector mix [x, y, z] and [row, col]")
     shapes = None
-    if fmt == "grid" and bench_vertices is not None:
+    if "grid" in kinds and bench_vertices is not None:
         shapes = bench_vertices.groupBy("patch").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    bad = input_violations(entries, fmt, shapes).limit(5).collect()
-    if bad:
-        raise AlarmsError("; ".join(f"{b['patch']}: {b['reason']}" for b in bad))
-    if fmt == "xyz":
+    parts = {k: entries.join(kind.filter(F.col("format") == k).select("detector"), "detector", "left_semi") for k in sorted(kinds)}
+    for k, part in parts.items():
+        bad = input_violations(part, k, shapes).limit(5).collect()
+        if bad:
+            raise AlarmsError("; ".join(f"{b['patch']}: {b['reason']}" for b in bad))
+    if "grid" not in parts:
         return xyz_alarms(entries), None
-    return grid_alarms(entries, bench_vertices)
+    grid, dropped = grid_alarms(parts["grid"], bench_vertices, scored)
+    if "xyz" not in parts:
+        return grid, dropped
+    xyz = xyz_alarms(parts["xyz"])
+    return Alarms(verdicts(entries), grid.alarms.unionByName(xyz.alarms), entries.select("detector").distinct()), dropped
 
 
 def from_table(points: DataFrame, verdict: DataFrame) -> Alarms:

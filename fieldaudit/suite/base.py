@@ -62,6 +62,14 @@ class Tables:
     def _load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def vectors(self) -> int:
+        """The number of embeddings, as their ids count them."""
+        return self.read("embeddings").agg(F.max("vec_id") + 1).first()[0]
+
+    def surfaces(self) -> int:
+        """The number of gridded surfaces that :meth:`grid` makes of the embeddings."""
+        return (self.vectors() - 1) // 50 + 1
+
     # ------------------------------------------------------------ events as points
     @cached_property
     def _pt(self) -> DataFrame:

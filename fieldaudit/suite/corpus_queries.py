@@ -82,18 +82,18 @@ def adapter_gated_steps(t: Tables):
 @query(
     "adapter_changed_edges",
     with_views(
-        f"""SELECT e.rp AS patch, {s6('g.x')} AS x, {s6('g.z')} AS z, count(*) AS n FROM (SELECT *, patch % 10 AS rp, event_id % 40 AS a, event_id % 37 AS b FROM pt WHERE kind = 'view') e
+        f"""SELECT e.rp AS patch, {s6('g.x')} AS x, {s6('g.z')} AS z, count(*) AS n FROM (SELECT *, patch % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS rp, event_id % 40 AS a, event_id % 37 AS b FROM pt WHERE kind = 'view') e
         JOIN grid g ON g.patch = e.rp AND g.row = floor(CASE WHEN e.event_id % 3 = 0 THEN e.x / 8 ELSE e.x / 9 END) AND g.col = floor(e.y / 12)
-        WHERE e.event_id % 3 < 2 AND EXISTS (SELECT 1 FROM pt c WHERE c.kind = 'click' AND c.patch % 10 = e.rp AND c.patch = e.patch
+        WHERE e.event_id % 3 < 2 AND EXISTS (SELECT 1 FROM pt c WHERE c.kind = 'click' AND c.patch % (SELECT max(vec_id) // 50 + 1 FROM embeddings) = e.rp AND c.patch = e.patch
           AND least(c.event_id % 37, c.event_id % 40) = least(a, b) AND greatest(c.event_id % 37, c.event_id % 40) = greatest(a, b)) GROUP BY 1, 2, 3""", "pt", "grid"),
 )
 def adapter_changed_edges(t: Tables):
     v = t.pt().filter("kind = 'view'")
     edges = v.selectExpr(
-        "cast(patch % 10 as bigint) as run_patch", "event_id as edge_ord", "cast(patch as string) as pcl_id", "event_id % 40 as from_point_id", "event_id % 37 as to_point_id",
-        "case event_id % 3 when 0 then patch % 10 else -1L end as P", "case event_id % 3 when 1 then patch % 10 else -2L end as R",
+        f"cast(patch % {t.surfaces()} as bigint) as run_patch", "event_id as edge_ord", "cast(patch as string) as pcl_id", "event_id % 40 as from_point_id", "event_id % 37 as to_point_id",
+        f"case event_id % 3 when 0 then patch % {t.surfaces()} else -1L end as P", f"case event_id % 3 when 1 then patch % {t.surfaces()} else -2L end as R",
         "array(x / 8, y / 12) as from_ij", "array(x / 9, y / 12) as to_ij")
-    after = t.pt().filter("kind = 'click'").selectExpr("cast(patch % 10 as bigint) as run_patch", "cast(patch as string) as rel_pcl_id", "event_id % 37 as from_point_id", "event_id % 40 as to_point_id")
+    after = t.pt().filter("kind = 'click'").selectExpr(f"cast(patch % {t.surfaces()} as bigint) as run_patch", "cast(patch as string) as rel_pcl_id", "event_id % 37 as from_point_id", "event_id % 40 as to_point_id")
     _, alarm = ad.changed_edges(edges, after, edges.select(F.col("run_patch").alias("patch")).distinct(), t.grid())
     return alarm.groupBy("patch", r6("x").alias("x"), r6("z").alias("z")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -148,10 +148,10 @@ def alarm_violations(t: Tables):
     return al.input_violations(e, "grid", shapes).select("patch", "reason")
 
 
-@query("alarm_source_grid", with_views(f"SELECT count(*) FILTER (x IS NULL) AS dropped, count(x) AS kept, {s6('sum(g.z)')} AS z FROM (SELECT patch % 10 AS p, event_id % 50 AS row, event_id % 64 AS col FROM pt WHERE kind = 'error') a LEFT JOIN grid g ON g.patch = a.p AND g.row = a.row AND g.col = a.col", "grid", "pt"))
+@query("alarm_source_grid", with_views(f"SELECT count(*) FILTER (x IS NULL AND p < (SELECT max(vec_id) // 50 + 1 FROM embeddings)) AS dropped, count(x) AS kept, {s6('sum(g.z)')} AS z FROM (SELECT patch % (SELECT max(vec_id) // 50 + 3 FROM embeddings) AS p, event_id % 50 AS row, event_id % 64 AS col FROM pt WHERE kind = 'error') a LEFT JOIN grid g ON g.patch = a.p AND g.row = a.row AND g.col = a.col", "grid", "pt"))
 def alarm_source_grid(t: Tables):
-    """Grid alarms on invalid vertices are dropped and counted."""
-    pts = t.pt().filter("kind = 'error'").selectExpr("'d' as detector", "patch % 10 as patch", "event_id as alarm_ord", "event_id % 50 as row", "event_id % 64 as col")
+    """Grid alarms on invalid vertices are dropped and counted; those of unknown patches are neither."""
+    pts = t.pt().filter("kind = 'error'").selectExpr("'d' as detector", f"patch % {t.surfaces() + 2} as patch", "event_id as alarm_ord", "event_id % 50 as row", "event_id % 64 as col")
     kept, dropped = al.on_grid(pts, t.grid())
     return dropped.select(F.col("dropped_invalid").alias("dropped")).crossJoin(kept.agg(F.count(F.lit(1)).alias("kept"), r6(F.sum("z")).alias("z")))  # single rows
 
@@ -187,12 +187,12 @@ def same_scores_across_formats(t: Tables):
 
 
 @query("off_surface", with_views(
-    """SELECT kind AS detector, count(*) AS alarms_off_surface FROM (SELECT *, patch % 10 AS p FROM pt WHERE kind IN ('error', 'click')) a
+    """SELECT kind AS detector, count(*) AS alarms_off_surface FROM (SELECT *, patch % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS p FROM pt WHERE kind IN ('error', 'click')) a
     WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.patch = a.p AND abs(g.x - a.x) <= 10 AND abs(g.y - a.y) <= 10 AND sqrt((g.x-a.x)*(g.x-a.x) + (g.y-a.y)*(g.y-a.y) + (g.z-(30*a.p+a.z/5))*(g.z-(30*a.p+a.z/5))) <= 10) GROUP BY 1""", "pt", "grid"))
 def q_off_surface(t: Tables):
     from ..plans.score import Benchmark
 
-    a = t.pt().filter("kind in ('error', 'click')").selectExpr("kind as detector", "patch % 10 as patch", "event_id as alarm_ord", "x", "y", "30 * (patch % 10) + z / 5 as z")
+    a = t.pt().filter("kind in ('error', 'click')").selectExpr("kind as detector", f"patch % {t.surfaces()} as patch", "event_id as alarm_ord", "x", "y", f"30 * (patch % {t.surfaces()}) + z / 5 as z")
     ev = a.selectExpr("alarm_ord as event_id", "patch", "'confirmed' as status")
     b = Benchmark(ev, a, ev.selectExpr("event_id as run_id", "patch", "status"), a, a, surface=t.grid().select("patch", "x", "y", "z"))
     return off_surface(b, a, 10.0)
@@ -354,12 +354,12 @@ def segment_points(t: Tables):
     return out.select("event_id", F.col("i").cast("long").alias("i"), r6("s.x").alias("x"), r6("s.y").alias("y"))
 
 
-@query("model_footprint", "SELECT p_partkey, greatest(p_size, 3 * p_size, 64)::BIGINT AS side, CASE WHEN p_partkey % 3 = 0 THEN (2 ** (p_partkey % 4))::BIGINT ELSE 1 END AS down FROM part")
+@query("model_footprint", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size ELSE greatest(p_size, 3 * p_size, 64) END::BIGINT AS side, CASE WHEN p_partkey % 3 = 0 THEN (2 ** (p_partkey % 4))::BIGINT ELSE 1 END AS down FROM part")
 def model_footprint(t: Tables):
     """Sides and downsampling written in file names."""
     from ..functions.text import model_footprint as footprint
 
-    d = t.read("part").selectExpr("p_partkey", "concat('pred_ps', p_size, '_', 3 * p_size, '_64', if(p_partkey % 3 = 0, concat('_scale', p_partkey % 4), '')) as name")
+    d = t.read("part").selectExpr("p_partkey", "concat(if(p_partkey % 5 = 0, concat('betti_ema_', p_size, '_forward'), concat('pred_ps', p_size, '_', 3 * p_size, '_64')), if(p_partkey % 3 = 0, concat('_scale', p_partkey % 4), '')) as name")
     side, down = footprint(F.col("name"))
     return d.select("p_partkey", side.alias("side"), down.alias("down"))
 
@@ -368,7 +368,7 @@ def model_footprint(t: Tables):
     "trilinear_lookup",
     with_views(
         f"""SELECT p.event_id, {s6('sum(CASE a.a WHEN 1 THEN fz ELSE 1 - fz END * CASE b.b WHEN 1 THEN fy ELSE 1 - fy END * CASE c.c WHEN 1 THEN fx ELSE 1 - fx END * greatest(0, least(255, floor(127.5 + 300 * e.embedding[((iz + a.a) * 4 + iy + b.b) * 4 + ix + c.c + 1]::DOUBLE))))')} AS value
-        FROM (SELECT event_id, event_id % 200 AS vec, (event_id % 3)::BIGINT AS iz, (event_id % 2)::BIGINT AS iy, ((event_id // 7) % 3)::BIGINT AS ix, (event_id % 10) / 10.0::DOUBLE AS fz, (event_id % 7) / 7.0::DOUBLE AS fy, (event_id % 9) / 9.0::DOUBLE AS fx FROM pt) p
+        FROM (SELECT event_id, event_id % (SELECT max(vec_id) + 1 FROM embeddings) AS vec, (event_id % 3)::BIGINT AS iz, (event_id % 2)::BIGINT AS iy, ((event_id // 7) % 3)::BIGINT AS ix, (event_id % 10) / 10.0::DOUBLE AS fz, (event_id % 7) / 7.0::DOUBLE AS fy, (event_id % 9) / 9.0::DOUBLE AS fx FROM pt) p
         JOIN embeddings e ON e.vec_id = p.vec, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c) GROUP BY 1""", "pt"),
 )
 def trilinear_lookup(t: Tables):
@@ -378,7 +378,7 @@ def trilinear_lookup(t: Tables):
     byte = "lpad(hex(cast(greatest(0, least(255, floor(127.5 + 300 * cast(v as double)))) as bigint)), 2, '0')"
     chunks = t.read("embeddings").selectExpr("vec_id as cz", "0L as cy", "0L as cx", f"unhex(concat_ws('', transform(embedding, v -> {byte}))) as bytes")
     pts = t.pt().selectExpr(
-        "event_id as point_id", "(event_id div 7) % 3 + (event_id % 9) / 9D as x", "event_id % 2 + (event_id % 7) / 7D as y", "(event_id % 200) * 4 + event_id % 3 + (event_id % 10) / 10D as z")
+        "event_id as point_id", "(event_id div 7) % 3 + (event_id % 9) / 9D as x", "event_id % 2 + (event_id % 7) / 7D as y", f"(event_id % {t.vectors()}) * 4 + event_id % 3 + (event_id % 10) / 10D as z")
     return sample_volume(pts, chunks, edge=4).select(F.col("point_id").alias("event_id"), r6("value").alias("value"))
 
 

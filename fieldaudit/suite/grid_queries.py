@@ -20,12 +20,12 @@ XYZ = list(G.XYZ)
     "grid_lookup",
     with_views(
         f"""SELECT q.patch, q.row, q.col, {s6('g.x')} AS x, {s6('g.z')} AS z, coalesce(g.valid, FALSE) AS valid
-        FROM (SELECT event_id % 10 AS patch, event_id % 53 AS row, event_id % 67 AS col FROM pt) q
+        FROM (SELECT event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS patch, event_id % 53 AS row, event_id % 67 AS col FROM pt) q
         LEFT JOIN grid g ON g.patch = q.patch AND g.row = q.row AND g.col = q.col""", "pt", "grid"),
 )
 def grid_lookup(t: Tables):
     """Grid alarms to coordinates; vertices outside the grid or invalid stay NULL and can be counted."""
-    q = t.pt().select((F.col("event_id") % 10).alias("patch"), (F.col("event_id") % 53).alias("row"), (F.col("event_id") % 67).alias("col"))
+    q = t.pt().select((F.col("event_id") % t.surfaces()).alias("patch"), (F.col("event_id") % 53).alias("row"), (F.col("event_id") % 67).alias("col"))
     out = gr.lookup(q, t.grid())
     return out.select("patch", "row", "col", r6("x").alias("x"), r6("z").alias("z"), F.col("x").isNotNull().alias("valid"))
 
@@ -452,11 +452,11 @@ def switches(t: Tables):
                 sqrt((p.x-g.x)*(p.x-g.x) + (p.y-g.y)*(p.y-g.y) + (p.z-g.z)*(p.z-g.z)) AS dist
               FROM pts p JOIN nrm g USING (patch) WHERE sqrt((p.x-g.x)*(p.x-g.x) + (p.y-g.y)*(p.y-g.y) + (p.z-g.z)*(p.z-g.z)) <= 16.5)) WHERE rk <= 4)
           WHERE nd <= 2.5 AND lat <= 14) WHERE k = 1""", "pt", "grid",
-        extra={**NORMALS, "pts": "SELECT event_id AS point_id, event_id % 10 AS patch, x * 2.5 AS x, y * 1.3 AS y, 30.0::DOUBLE * (event_id % 10) + (z - 50) / 5 AS z FROM pt WHERE kind = 'view'"}),
+        extra={**NORMALS, "pts": "SELECT event_id AS point_id, event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS patch, x * 2.5 AS x, y * 1.3 AS y, 30.0::DOUBLE * (event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings)) + (z - 50) / 5 AS z FROM pt WHERE kind = 'view'"}),
 )
 def attach(t: Tables):
     n, _ = _cloud(t)
-    pts = t.pt().filter("kind = 'view'").selectExpr("event_id as point_id", "event_id % 10 as patch", "x * 2.5D as x", "y * 1.3D as y", "30D * (event_id % 10) + (z - 50) / 5 as z")
+    pts = t.pt().filter("kind = 'view'").selectExpr("event_id as point_id", f"event_id % {t.surfaces()} as patch", "x * 2.5D as x", "y * 1.3D as y", f"30D * (event_id % {t.surfaces()}) + (z - 50) / 5 as z")
     return rounded(st.attach(pts, n), "nd")
 
 
@@ -486,12 +486,12 @@ def winding_mismatch(t: Tables):
 @query(
     "grid_edges_near_events",
     with_views(
-        f"""SELECT e.event_id, {s6('max(s.step)')} AS max_score, count(*) AS n FROM (SELECT event_id, event_id % 10 AS patch, x * 2.5 AS x, y * 1.3 AS y, 30.0::DOUBLE * (event_id % 10) + (z - 50) / 5 AS z
+        f"""SELECT e.event_id, {s6('max(s.step)')} AS max_score, count(*) AS n FROM (SELECT event_id, event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS patch, x * 2.5 AS x, y * 1.3 AS y, 30.0::DOUBLE * (event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings)) + (z - 50) / 5 AS z
           FROM ev WHERE status = 'confirmed') e JOIN steps s USING (patch)
         WHERE sqrt((e.x-s.x)*(e.x-s.x) + (e.y-s.y)*(e.y-s.y) + (e.z-s.z)*(e.z-s.z)) <= 30 GROUP BY 1""", "ev", "grid", extra=STEPS),
 )
 def grid_edges_near_events(t: Tables):
     """Largest edge score within a radius of every event (the ball maximum behind the miss classes)."""
-    ev = t.gt_event().filter("status = 'confirmed'").selectExpr("event_id", "event_id % 10 as patch", "x * 2.5D as x", "y * 1.3D as y", "30D * (event_id % 10) + (z - 50) / 5 as z")
+    ev = t.gt_event().filter("status = 'confirmed'").selectExpr("event_id", f"event_id % {t.surfaces()} as patch", "x * 2.5D as x", "y * 1.3D as y", f"30D * (event_id % {t.surfaces()}) + (z - 50) / 5 as z")
     p = pairs_within(ev, gr.neighbour_steps(t.grid()), 30.0, keys=["patch"])
     return p.groupBy("event_id").agg(r6(F.max("step")).alias("max_score"), F.count(F.lit(1)).alias("n"))

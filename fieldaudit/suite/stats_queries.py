@@ -358,7 +358,7 @@ def generation_scores(t: Tables):
     "name_parts",
     """SELECT c_custkey, CASE WHEN regexp_matches(nm, '^auto_grown_(\\d{17})_region_\\d+$') THEN regexp_extract(nm, '^auto_grown_(\\d{17})_region_\\d+$', 1) END AS batch,
     CASE WHEN regexp_matches(nm, '^auto_grown_(\\d{8})') THEN regexp_extract(nm, '^auto_grown_(\\d{8})', 1) ELSE 'legacy' END AS day, regexp_replace(nm, '_region_\\d+$', '') AS lineage,
-    split_part(nm, '_sel_', 1) AS parent, regexp_extract('v_' || (c_custkey % 9) || '.5um_x', '_(\\d+(?:\\.\\d+)?)um_', 1)::DOUBLE AS pixel
+    split_part(nm, '_sel_', 1) AS parent, CASE WHEN regexp_matches(nm, '^auto_grown_\\d+') THEN regexp_extract(nm, '^auto_grown_\\d+') ELSE split_part(nm, '_sel_', 1) END AS stem, regexp_extract('v_' || (c_custkey % 9) || '.5um_x', '_(\\d+(?:\\.\\d+)?)um_', 1)::DOUBLE AS pixel
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'w' || c_custkey || '_sel_2' ELSE 'auto_grown_2026' || lpad(((c_custkey % 12) + 1)::VARCHAR, 2, '0') || '15120000123_region_' || c_custkey END AS nm FROM customer)""",
 )
 def name_parts(t: Tables):
@@ -366,4 +366,4 @@ def name_parts(t: Tables):
         "c_custkey", """case when c_custkey % 4 = 0 then concat('w', c_custkey, '_sel_2') else concat('auto_grown_2026', lpad(cast(c_custkey % 12 + 1 as string), 2, '0'), '15120000123_region_', c_custkey) end as nm""")
     n = F.col("nm")
     vol = F.concat(F.lit("v_"), (F.col("c_custkey") % 9).cast("string"), F.lit(".5um_x"))
-    return d.select("c_custkey", T.batch_id(n).alias("batch"), T.batch_day(n).alias("day"), T.lineage(n).alias("lineage"), T.parent_stem(n).alias("parent"), T.pixel_size(vol).alias("pixel"))
+    return d.select("c_custkey", T.batch_id(n).alias("batch"), T.batch_day(n).alias("day"), T.lineage(n).alias("lineage"), T.parent_stem(n).alias("parent"), T.lineage_stem(n).alias("stem"), T.pixel_size(vol).alias("pixel"))
