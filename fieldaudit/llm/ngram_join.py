@@ -33,17 +33,20 @@ from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
 HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 1, 1 << 20
+#: Up to so many document ids are broadcast to fetch texts; more are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-grams of each text, one after the other, and their offsets."""
     grams, at = shingles(words(texts, SPACE), n)
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        grams[a:b].sort()
     new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return grams[new], np.append(0, np.cumsum(np.bincount(owner[new], minlength=len(at) - 1)))
+    new[1:] = grams[1:] != grams[:-1]
+    new[at[:-1][at[:-1] < len(grams)]] = True
+    kept = np.append(0, np.cumsum(new))
+    return grams[new], kept[at]
 
 
 def needed(a, b, num: int, den: int):
@@ -65,15 +68,32 @@ def _prefix(grams: np.ndarray, at: np.ndarray, hot: np.ndarray, num: int, den: i
     """The first n-grams of every set under the order (frequent, hash), and their numbers."""
     size = np.diff(at)
     many = np.where(size > 0, size - -(-num * size // den) + 1, 0)
-    if len(hot):
-        spot = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-        owner = np.repeat(np.arange(len(size)), size)
-        grams = grams[np.lexsort((grams, hot[spot] == grams, owner))]
-    return grams[_ranges(at, many)], many
-
-
-def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(doc_id, size, sig, prefix)`` of every row."""
+    out = grams[_ranges(at, many)]
+    if not len(hot):
+        return out, many
+    often = lambda g: hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+    ends = np.append(0, np.cumsum(many)).tolist()
+    touched = np.flatnonzero(np.diff(np.append(0, np.cumsum(often(out)))[ends]) > 0)
+    for i in touched.tolist():  # sets with a frequent n-gram among their first
+        own = grams[at[i] : at[i + 1]]
+        last = often(own)
+        out[ends[i] : ends[i + 1]] = np.concatenate([own[~last], own[last]])[: many[i]]
+    return out, many
+
+
+def _bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of at least ``BITS`` bits per element, a power of two."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        wide = 1 << max(6, int(BITS * (b - a) - 1).bit_length())
+        bits = np.zeros(wide, np.uint8)
+        bits[(grams[a:b] & np.uint64(wide - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int, maps: bool = True) -> DataFrame:
+    """``(doc_id, size, sig, prefix, bits)`` of every row."""
 
     def run(batches):
         for batch in text_slices(batches, 1, 2 << 20):
@@ -81,10 +101,10 @@ def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int) -> D
             first, many = _prefix(grams, at, hot, num, den)
             ends = np.append(0, np.cumsum(many)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(_signature(grams, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64)))],
-                ["doc_id", "size", "sig", "prefix"])
+                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(_signature(grams, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))), pa.array(_bitmaps(grams, at) if maps else [None] * len(batch), pa.binary())],
+                ["doc_id", "size", "sig", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, size int, sig long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, size int, sig long, prefix array<long>, bits binary")
 
 
 def partners(key: np.ndarray, size: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +157,38 @@ def _streamed(rows: DataFrame, comp: str, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "key long, sig long, size long, comp long, rep long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets reach the threshold, by exact intersection."""
+def may_reach(a: bytes, size_a: int, b: bytes, size_b: int, num: int, den: int) -> bool:
+    """Do the bitmaps of two sets leave room for the threshold?  The wider one folds onto the narrower."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    w = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(m.reshape(-1, w), axis=0) if len(m) > w else m for m in (x, y))
+    bound = min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
+    return bound >= needed(size_a, size_b, num, den)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose bitmaps allow the threshold."""
+
+    def run(batches):
+        for b in batches:
+            keep = [may_reach(*x, num, den) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: classes.select(F.col("sig").alias(c), F.col("bits").alias(f"_{c}b"), F.col("size").cast("long").alias(f"_{c}n"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "_ub", "_un", "_vb", "_vn").mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sets reach the threshold, by exact intersection of their texts' sets."""
+    pairs = written(pairs, "ngram-pairs")
+    asked = written(pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct().join(classes, "sig").select("sig", F.col("first").alias("doc_id")), "ngram-asked")
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked  # else the texts are shuffled
+
+    def own(batches):  # rows may repeat an id with another text
+        for batch in text_slices(batches, 1, 2 << 20):
+            yield batch.filter(pa.array(_signature(*sets(batch.column(1), n)) == np.asarray(batch.column(0))))
+
+    texts = written(rows.join(few, "doc_id").select("sig", "text").mapInArrow(own, "sig long, text string").dropDuplicates(["sig"]), "ngram-texts")
     a = texts.select(F.col("sig").alias("u"), F.col("text").alias("_a"))
     b = texts.select(F.col("sig").alias("v"), F.col("text").alias("_b"))
 
@@ -152,28 +202,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
                 keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
-
-    joined = pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b")
-    return joined.mapInArrow(run, "u long, v long")
-
-
-def _bitmaps(texts: DataFrame, n: int) -> DataFrame:
-    """``(sig, bits)``: a bitmap of at least ``BITS`` bits per element, a power of two."""
-
-    def run(batches):
-        for batch in text_slices(batches, 1, 2 << 20):
-            grams, at = sets(batch.column(1), n)
-            out = []
-            for i in range(len(batch)):
-                own = grams[at[i] : at[i + 1]]
-                wide = 1 << max(6, int(BITS * len(own) - 1).bit_length())
-                bits = np.zeros(wide, np.uint8)
-                bits[(own % np.uint64(wide)).astype(np.int64)] = 1
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("sig", "text").mapInArrow(run, "sig long, bits binary")
+    return written(pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long"), "ngram-links")
 
 
 def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossing: bool, best: bool, num: int, den: int):
@@ -205,6 +236,7 @@ def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossin
         out_v += sig[j[may]].tolist()
         out_bound += (bound[may] - needed(int(size[i]), size[j[may]], num, den)).tolist()
     u, v, gain = np.array(out_u, np.int64), np.array(out_v, np.int64), np.array(out_bound, np.int64)
+    found = len(u)
     if best and len(u):  # for each class and other component, the pair with the most room
         of = dict(zip(sig.tolist(), comp.tolist(), strict=True))
         keep: dict[tuple[int, int], int] = {}
@@ -213,11 +245,11 @@ def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossin
             keep[(int(v[k]), of[int(u[k])])] = k
         at = sorted(set(keep.values()))
         u, v = u[at], v[at]
-    return np.minimum(u, v), np.maximum(u, v)
+    return np.minimum(u, v), np.maximum(u, v), len(u) < found
 
 
-def _tiles(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, best: bool, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) to compare in groups that hold several components."""
+def _tiles(members: DataFrame, comp: DataFrame, classes: DataFrame, best: bool, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) to compare in groups that hold several components; rows with ``key`` alone name groups of which pairs were put off."""
     named = _streamed(members.select("key", "sig", "size").join(comp, "sig").select("key", "sig", "size", "comp"), "comp", num, den)
     named = written(named.select("key", "sig", "size", "comp"), "ngram-mixed")
     count = named.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
@@ -231,8 +263,7 @@ def _tiles(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, best:
     salt = F.pmod(F.xxhash64("sig"), F.col("t")).cast("int")
     cells = cells.withColumn("salt", salt).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     cells = cells.select("key", "low", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "sig", "size", "comp", "band", "salt").unionByName(small)
-    used = cells.select("sig").distinct()
-    cells = cells.join(_bitmaps(texts.join(used, "sig"), n), "sig")
+    cells = cells.join(classes.select("sig", "bits"), "sig")
 
     def run(batches):
         names = ["key", "low", "i", "j"]
@@ -251,17 +282,20 @@ def _tiles(members: DataFrame, comp: DataFrame, texts: DataFrame, n: int, best:
     def solve(t, cell, begins, ends):
         columns = [np.asarray(t.column(c), np.int64) for c in ("sig", "size", "comp", "band", "salt")]
         bits = t.column("bits")
-        us, vs = [], []
+        us, vs, off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for a, b in zip(begins, ends, strict=True):
             if b - a > 1:
-                u, v = tile_pairs(*(c[a:b] for c in columns), bits.slice(a, b - a).to_pylist(), int(cell[a, 1]), cell[a, 2] != cell[a, 3], best, num, den)
+                u, v, less = tile_pairs(*(c[a:b] for c in columns), bits.slice(a, b - a).to_pylist(), int(cell[a, 1]), cell[a, 2] != cell[a, 3], best, num, den)
                 us.append(u)
                 vs.append(v)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                if less:
+                    off.append(int(cell[a, 0]))
+        none = pa.nulls(len(off), pa.int64())
+        u, v = (pa.concat_arrays([pa.array(np.concatenate(x)), none]) for x in (us, vs))
+        yield pa.RecordBatch.from_arrays([u, v, pa.concat_arrays([pa.nulls(len(u) - len(off), pa.int64()), pa.array(off, pa.int64())])], ["u", "v", "key"])
 
     ordered = cells.repartition("key", "low", "i", "j").sortWithinPartitions("key", "low", "i", "j")
-    return ordered.select("key", "low", "i", "j", "sig", "size", "comp", "band", "salt", "bits").mapInArrow(run, "u long, v long").distinct()
+    return ordered.select("key", "low", "i", "j", "sig", "size", "comp", "band", "salt", "bits").mapInArrow(run, "u long, v long, key long").distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,25 +303,27 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # frequent n-grams: at most HOT_SHARE times the mean number of n-grams in a prefix, whatever the table's size
     total = rows.count()
-    plain = _describe(rows, n, np.zeros(0, np.uint64), num, den).select(F.explode("prefix").alias("key"))
+    plain = _describe(rows, n, np.zeros(0, np.uint64), num, den, maps=False).select(F.explode("prefix").alias("key"))
     often = plain.groupBy("key").count().filter(F.col("count") > max(2, total // HOT_SHARE)).select("key")
     hot = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     described = written(_describe(rows, n, hot, num, den), "ngram-sets")
     some = described.filter(F.col("size") > 0)
     members = written(_streamed(some.select(F.explode("prefix").alias("key"), "sig", "size"), "sig", num, den), "ngram-members")
-    classes = some.groupBy("sig").agg(F.min("doc_id").alias("first"))
-    asked = members.select("sig").distinct()
-    texts = written(rows.join(classes.join(asked, "sig").select("sig", F.col("first").alias("doc_id")), "doc_id").groupBy("sig").agg(F.first("text").alias("text")), "ngram-texts")
+    classes = some.groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min("bits").alias("bits"))
+    classes = written(classes, "ngram-classes")
     star = members.filter(F.col("sig") != F.col("rep")).select(F.least("sig", "rep").alias("u"), F.greatest("sig", "rep").alias("v")).distinct()
-    edges = written(_verified(star, texts, n, num, den), "ngram-links")
-    nodes = asked.withColumnRenamed("sig", "node")
+    edges = _verified(_possible(star, classes, num, den), rows, classes, n, num, den)
+    nodes = members.select(F.col("sig").alias("node")).distinct()
     linked = lambda: connected_components(nodes, edges, "node").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
     comp = written(linked(), "ngram-comp")
     for best in (True, False):
-        more = written(_verified(_tiles(members, comp, texts, n, best, num, den), texts, n, num, den), "ngram-links")
+        told = written(_tiles(members, comp, classes, best, num, den), "ngram-tiles")
+        more = _verified(told.filter(F.col("u").isNotNull()).select("u", "v"), rows, classes, n, num, den)
         if more.count():
             edges = edges.unionByName(more)
             comp = written(linked(), "ngram-comp")
+        if best:
+            members = members.join(told.filter(F.col("key").isNotNull()).select("key").distinct(), "key", "left_semi")
     named = classes.join(comp, "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = named.join(lowest, "comp").select("sig", "component_id")
