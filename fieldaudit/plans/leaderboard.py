@@ -37,6 +37,8 @@ def stratum_recall(frames: ScoreFrames, strata: DataFrame) -> DataFrame:
 def leaderboard(frames: ScoreFrames, intervals: bool = True, entry: DataFrame | None = None) -> DataFrame:
     """One ranked row per detector.  ``entry`` (detector, entry_ord, ...) adds manifest columns and fixes
     the order of ties; without it ties follow the detector name."""
+    if intervals and frames.settings["bootstrap"] > 0:
+        frames = frames.materialised()  # three uses of the patch scores
     board = frames.detector_score
     if intervals and frames.settings["bootstrap"] > 0:
         board = board.join(frames.intervals(), "detector", "left")

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import stats as S
 from ..functions.geometry import VOXEL_MM, XYZ
@@ -153,17 +154,31 @@ class ScoreFrames:
             "nearest_mm",
         )
 
+    def _draws(self, by) -> dict:
+        return dict(block="patch", by=by, series=["detector"], draws=self.settings["bootstrap"], seed=self.settings["seed"])
+
+    def recall_intervals(self, by=()) -> DataFrame:
+        """Block-bootstrap interval of recall per detector; false alarms are not computed for it."""
+        rows = self.patch_score.filter(F.col("events") > 0)
+        return bootstrap_ratio(rows, {"recall_boot": (F.col("hits"), F.col("events"))}, **self._draws(by))
+
+    def false_alarm_intervals(self, by=()) -> DataFrame:
+        """Block-bootstrap interval of false alarms per 100 mm, per detector."""
+        return bootstrap_ratio(self.patch_score, {"fa_boot": (F.col("false_alarms"), F.col("length"))}, scale=100.0, **self._draws(by))
+
     def intervals(self, by=()) -> DataFrame:
-        """Block-bootstrap intervals of recall and false alarms per 100 mm, per detector."""
-        st = self.settings
-        common = dict(block="patch", by=by, series=["detector"], draws=st["bootstrap"], seed=st["seed"])
-        recall = bootstrap_ratio(
-            self.patch_score.filter(F.col("events") > 0), {"recall_boot": (F.col("hits"), F.col("events"))}, **common
-        )
-        fa = bootstrap_ratio(
-            self.patch_score, {"fa_boot": (F.col("false_alarms"), F.col("length"))}, scale=100.0, **common
-        )
-        return recall.join(fa, [*by, "detector"], "full")
+        """Both intervals."""
+        return self.recall_intervals(by).join(self.false_alarm_intervals(by), [*by, "detector"], "full")
+
+    def materialised(self) -> "ScoreFrames":
+        """The same frames with the patch scores (a row per patch and detector) kept when they are first computed.
+
+        Nothing runs yet; lost parts are computed again from their lineage.
+        """
+        import dataclasses
+
+        kept = self.patch_score.persist(StorageLevel.MEMORY_AND_DISK)
+        return dataclasses.replace(self, patch_score=kept, detector_score=pool(kept))
 
 
 def patch_scores(bench: Benchmark, alarms: Alarms, r: float, dedup_r: float, cap: int | None = None, seed=SEED) -> DataFrame:

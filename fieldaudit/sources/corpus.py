@@ -113,9 +113,10 @@ def fingerprint(vertices: DataFrame) -> DataFrame:
     """One row ``sha``: content hash over all patches.
 
     Every grid row is hashed on its own, rows are combined per patch and patches in name order, so no task
-    ever concatenates a whole patch's vertices.
+    ever concatenates a whole patch's vertices.  Coordinates enter in millionths, as integers.
     """
-    cell = F.concat_ws(",", "col", F.when(F.col("valid"), F.concat_ws(",", *XYZ)).otherwise("-"))
+    whole = [F.round(F.col(a) * 1_000_000).cast("long").cast("string") for a in XYZ]
+    cell = F.concat_ws(",", "col", F.when(F.col("valid"), F.concat_ws(",", *whole)).otherwise("-"))
     row = vertices.groupBy("patch", "row").agg(F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))), lambda s: s.c)), 256).alias("h"))
     patch = row.groupBy("patch").agg(F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("row", "h"))), lambda s: F.concat_ws(":", s.row, s.h))), 256).alias("h"))
     # patches are combined through hash blocks, so the last step sees 4,096 rows at most

@@ -338,7 +338,7 @@ def boot_views(source: str, draws: int, block: str = "block") -> dict[str, str]:
             LEFT JOIN hit h ON h.event_id = e.event_id AND h.detector = d.detector WHERE e.status = 'confirmed' GROUP BY 1, 2""", 200)),
 )
 def boot_recall(t: Tables):
-    return rounded(score(t.benchmark(), t.alarms()).intervals().select("detector", "recall_boot_lo", "recall_boot_hi"), "recall_boot_lo", "recall_boot_hi")
+    return rounded(score(t.benchmark(), t.alarms()).recall_intervals().select("detector", "recall_boot_lo", "recall_boot_hi"), "recall_boot_lo", "recall_boot_hi")
 
 
 @query(
@@ -350,7 +350,7 @@ def boot_recall(t: Tables):
         extra=boot_views("SELECT patch AS block, detector AS series, false_alarms AS num, length AS den FROM patch_score", 200)),
 )
 def boot_fa(t: Tables):
-    return rounded(score(t.benchmark(), t.alarms()).intervals().select("detector", "fa_boot_lo", "fa_boot_hi"), "fa_boot_lo", "fa_boot_hi")
+    return rounded(score(t.benchmark(), t.alarms()).false_alarm_intervals().select("detector", "fa_boot_lo", "fa_boot_hi"), "fa_boot_lo", "fa_boot_hi")
 
 
 @query(
