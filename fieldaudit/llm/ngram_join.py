@@ -8,8 +8,8 @@
    with their first partner only, which joins groups of copies with one exact comparison per member.
 4. Where a group still holds several components, its classes go to size-banded tiles.  Hashed bitmaps bound the
    overlap of two sets from above (a bit set in one only is an element of one only); pairs of different
-   components that may reach the threshold are compared exactly, as sorted arrays.  First the best pair for each
-   class and component, then all that are left.
+   components that may reach the threshold are compared exactly, as sorted arrays.  First the best pair of each class
+   in a group, then all that are left.
 
 Groups are streamed or cut into tiles of at most about ``2 * TILE`` classes, so no task holds a hot group.  No pair that
 reaches the threshold is lost; n-grams are compared as 64-bit hashes.
@@ -32,9 +32,11 @@ from .common import text_slices, written
 from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
-HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 1, 1 << 20
+HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 4, 1 << 20
 #: Up to so many document ids are broadcast to fetch texts; more are joined.
 BROADCAST_ROWS = 1_000_000
+#: Pairs that a task remembers, so as not to tell them again.
+TOLD = 500_000
 
 
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +239,10 @@ def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossin
         out_bound += (bound[may] - needed(int(size[i]), size[j[may]], num, den)).tolist()
     u, v, gain = np.array(out_u, np.int64), np.array(out_v, np.int64), np.array(out_bound, np.int64)
     found = len(u)
-    if best and len(u):  # for each class and other component, the pair with the most room
-        of = dict(zip(sig.tolist(), comp.tolist(), strict=True))
-        keep: dict[tuple[int, int], int] = {}
-        for k in np.argsort(gain, kind="stable").tolist():
-            keep[(int(u[k]), of[int(v[k])])] = k
-            keep[(int(v[k]), of[int(u[k])])] = k
+    if best and len(u):  # for each class the pair with the most room
+        keep: dict[int, int] = {}
+        for k in np.lexsort((np.maximum(u, v), gain)).tolist():
+            keep[int(u[k])] = keep[int(v[k])] = k
         at = sorted(set(keep.values()))
         u, v = u[at], v[at]
     return np.minimum(u, v), np.maximum(u, v), len(u) < found
@@ -267,25 +267,30 @@ def _tiles(members: DataFrame, comp: DataFrame, classes: DataFrame, best: bool,
 
     def run(batches):
         names = ["key", "low", "i", "j"]
-        rest = None
+        rest, told = None, set()
         for batch in batches:
             t = pa.table(batch.columns, names=batch.schema.names)
             t = t if rest is None else pa.concat_tables([rest, t])
             cell = np.column_stack([np.asarray(t.column(c), np.int64) for c in names])
             cut = np.append(0, np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1)
-            yield from solve(t, cell, cut[:-1], cut[1:])
+            yield from solve(t, cell, cut[:-1], cut[1:], told)
             rest = t.slice(int(cut[-1]))
         if rest is not None and rest.num_rows:
             cell = np.column_stack([np.asarray(rest.column(c), np.int64) for c in names])
-            yield from solve(rest, cell, [0], [len(cell)])
+            yield from solve(rest, cell, [0], [len(cell)], told)
 
-    def solve(t, cell, begins, ends):
+    def solve(t, cell, begins, ends, told):
         columns = [np.asarray(t.column(c), np.int64) for c in ("sig", "size", "comp", "band", "salt")]
         bits = t.column("bits")
         us, vs, off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for a, b in zip(begins, ends, strict=True):
             if b - a > 1:
                 u, v, less = tile_pairs(*(c[a:b] for c in columns), bits.slice(a, b - a).to_pylist(), int(cell[a, 1]), cell[a, 2] != cell[a, 3], best, num, den)
+                if len(u):  # a pair that shares many n-grams is told once per task, as far as the memory of it reaches
+                    fresh = [k for k, pair in enumerate(zip(u.tolist(), v.tolist(), strict=True)) if pair not in told]
+                    u, v = u[fresh], v[fresh]
+                    if len(told) < TOLD:
+                        told.update(zip(u.tolist(), v.tolist(), strict=True))
                 us.append(u)
                 vs.append(v)
                 if less:
