@@ -27,6 +27,18 @@ def wilson_parts(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column,
     return p, lo, hi
 
 
+def smallest_k(n: Column, bar: float, z: float = Z95) -> Column:
+    """Smallest k of n whose Wilson lower bound exceeds ``bar``, in closed form; NULL if none does.
+
+    The lower bound L of k / n solves k / n - L = z * sqrt(L (1 - L) / n), so it exceeds the bar exactly
+    where k / n exceeds bar + z * sqrt(bar (1 - bar) / n).
+    """
+    if bar < 0:
+        return F.when(n > 0, F.lit(0).cast("long"))
+    k = F.floor(n * F.lit(float(bar)) + F.lit(z) * F.sqrt(n * F.lit(float(bar) * (1 - float(bar))))) + 1
+    return F.when((k <= n) & F.lit(bar < 1), k)
+
+
 def wilson(k: Column, n: Column, prefix: str = "wilson") -> list[Column]:
     """[recall, lo, hi] columns of the Wilson score interval; all NULL for n = 0."""
     p, lo, hi = wilson_parts(k, n)

@@ -162,14 +162,6 @@ def noise_floor(noise: DataFrame, step: str, rows: DataFrame, n: str, threshold:
     )  # q is one row
 
 
-def smallest_k_above(spark, bar: float, n: int) -> DataFrame:
-    """Smallest k of n whose Wilson lower bound exceeds ``bar`` (NULL if none does)."""
-    from ..functions.stats import wilson_parts
-
-    ks = spark.range(n + 1).select(F.col("id").alias("k"))
-    return ks.agg(F.min(F.when(wilson_parts(F.col("k"), F.lit(n))[1] > bar, F.col("k"))).alias("k"))
-
-
 def independence(offsets: DataFrame, offset: str, keys, reach: float = 1.0, close: float = 0.5, min_points: int = 50) -> DataFrame:
     """Does a trace copy a reference layer?  Per key: points on the layer, median offset, share within ``close``.
 

@@ -309,9 +309,7 @@ def wilson_needed(t: Tables):
     """Smallest k of n whose lower bound exceeds a bar, per group size found in the table."""
     d = t.read("supplier").join(F.broadcast(t.read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     a = d.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
-    ks = a.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
-    lo = S.wilson_parts(F.col("k"), F.col("n"))[1]
-    return ks.groupBy("n_name", "n").agg(F.min(F.when(lo > 0.3, F.col("k"))).alias("k"))
+    return a.select("n_name", "n", S.smallest_k(F.col("n"), 0.3).alias("k"))
 
 
 @query(
