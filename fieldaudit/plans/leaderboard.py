@@ -34,6 +34,13 @@ def stratum_recall(frames: ScoreFrames, strata: DataFrame) -> DataFrame:
     return rows.select("detector", "stratum", "hits", "events", *S.wilson(F.col("hits"), F.col("events")))
 
 
+def strata_by_key(centres: DataFrame, strata: DataFrame) -> DataFrame:
+    """(event_id, stratum) of events (event_id, patch, x, y, z) whose coordinate key is among ``strata`` (key, stratum)."""
+    key = T.coordinate_key(F.col("patch"), *[F.round(F.col(a), 1) for a in ("x", "y", "z")])
+    one = strata.groupBy("key").agg(F.min("stratum").alias("stratum"))
+    return centres.select("event_id", key.alias("key")).join(one, "key").select("event_id", "stratum")
+
+
 def leaderboard(frames: ScoreFrames, intervals: bool = True, entry: DataFrame | None = None) -> DataFrame:
     """One ranked row per detector.  ``entry`` (detector, entry_ord, ...) adds manifest columns and fixes
     the order of ties; without it ties follow the detector name."""

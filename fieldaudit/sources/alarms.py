@@ -7,11 +7,12 @@ therefore built before anything is exploded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, finite
 from ..plans.score import Alarms
+from ..schema import ENTRIES
 
 POINTS = "array<array<string>>"
 
@@ -20,13 +21,22 @@ class AlarmsError(ValueError):
     """The alarm input cannot be read as given."""
 
 
-def read_alarm_files(spark: SparkSession, paths, detector=None) -> DataFrame:
+def _place(path: Column) -> Column:
+    """A path without its scheme and doubled slashes, to compare given and recorded paths."""
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:", ""), "/+", "/")
+
+
+def read_alarm_files(spark: SparkSession, paths, detector=None, names: DataFrame | None = None) -> DataFrame:
     """(detector, declared, patch, points) from JSON objects ``{patch: [[...], ...] | null}``, plain or wrapped
-    as ``{"format", "detector", "alarms"}``.  The detector defaults to the file stem."""
-    text = spark.read.text(paths, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.json)?$", 1).alias("stem"))
-    top = text.select("stem", F.from_json("value", "map<string,string>").alias("m"))
+    as ``{"format", "detector", "alarms"}``.  The detector defaults to the file stem; ``names`` (detector, place)
+    gives it for each file, and a file may serve several detectors."""
+    path = F.col("_metadata.file_path")
+    text = spark.read.text(paths, wholetext=True).select("value", F.regexp_extract(path, r"([^/]+?)(\.json)?$", 1).alias("stem"), _place(path).alias("place"))
+    top = text.select("stem", "place", F.from_json("value", "map<string,string>").alias("m"))
     wrapped = F.coalesce(F.col("m")["alarms"].startswith("{"), F.lit(False))
     name = F.lit(detector) if detector is not None else F.coalesce(F.when(wrapped, F.col("m")["detector"]), F.col("stem"))
+    if names is not None:
+        top, name = top.join(names.withColumnRenamed("detector", "_name"), "place"), F.col("_name")
     body = F.when(wrapped, F.from_json(F.col("m")["alarms"], "map<string,string>")).otherwise(F.col("m"))
     return top.select(name.alias("detector"), F.when(wrapped, F.col("m")["format"]).alias("declared"), F.explode(body).alias("patch", "points"))
 
@@ -120,7 +130,11 @@ def load_alarms(spark: SparkSession, path: str, bench_vertices: DataFrame | None
 
     Each detector has its own format: the one it declares, else the one its points show.
     """
-    entries = read_alarm_files(spark, path, detector)
+    return convert_alarms(read_alarm_files(spark, path, detector), bench_vertices, fmt, scored)
+
+
+def convert_alarms(entries: DataFrame, bench_vertices: DataFrame | None = None, fmt: str = "auto", scored: DataFrame | None = None) -> tuple[Alarms, DataFrame | None]:
+    """Check the entries of alarm files and convert them, each detector by its own format."""
     declared = {r["declared"] for r in entries.select("declared").distinct().limit(3).collect()} - {None}
     if declared - {"xyz", "grid"}:
         raise AlarmsError(f"format must be xyz or grid, got {sorted(declared)}")
@@ -150,6 +164,20 @@ def load_alarms(spark: SparkSession, path: str, bench_vertices: DataFrame | None
     return Alarms(verdicts(entries), grid.alarms.unionByName(xyz.alarms), entries.select("detector").distinct()), dropped
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_ord, detector, alarms, tool, mode, notes) from a JSON list of board entries, in its order."""
+    rows = spark.read.schema(ENTRIES).option("multiLine", True).json(path)
+    order = rows.select(F.monotonically_increasing_id().alias("entry_ord"), F.col("name").alias("detector"), "alarms", "tool", "mode", "notes")
+    return order.fillna({"tool": "", "mode": "default", "notes": ""})
+
+
+def load_manifest(spark: SparkSession, manifest: DataFrame, bench_vertices: DataFrame | None = None, scored: DataFrame | None = None) -> tuple[Alarms, DataFrame | None]:
+    """The alarms of all entries in one plan; every entry has its own file and format."""
+    paths = sorted({r["alarms"] for r in manifest.select("alarms").distinct().collect()})  # one row per entry of the board
+    names = manifest.select("detector", _place(F.col("alarms")).alias("place"))
+    return convert_alarms(read_alarm_files(spark, paths, names=names), bench_vertices, scored=scored)
+
+
 def from_table(points: DataFrame, verdict: DataFrame) -> Alarms:
     """Alarms already in tables."""
     return Alarms(verdict, points)

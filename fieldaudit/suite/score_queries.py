@@ -73,6 +73,27 @@ def recall_by_stratum(t: Tables):
     return longs(rounded(out, *RATES), "hits", "events")
 
 
+@query(
+    "strata_by_key",
+    with_views(
+        f"""SELECT detector, stratum, count(h.event_id) AS hits, count(*) AS events, {sql_rates('count(h.event_id)', 'count(*)')}
+        FROM (SELECT c.event_id, s.stratum, d.detector FROM ckey c JOIN strata s USING (key) JOIN ev e USING (event_id) CROSS JOIN dets d WHERE e.status = 'confirmed') e
+        LEFT JOIN hit h USING (event_id, detector) GROUP BY detector, stratum""", "ev", "dets", "hit",
+        extra={
+            "ckey": "SELECT event_id, x, patch || '|' || printf('%.1f,%.1f,%.1f', round(x) / 2, round(y) / 2, z) AS key FROM ev",
+            "strata": "SELECT key, min(CASE WHEN x > 50 THEN 'abrupt' ELSE 'gradual' END) AS stratum FROM ckey WHERE event_id % 7 <> 0 GROUP BY 1",
+        }),
+)
+def strata_by_key(t: Tables):
+    """Recall by strata that name events by their coordinates; events without a key there are left out."""
+    from ..sources.corpus import build_strata
+
+    at = t.gt_event().selectExpr("event_id", "patch", "round(x) / 2 as x", "round(y) / 2 as y", "z", "x as raw")
+    known = build_strata(at.selectExpr("patch", "array(x, y, z) as xyz", "if(event_id % 7 = 0, null, raw > 50) as flag"), F.col("flag"))[0]
+    out = board.stratum_recall(score(t.benchmark(), t.alarms()), board.strata_by_key(at, known))
+    return longs(rounded(out, *RATES), "hits", "events")
+
+
 @query(
     "recall_where_verdict",
     with_views(

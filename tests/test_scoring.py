@@ -11,7 +11,7 @@ from fieldaudit.operators.dedup import greedy_dedup
 from fieldaudit.operators.spatial import matches_within, nearest
 from fieldaudit.plans.leaderboard import board_order, leaderboard
 from fieldaudit.plans.score import Alarms, resolve_settings, score
-from fieldaudit.sources.alarms import AlarmsError, load_alarms
+from fieldaudit.sources.alarms import AlarmsError, load_alarms, load_manifest, read_manifest
 from fieldaudit.sources.corpus import CorpusError, load_benchmark
 
 
@@ -88,6 +88,21 @@ def test_malformed_alarms_are_refused(spark, tmp_path, bad):
         load_alarms(spark, write(tmp_path, bad), fx.vertices(spark))
 
 
+def test_manifest_with_a_format_per_entry(spark, bench, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"pA": [[5, 11], [20, 30], [0, 79]], "unknown": [[1, 1]]}))
+    (tmp_path / "b.json").write_text(json.dumps({"pA": [[1220, 2000, 3100]]}))
+    (tmp_path / "c.json").write_text(json.dumps({"pA": []}))
+    entries = [{"name": n, "alarms": str(tmp_path / f), "tool": "t"} for n, f in (("grid", "a.json"), ("points", "b.json"), ("again", "b.json"), ("clean", "c.json"))]
+    (tmp_path / "entries.json").write_text(json.dumps(entries))
+    manifest = read_manifest(spark, str(tmp_path / "entries.json"))
+    alarms, dropped = load_manifest(spark, manifest, fx.vertices(spark))
+    assert [tuple(r) for r in dropped.collect()] == [("grid", 1)]
+    rows = leaderboard(score(bench, alarms, bootstrap=0), entry=manifest.select("entry_ord", "detector", "tool", "mode")).collect()
+    assert {(r["detector"], r["hits"], r["alarms"], r["mode"]) for r in rows} == {
+        ("points", 1, 1, "default"), ("again", 1, 1, "default"), ("grid", 1, 2, "default"), ("clean", 0, 0, "default")}
+    assert [r["detector"] for r in rows if r["detector"] in ("points", "again")] == ["points", "again"] and rows[-1]["detector"] == "clean"
+
+
 def test_dedup_keeps_0_and_2r(spark):
     a = fx.point_table(spark, [("d", "p", i, 10.0 * i, 0.0, 0.0) for i in range(3)])
     assert sorted(r["alarm_ord"] for r in greedy_dedup(a, 10.0).collect()) == [0, 2]
