@@ -5,12 +5,12 @@ cut.  A text is therefore cut into words, unknown words are encoded together in
 ids of a text are the joined ids of its words.  Texts with other white space than single spaces and single
 line ends go through the tokenizer whole, so the ids always equal those of one plain ``encode`` call.
 
-The cache is bounded (:data:`CACHE_WORDS`); the oldest half goes when it is full.
+The cache is bounded: two generations of about :data:`CACHE_WORDS` words each.  When the younger is full it becomes the
+older one, and words that are met again move on to the new generation, so frequent words stay.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import unicodedata
 
@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most words that one Python worker remembers.
-CACHE_WORDS = 700_000
+#: Words of a generation that one Python worker remembers.
+CACHE_WORDS = 200_000
 #: Longer words are encoded on their own and not remembered.
 LONG_WORD = 400
 #: Texts with any of these are encoded whole: two spaces or line ends in a row, other white space, white space at an end.
@@ -56,6 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         ids = self._plain(["a\nb", "a b"])
         self.keeps_space = ids[0] != ids[1]
@@ -80,9 +81,14 @@ class WordEncoder:
             if len(head) < len(w) and head and head[-1].isalnum():
                 tailed.append((w, head, w[len(head) :]))
                 if head not in self.words:
-                    heads[head] = None
+                    if head in self.older:
+                        self.words[head] = self.older[head]
+                    else:
+                        heads[head] = None
             else:
                 heads[w] = None
+        if len(self.marks) > CACHE_WORDS:
+            self.marks = {}
         unknown = list({t for _, _, t in tailed} - self.marks.keys())
         self.marks.update(zip(unknown, self._plain(unknown), strict=True))
         self._learn_whole(list(heads))
@@ -128,13 +134,18 @@ class WordEncoder:
         return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
 
     def _known(self, words: list[str]) -> list[bytes]:
-        known = self.words
-        new = [w for w in words if w not in known]
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                found = older.get(w)
+                if found is None:
+                    new.append(w)
+                else:
+                    known[w] = found
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                for w in list(itertools.islice(known, len(known) // 2)):
-                    del known[w]
-                new = [w for w in words if w not in known]
             self._learn(new)
         return [known[w] for w in words]
 
