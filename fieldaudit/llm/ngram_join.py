@@ -4,8 +4,8 @@
 2. Under one global order of n-grams, sets that reach the threshold share an n-gram among the first
    ``size - ceil(t * size) + 1`` of both.  The order puts frequent n-grams last (those in more than one of
    ``HOT_SHARE`` documents, counted over all documents), so common passages name few candidates.
-3. Of the classes that share such an n-gram, those with no partner of a fitting size go; the others are first compared
-   with their first partner only, which joins groups of copies with one exact comparison per member.
+3. Of the classes that share such an n-gram, those with no partner of a fitting size go, and groups whose pairs all meet
+   in another group.  The others are first compared with their first partner only, which joins groups of copies with one exact comparison per member.
 4. Where a group still holds several components, its classes go to size-banded tiles.  Hashed bitmaps bound the
    overlap of two sets from above (a bit set in one only is an element of one only); pairs of different
    components that may reach the threshold are compared exactly, as sorted arrays.  First the best pair of each class
@@ -159,6 +159,19 @@ def _streamed(rows: DataFrame, comp: str, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "key long, sig long, size long, comp long, rep long")
 
 
+def _thinned(members: DataFrame) -> DataFrame:
+    """``members`` without the groups whose pairs all meet in another group as well.
+
+    The main n-gram of a class is the one of its largest group.  Where all classes of a group have the same main
+    n-gram, and it is another one, they all stand in that group too.
+    """
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    sized = members.select("key", "sig").join(size, "key")
+    main = sized.groupBy("sig").agg(F.max(F.struct("k", "key")).alias("m")).select("sig", F.col("m.key").alias("main"))
+    spread = sized.select("key", "sig").join(main, "sig").groupBy("key").agg(F.min("main").alias("a"), F.max("main").alias("b"))
+    return members.join(spread.filter("a <> b or key = a").select("key"), "key", "left_semi")
+
+
 def may_reach(a: bytes, size_a: int, b: bytes, size_b: int, num: int, den: int) -> bool:
     """Do the bitmaps of two sets leave room for the threshold?  The wider one folds onto the narrower."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -313,7 +326,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     hot = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     described = written(_describe(rows, n, hot, num, den), "ngram-sets")
     some = described.filter(F.col("size") > 0)
-    members = written(_streamed(some.select(F.explode("prefix").alias("key"), "sig", "size"), "sig", num, den), "ngram-members")
+    shared = written(_streamed(some.select(F.explode("prefix").alias("key"), "sig", "size"), "sig", num, den), "ngram-shared")
+    members = written(_thinned(shared), "ngram-members")
     classes = some.groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min("bits").alias("bits"))
     classes = written(classes, "ngram-classes")
     star = members.filter(F.col("sig") != F.col("rep")).select(F.least("sig", "rep").alias("u"), F.greatest("sig", "rep").alias("v")).distinct()
