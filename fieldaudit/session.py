@@ -20,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if not hasattr(sc, "_fieldaudit_scratch"):
         sc._fieldaudit_scratch = tempfile.mkdtemp(prefix="spark-fieldaudit-", dir="/tmp")
