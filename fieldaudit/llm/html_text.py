@@ -331,7 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     weights, table = model()
 
     def run(batches):
-        for batch in text_slices(batches, 2, 2 << 20):
+        for batch in text_slices(batches, 2, 1 << 19):
             texts = main_texts(batch.column(2).to_pylist(), weights, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

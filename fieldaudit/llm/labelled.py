@@ -37,7 +37,7 @@ def with_score(docs: DataFrame, score, text_col: str, name: str = "score") -> Da
     at = kept.index(text_col)
 
     def add(batches):
-        for batch in text_slices(batches, at, 2 << 20):
+        for batch in text_slices(batches, at, 1 << 19):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*kept, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)

@@ -98,7 +98,7 @@ def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int, maps
     """``(doc_id, size, sig, prefix, bits)`` of every row."""
 
     def run(batches):
-        for batch in text_slices(batches, 1, 2 << 20):
+        for batch in text_slices(batches, 1, 1 << 19):
             grams, at = sets(batch.column(1), n)
             first, many = _prefix(grams, at, hot, num, den)
             ends = np.append(0, np.cumsum(many)).astype(np.int32)
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num
     few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked  # else the texts are shuffled
 
     def own(batches):  # rows may repeat an id with another text
-        for batch in text_slices(batches, 1, 2 << 20):
+        for batch in text_slices(batches, 1, 1 << 19):
             yield batch.filter(pa.array(_signature(*sets(batch.column(1), n)) == np.asarray(batch.column(0))))
 
     texts = written(rows.join(few, "doc_id").select("sig", "text").mapInArrow(own, "sig long, text string").dropDuplicates(["sig"]), "ngram-texts")
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num
     b = texts.select(F.col("sig").alias("v"), F.col("text").alias("_b"))
 
     def run(batches):
-        for batch in text_slices(text_slices(batches, 2, 2 << 20), 3, 2 << 20):
+        for batch in text_slices(text_slices(batches, 2, 1 << 19), 3, 1 << 19):
             x, xa = sets(batch.column(2), n)
             y, ya = sets(batch.column(3), n)
             keep = []

@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, tar
     from .common import text_slices, written
 
     def stats(batches):
-        for batch in text_slices(batches, 0, 2 << 20):
+        for batch in text_slices(batches, 0, 1 << 19):
             x = statistics(batch.column(0))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([flat, batch.column(1), batch.column(2)], ["x", "y", "part"])

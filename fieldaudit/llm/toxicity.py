@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, tar
     """Learn from labelled rows outside the held-out remainder."""
 
     def listed(batches):
-        for batch in text_slices(batches, 0, 2 << 20):
+        for batch in text_slices(batches, 0, 1 << 19):
             bucket, owner = _distinct(*terms(batch.column(0)), BUCKETS)
             at = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32))), batch.column(1)], ["terms", "y"])
