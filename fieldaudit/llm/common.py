@@ -53,7 +53,7 @@ def ordered_blocks(df: DataFrame, key: str, rows: int | None = None) -> tuple[Co
     return F.when(F.col(key).isNull(), F.lit(0)).otherwise(at), len(cuts) + 1
 
 
-def text_slices(batches, column: int, most_bytes: int = 4 << 20):
+def text_slices(batches, column: int, most_bytes: int = 5 << 20):
     """Record batches cut so that the texts of one piece stay near ``most_bytes``; rows and order are kept."""
     import numpy as np
     import pyarrow as pa

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words of a generation that one Python worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Longer words are encoded on their own and not remembered.
 LONG_WORD = 400
 #: Texts with any of these are encoded whole: two spaces or line ends in a row, other white space, white space at an end.
