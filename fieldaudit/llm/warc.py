@@ -7,6 +7,8 @@ so a task that runs again replaces its own files.
 
 Reader: gzip members and plain records are checked (inflation, version line, length, closing lines, payload digest).
 After a failed check it searches for the next member or version line, goes on there, and logs the bytes left out.
+Within a member it searches the inflated bytes, of a cut or corrupt one those that came out before the damage; such a gap
+has the member's own bounds, or those up to its last good record, and its reason names the inflated bytes.
 
 Null html is an empty payload.  Null page ids are always responses.  Rows that repeat id and payload are each written
 as the first of them is.  An empty table gives an empty archive; other columns are ignored.
@@ -29,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed after so many compressed bytes.
 FILE_BYTES, LEVEL, CHUNK = 16 << 20, 3, 1 << 16
 RECORDS = "path string, offset long, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-_MEMBER, _START = b"\x1f\x8b\x08", re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_MEMBER, _START, _LINE = b"\x1f\x8b\x08", re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n"), re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -143,36 +145,96 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
             "payload_bytes": size, "payload_digest": digest, "payload": None if kind == "revisit" else payload}, end + 4
 
 
+def _damaged(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """What comes out of a damaged member, up to ``most`` bytes, and where that ends: chunks first, single bytes in the last one."""
+    view, z, fed, out, size, step = memoryview(data), zlib.decompressobj(31), at, [], 0, CHUNK
+    while fed < len(data) and not z.eof and (most is None or size < most):
+        kept = z.copy() if step > 1 else None
+        try:
+            piece = z.decompress(view[fed : fed + step])
+        except zlib.error:
+            if step == 1:
+                break
+            z, step = kept, 1
+            continue
+        if step > 1 and most is not None and size + len(piece) >= most:
+            z, step = kept, 1
+            continue
+        out.append(piece)
+        size, fed = size + len(piece), min(fed + step, len(data))
+    return b"".join(out), fed
+
+
+def _within(inside: bytes) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+    """The records of inflated bytes that pass their checks, the gaps between them, and where the last record ends."""
+    found, gaps, pos, last = [], [], 0, 0
+    while pos < len(inside):
+        try:
+            r, pos = parse_record(inside, pos)
+            found.append(r)
+            last = pos
+        except ValueError as why:
+            m = _LINE.search(inside, pos + 1)
+            end = m.start() if m else len(inside)
+            if gaps and gaps[-1][1] == pos:
+                gaps[-1] = (gaps[-1][0], end, gaps[-1][2])
+            else:
+                gaps.append((pos, end, str(why)))
+            pos = end
+    return found, gaps, last
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """All records of a file that pass their checks, with offsets, and the gaps (start, end, reason) left out."""
-    records, gaps, at, view = [], [], 0, memoryview(data)
+    records, gaps, at, view, open_gap = [], [], 0, memoryview(data), False
+
+    def lost(end, why):
+        if open_gap and gaps[-1][1] == at:
+            gaps[-1] = (gaps[-1][0], end, gaps[-1][2])
+        else:
+            gaps.append((at, end, why))
+
     while at < len(data):
         try:
             if data[at : at + 3] == _MEMBER:
-                z, fed, out = zlib.decompressobj(31), at, []
-                while not z.eof:
-                    if fed >= len(data):
-                        raise ValueError("member is cut short")
-                    out.append(z.decompress(view[fed : fed + CHUNK]))
-                    fed = min(fed + CHUNK, len(data))
-                inside, end, pos, found = b"".join(out), fed - len(z.unused_data), 0, []
-                while pos < len(inside):
-                    r, pos = parse_record(inside, pos)
-                    found.append(r | {"offset": at})
-                records += found
-                at = end
+                z, fed, out, why = zlib.decompressobj(31), at, [], None
+                try:
+                    while not z.eof:
+                        if fed >= len(data):
+                            raise ValueError("member is cut short")
+                        out.append(z.decompress(view[fed : fed + CHUNK]))
+                        fed = min(fed + CHUNK, len(data))
+                    inside, end = b"".join(out), fed - len(z.unused_data)
+                except (ValueError, zlib.error) as e:
+                    why, inside = str(e), _damaged(data, at)[0]
+                found, left, last = _within(inside)
+                if why is not None:
+                    if not found:
+                        raise ValueError(why)
+                    # The bytes of its good records are settled, what follows them is searched.
+                    end, left = _damaged(data, at, last)[1], [g for g in left if g[0] < last]
+                elif left and not found:
+                    lost(end, left[0][2])
+                    at, open_gap = end, True
+                    continue
+                records += [r | {"offset": at} for r in found]
+                gaps += [(at, end, f"{reason} (bytes {a} to {b} of the inflated member)") for a, b, reason in left]
+                at, open_gap = end, False
+                if why is not None:
+                    m = _START.search(data, at)
+                    end = m.start() if m else len(data)
+                    if end > at:
+                        lost(end, why)
+                        at, open_gap = end, True
             else:
                 r, end = parse_record(data, at)
                 records.append(r | {"offset": at})
-                at = end
-        except (ValueError, zlib.error) as why:
+                at, open_gap = end, False
+        except ValueError as why:
             m = _START.search(data, at + 1)
             end = m.start() if m else len(data)
-            if gaps and gaps[-1][1] == at:
-                gaps[-1] = (gaps[-1][0], end, gaps[-1][2])
-            else:
-                gaps.append((at, end, str(why)))
-            at = end
+            lost(end, str(why))
+            at, open_gap = end, True
     return records, gaps
 
 

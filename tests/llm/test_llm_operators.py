@@ -343,6 +343,33 @@ def test_salvage_goes_on_after_damage():
     assert warc.salvage(wrong + one(2))[0][0]["record_id"] == "<urn:page:2>"
 
 
+def test_salvage_goes_on_within_a_member():
+    noise = lambda i: b"".join(hashlib.sha512(b"%d %d" % (i, j)).digest() for j in range(2000))
+    one = lambda i: warc.record(i, "u", noise(i), warc.base32_sha1(noise(i)), None)
+    ids = lambda records: [int(r["record_id"][10:-1]) for r in records]
+    wrong = one(2).replace(noise(2)[:9], b"x" * 9)
+    member, after = warc._member(one(1) + wrong + one(3) + one(4)), warc._member(one(5))
+    records, gaps = warc.salvage(member + after)
+    assert ids(records) == [1, 3, 4, 5] and {r["offset"] for r in records} == {0, len(member)}
+    assert gaps == [(0, len(member), f"payload digest differs (bytes {len(one(1))} to {len(one(1) + wrong)} of the inflated member)")]
+    short = one(2).replace(b"Content-Length: %d\r\n\r\nHTTP" % (len(one(2)) - one(2).index(b"HTTP") - 4), b"Content-Length: 7\r\n\r\nHTTP")
+    assert short != one(2) and ids(warc.salvage(warc._member(one(1) + short + one(3)))[0]) == [1, 3]
+
+    whole = warc._member(b"".join(map(one, range(5))))
+    cut = len(whole) * 7 // 10
+    records, gaps = warc.salvage(whole[:cut])
+    assert ids(records) == [0, 1, 2] and len(gaps) == 1 and 0 < gaps[0][0] < gaps[0][1] == cut
+    records, gaps = warc.salvage(whole[:cut] + after)
+    assert ids(records) == [0, 1, 2, 5] and gaps[-1][1] == cut
+    torn = whole[:-8] + b"\x00" * 8
+    records, gaps = warc.salvage(torn + after)
+    assert ids(records) == [0, 1, 2, 3, 4, 5] and gaps[-1][1] == len(torn)
+
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(b"".join(warc.record(i, "u", b"p%d" % i, warc.base32_sha1(b"p%d" % i), None) for i in range(9))) + stored.flush()
+    assert ids(warc.salvage(stored[:-8])[0]) == list(range(9))
+
+
 def test_words_and_shingles():
     t = pa.array(["A b\tc\x0bd", None, "", "é x", "  q  "])
     w = grams.words(t)
