@@ -110,7 +110,7 @@ def on_layer(t: Tables):
         FROM verdict_p GROUP BY ALL""", "profile", extra=SMALL_SQL),
 )
 def profile_sweep(t: Tables):
-    return P.sweep(controls(t), 1.0, SMALL)
+    return P.sweep(controls(t), 1.0)
 
 
 TABLE = {**SMALL_SQL, "tab": """SELECT *, adjacent - greatest(two_apart, same_sheet) AS margin, two_apart <= 0.05 AND same_sheet <= 0.05 AS qualifies FROM (
@@ -125,7 +125,7 @@ COLS = "sigma, end_zone, min_dark, q, mid_bias, " + ", ".join(f"{s6(c)} AS {c}"
 
 
 def _table(t: Tables):
-    return P.sweep_table(P.sweep(controls(t).filter("split = 'tune'"), 1.0, SMALL))
+    return P.sweep_table(P.sweep(controls(t).filter("split = 'tune'"), 1.0))
 
 
 @query("sweep_choice", with_views(f"SELECT {COLS} FROM tab ORDER BY {ORDER} LIMIT 1", "profile", extra=TABLE))
