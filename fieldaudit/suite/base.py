@@ -137,7 +137,7 @@ class Tables:
             run_lengths=self.run(),
             run_vertices=self.run_vertex().select("run_id", "patch", "x", "y", "z"),
             voxel_mm=1.0,
-            defaults={"match_mm": RADIUS, "fa_dedup_mm": DEDUP, "bootstrap": 200},
+            defaults={"match_mm": RADIUS, "fa_dedup_mm": DEDUP},
         )
 
     def alarms(self):

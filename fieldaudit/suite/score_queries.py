@@ -395,7 +395,7 @@ def boot_area(t: Tables):
     ).filter(F.col("area") > 0)
     out = bootstrap_ratio(
         rows, {"returned": (F.col("k1"), F.col("area")), "open": (F.col("k2"), F.col("area"))},
-        block="l_suppkey", draws=200, seed=SEED, scale=2.0,
+        block="l_suppkey", seed=SEED, scale=2.0,
     )
     return rounded(out, *out.columns)
 
@@ -452,7 +452,7 @@ def settings_hold(t: Tables):
     """
     cells = rob.settings_blocks(t.benchmark(), t.alarms(), caps=[0, 1, 3], radii=[10.0, 25.0, 50.0], seed=SEED)
     cells = cells.withColumn("subset", F.explode(F.array("subset", F.lit("pooled"))))
-    ci = rob.settings_intervals(cells, draws=200, seed=SEED, by=["subset"])
+    ci = rob.settings_intervals(cells, seed=SEED, by=["subset"])
     frozen = (F.col("cap") == 3) & (F.col("radius") == 25.0) & (F.col("detector") == "error") & (F.col("subset") == "pooled")
     out = rob.holds(ci, precision_lower=0.5519, bar=0.6, frozen=frozen)
     return rounded(out, "frozen_corrected")

@@ -50,7 +50,7 @@ def auroc(t: Tables):
         }),
 )
 def boot_auroc(t: Tables):
-    return rounded(st.bootstrap_auroc(t.scored_doc(), "n_chars", _toxic(), "source", draws=100, seed=SEED), "auroc", "lo", "hi")
+    return rounded(st.bootstrap_auroc(t.scored_doc(), "n_chars", _toxic(), "source", seed=SEED), "auroc", "lo", "hi")
 
 
 @query(

@@ -1,12 +1,14 @@
 """Queries that run their whole job, against SQL or counts of their own where the registered SQL covers a part of it."""
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
 from fieldaudit.operators import profile as P
+from fieldaudit.operators.bootstrap import DRAWS
 from fieldaudit.suite.base import SEED, s6, with_views
 from fieldaudit.suite.profile_queries import COLS, ORDER, TABLE, sql_rule
 from fieldaudit.suite.score_queries import CAP_SQL, GRID_HITS
@@ -61,5 +63,11 @@ def hold_sql(draws):
 
 def test_settings_hold_covers_subsets_and_caps(spark, con):
     fn = entry.queries()["settings_hold"]
-    assert compare(spark, con, "settings_hold", fn, hold_sql(200), SF) is None
+    assert compare(spark, con, "settings_hold", fn, hold_sql(DRAWS), SF) is None
     assert fn(spark, SF).first()["settings"] == 3 * 3 * 3 * 3  # detectors, caps, radii, subsets and pooled
+
+
+@pytest.mark.parametrize("name", ["boot_recall", "boot_fa", "boot_area", "boot_auroc", "board_diff"])
+def test_intervals_take_all_draws(spark, con, name):
+    sql = re.sub(r"range\([12]00\)", f"range({DRAWS})", entry.oracle_sql()[name])
+    assert f"range({DRAWS})" in sql and compare(spark, con, name, entry.queries()[name], sql, SF) is None
