@@ -261,7 +261,7 @@ def edge_cells(t: Tables):
     AND (q.z < z1 OR (q.z = z1 AND z1 = (SELECT max(z) FROM k))) GROUP BY 1""",
 )
 def interpolation(t: Tables):
-    knots = t.read("part").filter("p_size between 5 and 45 and p_size % 4 = 1").groupBy(F.col("p_size").cast("double").alias("z")).agg(F.avg("p_retailprice").alias("value"))
+    knots = t.read("part").groupBy(F.col("p_size").cast("double").alias("z")).agg(F.avg("p_retailprice").alias("value"))
     q = t.read("lineitem").select("l_quantity")
     out = gr.interpolate(q, "l_quantity", knots, "z", "value", segments_side=8.0)
     return rounded(out.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value")), "value")
@@ -292,7 +292,7 @@ def bbox_overlap(t: Tables):
 def local_cloud(t: Tables):
     """Reference points inside a padded box, without the patches that share the box's lineage."""
     g = t.grid()
-    boxes = bounding_boxes(g.filter("row < 10 and col < 10"), ["patch"]).withColumnRenamed("patch", "box")
+    boxes = bounding_boxes(g, ["patch"]).withColumnRenamed("patch", "box")
     near = cloud_near_boxes(boxes, g.select("patch", *XYZ), pad=16.0, side=200.0, box_id="box").filter("patch <> box")
     return near.groupBy("box").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("patch").alias("patches"))
 

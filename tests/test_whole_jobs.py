@@ -71,3 +71,13 @@ def test_settings_hold_covers_subsets_and_caps(spark, con):
 def test_intervals_take_all_draws(spark, con, name):
     sql = re.sub(r"range\([12]00\)", f"range({DRAWS})", entry.oracle_sql()[name])
     assert f"range({DRAWS})" in sql and compare(spark, con, name, entry.queries()[name], sql, SF) is None
+
+
+@pytest.mark.parametrize("name, cut, whole, sf", [
+    ("interpolation", " WHERE p_size BETWEEN 5 AND 45 AND p_size % 4 = 1", "", SF),
+    ("unknown_patches", "patch % 400", "patch", "/root/testdata/sf0.1"),
+    ("local_cloud", "WHERE row < 10 AND col < 10 ", "", SF),
+])
+def test_every_row_is_read(spark, name, cut, whole, sf):
+    sql = entry.oracle_sql()[name]
+    assert cut in sql and compare(spark, connect(sf), name, entry.queries()[name], sql.replace(cut, whole), sf) is None
