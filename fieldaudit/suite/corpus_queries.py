@@ -233,15 +233,20 @@ def event_centres(t: Tables):
         ) WHERE reason IS NOT NULL""", "grid"),
 )
 def geometry_violations(t: Tables):
-    """Stored corpus values against the grid: bad vertices, displaced centres (the fixture stores a wrong z)."""
+    """Stored corpus values against the grid: bad vertices, displaced centres (the fixture stores a wrong z), run lengths and
+    ends (every seventh row stores a length, every eleventh an end that is off by one)."""
     g = t.grid(valid_only=False)
     a = t.grid()
     ev = a.filter("v > 0.15").selectExpr(
         "patch * 100000 + row * 64 + col as event_id", "patch", "'confirmed' as status", "array(x + 10, y, z) as xyz",
         "array(named_struct('axis', 'row', 'rc_a', array(row, col), 'rc_b', array(row, col + 1), 'len_a_mm', 1D, 'len_b_mm', 1D)) as transitions")
-    runs = g.select("patch", "row").distinct().selectExpr(
+    span = F.array_sort(F.collect_list(F.when(F.col("valid") & F.col("col").between(10, 15), F.struct("col", "x", "y", "z"))))
+    steps = "transform(sequence(2, size(p)), i -> sqrt(pow(p[i - 1].x - p[i - 2].x, 2) + pow(p[i - 1].y - p[i - 2].y, 2) + pow(p[i - 1].z - p[i - 2].z, 2)))"
+    end = "transform(filter(p, q -> q.col = {c}), q -> array(q.x, q.y, q.z + {dz}))"
+    runs = g.groupBy("patch", "row").agg(span.alias("p")).selectExpr(
         "patch * 100 + row as run_id", "patch", "'confirmed' as status", "'row' as axis", "row as r0", "10L as c0", "row as r1", "15L as c1",
-        "cast(null as double) as len_mm", "cast(null as array<double>) as xyz0", "cast(null as array<double>) as xyz1")
+        f"if(size(p) < 2, 0D, aggregate({steps}, 0D, (a, s) -> a + s)) + if(row % 7 = 0, 1, 0) as len_mm",
+        f"get({end.format(c=10, dz='0')}, 0) as xyz0", f"get({end.format(c=15, dz='if(row % 11 = 0, 1, 0)')}, 0) as xyz1")
     return co.geometry_violations(ev, runs, g, 1.0)
 
 

@@ -81,3 +81,13 @@ def test_intervals_take_all_draws(spark, con, name):
 def test_every_row_is_read(spark, name, cut, whole, sf):
     sql = entry.oracle_sql()[name]
     assert cut in sql and compare(spark, connect(sf), name, entry.queries()[name], sql.replace(cut, whole), sf) is None
+
+
+def test_geometry_violations_report_lengths_and_ends(spark, con):
+    fn, sql = entry.queries()["geometry_violations"], entry.oracle_sql()["geometry_violations"]
+    tail = ") WHERE reason IS NOT NULL"
+    more = """ UNION ALL SELECT DISTINCT 'run', patch * 100 + row, 'length differs from the grid' FROM grid WHERE col BETWEEN 10 AND 15 AND row % 7 = 0
+      UNION ALL SELECT 'run', patch * 100 + row, 'end differs from the grid' FROM grid WHERE col = 15 AND row % 11 = 0"""
+    assert sql.count(tail) == 1
+    assert compare(spark, con, "geometry_violations", fn, sql.replace(tail, more + tail), SF) is None
+    assert {"length differs from the grid", "end differs from the grid"} <= {r["reason"] for r in fn(spark, SF).select("reason").distinct().collect()}
