@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html_text, ngram_join, packing, quality, token_files, toxicity, warc
+from . import align, chat, decontaminate, fingerprints, html_text, language, ngram_join, packing, quality, runs, token_files, toxicity, warc
 from ..session import ship
 from .common import shared_dir, table
 from .tokens import vocabulary
@@ -69,6 +69,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(table(spark, sf_dir, "documents"), prepare=runs.planted))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def _shipped(f):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -77,7 +91,7 @@ def _shipped(f):
     return query
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op6_html_text, op7_chat, op8_warc, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_decontaminate, op3_ngram_join, op4_token_files, op5_quality, op6_html_text, op7_chat, op8_warc, op9_toxicity, op10_packing, op11_align, op12_runs, op13_language)}
 
 
 def _escaped(text: str) -> str:
