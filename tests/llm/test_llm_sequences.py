@@ -137,9 +137,9 @@ def all_runs(words, least):
         edge = np.flatnonzero(same[1:] != same[:-1])
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             length = b - a + q
-            smaller = any(q % p == 0 and (w[a : a + length - p] == w[a + p : a + length]).all() for p in range(1, q))
-            if length >= max(least, 2 * q) and not smaller:
-                out.append((a, length, q))
+            if length < max(least, 2 * q) or any(q % p == 0 and (w[a : a + length - p] == w[a + p : a + length]).all() for p in range(1, q)):
+                continue
+            out.append((a, length, q))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
