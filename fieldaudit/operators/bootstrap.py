@@ -8,15 +8,22 @@ over the same blocks sees the same picks.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED, pick
-from ..session import cols
+from ..session import cols, ship
 from .ordered import hashed_ordinal
 
 DRAWS = 2000
 CHUNK = 4096
+#: Blocks of a set that are pooled as one matrix, and the tasks that share its draws.
+MATRIX_BLOCKS, DRAW_PARTS = 4096, 16
 
 
 def draw_slots(sizes: DataFrame, draws: int = DRAWS, seed=SEED, by=()) -> DataFrame:
@@ -39,6 +46,74 @@ def draw_slots(sizes: DataFrame, draws: int = DRAWS, seed=SEED, by=()) -> DataFr
     return slots.select(*by, "draw", pick(F.col("n"), seed, F.col("draw"), F.col("_slot")).alias("ordinal"))
 
 
+def _matrix_draws(packed: DataFrame, by, series, parts, draws: int, seed) -> DataFrame:
+    """Sums per (by, series, draw) of block sets small enough for one matrix; ``packed`` has a row (by, n, _blocks) per set.
+
+    A task takes a part of the draws: it counts how often each draw picks each block, once for all series, and
+    multiplies these counts with the blocks' values.  No row per draw and block is made.
+    """
+    ship(packed.sparkSession)
+    names, k = [*by, *series], len(by)
+    types = dict(packed.dtypes)
+    inner = packed.schema["_blocks"].dataType.elementType["_rows"].dataType.elementType
+    schema = ", ".join([*[f"{c} {types[c]}" for c in by], *[f"{c} {inner[c].dataType.simpleString()}" for c in series], "draw int", *[f"{c} double" for c in parts]])
+
+    def pool(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, part = (batch.column(k + i)[row].as_py() for i in range(2))
+                blocks = batch.column(k + 2).slice(row, 1).flatten()
+                rows = blocks.field("_rows")
+                at = np.repeat(np.asarray(blocks.field("ordinal")), np.asarray(pc.list_value_length(rows)))
+                flat = rows.flatten()
+                code = np.zeros(len(flat), np.int64)
+                for c in series:
+                    own = flat.field(c).dictionary_encode(null_encoding="encode")
+                    code = code * len(own.dictionary) + np.asarray(own.indices)
+                _, first, code = np.unique(code, return_index=True, return_inverse=True)
+                values = np.zeros((len(parts), n, len(first)))
+                for i, c in enumerate(parts):
+                    np.add.at(values[i], (at, code), np.nan_to_num(np.asarray(flat.field(c), np.float64)))
+                own = range(part, draws, DRAW_PARTS)
+                counts = np.zeros((len(own), n))
+                for i, d in enumerate(own):
+                    picks = [int(hashlib.md5(f"{seed}|{d}|{s}".encode()).hexdigest()[:8], 16) for s in range(n)]
+                    counts[i] = np.bincount(np.array(picks) % n, minlength=n)
+                m = len(own) * len(first)
+                columns = [pa.array([batch.column(i)[row].as_py()] * m, batch.schema.field(i).type) for i in range(k)]
+                columns += [flat.field(c).take(pa.array(np.tile(first, len(own)))) for c in series]
+                columns.append(pa.array(np.repeat(np.array(own, np.int32), len(first))))
+                columns += [pa.array((counts @ v).ravel()) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "draw", *parts])
+
+    spread = packed.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(DRAW_PARTS - 1))).alias("_part"), "_blocks")
+    return spread.repartition(DRAW_PARTS, *by, "_part").mapInArrow(pool, schema)
+
+
+def pooled_draws(blocks: DataFrame, parts: dict[str, Column], block: str, by=(), series=(), draws: int = DRAWS, seed=SEED, plan: DataFrame | None = None) -> DataFrame:
+    """``(by, series, draw, parts)``: the sums of every part over the blocks that a draw picks.
+
+    Block sets of up to ``MATRIX_BLOCKS`` blocks are pooled as matrices, larger ones and those of an injected
+    ``plan`` by joining picks with blocks; both give the same picks.
+    """
+    by, series = list(by), list(series)
+    rows = blocks.groupBy(*cols(by, block, series)).agg(*[F.sum(c).cast("double").alias(a) for a, c in parts.items()])
+    packed = rows.groupBy(*cols(by, block)).agg(F.collect_list(F.struct(*series, *parts)).alias("_rows"))
+    numbered = hashed_ordinal(packed, block, by=by).select(*by, "ordinal", "_rows")
+    small = None
+    if plan is None:
+        sizes = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        few = sizes.filter(F.col("n") <= MATRIX_BLOCKS)
+        fit = numbered.join(few, by) if by else numbered.crossJoin(F.broadcast(few))  # one row
+        # at most MATRIX_BLOCKS blocks of a set meet in a row
+        fit = fit.groupBy(*by, "n").agg(F.collect_list(F.struct("ordinal", "_rows")).alias("_blocks"))
+        small = _matrix_draws(fit, by, series, list(parts), draws, seed)
+        plan = draw_slots(sizes.filter(F.col("n") > MATRIX_BLOCKS), draws, seed, by)
+    flat = plan.join(numbered, cols(by, "ordinal")).select(*by, "draw", F.inline("_rows"))
+    pooled = flat.groupBy(*cols(by, series, "draw")).agg(*[F.sum(a).alias(a) for a in parts])
+    return pooled if small is None else small.unionByName(pooled)
+
+
 def bootstrap_ratio(
     blocks: DataFrame,
     measures: dict[str, tuple[Column, Column]],
@@ -62,15 +137,7 @@ def bootstrap_ratio(
     parts = {}
     for m, (num, den) in measures.items():
         parts[f"{m}_num"], parts[f"{m}_den"] = num, den
-    rows = blocks.groupBy(*cols(by, block, series)).agg(*[F.sum(c).cast("double").alias(a) for a, c in parts.items()])
-    packed = rows.groupBy(*cols(by, block)).agg(F.collect_list(F.struct(*series, *parts)).alias("_rows"))
-    numbered = hashed_ordinal(packed, block, by=by)
-    if plan is None:
-        sizes = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        plan = draw_slots(sizes, draws, seed, by)
-    picked = plan.join(numbered.select(*by, "ordinal", "_rows"), cols(by, "ordinal"))
-    flat = picked.select(*by, "draw", F.inline("_rows"))
-    pooled = flat.groupBy(*cols(by, series, "draw")).agg(*[F.sum(a).alias(a) for a in parts])
+    pooled = pooled_draws(blocks, parts, block, by, series, draws, seed, plan)
     wanted = []
     for m in measures:
         value = F.lit(scale) * F.col(f"{m}_num") / F.nullif(F.col(f"{m}_den"), F.lit(0.0))
@@ -81,3 +148,30 @@ def bootstrap_ratio(
     for m in measures:
         out += [F.col(f"{m}_q")[0].alias(f"{m}_lo"), F.col(f"{m}_q")[1].alias(f"{m}_hi")]
     return ci.select(*cols(by, series), *out)
+
+
+def unmixed_intervals(
+    rows: DataFrame, flag: str, group: str, first, second, p_first: float, p_second: float, key: str, draws: int = DRAWS, seed=SEED, probs=(0.025, 0.975),
+) -> DataFrame:
+    """One row: the rates of ``flag`` in the two classes that both groups mix, with bootstrap intervals.
+
+    A group's rate is p * true + (1 - p) * false with its share p of the first class.  Every row is a block; both
+    groups are drawn on their own, and each draw solves its own pair of equations.  Rows without a flag or of another group are left out.
+    Intervals aren't cut to [0, 1].
+    """
+    from ..functions.stats import unmix
+
+    known = rows.filter(F.col(flag).isNotNull()).select(F.col(key).alias("_key"), F.col(group).alias("_group"), F.col(flag).cast("int").alias("_flag"))
+    solved, whole = None, None
+    for tag, value in (("a", first), ("b", second)):
+        part = known.filter(F.col("_group") == F.lit(value))
+        drawn = pooled_draws(part, {"k": F.col("_flag"), "n": F.lit(1)}, "_key", draws=draws, seed=f"{seed}.{tag}").select("draw", (F.col("k") / F.col("n")).alias(f"r_{tag}"))
+        total = part.agg(F.avg("_flag").alias(f"r_{tag}"), F.count(F.lit(1)).alias(f"n_{tag}"))
+        solved = drawn if solved is None else solved.join(drawn, "draw")
+        whole = total if whole is None else whole.crossJoin(total)  # one row each
+    both = lambda: unmix(F.col("r_a"), F.col("r_b"), F.lit(p_first), F.lit(p_second))
+    t, f = both()
+    ends = solved.select(t.alias("t"), f.alias("f")).agg(F.percentile("t", list(probs)).alias("t"), F.percentile("f", list(probs)).alias("f"))
+    return whole.crossJoin(ends).select(  # one row each
+        "n_a", "n_b", t.alias("true_rate"), f.alias("false_rate"), F.col("t")[0].alias("true_lo"), F.col("t")[1].alias("true_hi"),
+        F.col("f")[0].alias("false_lo"), F.col("f")[1].alias("false_hi"))

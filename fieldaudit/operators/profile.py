@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import SEED, uniform
+
 CONTRAST_MIN = 15.0  # fixed value: less contrast than this leaves a profile undecided
 TRUNCATE = 4.0       # fixed value: the kernel ends at four sigma
 MISSING_MAX = 0.1    # fixed value: more missing samples than this leave a profile undecided
@@ -187,9 +189,13 @@ def frontier(table: DataFrame, value: str, cost, ceilings=CEILINGS, ties=()) ->
     return best.select("ceiling", "b.*")
 
 
-def ladder_controls(points: DataFrame, coll: str = "coll", winding: str = "w") -> DataFrame:
+def ladder_controls(points: DataFrame, coll: str = "coll", winding: str = "w", seed=SEED) -> DataFrame:
     """Control segments from annotated ladders (coll, w, x, y, z): adjacent, same_sheet and two_apart rows
-    (kind, coll, w, length, t0, t1, s, x, y, z, dx, dy, dz).  Ladders are short sequences of one annotator."""
+    (kind, coll, w, length, t0, t1, s, x, y, z, dx, dy, dz, split).  Ladders are short sequences of one annotator.
+
+    The split into ``tune`` and ``test`` is one of whole ladders and depends on a ladder's own key alone (a hash with
+    the seed), so ladders that are added later move no other one.  About half of the ladders are on either side.
+    """
     from pyspark.sql import Window as W
 
     from ..functions.geometry import XYZ
@@ -206,7 +212,8 @@ def ladder_controls(points: DataFrame, coll: str = "coll", winding: str = "w") -
     same = one.selectExpr("'same_sheet' as kind", *head, "l1 as length", "-0.2D * l1 as t0", "0.2D * l1 as t1", "l1 as s", *unit)
     two = one.filter(f"{winding}2 - {winding} = 2 and l2 >= 1e-6").selectExpr(
         "'two_apart' as kind", *head, "l2 as length", "0D as t0", "l2 as t1", "least(l1, l12) as s", *[f"({a}2 - {a}) / l2 as d{a}" for a in XYZ])
-    return adj.unionByName(same).unionByName(two)
+    half = F.when(uniform(f"{seed}.split", F.col(coll)) < 0.5, "tune").otherwise("test")
+    return adj.unionByName(same).unionByName(two).withColumn("split", half)
 
 
 def sample_volume(points: DataFrame, chunks: DataFrame, edge: int = 128) -> DataFrame:

@@ -134,6 +134,31 @@ def matches_within(
     return settled.unionByName(hits).distinct()
 
 
+def ball_max(queries: DataFrame, targets: DataFrame, value: str, r: float, ids, keys=(), axes=XYZ) -> DataFrame:
+    """``(ids, value)``: the largest ``value`` of the targets within ``r`` of any point of the query; no row without one.
+
+    Boxes inside the ball count with their maximum.  A box that the sphere cuts is opened only if its maximum
+    is above what the boxes inside have given already.  NULL and NaN values don't count.
+    """
+    ids, keys = list(ids), list(keys)
+    side = 2.0 * r if r > 0 else 1.0
+    n = range(len(axes))
+    cells, fines = _cell_names(axes), [f"_f{i}" for i in n]
+    known = targets.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*cols(keys, axes), F.col(value).alias("_v"))
+    fine = [F.expr(f"{_fine(a, side)} as {f}") for a, f in zip(axes, fines)]
+    members = known.select(*keys, *fine, *[F.col(a).alias(f"_t{i}") for i, a in enumerate(axes)], "_v")
+    top = members.groupBy(*keys, *fines).agg(F.max("_v").alias("_top"))
+    boxes = _boxes(known, keys, side, axes).join(top, cols(keys, fines))
+    near, far = _box_bounds(axes)
+    cand = _cover(queries.select(*cols(ids, keys, axes)), r, side, axes).join(boxes, cols(keys, cells)).filter(_within(near, r, False))
+    cand = cand.selectExpr(*cols(ids, keys, axes, fines), "_top", f"{_within(far, r, False)} as _sure")
+    settled = cand.filter("_sure").groupBy(*ids).agg(F.max("_top").alias("_m"))
+    opened = cand.filter("not _sure").join(settled, ids, "left").filter("_m is null or _top > _m")
+    exact = _within(_distance(axes, [f"_t{i}" for i in n]), r, False)
+    found = opened.drop("_top", "_sure", "_m").join(members, cols(keys, fines)).filter(exact).groupBy(*ids).agg(F.max("_v").alias("_m"))
+    return settled.unionByName(found).groupBy(*ids).agg(F.max("_m").alias(value))
+
+
 def without_match(queries: DataFrame, targets: DataFrame, r: float, ids, keys=(), axes=XYZ) -> DataFrame:
     """Radius anti-join: query rows that have no target within ``r``."""
     near = matches_within(queries, targets, r, ids=ids, keys=keys, axes=axes)
@@ -254,8 +279,11 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, pad: float, side: float
     return lcell.join(rcell, [f"_c{i}" for i in n]).filter(cond & first).drop(*drop)
 
 
-def cloud_near_boxes(boxes: DataFrame, cloud: DataFrame, pad: float, side: float, box_id: str, axes=XYZ) -> DataFrame:
-    """Cloud points inside a padded box: one equi-join on cells plus the six comparisons."""
+def cloud_near_boxes(boxes: DataFrame, cloud: DataFrame, pad: float, side: float, box_id: str, axes=XYZ, lineage: str | None = None) -> DataFrame:
+    """Cloud points inside a padded box: one equi-join on cells plus the six comparisons.
+
+    ``lineage`` names a column of both sides; points of the box's own lineage never become candidates.
+    """
     cell = boxes
     for i, a in enumerate(axes):
         lo = F.floor((F.col(f"lo_{a}") - pad) / side).cast("long")
@@ -266,4 +294,7 @@ def cloud_near_boxes(boxes: DataFrame, cloud: DataFrame, pad: float, side: float
     for a in axes:
         inside = inside & F.col(a).between(F.col(f"lo_{a}") - pad, F.col(f"hi_{a}") + pad)
     drop = [f"_c{i}" for i in range(len(axes))] + [f"{e}_{a}" for e in ("lo", "hi") for a in axes]
-    return cell.join(pts, [f"_c{i}" for i in range(len(axes))]).filter(inside).drop(*drop)
+    if lineage:
+        pts = pts.withColumnRenamed(lineage, "_kin")
+        inside = inside & ~F.col(lineage).eqNullSafe(F.col("_kin"))
+    return cell.join(pts, [f"_c{i}" for i in range(len(axes))]).filter(inside).drop(*drop, "_kin")

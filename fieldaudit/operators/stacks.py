@@ -49,14 +49,15 @@ class Rules:
         )
 
 
-def line_crossings(probes: DataFrame, cloud: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def line_crossings(probes: DataFrame, cloud: DataFrame, rules: Rules = Rules(), lineage: str | None = None) -> DataFrame:
     """Where the line through a probe along its normal meets the tangent planes of reference vertices.
 
     A crossing lies within ``lateral`` of the line, so a probe is joined on the cells around its line only
     (balls around points every two lateral widths), a small part of the sphere of radius ``reach``.
 
     probes(patch, row, col, x, y, z, nx, ny, nz), cloud(p, r, c, x, y, z, nx, ny, nz).  Reference vertices
-    of the probe's own patch are left out.  Result: (patch, row, col, p, r, c, t, lat).
+    of the probe's own patch are left out, and with ``lineage``, a column of both sides, those of all patches of its
+    lineage; both are conditions of the join itself.  Result: (patch, row, col, p, r, c, t, lat).
     """
     h = 2.0 * rules.lateral
     ball = (rules.lateral**2 + (h / 2) ** 2) ** 0.5 * (1 + 1e-6) + 1e-6
@@ -76,16 +77,17 @@ def line_crossings(probes: DataFrame, cloud: DataFrame, rules: Rules = Rules())
         for i, d in enumerate(offsets) for a in XYZ for sign, name in (("-", "l"), ("+", "h"))
     ]
     corners = [cell(*[f"_{a}{i}{e}" for a, e in zip(XYZ, ends_of)]) for i in range(len(offsets)) for ends_of in product("lh", repeat=3)]
-    keep = ["patch", "row", "col", *XYZ, *NXYZ]
+    keep = ["patch", "row", "col", *XYZ, *NXYZ, *([lineage] if lineage else [])]
     # Every probe grows into some thirty rows and every row into several candidates, so both steps get all
     # shuffle partitions even where the probes alone are few; next to the grown rows this shuffle is small.
     wide = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = probes.repartition(wide, "patch", "row", "col").selectExpr(*keep, *ends).selectExpr(*keep, f"explode(array_distinct(array({', '.join(corners)}))) as _cell")
     left = left.repartition(wide, "_cell")
     right = cloud.selectExpr(
-        "p", "r", "c", *[f"{a} as r_{a}" for a in XYZ], *[f"{n} as r_{n}" for n in NXYZ], f"{cell(*[index(a) for a in XYZ])} as _cell"
+        "p", "r", "c", *[f"{a} as r_{a}" for a in XYZ], *[f"{n} as r_{n}" for n in NXYZ], f"{cell(*[index(a) for a in XYZ])} as _cell",
+        *([f"{lineage} as _kin"] if lineage else []),
     )
-    near = left.join(right, ["_cell"]).filter("p <> patch")
+    near = left.join(right, ["_cell"]).filter("p <> patch" + (f" AND NOT {lineage} <=> _kin" if lineage else ""))
     near = near.selectExpr("*", "nx * r_nx + ny * r_ny + nz * r_nz as cos").filter(f"abs(cos) >= {rules.cos_min}D")
     near = near.selectExpr("*", "((r_x - x) * r_nx + (r_y - y) * r_ny + (r_z - z) * r_nz) / cos as t")
     off = ["(x + t * nx - r_x)", "(y + t * ny - r_y)", "(z + t * nz - r_z)"]
@@ -283,13 +285,19 @@ class Labels:
         return self.segments.filter(Q.segment_ok(rules.negative_mm))
 
 
-def label_surfaces(vertices: DataFrame, cloud: DataFrame, rules: Rules = Rules()) -> Labels:
+def place(vertices: DataFrame, assigned: DataFrame, axis: str, rules: Rules = Rules()) -> DataFrame:
+    """The assigned stacks at their positions of the runs along one axis; ``arc`` in millimetres."""
+    runs = runs_with_positions(vertices, axis).withColumn("arc", F.col("arc") / voxels(1.0, rules.voxel_mm))
+    return runs.select("patch", "row", "col", "run", "pos", "arc").join(assigned, ["patch", "row", "col"])
+
+
+def label_surfaces(vertices: DataFrame, cloud: DataFrame, rules: Rules = Rules(), lineage: str | None = None) -> Labels:
     """Label every surface against a reference cloud: stacks, assignment, chains, segments, switches.
 
-    vertices(patch, row, col, x, y, z, nx, ny, nz) of valid vertices with a normal.
+    vertices(patch, row, col, x, y, z, nx, ny, nz) of valid vertices with a normal; ``lineage`` as in :func:`line_crossings`.
     """
     keys = ["patch", "row", "col"]
-    stack = merge_sheets(split_crossings(line_crossings(vertices, cloud, rules), rules), rules)
+    stack = merge_sheets(split_crossings(line_crossings(vertices, cloud, rules, lineage), rules), rules)
     asg = cut_lineage(assign(stack, rules))  # read by both axes, segments and switches
     mm = voxels(1.0, rules.voxel_mm)
     segs, dets = None, None

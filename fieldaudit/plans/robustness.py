@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.geometry import XYZ
-from ..functions.hashing import SEED
+from ..functions.hashing import SEED, digest
 from ..operators.bootstrap import DRAWS, bootstrap_ratio
 from ..operators.sampling import cap_per_group, first_per_group
 from ..operators.spatial import nearest
@@ -73,6 +73,53 @@ def holds(intervals: DataFrame, precision_lower: float, bar: float, frozen: Colu
     )
 
 
+def all_of(*conditions: Column | None) -> Column:
+    """Composed row filters: true where every given condition is; no condition is no filter."""
+    out = F.lit(True)
+    for c in conditions:
+        out = out if c is None else out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def batch_grid(
+    bench: Benchmark, alarms: Alarms, r: float, caps, batch: Column, precision_lower: float, bar: float, draws: int = DRAWS, seed=SEED, filters: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Recall per (detector, cap, batch), with its block bootstrap and the upper bound corrected for label precision.
+
+    ``batch`` is a column of the patch; ``filters`` are further named conditions on the event, none by default.  Every
+    (cap, filter) is a predicate of one conditional aggregate over the events, so the hits are found and counted once.
+    Batches are block sets of their own.  ``patches`` counts the batch's scored patches, with or without counted events.
+    """
+    confirmed = bench.events.filter(F.col("status") == CONFIRMED).withColumn("batch", batch)
+    filters = filters or {"all": None}
+    most = max([c for c in caps if c], default=0)
+    ranked = confirmed.withColumn("_rank", F.lit(None).cast("int"))
+    if most:
+        top = first_per_group(confirmed, most, ["patch"], [digest(seed, F.col("patch"), F.col("event_id")), "event_id"]).select("event_id", F.col("rank").alias("_rank"))
+        ranked = confirmed.join(top, "event_id", "left")
+    cells = [(c, n, all_of(F.col("_rank") <= c if c else None, f)) for c in caps for n, f in filters.items()]
+    tagged = ranked.select("event_id", "patch", "batch", *[p.alias(f"_p{i}") for i, (_, _, p) in enumerate(cells)])
+    counts = [F.count_if(f"_p{i}").alias(f"_n{i}") for i in range(len(cells))]
+    total = tagged.groupBy("batch", "patch").agg(*counts)
+    points = bench.event_points.join(confirmed.select("event_id"), "event_id", "left_semi")
+    hit = event_hits(points, alarms.alarms, r).select("event_id", "detector").distinct().join(tagged, "event_id")
+    hits = hit.groupBy("detector", "batch", "patch").agg(*[c.alias(f"_k{i}") for i, c in enumerate(counts)])
+    rows = total.crossJoin(F.broadcast(alarms.names())).join(hits, ["detector", "batch", "patch"], "left")  # detectors: manifest-sized
+    cell = F.explode(F.array(*[
+        F.struct(F.lit(c).cast("long").alias("cap"), F.lit(n).alias("filter"), F.coalesce(f"_k{i}", F.lit(0)).alias("hits"), F.col(f"_n{i}").alias("events"))
+        for i, (c, n, _) in enumerate(cells)])).alias("_c")
+    blocks = rows.select("detector", "batch", "patch", cell).select("detector", "batch", "patch", "_c.*").filter("events > 0")
+    by = ["batch", "cap", "filter"]
+    boot = bootstrap_ratio(blocks, {"boot": (F.col("hits"), F.col("events"))}, block="patch", by=by, series=["detector"], draws=draws, seed=seed)
+    sums = blocks.groupBy("detector", *by).agg(F.sum("hits").alias("hits"), F.sum("events").alias("events"))
+    size = bench.scored_patches().withColumn("batch", batch).groupBy("batch").agg(F.count(F.lit(1)).alias("patches"))
+    out = sums.join(boot, ["detector", *by], "left").join(size, "batch", "left")
+    corrected = S.corrected_upper(F.col("boot_hi"), precision_lower)
+    return out.select(
+        "detector", *by, "patches", "hits", "events", *S.wilson(F.col("hits"), F.col("events")), "boot_lo", "boot_hi", corrected.alias("corrected_upper"),
+        S.holds_below(corrected, bar).alias("holds"))
+
+
 def recall_by(events: DataFrame, alarms: Alarms, r: float, by, any_status: bool = False) -> DataFrame:
     """Recall per detector and group columns of the events (a batch, a status, a subset).
 

@@ -261,3 +261,31 @@ def annotation_points(docs: dict[str, DataFrame]) -> DataFrame:
 def unfinished(work: DataFrame, done: DataFrame, keys) -> DataFrame:
     """Resume: work items without a finished output row."""
     return work.join(done.select(*cols(keys)).distinct(), cols(keys), "left_anti")
+
+
+
+def read_metadata(spark: SparkSession, path) -> DataFrame:
+    """(patch, mode, seed, source, lineage, problem): the metadata objects of patches, one JSON object per file.
+
+    Fixed values: the names of the file and of its fields.
+
+    ``path`` is a folder of ``<patch>/meta.json`` files, or a list of such.  Fields that an object lacks are NULL, fields that
+    the schema doesn't name are ignored, and an object that doesn't parse keeps its row with a ``problem``.  Objects have a
+    few hundred bytes, so one is read whole.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").text(paths, wholetext=True)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return metadata_rows(raw.select(F.regexp_replace(name, "%20", " ").alias("patch"), "value"))
+
+
+def metadata_rows(objects: DataFrame) -> DataFrame:
+    """:func:`read_metadata` over rows (patch, value) with the text of one object each."""
+    from ..functions.text import lineage
+
+    fields = "vc_gsfs_mode string, seed long, source_tifxyz string, _corrupt_record string"
+    d = objects.withColumn("_o", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    problem = F.when(F.col("value").isNull() | F.col("_o").isNull() | F.col("_o._corrupt_record").isNotNull(), F.lit("load_error"))
+    return d.select(
+        "patch", F.col("_o.vc_gsfs_mode").alias("mode"), F.col("_o.seed").alias("seed"), F.col("_o.source_tifxyz").alias("source"),
+        lineage(F.col("patch"), F.col("_o.source_tifxyz")).alias("lineage"), problem.alias("problem"))

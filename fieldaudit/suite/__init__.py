@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import corpus_queries, grid_queries, incremental_queries, profile_queries, raster_queries, score_queries, stats_queries  # noqa: F401
+from . import corpus_queries, grid_queries, incremental_queries, profile_queries, protocol_queries, raster_queries, score_queries, sheet_queries, stats_queries  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -230,6 +230,8 @@ def event_centres(t: Tables):
           UNION ALL SELECT 'run', r.patch * 100 + r.row, CASE WHEN count(*) < 6 THEN 'vertex outside the grid or invalid' END FROM grid r WHERE col BETWEEN 10 AND 15 GROUP BY r.patch, r.row
           UNION ALL SELECT 'run', p.patch * 100 + p.row, CASE WHEN n IS NULL THEN 'vertex outside the grid or invalid' END FROM (SELECT DISTINCT patch, row FROM grid_all) p
             LEFT JOIN (SELECT patch, row, count(*) AS n FROM grid WHERE col BETWEEN 10 AND 15 GROUP BY 1, 2) q USING (patch, row)
+          UNION ALL SELECT DISTINCT 'run', patch * 100 + row, 'length differs from the grid' FROM grid WHERE col BETWEEN 10 AND 15 AND row % 7 = 0
+          UNION ALL SELECT 'run', patch * 100 + row, 'end differs from the grid' FROM grid WHERE col = 15 AND row % 11 = 0
         ) WHERE reason IS NOT NULL""", "grid"),
 )
 def geometry_violations(t: Tables):

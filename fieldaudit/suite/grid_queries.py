@@ -254,7 +254,7 @@ def edge_cells(t: Tables):
 
 @query(
     "interpolation",
-    f"""WITH k AS (SELECT p_size::DOUBLE AS z, avg(p_retailprice) AS v FROM part WHERE p_size BETWEEN 5 AND 45 AND p_size % 4 = 1 GROUP BY 1),
+    f"""WITH k AS (SELECT p_size::DOUBLE AS z, avg(p_retailprice) AS v FROM part GROUP BY 1),
     seg AS (SELECT z AS z0, lead(z) OVER (ORDER BY z) AS z1, v AS v0, lead(v) OVER (ORDER BY z) AS v1 FROM k),
     q AS (SELECT l_quantity, least(greatest(l_quantity, (SELECT min(z) FROM k)), (SELECT max(z) FROM k)) AS z FROM lineitem)
     SELECT l_quantity, count(*) AS n, {s6('min(v0 + (v1 - v0) * (q.z - z0) / (z1 - z0))')} AS value FROM q JOIN seg ON z1 IS NOT NULL AND q.z >= z0
@@ -286,7 +286,7 @@ def bbox_overlap(t: Tables):
     "local_cloud",
     with_views(
         """SELECT b.patch AS box, count(*) AS n, count(DISTINCT g.patch) AS patches FROM (SELECT patch, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz
-          FROM grid WHERE row < 10 AND col < 10 GROUP BY patch) b JOIN grid g ON g.patch <> b.patch AND g.x BETWEEN lx - 16 AND hx + 16
+          FROM grid GROUP BY patch) b JOIN grid g ON g.patch <> b.patch AND g.x BETWEEN lx - 16 AND hx + 16
           AND g.y BETWEEN ly - 16 AND hy + 16 AND g.z BETWEEN lz - 16 AND hz + 16 GROUP BY 1""", "grid"),
 )
 def local_cloud(t: Tables):
@@ -375,14 +375,6 @@ def sheet_assignment(t: Tables):
     return longs(rounded(a.select("patch", "row", "col", "offset", "spacing", "k"), "offset", "spacing"), "k")
 
 
-@query("labelled_segments")
-def labelled_segments(t: Tables):
-    """Sheet chains of every run: segments with their relative label, coverage and longest gap."""
-    probes, cloud = _cloud(t)
-    seg = st.label_surfaces(probes, cloud).segments
-    return rounded(seg.select("patch", "axis", "run", "chain", "segment", "label", "i0", "i1", "n", "length", "coverage", "max_gap"), "length", "coverage", "max_gap")
-
-
 @query("labelled_switches")
 def labelled_switches(t: Tables):
     """Clustered switch events of the labelled surfaces (permissive lengths for the noisy fixture)."""

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators.bootstrap import DRAWS
 from ..plans.leaderboard import leaderboard
 from ..plans.score import Alarms, pool, score
 from ..streaming import incremental as inc
@@ -79,7 +80,7 @@ def _changed(has: str, blocks: str, m: str) -> str:
         f"""SELECT c.detector, {_changed('c.events', 'c.event_patches', 'r')} AS recall_verdict, {_changed('c.length', 'c.patches', 'f')} AS fa_verdict,
         {s6('c.recall')} AS recall, {s6('b.recall')} AS base_recall, {s6('c.fa_per_100')} AS fa_per_100, {s6('b.fa_per_100')} AS base_fa_per_100
         FROM cand_board c JOIN base_board b ON b.detector = c.detector""", "patch_score",
-        extra={**_half("cand", 1, 100), **_half("base", 0, 100)}),
+        extra={**_half("cand", 1, DRAWS), **_half("base", 0, DRAWS)}),
 )
 def board_diff(t: Tables):
     """Odd patches as the candidate against even patches as the baseline, per detector."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import profile as P
-from .base import Tables, query, r6, rounded, s6, with_views
+from .base import SEED, Tables, query, r6, rounded, s6, with_views
 from .score_queries import RATES, sql_rates
 
 
@@ -74,8 +74,7 @@ def sql_win_smooth(sigma: float) -> str:
       JOIN win q ON q.profile_id = p.profile_id AND q.i = CASE WHEN {pos} < p.n THEN {pos} ELSE 2 * p.n - 1 - {pos} END GROUP BY 1, 2"""
 
 
-SMALL = {"sigma": [0.5, 1.0, 2.0], "end_zone": [0.1, 0.3], "min_dark": [1.0, 2.0], "q": [10.0, 30.0], "mid_bias": [0.0, 0.3]}
-SMALL_SQL = sql_rule(*SMALL.values())
+SWEEP_SQL = sql_rule(*P.SWEEP.values())
 ONE_SQL = sql_rule([1.0], [0.2], [1.0], [20.0], [0.15])
 
 
@@ -107,13 +106,13 @@ def on_layer(t: Tables):
     "profile_sweep",
     with_views(
         """SELECT kind, split, sigma, end_zone, min_dark, q, mid_bias, count(*) AS n, count(passed) AS decided, count(*) FILTER (passed) AS passed
-        FROM verdict_p GROUP BY ALL""", "profile", extra=SMALL_SQL),
+        FROM verdict_p GROUP BY ALL""", "profile", extra=SWEEP_SQL),
 )
 def profile_sweep(t: Tables):
     return P.sweep(controls(t), 1.0)
 
 
-TABLE = {**SMALL_SQL, "tab": """SELECT *, adjacent - greatest(two_apart, same_sheet) AS margin, two_apart <= 0.05 AND same_sheet <= 0.05 AS qualifies FROM (
+TABLE = {**SWEEP_SQL, "tab": """SELECT *, adjacent - greatest(two_apart, same_sheet) AS margin, two_apart <= 0.05 AND same_sheet <= 0.05 AS qualifies FROM (
     SELECT sigma, end_zone, min_dark, q, mid_bias,
       coalesce(count(*) FILTER (passed AND kind = 'adjacent')::DOUBLE / nullif(count(passed) FILTER (kind = 'adjacent'), 0), 0) AS adjacent,
       coalesce(count(*) FILTER (passed AND kind = 'two_apart')::DOUBLE / nullif(count(passed) FILTER (kind = 'two_apart'), 0), 0) AS two_apart,
@@ -177,7 +176,8 @@ def event_votes(t: Tables):
 @query(
     "ladder_controls",
     with_views(
-        f"""SELECT kind, coll, w, {s6('length')} AS length, {s6('s')} AS s FROM (
+        f"""SELECT kind, coll, w, {s6('length')} AS length, {s6('s')} AS s,
+          CASE WHEN ('0x' || substr(md5('{SEED}.split|' || coll), 1, 8))::BIGINT < 2147483648 THEN 'tune' ELSE 'test' END AS split FROM (
           SELECT 'adjacent' AS kind, coll, w, l1 AS length, l1 AS s FROM lad WHERE w1 - w = 1 AND l1 >= 1e-6
           UNION ALL SELECT 'same_sheet', coll, w, l1, l1 FROM lad WHERE w1 - w = 1 AND l1 >= 1e-6
           UNION ALL SELECT 'two_apart', coll, w, l2, least(l1, l12) FROM lad WHERE w1 - w = 1 AND l1 >= 1e-6 AND w2 - w = 2 AND l2 >= 1e-6)""", "pt",
@@ -187,4 +187,4 @@ def event_votes(t: Tables):
 )
 def ladder_controls(t: Tables):
     pts = t.pt().filter("kind = 'view'").groupBy(F.col("patch").alias("coll"), F.floor(F.col("y") / 24).cast("long").alias("w")).agg(*[F.avg(a).alias(a) for a in "xyz"])
-    return rounded(P.ladder_controls(pts).select("kind", "coll", "w", "length", "s"), "length", "s")
+    return rounded(P.ladder_controls(pts).select("kind", "coll", "w", "length", "s", "split"), "length", "s")

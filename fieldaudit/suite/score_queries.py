@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.hashing import digest
-from ..operators.bootstrap import bootstrap_ratio
+from ..operators.bootstrap import DRAWS, bootstrap_ratio
 from ..operators.components import spatial_clusters
 from ..operators.dedup import greedy_dedup
 from ..operators.sampling import cap_per_group
@@ -356,7 +356,7 @@ def boot_views(source: str, draws: int, block: str = "block") -> dict[str, str]:
         FROM pooled WHERE den > 0 GROUP BY series""", "ev", "dets", "hit",
         extra=boot_views(
             """SELECT e.patch AS block, d.detector AS series, count(h.event_id) AS num, count(*) AS den FROM ev e CROSS JOIN dets d
-            LEFT JOIN hit h ON h.event_id = e.event_id AND h.detector = d.detector WHERE e.status = 'confirmed' GROUP BY 1, 2""", 200)),
+            LEFT JOIN hit h ON h.event_id = e.event_id AND h.detector = d.detector WHERE e.status = 'confirmed' GROUP BY 1, 2""", DRAWS)),
 )
 def boot_recall(t: Tables):
     return rounded(score(t.benchmark(), t.alarms()).recall_intervals().select("detector", "recall_boot_lo", "recall_boot_hi"), "recall_boot_lo", "recall_boot_hi")
@@ -368,7 +368,7 @@ def boot_recall(t: Tables):
         f"""SELECT series AS detector, {s6('quantile_cont(100.0::DOUBLE * num / den, 0.025)')} AS fa_boot_lo,
         {s6('quantile_cont(100.0::DOUBLE * num / den, 0.975)')} AS fa_boot_hi
         FROM pooled WHERE den > 0 GROUP BY series""", "patch_score",
-        extra=boot_views("SELECT patch AS block, detector AS series, false_alarms AS num, length AS den FROM patch_score", 200)),
+        extra=boot_views("SELECT patch AS block, detector AS series, false_alarms AS num, length AS den FROM patch_score", DRAWS)),
 )
 def boot_fa(t: Tables):
     return rounded(score(t.benchmark(), t.alarms()).false_alarm_intervals().select("detector", "fa_boot_lo", "fa_boot_hi"), "fa_boot_lo", "fa_boot_hi")
@@ -383,7 +383,7 @@ def boot_fa(t: Tables):
         extra={
             "two": """SELECT l_suppkey AS block, count(*) FILTER (l_returnflag = 'R') AS k1, count(*) FILTER (l_linestatus = 'O') AS k2,
               sum(l_quantity) AS a FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0""",
-            **{k: v for k, v in boot_views("SELECT block FROM two", 200).items() if k != "pooled"},
+            **{k: v for k, v in boot_views("SELECT block FROM two", DRAWS).items() if k != "pooled"},
         }),
 )
 def boot_area(t: Tables):
@@ -429,20 +429,24 @@ def settings_grid(t: Tables):
     "settings_hold",
     with_views(
         f"""SELECT bool_and(corrected < 0.6) AS all_hold, count(*) AS settings,
-        {s6("max(corrected) FILTER (cap = 3 AND radius = 25 AND detector = 'error')")} AS frozen_corrected
-        FROM (SELECT detector, cap, radius, quantile_cont(num / den, 0.975) / 0.5519 AS corrected FROM (
-          SELECT g2.detector, g2.cap, g2.radius, p.draw, sum(g2.k)::DOUBLE AS num, sum(g2.n)::DOUBLE AS den
-          FROM plan p JOIN numbered nb USING (ordinal) JOIN g2 ON g2.block = nb.block GROUP BY 1, 2, 3, 4)
-        WHERE den > 0 GROUP BY 1, 2, 3)""",
+        {s6("max(corrected) FILTER (cap = 3 AND radius = 25 AND detector = 'error' AND subset = 'pooled')")} AS frozen_corrected
+        FROM (SELECT subset, detector, cap, radius, quantile_cont(num / den, 0.975) / 0.5519 AS corrected FROM (
+          SELECT subset, g2.detector, g2.cap, g2.radius, p.draw, sum(g2.k)::DOUBLE AS num, sum(g2.n)::DOUBLE AS den
+          FROM plan p JOIN numbered USING (subset, ordinal) JOIN g2 USING (subset, block) GROUP BY 1, 2, 3, 4, 5)
+        WHERE den > 0 GROUP BY 1, 2, 3, 4)""",
         "ev", "alarm", "dets",
         extra={
             "g": GRID_HITS,
-            "g2": f"""SELECT e.patch AS block, e.cap, d.detector, r.radius, count(*) AS n, count(*) FILTER (g.hit) AS k
-              FROM (SELECT event_id, patch, 0::BIGINT AS cap FROM ev WHERE status = 'confirmed'
-                UNION ALL SELECT event_id, patch, 3 FROM ({CAP_SQL})) e
+            "capped": f"""SELECT event_id, patch, subset, 0::BIGINT AS cap FROM ev WHERE status = 'confirmed'
+              UNION ALL SELECT event_id, patch, subset, 1 FROM ({CAP_SQL.replace('rn <= 3', 'rn <= 1')}) UNION ALL SELECT event_id, patch, subset, 3 FROM ({CAP_SQL})""",
+            "g2": """SELECT e.patch AS block, e.subset, e.cap, d.detector, r.radius, count(*) AS n, count(*) FILTER (g.hit) AS k
+              FROM (SELECT * FROM capped UNION ALL SELECT event_id, patch, 'pooled', cap FROM capped) e
               CROSS JOIN dets d CROSS JOIN (VALUES (10.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) r(radius)
-              LEFT JOIN g ON g.event_id = e.event_id AND g.detector = d.detector AND g.radius = r.radius GROUP BY 1, 2, 3, 4""",
-            **{k: v for k, v in boot_views("SELECT block FROM g2", 200).items() if k != "pooled"},
+              LEFT JOIN g ON g.event_id = e.event_id AND g.detector = d.detector AND g.radius = r.radius GROUP BY 1, 2, 3, 4, 5""",
+            "numbered": "SELECT subset, block, row_number() OVER (PARTITION BY subset ORDER BY md5(block::VARCHAR), block) - 1 AS ordinal FROM (SELECT DISTINCT subset, block FROM g2)",
+            "size": "SELECT subset, count(*) AS n FROM numbered GROUP BY 1",
+            "plan": f"""SELECT size.subset, b.draw, ('0x' || substr(md5('{SEED}|' || b.draw || '|' || s.slot), 1, 8))::BIGINT % size.n AS ordinal
+              FROM size, (SELECT unnest(range({DRAWS})) AS draw) b, LATERAL (SELECT unnest(range(size.n)) AS slot) s""",
         }),
 )
 def settings_hold(t: Tables):
@@ -546,7 +550,7 @@ def highest_hit_radius(t: Tables):
     "unknown_patches",
     with_views(
         """SELECT kind AS detector, u.patch, CASE WHEN k.patch IS NULL THEN 'unknown' ELSE 'unscored' END AS kind
-        FROM (SELECT DISTINCT kind, patch % 400 + CASE WHEN kind = 'error' THEN 100000 ELSE 0 END AS patch FROM pt WHERE kind IN ('error', 'click')) u
+        FROM (SELECT DISTINCT kind, patch + CASE WHEN kind = 'error' THEN 100000 ELSE 0 END AS patch FROM pt WHERE kind IN ('error', 'click')) u
         LEFT JOIN (SELECT DISTINCT patch FROM ev UNION SELECT DISTINCT patch FROM rv) k ON k.patch = u.patch
         WHERE u.patch NOT IN (SELECT patch FROM scored)""", "pt", "ev", "rv", "scored"),
 )

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import profile as P
 from ..operators import sampling as smp
 from ..operators import stats as st
-from ..operators.bootstrap import bootstrap_ratio
+from ..operators.bootstrap import DRAWS, bootstrap_ratio
 from ..operators.ordered import exact_percentiles
 from .base import SEED, Tables, longs, query, r6, rounded, s6, with_views
 from .score_queries import RATES, boot_views, sql_rates, sql_wilson
@@ -40,7 +40,7 @@ def auroc(t: Tables):
         FROM per_draw WHERE p > 0 AND n > 0""", "scored_doc",
         extra={
             "blk": "SELECT source AS block, n_chars, toxic FROM scored_doc",
-            **{k: v for k, v in boot_views("", 100).items() if k in ("numbered", "size", "plan")},
+            **{k: v for k, v in boot_views("", DRAWS).items() if k in ("numbered", "size", "plan")},
             "weighed": "SELECT draw, n_chars, count(*) FILTER (toxic = 1)::DOUBLE AS pos, count(*) FILTER (toxic <> 1)::DOUBLE AS neg FROM plan JOIN numbered USING (ordinal) JOIN blk USING (block) GROUP BY 1, 2",
             "per_draw": """SELECT draw, sum(pos * (below + neg / 2)) AS u, sum(pos) AS p, sum(neg) AS n FROM
               (SELECT *, coalesce(sum(neg) OVER (PARTITION BY draw ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM weighed) GROUP BY 1""",

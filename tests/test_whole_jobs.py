@@ -1,93 +1,59 @@
-"""Queries that run their whole job, against SQL or counts of their own where the registered SQL covers a part of it."""
+"""Bootstrap and sweep jobs of full size: draws, settings and both ways to pool draws."""
 
 import os
-import re
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
 from fieldaudit.operators import profile as P
-from fieldaudit.operators.bootstrap import DRAWS
-from fieldaudit.suite.base import SEED, s6, with_views
-from fieldaudit.suite.profile_queries import COLS, ORDER, TABLE, sql_rule
-from fieldaudit.suite.score_queries import CAP_SQL, GRID_HITS
+from fieldaudit.operators import bootstrap as B
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+WHOLE = [
+    "profile_sweep", "sweep_top", "sweep_choice", "sweep_frontier", "settings_hold", "boot_recall", "boot_fa", "boot_area", "boot_auroc", "board_diff",
+    "interpolation", "local_cloud", "geometry_violations"]
 
 
 @pytest.fixture(scope="module")
 def con():
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
     return connect(SF)
 
 
-RULE = sql_rule(*P.SWEEP.values())
-TAB = {**RULE, "tab": TABLE["tab"]}
-SWEEPS = {
-    "profile_sweep": with_views(
-        """SELECT kind, split, sigma, end_zone, min_dark, q, mid_bias, count(*) AS n, count(passed) AS decided, count(*) FILTER (passed) AS passed
-        FROM verdict_p GROUP BY ALL""", "profile", extra=RULE),
-    "sweep_top": with_views(f"SELECT {COLS} FROM tab ORDER BY {ORDER} LIMIT 10", "profile", extra=TAB),
-}
-
-
-@pytest.mark.parametrize("name", list(SWEEPS))
-def test_sweeps_cover_the_published_grid(spark, con, name):
-    assert compare(spark, con, name, entry.queries()[name], SWEEPS[name], SF) is None
-
-
-def hold_sql(draws):
-    cap = lambda n: f"SELECT event_id, patch, subset, {n}::BIGINT AS cap FROM ({CAP_SQL.replace('rn <= 3', f'rn <= {n}')})"
-    return with_views(
-        f"""SELECT bool_and(corrected < 0.6) AS all_hold, count(*) AS settings,
-        {s6("max(corrected) FILTER (cap = 3 AND radius = 25 AND detector = 'error' AND subset = 'pooled')")} AS frozen_corrected
-        FROM (SELECT subset, detector, cap, radius, quantile_cont(num / den, 0.975) / 0.5519 AS corrected FROM (
-          SELECT subset, g2.detector, g2.cap, g2.radius, p.draw, sum(g2.k)::DOUBLE AS num, sum(g2.n)::DOUBLE AS den
-          FROM plan p JOIN numbered USING (subset, ordinal) JOIN g2 USING (subset, block) GROUP BY 1, 2, 3, 4, 5)
-        WHERE den > 0 GROUP BY 1, 2, 3, 4)""",
-        "ev", "alarm", "dets",
-        extra={
-            "g": GRID_HITS,
-            "capped": f"SELECT event_id, patch, subset, 0::BIGINT AS cap FROM ev WHERE status = 'confirmed' UNION ALL {cap(1)} UNION ALL {cap(3)}",
-            "g2": """SELECT e.patch AS block, e.subset, e.cap, d.detector, r.radius, count(*) AS n, count(*) FILTER (g.hit) AS k
-              FROM (SELECT * FROM capped UNION ALL SELECT event_id, patch, 'pooled', cap FROM capped) e
-              CROSS JOIN dets d CROSS JOIN (VALUES (10.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) r(radius)
-              LEFT JOIN g ON g.event_id = e.event_id AND g.detector = d.detector AND g.radius = r.radius GROUP BY 1, 2, 3, 4, 5""",
-            "numbered": "SELECT subset, block, row_number() OVER (PARTITION BY subset ORDER BY md5(block::VARCHAR), block) - 1 AS ordinal FROM (SELECT DISTINCT subset, block FROM g2)",
-            "size": "SELECT subset, count(*) AS n FROM numbered GROUP BY 1",
-            "plan": f"""SELECT size.subset, b.draw, ('0x' || substr(md5('{SEED}|' || b.draw || '|' || s.slot), 1, 8))::BIGINT % size.n AS ordinal
-              FROM size, (SELECT unnest(range({draws})) AS draw) b, LATERAL (SELECT unnest(range(size.n)) AS slot) s""",
-        })
-
-
-def test_settings_hold_covers_subsets_and_caps(spark, con):
-    fn = entry.queries()["settings_hold"]
-    assert compare(spark, con, "settings_hold", fn, hold_sql(DRAWS), SF) is None
-    assert fn(spark, SF).first()["settings"] == 3 * 3 * 3 * 3  # detectors, caps, radii, subsets and pooled
-
-
-@pytest.mark.parametrize("name", ["boot_recall", "boot_fa", "boot_area", "boot_auroc", "board_diff"])
-def test_intervals_take_all_draws(spark, con, name):
-    sql = re.sub(r"range\([12]00\)", f"range({DRAWS})", entry.oracle_sql()[name])
-    assert f"range({DRAWS})" in sql and compare(spark, con, name, entry.queries()[name], sql, SF) is None
-
-
-@pytest.mark.parametrize("name, cut, whole, sf", [
-    ("interpolation", " WHERE p_size BETWEEN 5 AND 45 AND p_size % 4 = 1", "", SF),
-    ("unknown_patches", "patch % 400", "patch", "/root/testdata/sf0.1"),
-    ("local_cloud", "WHERE row < 10 AND col < 10 ", "", SF),
-])
-def test_every_row_is_read(spark, name, cut, whole, sf):
-    sql = entry.oracle_sql()[name]
-    assert cut in sql and compare(spark, connect(sf), name, entry.queries()[name], sql.replace(cut, whole), sf) is None
-
-
-def test_geometry_violations_report_lengths_and_ends(spark, con):
-    fn, sql = entry.queries()["geometry_violations"], entry.oracle_sql()["geometry_violations"]
-    tail = ") WHERE reason IS NOT NULL"
-    more = """ UNION ALL SELECT DISTINCT 'run', patch * 100 + row, 'length differs from the grid' FROM grid WHERE col BETWEEN 10 AND 15 AND row % 7 = 0
-      UNION ALL SELECT 'run', patch * 100 + row, 'end differs from the grid' FROM grid WHERE col = 15 AND row % 11 = 0"""
-    assert sql.count(tail) == 1
-    assert compare(spark, con, "geometry_violations", fn, sql.replace(tail, more + tail), SF) is None
-    assert {"length differs from the grid", "end differs from the grid"} <= {r["reason"] for r in fn(spark, SF).select("reason").distinct().collect()}
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_job(spark, con, name):
+    assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF) is None
+
+
+def test_sizes(spark, con):
+    assert len(entry.queries()["profile_sweep"](spark, SF).select("sigma", *list(P.SWEEP)[1:]).distinct().collect()) == 540
+    assert entry.queries()["settings_hold"](spark, SF).first()["settings"] == 3 * 3 * 3 * 3  # detectors, caps, radii, subsets and pooled
+    assert B.DRAWS == 2000
+
+
+def test_reasons(spark, con):
+    found = {r["reason"] for r in entry.queries()["geometry_violations"](spark, SF).select("reason").distinct().collect()}
+    assert {"length differs from the grid", "end differs from the grid"} <= found
+
+
+def test_ids_are_not_folded(spark):
+    sf = "/root/testdata/sf0.1"
+    assert compare(spark, connect(sf), "unknown_patches", entry.queries()["unknown_patches"], entry.oracle_sql()["unknown_patches"], sf) is None
+
+
+def test_both_ways_of_pooling(spark, monkeypatch):
+    rows = [(s, b, d, (b * 7 + len(d)) % 5, None if b == 3 else b % 4) for s in ("u", "v") for b in range(40 if s == "u" else 9) for d in ("x", "y", None)]
+    blocks = spark.createDataFrame(rows, "s string, b int, d string, k int, n int")
+    parts = {"k": F.col("k"), "n": F.col("n")}
+    run = lambda: sorted(B.pooled_draws(blocks, parts, "b", ["s"], ["d"], draws=50).collect(), key=repr)
+    matrix = run()
+    monkeypatch.setattr(B, "MATRIX_BLOCKS", 0)
+    joined = run()
+    assert matrix == joined and len(matrix) == 2 * 3 * 50
+    monkeypatch.setattr(B, "MATRIX_BLOCKS", 20)  # one set each way
+    assert run() == joined
+    whole = B.pooled_draws(blocks.filter("s = 'u'"), parts, "b", draws=50).orderBy("draw").collect()
+    assert [r["k"] for r in whole] == [sum(r["k"] for r in joined if r["s"] == "u" and r["draw"] == d) for d in range(50)]
