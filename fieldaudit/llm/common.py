@@ -68,3 +68,32 @@ def text_slices(batches, column: int, most_bytes: int = 5 << 20):
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def giving_back(f):
+    """``f`` over record batches, and the worker's free memory goes back to the system when the task ends.
+
+    Spark reuses Python workers: what Arrow and malloc hold on to would add up over the stages of a job.
+    """
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it has no such call
+        pass

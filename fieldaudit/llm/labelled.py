@@ -31,7 +31,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, mod: int, hel
 
 def with_score(docs: DataFrame, score, text_col: str, name: str = "score") -> DataFrame:
     """``docs`` with a last column ``name``; ``score(texts)`` maps an Arrow array of texts to an array of doubles."""
-    from .common import text_slices
+    from .common import giving_back, text_slices
 
     kept = [c for c in docs.columns if c != name]
     at = kept.index(text_col)
@@ -41,4 +41,4 @@ def with_score(docs: DataFrame, score, text_col: str, name: str = "score") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*kept, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(add, f"{fields}, `{name}` double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(giving_back(add), f"{fields}, `{name}` double")

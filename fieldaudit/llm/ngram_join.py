@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import text_slices, written
+from .common import giving_back, text_slices, written
 from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
@@ -106,7 +106,7 @@ def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int, maps
                 [batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(_signature(grams, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))), pa.array(_bitmaps(grams, at) if maps else [None] * len(batch), pa.binary())],
                 ["doc_id", "size", "sig", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, size int, sig long, prefix array<long>, bits binary")
+    return docs.mapInArrow(giving_back(run), "doc_id long, size int, sig long, prefix array<long>, bits binary")
 
 
 def partners(key: np.ndarray, size: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def _streamed(rows: DataFrame, comp: str, num: int, den: int) -> DataFrame:
             yield solve(*rest, cut)
 
     ordered = rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key", "size", "sig")
-    return ordered.mapInArrow(run, "key long, sig long, size long, comp long, rep long")
+    return ordered.mapInArrow(giving_back(run), "key long, sig long, size long, comp long, rep long")
 
 
 def _thinned(members: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: classes.select(F.col("sig").alias(c), F.col("bits").alias(f"_{c}b"), F.col("size").cast("long").alias(f"_{c}n"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "_ub", "_un", "_vb", "_vn").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "_ub", "_un", "_vb", "_vn").mapInArrow(giving_back(run), "u long, v long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num
         for batch in text_slices(batches, 1, 1 << 19):
             yield batch.filter(pa.array(_signature(*sets(batch.column(1), n)) == np.asarray(batch.column(0))))
 
-    texts = written(rows.join(few, "doc_id").select("sig", "text").mapInArrow(own, "sig long, text string").dropDuplicates(["sig"]), "ngram-texts")
+    texts = written(rows.join(few, "doc_id").select("sig", "text").mapInArrow(giving_back(own), "sig long, text string").dropDuplicates(["sig"]), "ngram-texts")
     a = texts.select(F.col("sig").alias("u"), F.col("text").alias("_a"))
     b = texts.select(F.col("sig").alias("v"), F.col("text").alias("_b"))
 
@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num
                 keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long"), "ngram-links")
+    return written(pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").mapInArrow(giving_back(run), "u long, v long"), "ngram-links")
 
 
 def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossing: bool, best: bool, num: int, den: int):
@@ -313,7 +313,7 @@ def _tiles(members: DataFrame, comp: DataFrame, classes: DataFrame, best: bool,
         yield pa.RecordBatch.from_arrays([u, v, pa.concat_arrays([pa.nulls(len(u) - len(off), pa.int64()), pa.array(off, pa.int64())])], ["u", "v", "key"])
 
     ordered = cells.repartition("key", "low", "i", "j").sortWithinPartitions("key", "low", "i", "j")
-    return ordered.select("key", "low", "i", "j", "sig", "size", "comp", "band", "salt", "bits").mapInArrow(run, "u long, v long, key long").distinct()
+    return ordered.select("key", "low", "i", "j", "sig", "size", "comp", "band", "salt", "bits").mapInArrow(giving_back(run), "u long, v long, key long").distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

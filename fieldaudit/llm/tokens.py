@@ -5,8 +5,9 @@ cut.  A text is therefore cut into words, unknown words are encoded together in
 ids of a text are the joined ids of its words.  Texts with other white space than single spaces and single
 line ends go through the tokenizer whole, so the ids always equal those of one plain ``encode`` call.
 
-The cache is bounded: two generations of about :data:`CACHE_WORDS` words each.  When the younger is full it becomes the
-older one, and words that are met again move on to the new generation, so frequent words stay.
+The cache is bounded: two generations of at most about :data:`CACHE_WORDS` words and :data:`CACHE_BYTES` bytes of words and
+ids each.  When the younger is full it becomes the older one, and words that are met again move on to the new generation, so
+frequent words stay.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of a generation that one Python worker remembers.
-CACHE_WORDS = 300_000
+#: Words of a generation that one Python worker remembers, and their bytes: words, ids and some 160 a word for Python's objects.
+CACHE_WORDS, CACHE_BYTES, OBJECTS = 300_000, 64 << 20, 160
 #: Longer words are encoded on their own and not remembered.
 LONG_WORD = 400
 #: Texts with any of these are encoded whole: two spaces or line ends in a row, other white space, white space at an end.
@@ -58,6 +59,7 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.held = 0
         ids = self._plain(["a\nb", "a b"])
         self.keeps_space = ids[0] != ids[1]
         if self.keeps_space:
@@ -78,7 +80,7 @@ class WordEncoder:
         heads, tailed = {}, []
         for w in new:
             head = w.rstrip(_MARKS)
-            if len(head) < len(w) and head and head[-1].isalnum():
+            if len(head) < len(w) and head and self._last(head).isalnum():
                 tailed.append((w, head, w[len(head) :]))
                 if head not in self.words:
                     if head in self.older:
@@ -129,13 +131,17 @@ class WordEncoder:
         raw = ids.tobytes()
         return [raw[a * 4 : b * 4] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
 
+    def _last(self, word: str) -> str:
+        """The character before the marks as the tokenizer sees it: lower-casing may leave a combining mark there."""
+        return word[-1] if self.keeps_space or word.isascii() else self._lower(word)[-1]
+
     @staticmethod
     def _lower(word: str) -> str:
         return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
 
     def _known(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
+        if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.older, self.words, self.held = self.words, {}, 0
         known, older = self.words, self.older
         new = []
         for w in words:
@@ -147,6 +153,7 @@ class WordEncoder:
                     known[w] = found
         if new:
             self._learn(new)
+        self.held += OBJECTS * len(new) + sum(map(len, new)) + sum(len(known[w]) for w in new)
         return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -72,6 +72,22 @@ def test_empty_tables(spark):
     assert chat.format_chats(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")).count() == 0
 
 
+def test_word_ids_equal_plain_encoding():
+    rng = random.Random(11)
+    signs = list("aAbcİIıßéÉ漢字ǅﬁK①²½٠ \n .,!?:;'\"&%$#*|)(-_<>12") + ["İ:", "İ;", "i̇", "’s", "'LL", "<|endoftext|>", " the", "ẞ", "İ̧"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = tokens.WordEncoder(tokens.vocabulary(name))
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 30))) for _ in range(6000)]
+        assert encoder.ids(texts) == encoder._plain(texts)
+
+
+def test_small_word_caches_give_the_same_ids(monkeypatch):
+    some = [words(random.Random(k), 60, 400) for k in range(40)]
+    encoder = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 5000)
+    assert [encoder.ids([t]) for t in some] == [encoder._plain([t]) for t in some] and len(encoder.words) < 200
+
+
 def test_fingerprints(docs):
     piece = re.compile(r"[^\n]{1,100}[^.!?\n]{0,120}[.!?\n]*|\n+")
     rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
