@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_memory
+
 #: Words of a generation that one Python worker remembers, and their bytes: words, ids and some 160 a word for Python's objects.
 CACHE_WORDS, CACHE_BYTES, OBJECTS = 300_000, 64 << 20, 160
 #: Longer words are encoded on their own and not remembered.
@@ -38,6 +40,7 @@ def encoder(path: str) -> "WordEncoder":
     found = _WORKER.get(("", path))
     if found is None:
         found = _WORKER[("", path)] = WordEncoder(path)
+        release_memory()  # what reading the vocabulary has left behind
     return found
 
 
