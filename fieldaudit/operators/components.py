@@ -57,7 +57,8 @@ def components_with_offsets(nodes: DataFrame, edges: DataFrame, node: str = "nod
     """``(node, component, offset)`` for edges (u, v, w) that state offset(u) - offset(v) = w.
 
     The same star rounds, carrying the offset along every rewritten edge; the smallest node of a
-    component has offset 0.  The statements must be free of contradictions along closed paths.
+    component has offset 0.  Where statements contradict each other along closed paths, some of them are followed;
+    :func:`offset_contradictions` lists the others.
     """
     e = cut_lineage(edges.filter(F.col("u") != F.col("v")).groupBy("u", "v").agg(F.min("w").alias("w")))
     state = _checksum(e)
@@ -86,6 +87,17 @@ def components_with_offsets(nodes: DataFrame, edges: DataFrame, node: str = "nod
     )
 
 
+def offset_contradictions(solved: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """(component, u, v, stated, found): the edges (u, v, w) whose statement differs from the offsets that were found.
+
+    ``solved`` comes from :func:`components_with_offsets` over the same edges.  It is empty exactly if the statements of every
+    component agree along all paths.
+    """
+    at = lambda c: solved.select(F.col(node).alias(c), F.col("component").alias(f"_c{c}"), F.col("offset").alias(f"_o{c}"))
+    d = edges.join(at("u"), "u").join(at("v"), "v").withColumn("found", F.col("_ou") - F.col("_ov"))
+    return d.filter("found <> w").select(F.col("_cu").alias("component"), "u", "v", F.col("w").alias("stated"), "found")
+
+
 def spatial_clusters(points: DataFrame, r: float, point_id: str, keys=()) -> DataFrame:
     """Single-linkage clusters (distance strictly below ``r``): adds ``cluster``, the smallest id in it.
 

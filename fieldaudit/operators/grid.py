@@ -145,8 +145,27 @@ def unwrap_angle(vertices: DataFrame, theta: str, by=("patch",)) -> DataFrame:
     Along a row segment the turns are a running sum.  Vertical neighbours tie segments together by a whole
     number of turns, and the star rounds of :func:`components_with_offsets` carry these numbers to the
     first segment of each component, whose first vertex keeps its angle.  The result does not depend on
-    the path as long as the field has no residues.
+    the path as long as the field has no residues; :func:`unwrap_residues` reports where it has.
     """
+    return _unwrapped(vertices, theta, by)[0]
+
+
+def unwrap_residues(vertices: DataFrame, theta: str, by=("patch",)) -> DataFrame:
+    """(component, ties, contradicted, witness): components whose vertical ties disagree with the unwrapped angle.
+
+    ``witness`` is the first such tie (the two segments).  No rows: any path gives the same angle.
+    """
+    from .components import offset_contradictions
+
+    _, comp, edges = _unwrapped(vertices, theta, by)
+    bad = offset_contradictions(comp, edges)
+    ties = edges.join(comp.select(F.col("node").alias("u"), "component"), "u").groupBy("component").agg(F.count(F.lit(1)).alias("ties"))
+    return bad.groupBy("component").agg(F.count(F.lit(1)).alias("contradicted"), F.min(F.struct("u", "v")).alias("witness")).join(ties, "component").select(
+        "component", "ties", "contradicted", "witness")
+
+
+def _unwrapped(vertices: DataFrame, theta: str, by) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The unwrapped vertices, the segments' components with offsets, and the ties between segments."""
     from .components import components_with_offsets
 
     by = list(by)
@@ -170,7 +189,7 @@ def unwrap_angle(vertices: DataFrame, theta: str, by=("patch",)) -> DataFrame:
     comp = components_with_offsets(d.select(F.col("_node").alias("node")).distinct(), edges)
     out = d.join(comp.withColumnRenamed("node", "_node"), "_node")
     out = out.withColumn("unwrapped", F.col(theta) + 2 * F.pi() * (F.col("_turns") + F.col("offset")))
-    return out.drop("_isl", "_before", "_turns", "_node", "offset")
+    return out.drop("_isl", "_before", "_turns", "_node", "offset"), comp, edges
 
 
 def vertex_area(voxel_mm: float, step: float = GRID_STEP) -> float:

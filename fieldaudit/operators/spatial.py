@@ -17,6 +17,7 @@ from ..functions.geometry import XYZ
 from ..session import cols
 
 FINE = 8  # fine boxes per cell edge; a power of two, so that a fine index shifts to its cell
+LEVELS, OPENED = 3, 64  # levels of boxes, and the points of a box that is opened at once
 _SHIFT = 3
 _PAD = 1e-6  # cell cover only; the distance test itself is exact
 
@@ -84,7 +85,7 @@ def _boxes(targets: DataFrame, group, side: float, axes) -> DataFrame:
     n = range(len(axes))
     fine = targets.selectExpr(*group, *axes, *[f"{_fine(a, side)} as _f{i}" for i, a in enumerate(axes)])
     aggs = [F.expr(f"{fn}({a}) as _{e}{i}") for i, a in enumerate(axes) for fn, e in (("min", "lo"), ("max", "hi"))]
-    boxes = fine.groupBy(*group, *[f"_f{i}" for i in n]).agg(*aggs)
+    boxes = fine.groupBy(*group, *[f"_f{i}" for i in n]).agg(*aggs, F.count(F.lit(1)).alias("_n"))
     return boxes.selectExpr("*", *[f"shiftright(_f{i}, {_SHIFT}) as _c{i}" for i in n])
 
 
@@ -119,19 +120,35 @@ def matches_within(
     probe = _cover(queries.select(*cols(ids, keys, axes)), r, side, axes)
     near, far = _box_bounds(axes)
     cand = probe.join(boxes, cols(keys, cells)).filter(_within(near, r, strict))
-    cand = cand.selectExpr(*cols(ids, keys, tags, axes, fines), f"{_within(far, r, strict)} as _sure")
+    cand = cand.selectExpr(*cols(ids, keys, tags, axes, fines), "_n", f"{_within(far, r, strict)} as _sure")
     found = cols(ids, tags)
     settled = cand.filter("_sure").select(*found)
 
-    opened = cand.filter("not _sure").drop("_sure")
-    members = targets.selectExpr(
-        *cols(keys, tags),
-        *[f"{a} as _t{i}" for i, a in enumerate(axes)],
-        *[f"{_fine(a, side)} as {f}" for a, f in zip(axes, fines)],
-    )
-    exact = _within(_distance(axes, [f"_t{i}" for i in n]), r, strict)
-    hits = opened.join(members, cols(keys, tags, fines)).filter(exact).select(*found)
-    return settled.unionByName(hits).distinct()
+    # A cut box of few points is opened; a dense one is looked at as boxes an eighth as wide, twice over, so that
+    # two dense groups at a distance of r are compared in a shell of r / 256, not point by point.
+    group, found_at = cols(keys, tags), [settled]
+    cut, before = cand.filter("not _sure").select(*cols(ids, group, axes, fines), "_n"), fines
+    for level in range(1, LEVELS + 1):
+        last = level == LEVELS
+        few = cut if last else cut.filter(f"_n <= {OPENED}")
+        members = targets.selectExpr(*group, *[f"{a} as _t{i}" for i, a in enumerate(axes)], *[f"{_fine(a, side / FINE ** (level - 1))} as {f}" for a, f in zip(axes, before)])
+        exact = _within(_distance(axes, [f"_t{i}" for i in n]), r, strict)
+        found_at.append(few.drop("_n").join(members, cols(group, before)).filter(exact).select(*found))
+        if last:
+            break
+        names = [f"_g{level}{i}" for i in n]
+        finer = targets.selectExpr(*group, *axes, *[f"{_fine(a, side / FINE ** level)} as {g}" for a, g in zip(axes, names)])
+        aggs = [F.expr(f"{fn}({a}) as _{e}{i}") for i, a in enumerate(axes) for fn, e in (("min", "lo"), ("max", "hi"))]
+        finer = finer.groupBy(*group, *names).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+        finer = finer.selectExpr("*", *[f"shiftright({g}, {_SHIFT}) as {f}" for g, f in zip(names, before)])
+        step = cut.filter(f"_n > {OPENED}").drop("_n").join(finer, cols(group, before)).filter(_within(near, r, strict))
+        step = step.selectExpr(*cols(ids, group, axes, names), "_n", f"{_within(far, r, strict)} as _sure")
+        found_at.append(step.filter("_sure").select(*found))
+        cut, before = step.filter("not _sure").drop("_sure"), names
+    out = found_at[0]
+    for part in found_at[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def ball_max(queries: DataFrame, targets: DataFrame, value: str, r: float, ids, keys=(), axes=XYZ) -> DataFrame:
@@ -171,8 +188,8 @@ def nearest(
     ids,
     keys=(),
     tags=(),
-    top_side: float = 256.0,
-    levels: int = 2,
+    top_side: float = 131072.0,
+    levels: int = 5,
     axes=XYZ,
     bound: float | None = None,
 ) -> DataFrame:
@@ -181,13 +198,17 @@ def nearest(
     Best-first search over nested boxes: every level keeps, per query, only boxes whose least
     possible distance does not exceed the smallest guaranteed distance seen on that level, then
     opens them into boxes an eighth as wide.  Exact for any radius, without pairing a query with
-    every target of its group.  ``bound`` drops neighbours farther than that.
+    every target of its group: the widest boxes have an edge of ``top_side``, so even a wide group has few.
+    ``bound`` drops neighbours farther than that; the search then begins with the boxes around the query that the
+    bound can reach, and takes two levels.
     """
     ids, keys, tags = list(ids), list(keys), list(tags)
     group = cols(keys, tags)
     n = len(axes)
-    finest = top_side / FINE ** (levels - 1)
     m = range(n)
+    if bound is not None:  # top boxes as wide as the ball of the bound: it touches few of them
+        levels, top_side = 2, 2.0 * bound or 1.0
+    finest = top_side / FINE ** (levels - 1)
 
     def box(lv):
         return [f"_b{lv}_{i}" for i in m]
@@ -209,8 +230,12 @@ def nearest(
     carry = cols(ids, group, axes)
     search = queries.selectExpr(*cols(ids, keys, axes), f"struct({', '.join(cols(ids, axes))}) as _q")
     best = F.min("_far").over(W.partitionBy("_q", *cols(keys, tags)))
+    if bound is not None:
+        for a, b in zip(axes, box(0), strict=True):
+            lo, hi = (f"cast(floor(({a} {sign} {bound * (1 + _PAD) + _PAD!r}D) / {top_side!r}D) as bigint)" for sign in "-+")
+            search = search.selectExpr("*", f"explode(sequence({lo}, {hi})) as {b}")
     for lv in range(levels):
-        on = cols(keys) if lv == 0 else cols(group, box(lv - 1))
+        on = cols(group, box(lv - 1)) if lv else cols(keys, box(0)) if bound is not None else keys
         step = search.join(level[lv], on).selectExpr("*", f"{near} as _near", f"{far} as _far")
         if bound is not None:
             step = step.filter(f"_near <= {float(bound)!r}D")

@@ -74,6 +74,26 @@ def rank_of(board: DataFrame, recall: float) -> DataFrame:
     return board.agg((F.count_if(F.col("recall") > recall) + 1).alias("rank"))
 
 
+def warning_counters(frames, given: DataFrame, dropped: DataFrame | None = None, geometry_match: bool | None = None) -> DataFrame:
+    """One row per detector with the counters that :func:`warnings` reads.
+
+    given(detector, patch) holds the patch ids of the input as they came, dropped(detector, dropped_invalid) is what the
+    alarm source counted.  Alarms off the surface are counted where the benchmark has a surface.
+    """
+    from .score import classify_patches, off_surface
+
+    kinds = classify_patches(frames.bench, given).groupBy("detector").agg(
+        F.count_if(F.col("kind") == "unknown").alias("unknown_ids"), F.count_if(F.col("kind") == "unscored").alias("unscored_ids"))
+    rows = frames.detector_score.select("detector", "alarms", "patches_verdict", "patches").join(kinds, "detector", "left")
+    if frames.bench.surface is not None:
+        rows = rows.join(off_surface(frames.bench, frames.input.alarms, frames.radius), "detector", "left")
+    else:
+        rows = rows.withColumn("alarms_off_surface", F.lit(0))
+    rows = rows.withColumn("dropped_invalid", F.lit(0)) if dropped is None else rows.join(dropped, "detector", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("unknown_ids", "unscored_ids", "dropped_invalid", "alarms_off_surface")]
+    return rows.select("detector", *zero, "alarms", "patches_verdict", "patches", F.lit(geometry_match).cast("boolean").alias("geometry_match"))
+
+
 def warnings(detector_rows: DataFrame, match_mm: float) -> DataFrame:
     """(detector, warning) from the per-detector counters; one row per warning that applies.
 

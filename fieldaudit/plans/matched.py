@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import SEED
 from ..functions.stats import per_100, wilson
 from ..operators.sampling import random_alarms
+from ..session import cut_lineage
 from .score import Alarms, Benchmark, patch_scores, pool
 
 RANDOM, MATCHED = "random", "random at the matched rate"
@@ -20,7 +21,7 @@ def matched_random(bench: Benchmark, alarms: Alarms, detector: str, surface: Dat
     measures the false alarms of detector and random alarms, the second draws anew at ``density`` times their ratio
     (0 if the random alarms had none).  De-duplication and crowding make the rate less than proportional to the density, so the
     second rate is near the first, within sampling noise while alarms are sparse.
-    Result: (detector, density, hits, events, recall, wilson_lo, wilson_hi, false_alarms, length, fa_per_100), in one job.
+    Result: (detector, density, hits, events, recall, wilson_lo, wilson_hi, false_alarms, length, fa_per_100).
     """
     patches = bench.scored_patches()
     places = surface.join(patches, "patch", "left_semi")
@@ -32,7 +33,7 @@ def matched_random(bench: Benchmark, alarms: Alarms, detector: str, surface: Dat
 
     own = Alarms(alarms.verdicts.filter(F.col("detector") == detector), alarms.alarms.filter(F.col("detector") == detector).select("detector", "patch", "alarm_ord", "x", "y", "z"))
     base = drawn(RANDOM, places, density, "base")
-    first = pool(patch_scores(bench, Alarms(own.verdicts.select("detector", "patch").unionByName(base.verdicts), own.alarms.unionByName(base.alarms)), r, dedup_r))
+    first = cut_lineage(pool(patch_scores(bench, Alarms(own.verdicts.select("detector", "patch").unionByName(base.verdicts), own.alarms.unionByName(base.alarms)), r, dedup_r)))  # two rows, read twice
     wanted, got = (F.sum(F.when(F.col("detector") == d, F.col("false_alarms"))) for d in (detector, RANDOM))
     scaled = first.agg(F.coalesce(F.lit(float(density)) * wanted / F.nullif(got.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_density"))
     again = drawn(MATCHED, places.crossJoin(F.broadcast(scaled)), F.max("_density"), "matched")  # one row

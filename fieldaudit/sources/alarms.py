@@ -96,39 +96,38 @@ def xyz_alarms(entries: DataFrame) -> Alarms:
     return Alarms(verdicts(entries), pts, entries.select("detector").distinct())
 
 
-def on_grid(points: DataFrame, vertices: DataFrame, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def on_grid(points: DataFrame, vertices: DataFrame, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grid alarms (detector, patch, alarm_ord, row, col) -> (alarms with coordinates, (detector, dropped_invalid)).
 
-    Alarms of patches without vertices, or outside ``scored`` (patch), have no place to look up: they are left out
-    before the lookup and not counted as invalid.
+    Alarms outside the ``scored`` patches (patch) are left out before the lookup and never counted as invalid.
     """
     v = vertices.filter("valid").select("patch", "row", "col", *XYZ)
-    known = (vertices if scored is None else scored).select("patch").distinct()
-    j = points.join(known, "patch", "left_semi").join(v, ["patch", "row", "col"], "left")
+    j = points.join(scored.select("patch").distinct(), "patch", "left_semi").join(v, ["patch", "row", "col"], "left")
     dropped = j.groupBy("detector").agg(F.count_if(F.col("x").isNull()).alias("dropped_invalid"))
     return j.filter("x is not null").select("detector", "patch", "alarm_ord", *XYZ), dropped
 
 
-def grid_alarms(entries: DataFrame, vertices: DataFrame, scored: DataFrame | None = None) -> tuple[Alarms, DataFrame]:
+def grid_alarms(entries: DataFrame, vertices: DataFrame, scored: DataFrame) -> tuple[Alarms, DataFrame]:
     p = parse_points(entries)
     rc = p.select("detector", "patch", "alarm_ord", *[F.col("coords")[i].cast("double").cast("long").alias(a) for i, a in enumerate(("row", "col"))])
     pts, dropped = on_grid(rc, vertices, scored)
     return Alarms(verdicts(entries), pts, entries.select("detector").distinct()), dropped
 
 
-def mask_alarms(masks: DataFrame, mask_patches: DataFrame, vertices: DataFrame) -> tuple[Alarms, DataFrame]:
+def mask_alarms(masks: DataFrame, mask_patches: DataFrame, vertices: DataFrame, scored: DataFrame) -> tuple[Alarms, DataFrame]:
     """Masks as a long table of set vertices (detector, patch, row, col); ``mask_patches`` (detector, patch)
     lists every patch with a mask, also those without a set vertex.  The order of a mask is row-major,
-    packed into one number, so no window is needed."""
+    packed into one number, so no window is needed.  Set vertices outside the ``scored`` patches are left out, uncounted."""
     rc = masks.withColumn("alarm_ord", F.shiftleft(F.col("row").cast("long"), 32) + F.col("col"))
-    pts, dropped = on_grid(rc, vertices)
+    pts, dropped = on_grid(rc, vertices, scored)
     return Alarms(mask_patches.distinct(), pts), dropped
 
 
 def load_alarms(spark: SparkSession, path: str, bench_vertices: DataFrame | None = None, fmt: str = "auto", detector=None, scored: DataFrame | None = None) -> tuple[Alarms, DataFrame | None]:
     """Read, check and convert alarm files; raises :class:`AlarmsError` on malformed input.
 
-    Each detector has its own format: the one it declares, else the one its points show.
+    Each detector has its own format: the one it declares, else the one its points show.  Grid alarms need
+    ``bench_vertices`` and the ``scored`` patches, for example ``Benchmark.scored_patches()``.
     """
     return convert_alarms(read_alarm_files(spark, path, detector), bench_vertices, fmt, scored)
 
@@ -157,6 +156,8 @@ def convert_alarms(entries: DataFrame, bench_vertices: DataFrame | None = None,
             raise AlarmsError("; ".join(f"{b['patch']}: {b['reason']}" for b in bad))
     if "grid" not in parts:
         return xyz_alarms(entries), None
+    if bench_vertices is None or scored is None:
+        raise AlarmsError("grid alarms need the vertices and the scored patches")
     grid, dropped = grid_alarms(parts["grid"], bench_vertices, scored)
     if "xyz" not in parts:
         return grid, dropped

@@ -156,7 +156,11 @@ def build_benchmark(events: DataFrame, runs: DataFrame, vertices: DataFrame, vox
 
 
 def load_benchmark(spark: SparkSession, corpus_path: str, vertices: DataFrame, check: bool = True) -> Benchmark:
-    """Read a corpus document and build its benchmark; raises :class:`CorpusError` on any violation."""
+    """Read a corpus document and build its benchmark; raises :class:`CorpusError` on any violation.
+
+    ``meta["geometry_match"]`` says whether the stored content hash equals :func:`fingerprint` of the scored patches (None
+    without a stored hash or without ``check``); a difference is a warning of the board, not a violation.
+    """
     doc = read_corpus(spark, corpus_path)
     head = doc.select("voxel_mm", "scoring", "scroll", "frame", "geometry_sha256").first()  # scalars only
     voxel_mm = head["voxel_mm"] or VOXEL_MM
@@ -170,7 +174,10 @@ def load_benchmark(spark: SparkSession, corpus_path: str, vertices: DataFrame, c
         _raise(geometry_violations(ev, rn, vertices, voxels(1.0, voxel_mm)))
     scoring = {k: v for k, v in head["scoring"].asDict().items() if v is not None} if head["scoring"] else {}
     bench = build_benchmark(events, runs, vertices, voxel_mm, scoring)
-    bench.meta = {"scroll": head["scroll"], "frame": head["frame"], "geometry_sha256": head["geometry_sha256"]}
+    same = None
+    if check and head["geometry_sha256"]:
+        same = fingerprint(vertices.join(scored, "patch", "left_semi")).first()["sha"] == head["geometry_sha256"]
+    bench.meta = {"scroll": head["scroll"], "frame": head["frame"], "geometry_sha256": head["geometry_sha256"], "geometry_match": same}
     return bench
 
 

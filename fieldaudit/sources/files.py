@@ -10,6 +10,7 @@ def file_digests(spark: SparkSession, path, base: str, pattern: str | None = Non
     """(file, bytes, sha256) of every file under ``path`` (one or several); ``file`` is its path below ``base``.
 
     Files are read by Spark's binary source, each in the task that hashes it (up to 2 GB, the limit of that source).
+    Spark's sources pass over empty files, so these have no row.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:

@@ -6,12 +6,14 @@ A batch scores its own patches and replaces exactly their rows; replaying a batc
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
 from ..plans.score import pool
+from ..session import cut_lineage
 
 
 def new_batches(live: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,26 +70,41 @@ def diff_boards(candidate: DataFrame, baseline: DataFrame, aliases: dict[str, st
     )
 
 
+def _written_before(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def rescore_stream(spark: SparkSession, source: str, schema, score_batch, state_path: str, checkpoint: str, bucket=None):
     """Score new files as they arrive and keep the per-patch state; returns the started query.
 
-    ``score_batch(batch) -> patch rows (detector, patch, ...)`` runs the scorer on the patches of a micro-batch.
-    State is written per ``bucket`` of patches with dynamic partition overwrite, so a replay writes the same
-    rows again.  ``trigger(availableNow)`` makes it a batch job with exactly-once bookkeeping.
+    ``score_batch(rows) -> patch rows (detector, patch, ...)`` runs the scorer on all rows so far of the patches that a
+    micro-batch touches, so rows of one patch add up however they are dealt to micro-batches; a row that comes again
+    as it was counts once.  The input rows are
+    kept beside the state, a folder per micro-batch, and the state per ``bucket`` of patches with dynamic partition
+    overwrite; a replayed micro-batch writes both again as they were.  ``trigger(availableNow)`` makes it a batch
+    job with exactly-once bookkeeping.
     """
-    def upsert(batch: DataFrame, _epoch: int) -> None:
-        update = score_batch(batch).withColumn("bucket", bucket if bucket is not None else F.pmod(F.xxhash64("patch"), F.lit(64)))
-        touched = update.select("bucket").distinct()
-        try:
-            old = batch.sparkSession.read.parquet(state_path).join(touched, "bucket", "left_semi")
+    inputs, scores = f"{state_path}/inputs", f"{state_path}/scores"
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{inputs}/epoch={epoch}")
+        rows = session.read.option("basePath", inputs).parquet(inputs).filter(F.col("epoch") <= epoch)
+        touched = rows.filter(F.col("epoch") == epoch).select("patch").distinct()
+        scored = score_batch(rows.join(touched, "patch", "left_semi").select(*batch.columns).distinct())
+        update = scored.withColumn("bucket", bucket if bucket is not None else F.pmod(F.xxhash64("patch"), F.lit(64)))
+        old = _written_before(session, scores)
+        if old is not None:
+            old = old.join(update.select("bucket").distinct(), "bucket", "left_semi")
             update = merge_scores(old.select(*update.columns), update)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        from ..session import cut_lineage
-
         # the new partitions are read from the files they replace, so they are materialised first
-        cut_lineage(update).write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(state_path)
+        cut_lineage(update).write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(scores)
 
     return (
         spark.readStream.schema(schema).parquet(source)
@@ -96,4 +113,4 @@ def rescore_stream(spark: SparkSession, source: str, schema, score_batch, state_
 
 
 def board_from_state(spark: SparkSession, state_path: str) -> DataFrame:
-    return pool(spark.read.parquet(state_path).drop("bucket"))
+    return pool(spark.read.parquet(f"{state_path}/scores").drop("bucket"))

@@ -152,7 +152,7 @@ def alarm_violations(t: Tables):
 def alarm_source_grid(t: Tables):
     """Grid alarms on invalid vertices are dropped and counted; those of unknown patches are neither."""
     pts = t.pt().filter("kind = 'error'").selectExpr("'d' as detector", f"patch % {t.surfaces() + 2} as patch", "event_id as alarm_ord", "event_id % 50 as row", "event_id % 64 as col")
-    kept, dropped = al.on_grid(pts, t.grid())
+    kept, dropped = al.on_grid(pts, t.grid(), t.grid().select("patch"))
     return dropped.select(F.col("dropped_invalid").alias("dropped")).crossJoin(kept.agg(F.count(F.lit(1)).alias("kept"), r6(F.sum("z")).alias("z")))  # single rows
 
 
@@ -160,7 +160,7 @@ def alarm_source_grid(t: Tables):
 def alarm_source_masks(t: Tables):
     g = t.grid(valid_only=False)
     m = g.filter("v > 0.1").selectExpr("'m' as detector", "patch", "row", "col")
-    a, _ = al.mask_alarms(m, g.selectExpr("'m' as detector", "patch").distinct(), t.grid())
+    a, _ = al.mask_alarms(m, g.selectExpr("'m' as detector", "patch").distinct(), t.grid(), t.grid().select("patch"))
     kept = a.alarms.groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
     total = m.groupBy("patch").agg(F.count(F.lit(1)).alias("all"))
     out = a.verdicts.join(kept, "patch", "left").join(total, "patch", "left").na.fill(0)
@@ -179,8 +179,8 @@ def same_scores_across_formats(t: Tables):
     flagged = g.filter("v > 0.17")
     rc = flagged.selectExpr("'grid' as detector", "patch", "row * 64 + col as alarm_ord", "row", "col")
     xyz = flagged.selectExpr("'xyz' as detector", "patch", "row * 64 + col as alarm_ord", "x", "y", "z")
-    grid, _ = al.on_grid(rc, g)
-    mask, _ = al.mask_alarms(rc.selectExpr("'mask' as detector", "patch", "row", "col"), rc.selectExpr("'mask' as detector", "patch"), g)
+    grid, _ = al.on_grid(rc, g, g.select("patch"))
+    mask, _ = al.mask_alarms(rc.selectExpr("'mask' as detector", "patch", "row", "col"), rc.selectExpr("'mask' as detector", "patch"), g, g.select("patch"))
     ev = g.filter("v < -0.15").selectExpr("patch * 100000 + row * 64 + col as event_id", "patch", "x", "y", "z")
     hits = event_hits(ev, xyz.unionByName(grid).unionByName(mask.alarms), 22.0)
     return hits.groupBy(F.col("detector").alias("source")).agg(F.count(F.lit(1)).alias("hits"))

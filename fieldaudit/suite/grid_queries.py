@@ -375,15 +375,6 @@ def sheet_assignment(t: Tables):
     return longs(rounded(a.select("patch", "row", "col", "offset", "spacing", "k"), "offset", "spacing"), "k")
 
 
-@query("labelled_switches")
-def labelled_switches(t: Tables):
-    """Clustered switch events of the labelled surfaces (permissive lengths for the noisy fixture)."""
-    probes, cloud = _cloud(t)
-    rules = st.Rules(event_mm=0.0)
-    ev = st.label_surfaces(probes, cloud, rules).events(rules)
-    return rounded(ev.select("patch", "cluster", "members", *XYZ), *XYZ)
-
-
 # chain labelling on plain columns: the label is the bucketed value, NULL where the row is unassigned
 CHAIN = {
     "src": "SELECT patch, row, col, x, y, z, CASE WHEN abs(v) < 0.16 THEN floor(v * 12)::BIGINT END AS sheet FROM grid",
@@ -452,7 +443,26 @@ def attach(t: Tables):
     return rounded(st.attach(pts, n), "nd")
 
 
-@query("unwrapped_angle")
+def _wrapped(t: str) -> str:
+    return f"({t} + pi() - 2 * pi() * floor(({t} + pi()) / (2 * pi())) - pi())"
+
+
+@query(
+    "unwrapped_angle",
+    # the field is smooth, so every component keeps it up to the whole turns of its first vertex
+    with_views(
+        f"""SELECT s.patch, s.row, s.col, {s6(_wrapped('raw'))} AS theta, {s6(f"raw + {_wrapped('raw0')} - raw0")} AS unwrapped FROM (
+          SELECT s.*, s.x / 150.0 + s.y / 97.0 AS raw, 20.0::DOUBLE * (c % 1000) / 150.0 + 20.0::DOUBLE * (c // 1000) / 97.0 AS raw0 FROM seg s
+          JOIN (SELECT patch, row, start, min(c) AS c FROM reach GROUP BY 1, 2, 3) USING (patch, row, start)) s""", "grid",
+        extra={
+            "isl": "SELECT patch, row, col, x, y, col - row_number() OVER (PARTITION BY patch, row ORDER BY col) AS isl FROM grid",
+            "seg": "SELECT *, min(col) OVER (PARTITION BY patch, row, isl) AS start FROM isl",
+            "tie": "SELECT DISTINCT a.patch, a.row AS r1, a.start AS s1, b.row AS r2, b.start AS s2 FROM seg a JOIN seg b ON b.patch = a.patch AND b.row = a.row + 1 AND b.col = a.col",
+            "link": "SELECT * FROM tie UNION ALL SELECT patch, r2, s2, r1, s1 FROM tie",
+            "reach": """SELECT DISTINCT patch, row, start, row * 1000 + start AS c FROM seg UNION
+              SELECT t.patch, t.r2, t.s2, q.c FROM reach q JOIN link t ON t.patch = q.patch AND t.r1 = q.row AND t.s1 = q.start""",
+        }),
+)
 def unwrapped_angle(t: Tables):
     g = t.grid().withColumn("theta", G.wrap_angle(F.col("x") / 150.0 + F.col("y") / 97.0))
     u = gr.unwrap_angle(g, "theta")

@@ -186,10 +186,10 @@ def dedup(t: Tables):
 
 @query("dedup_tiled", with_views("SELECT detector, patch, alarm_ord FROM kept", "kept"))
 def dedup_tiled(t: Tables):
-    """The same rule through the round-based path that serves groups too large for one task."""
+    """The same rule over small tiles, so that many points lie in margins and chains leave their tiles."""
     scored = t.benchmark().scored_patches()
     raw = t.alarm().join(scored, "patch", "left_semi")
-    return greedy_dedup(raw, DEDUP, group_limit=8, per_cell=4, tile_cells=4).select("detector", "patch", "alarm_ord")
+    return greedy_dedup(raw, DEDUP, tile_cells=4).select("detector", "patch", "alarm_ord")
 
 
 @query(
@@ -298,19 +298,40 @@ def leaderboard_cells(t: Tables):
 @query(
     "board_warnings",
     with_views(
-        """SELECT detector, printf('no verdict on %d of %d scored patches', patches - n, patches) AS warning FROM
-        (SELECT d.detector, count(v.patch) AS n, count(*) AS patches FROM scored s CROSS JOIN dets d
-         LEFT JOIN verdict v ON v.patch = s.patch AND v.detector = d.detector GROUP BY 1) WHERE n < patches""",
-        "scored", "dets", "verdict"),
+        """SELECT detector, unnest(list_filter([
+          'geometry differs from the published fingerprint: not comparable',
+          CASE WHEN unknown > 0 THEN printf('%d patch id(s) are not in the corpus', unknown) END, CASE WHEN unscored > 0 THEN printf('%d patch(es) carry nothing scored', unscored) END,
+          CASE WHEN dropped > 0 THEN printf('%d alarm(s) on invalid vertices dropped', dropped) END,
+          CASE WHEN off > 0 THEN printf('%d of %d alarm(s) farther than 25 mm from the surface', off, alarms) END,
+          CASE WHEN n < patches THEN printf('no verdict on %d of %d scored patches', patches - n, patches) END], lambda x: x IS NOT NULL)) AS warning FROM (
+        SELECT d.detector, (SELECT count(*) FROM given g WHERE g.detector = d.detector AND g.patch NOT IN (SELECT patch FROM scored) AND g.patch NOT IN (SELECT patch FROM known)) AS unknown,
+          (SELECT count(*) FROM given g WHERE g.detector = d.detector AND g.patch NOT IN (SELECT patch FROM scored) AND g.patch IN (SELECT patch FROM known)) AS unscored,
+          (SELECT count(*) FROM gridded q WHERE q.detector = d.detector AND q.patch IN (SELECT patch FROM scored) AND NOT EXISTS (SELECT 1 FROM grid g WHERE g.patch = q.patch AND g.row = q.row AND g.col = q.col)) AS dropped,
+          (SELECT count(*) FROM inside a WHERE a.detector = d.detector) AS alarms,
+          (SELECT count(*) FROM inside a WHERE a.detector = d.detector AND NOT EXISTS (SELECT 1 FROM rv v WHERE v.patch = a.patch
+            AND sqrt((a.x-v.x)*(a.x-v.x) + (a.y-v.y)*(a.y-v.y) + (a.z-v.z)*(a.z-v.z)) <= 25)) AS off,
+          (SELECT count(*) FROM verdict v WHERE v.detector = d.detector AND v.patch IN (SELECT patch FROM scored)) AS n, (SELECT count(*) FROM scored) AS patches FROM dets d)""",
+        "scored", "dets", "verdict", "alarm", "ev", "rv", "grid",
+        extra={
+            "known": "SELECT DISTINCT patch FROM ev UNION SELECT DISTINCT patch FROM rv",
+            "given": "SELECT DISTINCT kind AS detector, patch + CASE WHEN event_id % 40 = 0 THEN 1000000 ELSE 0 END AS patch FROM pt WHERE kind IN ('error', 'click', 'signup')",
+            "gridded": "SELECT kind AS detector, patch, event_id % 50 AS row, event_id % 64 AS col FROM pt WHERE kind = 'error'",
+            "inside": "SELECT a.* FROM alarm a JOIN scored USING (patch)",
+        }),
 )
 def board_warnings(t: Tables):
-    d = score(t.benchmark(), t.alarms()).detector_score
-    none = F.lit(0)
-    rows = d.select(
-        "detector", none.alias("unknown_ids"), none.alias("unscored_ids"), none.alias("dropped_invalid"), "alarms",
-        none.alias("alarms_off_surface"), "patches_verdict", "patches", F.lit(None).cast("boolean").alias("geometry_match"),
-    )
-    return board.warnings(rows, RADIUS)
+    """All counters of the board: some ids are displaced, one detector's alarms are also looked up on the grid, the runs serve as surface."""
+    import dataclasses
+
+    from ..sources.alarms import on_grid
+
+    bench = dataclasses.replace(t.benchmark(), surface=t.run_vertex().select("patch", "x", "y", "z"))
+    raw = t.pt().filter(F.col("kind").isin("error", "click", "signup"))
+    given = raw.select(F.col("kind").alias("detector"), (F.col("patch") + F.when(F.col("event_id") % 40 == 0, 1000000).otherwise(0)).alias("patch"))
+    cells = raw.filter("kind = 'error'").selectExpr("kind as detector", "patch", "event_id as alarm_ord", "event_id % 50 as row", "event_id % 64 as col")
+    _, dropped = on_grid(cells, t.grid(), bench.scored_patches())
+    frames = score(bench, t.alarms())
+    return board.warnings(board.warning_counters(frames, given, dropped, geometry_match=False), RADIUS)
 
 
 # ------------------------------------------------------------------ cap

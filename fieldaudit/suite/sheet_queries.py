@@ -10,7 +10,7 @@ from ..operators import grid as gr
 from ..operators import stacks as st
 from ..operators import stats as sa
 from .base import Tables, query, rounded, s6, with_views
-from .grid_queries import CROSS, STEPS, _cloud
+from .grid_queries import CROSS, STEPS, XYZ, _cloud
 
 _AXES = {
     "row": "SELECT patch, row, col, x, y, z, 'row' AS axis, row AS line, col AS along FROM nrm",
@@ -137,6 +137,30 @@ def labelled_segments(t: Tables):
     return rounded(seg.select("patch", "axis", "run", "chain", "segment", "label", "i0", "i1", "n", "length", "coverage", "max_gap"), "length", "coverage", "max_gap")
 
 
+@query(
+    "labelled_switches",
+    with_views(
+        f"""SELECT patch, cluster, count(*) AS members, {s6('avg(x)')} AS x, {s6('avg(y)')} AS y, {s6('avg(z)')} AS z FROM det
+        JOIN (SELECT id, min(c) AS cluster FROM hop GROUP BY 1) USING (id) GROUP BY 1, 2""", "grid",
+        extra={
+            **LABELS,
+            "ahead": """SELECT *, lead(label) OVER w - label AS delta, lead(n) OVER w AS bn, lead(ok) OVER w AS bok, lead(i0) OVER w AS b0 FROM
+              (SELECT *, coverage >= 0.8 AND max_gap <= 1.0 AS ok FROM segm) WINDOW w AS (PARTITION BY patch, run, chain ORDER BY segment)""",
+            "det": """SELECT s.patch, concat_ws('|', s.patch, s.run, s.chain, s.segment) AS id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z FROM ahead s
+              JOIN arcs a ON a.patch = s.patch AND a.run = s.run AND a.pos = s.i1 JOIN arcs b ON b.patch = s.patch AND b.run = s.run AND b.pos = s.b0
+              WHERE abs(delta) = 1 AND ((bok AND n >= 2) OR (ok AND bn >= 2))""",
+            "hop": """SELECT id, id AS c, patch, x, y, z FROM det UNION
+              SELECT d.id, h.c, d.patch, d.x, d.y, d.z FROM hop h JOIN det d ON d.patch = h.patch AND sqrt(pow(d.x - h.x, 2) + pow(d.y - h.y, 2) + pow(d.z - h.z, 2)) < 1 / 0.0096""",
+        }),
+)
+def labelled_switches(t: Tables):
+    """Clustered switch events of the labelled surfaces (permissive lengths for the noisy fixture)."""
+    probes, cloud = _cloud(t)
+    rules = st.Rules(event_mm=0.0)
+    ev = st.label_surfaces(probes, cloud, rules).events(rules)
+    return rounded(ev.select("patch", "cluster", "members", *XYZ), *XYZ)
+
+
 @query(
     "followed_sheet",
     with_views(f"SELECT track, pos::BIGINT AS pos, j::BIGINT AS j, {s6('t')} AS t FROM seen", "grid", extra={**LABELS, **following(FIRST)}),

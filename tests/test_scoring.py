@@ -72,7 +72,7 @@ def test_false_alarms_verdicts_and_coverage(spark, bench):
 
 
 def test_three_formats_agree(spark, bench, tmp_path):
-    grid = load_alarms(spark, write(tmp_path, {"pA": [[5, 11], [20, 30], [0, 79]], "pB": [], "zz": None}), fx.vertices(spark))
+    grid = load_alarms(spark, write(tmp_path, {"pA": [[5, 11], [20, 30], [0, 79]], "pB": [], "zz": None}), fx.vertices(spark), scored=fx.vertices(spark).select("patch"))
     xyz = load_alarms(spark, write(tmp_path, {"format": "xyz", "detector": "det", "alarms": {"pA": [[1220, 2000, 3100], [1600, 2000, 3400]], "pB": []}}, "other"))
     assert grid[1].first()["dropped_invalid"] == 1
     rows = [score(bench, a, bootstrap=0).detector_score.collect() for a, _ in (grid, xyz)]
@@ -85,7 +85,7 @@ def test_three_formats_agree(spark, bench, tmp_path):
 ])
 def test_malformed_alarms_are_refused(spark, tmp_path, bad):
     with pytest.raises(AlarmsError):
-        load_alarms(spark, write(tmp_path, bad), fx.vertices(spark))
+        load_alarms(spark, write(tmp_path, bad), fx.vertices(spark), scored=fx.vertices(spark).select("patch"))
 
 
 def test_manifest_with_a_format_per_entry(spark, bench, tmp_path):
@@ -95,7 +95,7 @@ def test_manifest_with_a_format_per_entry(spark, bench, tmp_path):
     entries = [{"name": n, "alarms": str(tmp_path / f), "tool": "t"} for n, f in (("grid", "a.json"), ("points", "b.json"), ("again", "b.json"), ("clean", "c.json"))]
     (tmp_path / "entries.json").write_text(json.dumps(entries))
     manifest = read_manifest(spark, str(tmp_path / "entries.json"))
-    alarms, dropped = load_manifest(spark, manifest, fx.vertices(spark))
+    alarms, dropped = load_manifest(spark, manifest, fx.vertices(spark), fx.vertices(spark).select("patch"))
     assert [tuple(r) for r in dropped.collect()] == [("grid", 1)]
     rows = leaderboard(score(bench, alarms, bootstrap=0), entry=manifest.select("entry_ord", "detector", "tool", "mode")).collect()
     assert {(r["detector"], r["hits"], r["alarms"], r["mode"]) for r in rows} == {
@@ -131,8 +131,43 @@ def test_dedup_paths_agree_with_brute_force(spark, kind):
     df = fx.point_table(spark, [("d", "p", *p) for p in pts])
     want = _brute(pts, 9.0)
     assert sorted(r["alarm_ord"] for r in greedy_dedup(df, 9.0).collect()) == want
-    tiled = greedy_dedup(df.repartition(7), 9.0, group_limit=10, per_cell=3, tile_cells=3)
-    assert sorted(r["alarm_ord"] for r in tiled.collect()) == want
+    for cells in (2, 3, 5):
+        tiled = greedy_dedup(df.repartition(7), 9.0, tile_cells=cells)
+        assert sorted(r["alarm_ord"] for r in tiled.collect()) == want
+
+
+def test_dedup_streams_groups_in_blocks(spark, monkeypatch):
+    """Several groups, NULL keys, points without coordinates and further columns, cut into blocks of a few rows."""
+    import random
+
+    from fieldaudit.operators import dedup
+
+    rng = random.Random(3)
+    rows = []
+    for d in ("a", "b", None):
+        for i in range(120):
+            dense = rng.random() < 0.4
+            p = (1.0, 1.0, 1.0) if dense else (rng.uniform(-30, 30), rng.uniform(-30, 30), 0.0)
+            rows.append((d, i % 2, i, *p, "x"))
+    rows.append(("a", 0, 500, None, None, None, "x"))
+    df = spark.createDataFrame(rows, "detector string, patch long, alarm_ord long, x double, y double, z double, _t9 string")
+    want = []
+    for d in ("a", "b", None):
+        for p in (0, 1):
+            want += [(d, p, o) for o in _brute([(r[2], *r[3:6]) for r in rows if r[0] == d and r[1] == p and r[3] is not None], 6.0)]
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 7)
+    kept = greedy_dedup(df.repartition(5), 6.0, tile_cells=3)
+    assert kept.columns == df.columns
+    assert sorted(((r["detector"], r["patch"], r["alarm_ord"]) for r in kept.collect()), key=repr) == sorted([*want, ("a", 0, 500)], key=repr)
+
+
+def test_dedup_starts_no_job(spark):
+    df = fx.point_table(spark, [("d", "p", i, float(i), 0.0, 0.0) for i in range(50)])
+    seen = lambda: {j for s in [spark.sparkContext.statusTracker()] for j in s.getJobIdsForGroup("dedup-plan")}
+    spark.sparkContext.setJobGroup("dedup-plan", "planning")
+    greedy_dedup(df, 3.0)
+    assert not seen()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_joins_on_a_hot_cell(spark):
