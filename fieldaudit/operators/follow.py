@@ -10,11 +10,15 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import SEED
 from ..session import ship
+from .ordered import exact_percentiles
+from .sampling import cap_per_group
+from .spatial import k_nearest_within
 from .stacks import Rules, runs_with_positions
 
 
@@ -171,3 +175,42 @@ def run_edges(vertices: DataFrame, scores: DataFrame, axis: str) -> DataFrame:
     runs = runs_with_positions(vertices, axis)
     inner = runs.withColumn("_next", F.lead("pos").over(W.partitionBy("patch", "run").orderBy("pos"))).filter("_next IS NOT NULL")
     return inner.select("patch", "row", "col", "run", "pos").join(scores, ["patch", "row", "col"]).select("patch", "run", "pos", "score", "ref")
+
+#: Fixed values of the published protocol: an abrupt step in voxels, the planted and the candidate edge score.
+ABRUPT, PLANTED, CANDIDATE = 6.0, 0.5, 0.25
+
+
+def event_rollup(members: DataFrame, event="event", keep: Column | None = None, abrupt: float = ABRUPT, planted: float = PLANTED, candidate: float = CANDIDATE) -> DataFrame:
+    """Members of an event to one row: medians and extremes of :func:`transition_metrics` and seven flags.
+
+    members(event, the columns of transition_metrics with edges).  Only reproduced members that meet ``keep`` are measured, all are
+    counted; an event without a measured member has no row.  A flag is NULL where nothing it needs was measured.
+    An event has few members, so its medians are exact.
+    """
+    used = F.col("reproduced") & (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
+    of = lambda c: F.when(used, F.col(c))
+    median = lambda c: F.percentile(of(c), 0.5)
+    e = members.groupBy(event).agg(
+        F.count(F.lit(1)).alias("n_members"), F.count_if(used).alias("n_reproduced"), median("width_mm").alias("width_median"), F.min(of("width_mm")).alias("width_min"),
+        median("n_steps").alias("steps_median"), F.min(of("n_steps")).alias("steps_min"),
+        *[F.max(of(c)).alias(c) for c in ("max_step", "max_step_sf", "max_rate", "max_rate_sf", "zone_score", "zone_voxels")],
+        *[median(c).alias(f"{c}_median") for c in ("max_step", "max_step_sf", "total_offset", "total_sf", "gap_a", "gap_b", "spacing_b")],
+        F.coalesce(F.sum(of("n_step_measurements")), F.lit(0)).alias("n_step_measurements"), F.coalesce(F.bool_or(of("partial")), F.lit(False)).alias("any_partial"))
+    flags = {
+        "abrupt_planned": F.col("max_step") >= abrupt, "abrupt_sf": F.col("max_step_sf") >= abrupt, "abrupt_median_planned": F.col("max_step_median") >= abrupt,
+        "abrupt_median_sf": F.col("max_step_sf_median") >= abrupt, "one_step": F.col("steps_median") <= 1, "planted_level": F.col("zone_score") >= planted,
+        "candidate": F.col("zone_score") >= candidate}
+    return e.filter("n_reproduced > 0").select("*", *[c.alias(n) for n, c in flags.items()])
+
+
+def layer_spacing(layers: DataFrame, reach: float = 80.0, most: int = 3000, probs=(0.1, 0.5, 0.9), seed=SEED) -> DataFrame:
+    """One row (n, p0, p1, …): percentiles of the distance from a layer's vertices to the tangent planes of the next layer.
+
+    layers(layer, row, col, x, y, z, nx, ny, nz) with consecutive layer numbers.  Of each layer ``most`` vertices are taken, by hash;
+    a vertex counts if its nearest vertex of the next layer is closer than ``reach``.
+    """
+    picked = cap_per_group(layers, most, ["layer"], ["row", "col"], seed)
+    at = picked.select((F.col("layer") + 1).alias("layer"), F.col("row").alias("_row"), F.col("col").alias("_col"), "x", "y", "z")
+    near = k_nearest_within(at, layers, 1, reach, ids=["layer", "_row", "_col"], order=["row", "col"], keys=["layer"]).filter(F.col("dist") < reach)
+    gap = F.abs(sum((F.col(f"r_{a}") - F.col(a)) * F.col(f"n{a}") for a in ("x", "y", "z")))
+    return exact_percentiles(near.select(gap.alias("gap")), "gap", list(probs))

@@ -70,14 +70,10 @@ def _percentile(sorted_array: str, q: str) -> str:
 
 
 def _streaks(series: str, test: str) -> str:
-    """Array of (a, b) index pairs (0-based, inclusive) of maximal streaks where ``test`` (of x) holds."""
-    start = "named_struct('a', i, 'b', i)"
-    grow = "concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', i)))"
-    return (
-        f"aggregate(sequence(0, size({series}) - 1), cast(array() as array<struct<a: int, b: int>>), (acc, i) -> "
-        f"case when not transform(array(element_at({series}, i + 1)), x -> {test})[0] then acc "
-        f"when size(acc) > 0 and element_at(acc, -1).b = i - 1 then {grow} else concat(acc, array({start})) end)"
-    )
+    """Array of (a, b) index pairs (0-based, inclusive) of maximal streaks where ``test`` (of {x}) holds."""
+    at = lambda i: f"coalesce({test.format(x=f'get({series}, {i})')}, false)"
+    edge = lambda beside: f"filter(sequence(0, size({series}) - 1), i -> {at('i')} and not {at(beside)})"
+    return f"zip_with({edge('i - 1')}, {edge('i + 1')}, (p, q) -> named_struct('a', p, 'b', q))"
 
 
 def two_sheet_rule(profiles: DataFrame, step: float, out: str = "passed") -> DataFrame:
@@ -98,8 +94,8 @@ def two_sheet_rule(profiles: DataFrame, step: float, out: str = "passed") -> Dat
         "filter(_z, w -> w.t >= _lo and w.t <= _hi) as _in",
     )
     d = d.selectExpr("*", "transform(_in, w -> w.vs) as _vi", "transform(_in, w -> w.t) as _ti")
-    dark = f"size(filter({_streaks('_vi', 'x < _thr')}, g -> (g.b - g.a + 1) * {float(step)!r}D >= min_dark))"
-    mid = f"size(filter({_streaks('_vi', 'x >= _mid')}, g -> element_at(_ti, g.a + 1) > _lo + _ez and element_at(_ti, g.b + 1) < _hi - _ez))"
+    dark = f"size(filter({_streaks('_vi', '{x} < _thr')}, g -> (g.b - g.a + 1) * {float(step)!r}D >= min_dark))"
+    mid = f"size(filter({_streaks('_vi', '{x} >= _mid')}, g -> element_at(_ti, g.a + 1) > _lo + _ez and element_at(_ti, g.b + 1) < _hi - _ez))"
     undecided = f"vs is null or size(vs) = 0 or _r - _p < {CONTRAST_MIN}D or size(_zl) = 0 or size(_zh) = 0 or size(_in) < 2"
     rule = f"array_max(_zl) > _thr and array_max(_zh) > _thr and {dark} = 1 and {mid} = 0"
     drop = ["_sorted", "_ez", "_lo", "_hi", "_p", "_r", "_thr", "_z", "_mid", "_zl", "_zh", "_in", "_vi", "_ti"]
@@ -128,28 +124,37 @@ CEILINGS = [0.05, 0.075, 0.10, 0.15]
 
 
 def sweep(controls: DataFrame, step: float, grid: dict[str, list[float]] = SWEEP, keys=("kind", "split")) -> DataFrame:
-    """(keys, parameters, n, decided, passed): windows once, smoothing once per sigma, then the rest of the grid.
+    """(keys, parameters, n, decided, passed) of :func:`two_sheet_rule` over a parameter grid.
 
-    controls(keys, t, v, t0, t1, s) holds one row per control profile.
+    controls(keys, t, v, t0, t1, s) holds one row per control profile.  Each parameter is exploded where it is first
+    needed: windows are cut once, series smoothed and sorted once per sigma, dark stretches found once per (sigma, q), bright
+    ones once per (sigma, q, mid_bias); the other settings only compare them.
     """
-    rest = [k for k in grid if k != "sigma"]
-    params = None
-    for k in rest:
-        arr = "array(" + ", ".join(f"{float(v)!r}D" for v in grid[k]) + ")"
-        params = [(k, arr)] if params is None else params + [(k, arr)]
+    keys = list(keys)
+
+    def exploded(d: DataFrame, name: str) -> DataFrame:
+        values = ", ".join(f"{float(v)!r}D" for v in grid[name])
+        return d.selectExpr("*", f"explode(array({values})) as {name}")
+
     cut = window(controls)
-    out = None
+    d = None
     for sigma in grid["sigma"]:
-        d = smooth(cut, sigma / step).selectExpr("*", f"{float(sigma)!r}D as sigma").drop("v")
-        out = d if out is None else out.unionByName(d)
-    # five smoothed copies times the rest of the grid: give the evaluation every partition
-    out = out.repartition(int(controls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for k, arr in params:
-        out = out.selectExpr("*", f"explode({arr}) as {k}")
-    res = two_sheet_rule(out, step)
-    return res.groupBy(*keys, "sigma", *rest).agg(
-        F.count(F.lit(1)).alias("n"), F.count("passed").alias("decided"), F.count_if("passed").alias("passed")
-    )
+        part = smooth(cut, sigma / step).selectExpr("*", f"{float(sigma)!r}D as sigma").drop("v")
+        d = part if d is None else d.unionByName(part)
+    d = d.selectExpr(*keys, "sigma", "s", "vs", "array_sort(vs) as _sorted", "least(t0, t1) as _lo", "greatest(t0, t1) as _hi", "arrays_zip(t, vs) as _z")
+    d = d.selectExpr("*", "filter(_z, w -> w.t >= _lo and w.t <= _hi) as _in").selectExpr("*", "transform(_in, w -> w.vs) as _vi", "transform(_in, w -> w.t) as _ti")
+    d = exploded(d, "q").selectExpr("*", f"{_percentile('_sorted', 'q')} as _p", f"{_percentile('_sorted', '(100 - q)')} as _r").selectExpr("*", "(_p + _r) / 2 as _thr")
+    d = d.selectExpr("*", f"transform({_streaks('_vi', '{x} < _thr')}, g -> (g.b - g.a + 1) * {float(step)!r}D) as _dark").drop("_sorted", "_in")
+    d = exploded(d, "mid_bias").selectExpr("*", "(_thr - mid_bias * (_r - _p)) as _mid")
+    d = d.selectExpr("*", f"transform({_streaks('_vi', '{x} >= _mid')}, g -> named_struct('a', get(_ti, g.a), 'b', get(_ti, g.b))) as _light")
+    d = exploded(d.drop("_mid"), "end_zone").selectExpr("*", f"greatest(end_zone * s, {step / 2 + 1e-6!r}D) as _ez")
+    zone = lambda at: f"transform(filter(_z, w -> w.t >= {at} - _ez and w.t <= {at} + _ez), w -> w.vs)"
+    d = d.selectExpr("*", f"{zone('_lo')} as _zl", f"{zone('_hi')} as _zh")
+    undecided = f"vs is null or size(vs) = 0 or _r - _p < {CONTRAST_MIN}D or size(_zl) = 0 or size(_zh) = 0 or size(_vi) < 2"
+    bright = "array_max(_zl) > _thr and array_max(_zh) > _thr and not exists(_light, g -> g.a > _lo + _ez and g.b < _hi - _ez)"
+    d = exploded(d.selectExpr(*keys, "sigma", "q", "mid_bias", "end_zone", "_dark", f"if({undecided}, null, {bright}) as _bright"), "min_dark")
+    d = d.selectExpr("*", "if(_bright is null, null, _bright and size(filter(_dark, n -> n >= min_dark)) = 1) as passed")
+    return d.groupBy(*keys, *grid).agg(F.count(F.lit(1)).alias("n"), F.count("passed").alias("decided"), F.count_if("passed").alias("passed"))
 
 
 def sweep_table(rates: DataFrame, kinds=("adjacent", "two_apart", "same_sheet"), params=tuple(SWEEP)) -> DataFrame:

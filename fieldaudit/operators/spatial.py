@@ -17,7 +17,7 @@ from ..functions.geometry import XYZ
 from ..session import cols
 
 FINE = 8  # fine boxes per cell edge; a power of two, so that a fine index shifts to its cell
-LEVELS, OPENED = 3, 64  # levels of boxes, and the points of a box that is opened at once
+LEVELS = 2  # levels of boxes: what is opened point by point is a shell of r / 32
 _SHIFT = 3
 _PAD = 1e-6  # cell cover only; the distance test itself is exact
 
@@ -85,7 +85,7 @@ def _boxes(targets: DataFrame, group, side: float, axes) -> DataFrame:
     n = range(len(axes))
     fine = targets.selectExpr(*group, *axes, *[f"{_fine(a, side)} as _f{i}" for i, a in enumerate(axes)])
     aggs = [F.expr(f"{fn}({a}) as _{e}{i}") for i, a in enumerate(axes) for fn, e in (("min", "lo"), ("max", "hi"))]
-    boxes = fine.groupBy(*group, *[f"_f{i}" for i in n]).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    boxes = fine.groupBy(*group, *[f"_f{i}" for i in n]).agg(*aggs)
     return boxes.selectExpr("*", *[f"shiftright(_f{i}, {_SHIFT}) as _c{i}" for i in n])
 
 
@@ -115,40 +115,27 @@ def matches_within(
     ids, keys, tags = list(ids), list(keys), list(tags)
     side = 2.0 * r if r > 0 else 1.0
     n = range(len(axes))
-    cells, fines = _cell_names(axes), [f"_f{i}" for i in n]
-    boxes = _boxes(targets, cols(keys, tags), side, axes)
-    probe = _cover(queries.select(*cols(ids, keys, axes)), r, side, axes)
+    cells, group, found = _cell_names(axes), cols(keys, tags), cols(ids, tags)
+    box = [[f"_f{level}{i}" for i in n] for level in range(LEVELS)]
+    edges = [(e, fn, i) for i in n for e, fn in (("lo", "min"), ("hi", "max"))]
+    finest = box[-1]
+    points = targets.selectExpr(*group, *[f"{a} as _t{i}" for i, a in enumerate(axes)], *[f"{_fine(a, side / FINE ** (LEVELS - 1))} as {f}" for a, f in zip(axes, finest)])
+    boxes = {LEVELS - 1: points.groupBy(*group, *finest).agg(*[F.expr(f"{fn}(_t{i}) as _{e}{i}") for e, fn, i in edges])}
+    for level in range(LEVELS - 2, -1, -1):  # wider boxes are made of the finer ones, which lie inside them
+        boxes[level + 1] = boxes[level + 1].selectExpr("*", *[f"shiftright({f}, {_SHIFT}) as {g}" for f, g in zip(box[level + 1], box[level])])
+        boxes[level] = boxes[level + 1].groupBy(*group, *box[level]).agg(*[F.expr(f"{fn}(_{e}{i}) as _{e}{i}") for e, fn, i in edges])
+    boxes[0] = boxes[0].selectExpr("*", *[f"shiftright({f}, {_SHIFT}) as {c}" for f, c in zip(box[0], cells)])
+
     near, far = _box_bounds(axes)
-    cand = probe.join(boxes, cols(keys, cells)).filter(_within(near, r, strict))
-    cand = cand.selectExpr(*cols(ids, keys, tags, axes, fines), "_n", f"{_within(far, r, strict)} as _sure")
-    found = cols(ids, tags)
-    settled = cand.filter("_sure").select(*found)
-
-    # A cut box of few points is opened; a dense one is looked at as boxes an eighth as wide, twice over, so that
-    # two dense groups at a distance of r are compared in a shell of r / 256, not point by point.
-    group, found_at = cols(keys, tags), [settled]
-    cut, before = cand.filter("not _sure").select(*cols(ids, group, axes, fines), "_n"), fines
-    for level in range(1, LEVELS + 1):
-        last = level == LEVELS
-        few = cut if last else cut.filter(f"_n <= {OPENED}")
-        members = targets.selectExpr(*group, *[f"{a} as _t{i}" for i, a in enumerate(axes)], *[f"{_fine(a, side / FINE ** (level - 1))} as {f}" for a, f in zip(axes, before)])
-        exact = _within(_distance(axes, [f"_t{i}" for i in n]), r, strict)
-        found_at.append(few.drop("_n").join(members, cols(group, before)).filter(exact).select(*found))
-        if last:
-            break
-        names = [f"_g{level}{i}" for i in n]
-        finer = targets.selectExpr(*group, *axes, *[f"{_fine(a, side / FINE ** level)} as {g}" for a, g in zip(axes, names)])
-        aggs = [F.expr(f"{fn}({a}) as _{e}{i}") for i, a in enumerate(axes) for fn, e in (("min", "lo"), ("max", "hi"))]
-        finer = finer.groupBy(*group, *names).agg(*aggs, F.count(F.lit(1)).alias("_n"))
-        finer = finer.selectExpr("*", *[f"shiftright({g}, {_SHIFT}) as {f}" for g, f in zip(names, before)])
-        step = cut.filter(f"_n > {OPENED}").drop("_n").join(finer, cols(group, before)).filter(_within(near, r, strict))
-        step = step.selectExpr(*cols(ids, group, axes, names), "_n", f"{_within(far, r, strict)} as _sure")
-        found_at.append(step.filter("_sure").select(*found))
-        cut, before = step.filter("not _sure").drop("_sure"), names
-    out = found_at[0]
-    for part in found_at[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    search, out = _cover(queries.select(*cols(ids, keys, axes)), r, side, axes), None
+    for level in range(LEVELS):
+        on = cols(group, box[level - 1]) if level else cols(keys, cells)
+        step = search.join(boxes[level], on).filter(_within(near, r, strict)).selectExpr(*cols(ids, group, axes, box[level]), f"{_within(far, r, strict)} as _sure")
+        settled = step.filter("_sure").select(*found)
+        out = settled if out is None else out.unionByName(settled)
+        search = step.filter("not _sure").drop("_sure")
+    hits = search.join(points, cols(group, finest)).filter(_within(_distance(axes, [f"_t{i}" for i in n]), r, strict)).select(*found)
+    return out.unionByName(hits).distinct()
 
 
 def ball_max(queries: DataFrame, targets: DataFrame, value: str, r: float, ids, keys=(), axes=XYZ) -> DataFrame:

@@ -6,6 +6,7 @@ is one row per (patch, detector), the sufficient statistic of every rate and int
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,8 +22,37 @@ from ..operators.sampling import cap_per_group
 from ..operators.spatial import matches_within, nearest, without_match
 
 CONFIRMED = "confirmed"
-# Default settings of the protocol.
-DEFAULTS = {"match_mm": 1.0, "per_patch_cap": None, "bootstrap": 2000, "seed": SEED, "fa_dedup_mm": 0.5}
+
+
+@dataclass(frozen=True)
+class Setting:
+    """One setting: its default, how a given value is read, and the bound a read value must keep."""
+
+    default: object
+    read: Callable
+    low: float = float("-inf")
+    open: bool = False  # the bound itself is not allowed
+
+    def of(self, name: str, value):
+        found = self.read(value)
+        if found is not None and (found < self.low or self.open and found == self.low):
+            raise ValueError(f"{name} must be {'above' if self.open else 'at least'} {self.low:g}, got {value}")
+        return found
+
+
+def _cap(value) -> int | None:
+    """A cap of 0 or less is no cap."""
+    return None if value is None or int(value) <= 0 else int(value)
+
+
+#: Default settings of the protocol.
+SETTINGS = {
+    "match_mm": Setting(1.0, float, 0, open=True),
+    "per_patch_cap": Setting(None, _cap),
+    "bootstrap": Setting(2000, int, 0),
+    "seed": Setting(SEED, int),
+    "fa_dedup_mm": Setting(0.5, float, 0),
+}
 
 
 @dataclass
@@ -71,21 +101,10 @@ class Alarms:
 
 
 def resolve_settings(defaults: dict | None = None, **given) -> tuple[dict, dict]:
-    """Effective settings and the origin of each: argument, then corpus, then built-in default."""
-    value, origin = {}, {}
-    for name, builtin in DEFAULTS.items():
-        value[name], origin[name] = builtin, "default"
-        if defaults and name in defaults:
-            value[name], origin[name] = defaults[name], "corpus"
-        if given.get(name) is not None:
-            value[name], origin[name] = given[name], "argument"
-    cap = value["per_patch_cap"]
-    value["per_patch_cap"] = int(cap) if cap is not None and int(cap) > 0 else None
-    for name, kind in (("match_mm", float), ("fa_dedup_mm", float), ("bootstrap", int), ("seed", int)):
-        value[name] = kind(value[name])
-    if value["match_mm"] <= 0 or value["fa_dedup_mm"] < 0 or value["bootstrap"] < 0:
-        raise ValueError("match_mm must be positive, fa_dedup_mm and bootstrap must not be negative")
-    return value, origin
+    """Effective settings and the origin of each; a source that has no value for a setting leaves it to the next one."""
+    sources = [("argument", {k: v for k, v in given.items() if v is not None}), ("corpus", defaults or {}), ("default", {k: s.default for k, s in SETTINGS.items()})]
+    origin = {name: next(label for label, values in sources if name in values) for name in SETTINGS}
+    return {name: s.of(name, dict(sources)[origin[name]][name]) for name, s in SETTINGS.items()}, origin
 
 
 def counted_events(events: DataFrame, cap: int | None, seed=SEED) -> DataFrame:

@@ -9,8 +9,8 @@ from ..operators import follow as fo
 from ..operators import grid as gr
 from ..operators import stacks as st
 from ..operators import stats as sa
-from .base import Tables, query, rounded, s6, with_views
-from .grid_queries import CROSS, STEPS, XYZ, _cloud
+from .base import SEED, Tables, query, rounded, s6, with_views
+from .grid_queries import CROSS, NORMALS, STEPS, XYZ, _cloud
 
 _AXES = {
     "row": "SELECT patch, row, col, x, y, z, 'row' AS axis, row AS line, col AS along FROM nrm",
@@ -117,6 +117,13 @@ METRICS = {
 _REAL = ["width_mm", "spacing_b", "gap_a", "gap_b", "o_a", "o_b", "f_a", "f_b", "total_offset", "total_sf", "max_step", "max_rate", "max_step_sf", "max_rate_sf", "zone_score", "zone_voxels"]
 
 
+_METRICS = """SELECT l.member, l.delta, l.reproduced, l.pos_b - l.pos_a AS n_steps, l.width_mm, CASE WHEN l.reproduced THEN coalesce(m.partial, FALSE) END AS partial,
+            CASE WHEN l.reproduced THEN coalesce(m.n_defined, 0) END AS n_defined, CASE WHEN l.reproduced THEN coalesce(m.n_step_measurements, 0) END AS n_step_measurements,
+            CASE WHEN l.reproduced THEN l.spacing_b END AS spacing_b, m.gap_a, m.gap_b, m.o_a, m.o_b, m.f_a, m.f_b, m.o_b - m.o_a AS total_offset, 0.5 * (m.gap_a + m.gap_b) * (m.f_b - m.f_a) AS total_sf,
+            m.max_step, m.max_rate, m.max_step_sf, m.max_rate_sf, z.score AS zone_score, 20 * z.score AS zone_voxels
+          FROM located l LEFT JOIN measured m USING (member) LEFT JOIN zone z USING (member)"""
+
+
 def _placed(t: Tables) -> tuple[DataFrame, DataFrame, st.Labels]:
     """Vertices with normals, their placed stacks along both axes, and the labels."""
     probes, cloud = _cloud(t)
@@ -174,28 +181,69 @@ def followed_sheet(t: Tables):
     return rounded(fo.follow_sheets(tracks, placed, ["track"]).withColumn("j", F.col("j").cast("long")), "t")
 
 
+def _metrics(t: Tables) -> DataFrame:
+    probes, placed, labels = _placed(t)
+    m = fo.transitions(labels.segments).filter("delta <> 0").select(
+        F.concat_ws("/", "patch", "run", "pos_a").alias("member"), "patch", "run", "pos_a", "pos_b", (F.col("delta") + (F.col("pos_a") % 3 == 2).cast("long")).alias("delta"))
+    scores = gr.neighbour_steps(t.grid()).select("patch", "axis", "row", "col", F.col("step").alias("score"), F.lit(20.0).alias("ref"))
+    edges = [fo.run_edges(probes, scores.filter(F.col("axis") == name).drop("axis"), axis) for axis, name in (("row", "u"), ("col", "v"))]
+    return fo.transition_metrics(m, placed, labels.segments, edges[0].unionByName(edges[1]))
+
+
 @query(
     "transition_metrics",
     with_views(
-        f"""SELECT member, delta::BIGINT AS delta, reproduced, n_steps::BIGINT AS n_steps, partial, n_defined, n_step_measurements, {', '.join(f'{s6(c)} AS {c}' for c in _REAL)} FROM (
-          SELECT l.member, l.delta, l.reproduced, l.pos_b - l.pos_a AS n_steps, l.width_mm, CASE WHEN l.reproduced THEN coalesce(m.partial, FALSE) END AS partial,
-            CASE WHEN l.reproduced THEN coalesce(m.n_defined, 0) END AS n_defined, CASE WHEN l.reproduced THEN coalesce(m.n_step_measurements, 0) END AS n_step_measurements,
-            CASE WHEN l.reproduced THEN l.spacing_b END AS spacing_b, m.gap_a, m.gap_b, m.o_a, m.o_b, m.f_a, m.f_b, m.o_b - m.o_a AS total_offset, 0.5 * (m.gap_a + m.gap_b) * (m.f_b - m.f_a) AS total_sf,
-            m.max_step, m.max_rate, m.max_step_sf, m.max_rate_sf, z.score AS zone_score, 20 * z.score AS zone_voxels
-          FROM located l LEFT JOIN measured m USING (member) LEFT JOIN zone z USING (member))""",
+        f"""SELECT member, delta::BIGINT AS delta, reproduced, n_steps::BIGINT AS n_steps, partial, n_defined, n_step_measurements, {', '.join(f'{s6(c)} AS {c}' for c in _REAL)} FROM ({_METRICS})""",
         "grid", extra={**LABELS, **MEMBERS, **following(SIDES), **METRICS}),
 )
 def transition_metrics(t: Tables):
     """Every change of sheet along a run, measured; some are declared with a wrong step count and stay unmeasured."""
-    probes, placed, labels = _placed(t)
-    m = fo.transitions(labels.segments).filter("delta <> 0").select(
-        F.concat_ws("/", "patch", "run", "pos_a").alias("member"), "patch", "run", "pos_a", "pos_b", (F.col("delta") + (F.col("pos_a") % 3 == 2).cast("long")).alias("delta"))
-    scores = gr.neighbour_steps(t.grid()).select("patch", "axis", "row", "col", F.col("step").alias("score"), F.lit(20.0).alias("ref"))
-    edges = [fo.run_edges(probes, scores.filter(F.col("axis") == name).drop("axis"), axis) for axis, name in (("row", "u"), ("col", "v"))]
-    out = fo.transition_metrics(m, placed, labels.segments, edges[0].unionByName(edges[1]))
+    out = _metrics(t)
     return rounded(out.select("member", "delta", "reproduced", "n_steps", "partial", "n_defined", "n_step_measurements", *_REAL).withColumn("n_steps", F.col("n_steps").cast("long")), *_REAL)
 
 
+_MEDIANS = ["max_step", "max_step_sf", "total_offset", "total_sf", "gap_a", "gap_b", "spacing_b"]
+_MOST = ["max_step", "max_step_sf", "max_rate", "max_rate_sf", "zone_score", "zone_voxels"]
+
+
+@query(
+    "event_rollup",
+    with_views(
+        f"""SELECT event, n_members, n_reproduced, {s6('width_median')} AS width_median, {s6('steps_median')} AS steps_median, steps_min::BIGINT AS steps_min, {', '.join(f'{s6(c)} AS {c}' for c in _MOST)},
+        {', '.join(f'{s6(c + "_median")} AS {c}_median' for c in _MEDIANS)}, n_step_measurements, any_partial, max_step >= 6 AS abrupt_planned, max_step_sf >= 6 AS abrupt_sf,
+        max_step_median >= 6 AS abrupt_median_planned, max_step_sf_median >= 6 AS abrupt_median_sf, steps_median <= 1 AS one_step, zone_score >= 32 AS planted_level, zone_score >= 20 AS candidate FROM (
+          SELECT member.split('/')[1] AS event, count(*) AS n_members, count(*) FILTER (used) AS n_reproduced, median(width_mm) FILTER (used) AS width_median, median(n_steps) FILTER (used) AS steps_median,
+            min(n_steps) FILTER (used) AS steps_min, {', '.join(f'max({c}) FILTER (used) AS {c}' for c in _MOST)}, {', '.join(f'median({c}) FILTER (used) AS {c}_median' for c in _MEDIANS)},
+            coalesce(sum(n_step_measurements) FILTER (used), 0)::BIGINT AS n_step_measurements, coalesce(bool_or(partial) FILTER (used), FALSE) AS any_partial
+          FROM (SELECT *, reproduced AND n_steps < 20 AS used FROM ({_METRICS})) GROUP BY 1) WHERE n_reproduced > 0""",
+        "grid", extra={**LABELS, **MEMBERS, **following(SIDES), **METRICS}),
+)
+def event_rollup(t: Tables):
+    """The measured changes of every patch as one event, changes over twenty steps and more left out."""
+    members = _metrics(t).withColumn("event", F.split("member", "/")[0])
+    out = fo.event_rollup(members, keep=F.col("n_steps") < 20, planted=32.0, candidate=20.0)
+    real = ["width_median", "steps_median", *_MOST, *[f"{c}_median" for c in _MEDIANS]]
+    return rounded(out.drop("width_min").withColumn("steps_min", F.col("steps_min").cast("long")), *real)
+
+
+@query(
+    "layer_spacing",
+    with_views(
+        f"""SELECT count(*) AS n, {s6('quantile_cont(gap, 0.1)')} AS p0, {s6('quantile_cont(gap, 0.5)')} AS p1, {s6('quantile_cont(gap, 0.9)')} AS p2 FROM (
+          SELECT arg_min(gap, (dist, r, c)) AS gap FROM (
+            SELECT u.patch, u.row, u.col, v.row AS r, v.col AS c, abs((v.x - u.x) * v.nx + (v.y - u.y) * v.ny + (v.z - u.z) * v.nz) AS gap,
+              sqrt((u.x-v.x)*(u.x-v.x) + (u.y-v.y)*(u.y-v.y) + (u.z-v.z)*(u.z-v.z)) AS dist
+            FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY md5('{SEED}|' || patch || '|' || row || '|' || col), row, col) AS k FROM nrm) u
+            JOIN nrm v ON v.patch = u.patch + 1 AND v.row BETWEEN u.row - 4 AND u.row + 4 AND v.col BETWEEN u.col - 4 AND u.col + 4 WHERE u.k <= 2000)
+          WHERE dist < 80 GROUP BY patch, row, col)""", "grid", extra=NORMALS),
+)
+def layer_spacing(t: Tables):
+    """Percentiles of the spacing between neighbouring surfaces, over up to 2,000 vertices each."""
+    probes, _ = _cloud(t)
+    out = fo.layer_spacing(probes.withColumnRenamed("patch", "layer"), most=2000, seed=SEED)
+    return rounded(out, "p0", "p1", "p2")
+
+
 #: Runs of eight positions and more serve as negatives: followed from their first assigned position, with the sheet beside.
 NEGATIVES = {
     "neg": f"""SELECT f.*, len(p.st) AS size FROM ({FIRST}) f JOIN placed p ON p.patch = f.patch AND p.run = f.run AND p.pos = f.p0
