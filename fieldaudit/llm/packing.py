@@ -28,15 +28,17 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 #: UTF-8 bytes of text per group: bounds what one task packs together.
 GROUP_BYTES = 16 << 20
+#: UTF-8 bytes of text that are encoded at once; fewer take less memory and more time.
+SLICE_BYTES = 5 << 20
 
 
-def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The full pieces of every document (without their ids) and its rest (with them)."""
 
     def cut(batches):
         enc = encoder(path)
         end = np.uint32(end_id).tobytes()
-        for batch in text_slices(batches, 1, 1 << 20):
+        for batch in text_slices(batches, 1, slice_bytes):
             ids, at = enc.encode(batch.column(1))
             raw, at = ids.tobytes(), at.tolist()
             rows: list[tuple] = []
@@ -78,7 +80,7 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
 
 def pack(
     docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """One row per piece: document, start in it, length, checksum of its ids, sequence, offset there, sequence cost."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -101,6 +103,6 @@ def pack(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.float64()], strict=True)],
             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
-    cut = cut_documents(docs, path, end_id, capacity, id_col, text_col)
+    cut = cut_documents(docs, path, end_id, capacity, id_col, text_col, slice_bytes)
     dealt = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("_g").applyInArrow(deal, SCHEMA)

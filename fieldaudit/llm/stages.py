@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of cost-balanced sequences."""
     ship(spark)
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024, slice_bytes=1 << 20)
 
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack_sequences)]
