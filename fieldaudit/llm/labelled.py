@@ -36,9 +36,13 @@ def with_score(docs: DataFrame, score, text_col: str, name: str = "score") -> Da
     kept = [c for c in docs.columns if c != name]
     at = kept.index(text_col)
 
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    # mapInArrow looks columns up by name and would take a dot for a field, so they have plain names meanwhile
+    plain = [f"c{i}" for i in range(len(kept))]
+
     def add(batches):
         for batch in text_slices(batches, at, 1 << 19):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*plain, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(giving_back(add), f"{fields}, `{name}` double")
+    fields = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, rows.schema.fields, strict=True))
+    return rows.toDF(*plain).mapInArrow(giving_back(add), f"{fields}, score double").toDF(*kept, name)

@@ -15,35 +15,54 @@ from .tokens import vocabulary
 GOOD, TOXIC = 0.3, 0.7
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` or a longer one that no column of ``docs`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _kept(docs: DataFrame) -> list:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return with_score(docs, model.score, "text", "_score").filter(F.col("_score") >= GOOD).drop("_score")
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), _free(docs, "_score")
+    return with_score(docs, model.score, "text", score).filter(F.col(score) >= GOOD).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model lets pass."""
     ship(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return with_score(docs, model.score, "text", "_score").filter(F.col("_score") < TOXIC).drop("_score")
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), _free(docs, "_score")
+    return with_score(docs, model.score, "text", score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near copies (five words, similarity 0.8 or more).
 
-    Rows that repeat an id stay as often as they occur; rows without an id stay.
+    Rows go by their id: of rows that repeat one all stay or, where one of them is a copy of a smaller id, all go.
+    Rows without an id stay.
     """
     ship(spark)
     found = ngram_join.ngram_components(docs, n=5, num=80, den=100)
     gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(_kept(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without passages of the benchmark.
+
+    Rows go by the digest of their text: repeated and missing ids make no difference, rows of null text stay.
+    """
+    key, gone = _free(docs, "_text"), _free(docs, "_gone")
+    keyed = docs.select(*_kept(docs), F.sha1(F.col("text").cast("string").cast("binary")).alias(key))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    found = found.select(F.col("doc_id").alias(gone)).distinct()
+    return keyed.join(found, F.col(key) == F.col(gone), "left_anti").select(_kept(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

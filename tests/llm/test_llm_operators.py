@@ -132,6 +132,35 @@ def test_decontamination(spark):
     assert found == {(d, i) for d in (1, 2, 5, 9, None) for i in (1, 2)} | {(8, 6)}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_SEEDS, 40])
+def test_cut_and_regularly_changed_passages(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", block)
+    rng = random.Random(5)
+    fill = lambda n: [f"f{rng.randrange(9999)}" for _ in range(n)]
+    item, shared = [f"t{i}" for i in range(40)], [f"u{i}" for i in range(30)]
+    bench = {1: item, 2: shared + fill(20), 3: fill(20) + shared, 4: ["w"] * 300, 5: [f"v{i}" for i in range(16)]}
+    rows, want = [], set()
+
+    def add(words, *items):
+        want.update((len(rows), i) for i in items)
+        rows.append((len(rows), " ".join(words)))
+
+    for n in range(10, 20):  # verbatim passages: found from RUN tokens on, wherever they stand in the item
+        for at in (0, 7, 40 - n):
+            add(fill(30) + item[at : at + n] + fill(30), *([1] if n >= decontaminate.RUN else []))
+    for k in range(4):  # every fourth token replaced
+        add(fill(9) + [w if i % 4 != k else "x" for i, w in enumerate(item)] + fill(9), 1)
+    for k in range(4):
+        add(fill(9) + [w if i % 4 != k else "x" for i, w in enumerate(bench[5])], 5)
+    add(fill(9) + [w if i % 3 else "x" for i, w in enumerate(item)] + fill(9))  # two of three agree: no evidence
+    add(fill(3) + shared + fill(3), 2, 3)
+    add(["w"] * 50, 4)
+    got = decontaminate.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string"))
+    found = [(r["doc_id"], r["item_id"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for i, t in rows:

@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions
 
 import corpus_pipeline
 from fieldaudit.llm import packing, tokens
@@ -83,3 +84,19 @@ def test_run_equals_the_stages(spark, corpus):
     assert ids and not ids & leaks
     assert len(ids & {r[0] for r in rows if not r[2]}) <= 3
     assert all(r["offset"] + r["length"] <= 1024 for r in got)
+
+
+def test_stages_on_nulls_repeats_and_odd_columns(spark, corpus):
+    folder, rows, leaks = corpus
+    leak, clean = next(r for r in rows if r[0] in leaks), next(r for r in rows if r[2] and not r[3] and r[0] not in leaks)
+    odd = [(None, leak[1], 1.0), (5, leak[1], 2.0), (5, clean[1], 3.0), (5, clean[1], 3.0), (None, clean[1], 4.0), (6, None, 5.0), (None, None, 6.0), (7, "", 7.0)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, _score double").withColumn("a.b", functions.lit("x"))
+    docs = docs.withColumn("_text", functions.lit(1)).withColumn("_GONE", functions.lit(2))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        left[name] = sorted(r["_score"] for r in out.collect())
+        assert stage(spark, docs.limit(0), folder).collect() == []
+    assert left["decontamination"] == [3.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    assert set(left["near_copies"]) >= {1.0, 4.0, 5.0, 6.0, 7.0}
