@@ -105,10 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, tar
         for batch in text_slices(batches, 0, 1 << 19):
             bucket, owner = _distinct(*terms(batch.column(0)), BUCKETS)
             at = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32))), batch.column(1)], ["terms", "y"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32))), batch.column(1), batch.column(2)], ["terms", "y", "doc_id"])
 
-    rows = training_rows(docs, labels, target, mod, held_out, id_col, text_col).select("text", "y")
-    rows = written(rows.mapInArrow(listed, "terms array<int>, y int"), "toxicity-rows")
+    rows = training_rows(docs, labels, target, mod, held_out, id_col, text_col).select("text", "y", "doc_id")
+    rows = written(rows.mapInArrow(listed, "terms array<int>, y int, doc_id long"), "toxicity-rows")
     n, toxic = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     toxic = toxic or 0
     share = toxic / n if n else 0.0
@@ -134,15 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, tar
             term = place[np.asarray(lists.flatten())]
             owner = np.repeat(np.arange(len(batch)), np.diff(at))[term >= 0]
             ends = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(term[term >= 0].astype(np.int32))), batch.column(1)], ["terms", "y"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(term[term >= 0].astype(np.int32))), batch.column(1), batch.column(2)], ["terms", "y", "doc_id"])
 
-    order = F.xxhash64("terms", "y")
-    small = written(rows.mapInArrow(shrink, "terms array<int>, y int").repartition(PARTITIONS, order).sortWithinPartitions(order), "toxicity-terms")
+    # by id too: texts of equal terms, most of all those without any, would meet in one task
+    order = F.xxhash64("terms", "y", "doc_id")
+    small = written(rows.mapInArrow(shrink, "terms array<int>, y int, doc_id long").repartition(PARTITIONS, order).sortWithinPartitions(order), "toxicity-terms")
     for r in range(ROUNDS):
         start = model
 
         def step(batches, start=start, r=r):
-            got = [(np.asarray(t.values, np.int64), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1), strict=True)]
+            got = [(np.asarray(t.values, np.int64), y.as_py()) for b in batches for t, y in zip(b.column("terms"), b.column("y"), strict=True)]
             if got:
                 m = _train(start, got, r)
                 yield pa.RecordBatch.from_arrays([pa.array([len(got)]), pa.array([m.bias]), pa.array([m.weight.tolist()]), pa.array([m.factor.ravel().tolist()])], ["n", "b", "w", "v"])
