@@ -143,10 +143,15 @@ def coverage_by_status(events: DataFrame, alarms: Alarms) -> DataFrame:
     return rows.select("detector", "status", "patches", F.coalesce("patches_verdict", F.lit(0)).alias("patches_verdict"))
 
 
-def census(bench: Benchmark, subset: Column) -> DataFrame:
-    """Corpus counters per subset and pooled; one row per patch is aggregated first."""
-    s = F.col("status")
+def census(bench: Benchmark, subset: Column, second: Column | None = None, multi: DataFrame | None = None) -> DataFrame:
+    """Corpus counters per subset and pooled; one row per patch is aggregated first.
+
+    ``second`` says whether a second rule confirms an event (null: no); ``multi`` has a row with ``patch`` per
+    entry of the corpus that stands for several events at once.  Without them their counters are 0.
+    """
+    s, other = F.col("status"), F.lit(False) if second is None else F.coalesce(second, F.lit(False))
     per_event = bench.events.groupBy("patch").agg(
+        F.count_if(other).alias("confirmed_second"), F.count_if(other & (s == CONFIRMED)).alias("confirmed_both"),
         F.count(F.lit(1)).alias("candidates"), F.count_if(s == CONFIRMED).alias("confirmed"),
         F.count_if(s == "contradicted").alias("contradicted"), F.count_if(s == "unconfirmed").alias("unconfirmed"),
         F.count_if(F.col("stratum") == "abrupt").alias("abrupt"),
@@ -156,8 +161,13 @@ def census(bench: Benchmark, subset: Column) -> DataFrame:
         F.count_if(s == CONFIRMED).alias("runs_confirmed"), F.count_if(s != CONFIRMED).alias("runs_other"),
         F.sum(F.when(s == CONFIRMED, F.col("length"))).alias("length_confirmed"),
     )
-    both = per_event.join(per_run, "patch", "full").na.fill(0).withColumn("subset", subset)
-    sums = ["candidates", "confirmed", "contradicted", "unconfirmed", "abrupt", "runs_confirmed", "runs_other", "length_confirmed"]
+    both = per_event.join(per_run, "patch", "full")
+    if multi is None:
+        both = both.withColumn("multi", F.lit(0).cast("long"))
+    else:
+        both = both.join(multi.groupBy("patch").agg(F.count(F.lit(1)).alias("multi")), "patch", "full")
+    both = both.na.fill(0).withColumn("subset", subset)
+    sums = ["candidates", "confirmed", "contradicted", "unconfirmed", "abrupt", "confirmed_second", "confirmed_both", "multi", "runs_confirmed", "runs_other", "length_confirmed"]
     agg = both.groupingSets([["subset"], []], "subset").agg(
         F.count(F.lit(1)).alias("patches"), *[F.sum(c).alias(c) for c in sums],
         F.count_if((F.col("confirmed") > 0) | (F.col("runs_confirmed") > 0)).alias("scored_patches"),

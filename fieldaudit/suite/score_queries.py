@@ -516,6 +516,7 @@ def status_contrast(t: Tables):
     with_views(
         """SELECT coalesce(subset, 'pooled') AS subset, count(*) AS patches, sum(candidates)::BIGINT AS candidates, sum(confirmed)::BIGINT AS confirmed,
         sum(contradicted)::BIGINT AS contradicted, sum(unconfirmed)::BIGINT AS unconfirmed, sum(abrupt)::BIGINT AS abrupt,
+        sum(confirmed_second)::BIGINT AS confirmed_second, sum(confirmed_both)::BIGINT AS confirmed_both, sum(multi)::BIGINT AS multi,
         sum(runs_confirmed)::BIGINT AS runs_confirmed, sum(runs_other)::BIGINT AS runs_other,"""
         + s6("sum(length_confirmed)")
         + """ AS length_confirmed,
@@ -524,16 +525,23 @@ def status_contrast(t: Tables):
         FROM (SELECT patch, CASE WHEN patch % 2 = 0 THEN 'v0' ELSE 'new' END AS subset,
             coalesce(e.candidates, 0) AS candidates, coalesce(e.confirmed, 0) AS confirmed, coalesce(e.contradicted, 0) AS contradicted,
             coalesce(e.unconfirmed, 0) AS unconfirmed, coalesce(e.abrupt, 0) AS abrupt,
+            coalesce(e.second, 0) AS confirmed_second, coalesce(e.agree, 0) AS confirmed_both, coalesce(m.multi, 0) AS multi,
             coalesce(r.rc, 0) AS runs_confirmed, coalesce(r.ro, 0) AS runs_other, coalesce(r.len, 0.0) AS length_confirmed
           FROM (SELECT patch, count(*) AS candidates, count(*) FILTER (status = 'confirmed') AS confirmed,
               count(*) FILTER (status = 'contradicted') AS contradicted, count(*) FILTER (status = 'unconfirmed') AS unconfirmed,
+              count(*) FILTER (event_id % 7 < 4) AS second, count(*) FILTER (event_id % 7 < 4 AND status = 'confirmed') AS agree,
               count(*) FILTER (stratum = 'abrupt') AS abrupt FROM ev GROUP BY patch) e
           FULL JOIN (SELECT patch, count(*) FILTER (status = 'confirmed') AS rc, count(*) FILTER (status <> 'confirmed') AS ro,
-              sum(length) FILTER (status = 'confirmed') AS len FROM run GROUP BY patch) r USING (patch))
+              sum(length) FILTER (status = 'confirmed') AS len FROM run GROUP BY patch) r USING (patch)
+          FULL JOIN (SELECT patch, count(*) AS multi FROM (SELECT patch FROM ev GROUP BY patch, floor(x / 10) HAVING count(*) > 1) GROUP BY patch) m USING (patch))
         GROUP BY GROUPING SETS ((subset), ())""", "ev", "run"),
 )
 def census(t: Tables):
-    return rounded(rob.census(t.benchmark(), F.when(F.col("patch") % 2 == 0, "v0").otherwise("new")), "length_confirmed")
+    """The second rule goes by the event's number; entries for several events are slabs of 10 units that events of a patch share."""
+    bench = t.benchmark()
+    shared = bench.event_points.groupBy("patch", F.floor(F.col("x") / 10).alias("slab")).agg(F.countDistinct("event_id").alias("n")).filter("n > 1")
+    subset = F.when(F.col("patch") % 2 == 0, "v0").otherwise("new")
+    return rounded(rob.census(bench, subset, F.col("event_id") % 7 < 4, shared.select("patch")), "length_confirmed")
 
 
 @query(

@@ -206,3 +206,25 @@ def test_identical_hits_get_identical_intervals(spark, bench):
     v = a.select("detector", "patch")
     b = leaderboard(score(bench, Alarms(v, a), bootstrap=50)).select("recall_boot_lo", "recall_boot_hi", "fa_boot_lo", "fa_boot_hi").collect()
     assert b[0] == b[1]
+
+
+def test_census_counts_both_rules_and_shared_entries(spark, bench):
+    import dataclasses
+
+    from pyspark.sql import functions as F
+
+    from fieldaudit.plans.robustness import census
+
+    bench = dataclasses.replace(bench, events=bench.events.withColumn("stratum", F.lit("abrupt")))
+    ev = [r.asDict() for r in bench.events.select("event_id", "patch", "status").collect()]
+    plain = {r["subset"]: r for r in census(bench, F.lit("all")).collect()}
+    second = {e["event_id"] for e in ev[::2]}
+    rule = F.when(F.col("event_id").isin(*second), F.lit(True))  # null for the others
+    multi = spark.createDataFrame([(ev[0]["patch"],)] * 3, bench.events.select("patch").schema)
+    got = {r["subset"]: r for r in census(bench, F.lit("all"), rule, multi).collect()}
+    assert set(got) == {"all", "pooled"}
+    for name in got:
+        assert (plain[name]["confirmed_second"], plain[name]["confirmed_both"], plain[name]["multi"]) == (0, 0, 0)
+        assert got[name]["confirmed_second"] == len(second) and got[name]["multi"] == 3
+        assert got[name]["confirmed_both"] == sum(e["event_id"] in second and e["status"] == "confirmed" for e in ev)
+        assert got[name]["candidates"] == plain[name]["candidates"] == len(ev)
