@@ -56,3 +56,15 @@ def test_picks_are_not_broadcast(spark):
     assert _broadcasts_left(B.pooled_draws(blocks, {"k": F.col("k")}, "b", draws=20)) == 0
     plan = B.draw_slots(blocks.agg(F.count(F.lit(1)).alias("n")), 20)
     assert _broadcasts_left(B.pooled_draws(blocks, {"k": F.col("k")}, "b", draws=20, plan=plan)) == 0
+
+
+def test_covers_are_not_broadcast(spark):
+    """A query's cover is an explode, whose rows Spark does not count; a false-alarm join sent every cover to the driver."""
+    import __spark_entry__ as entry
+
+    for name in ("false_alarms_raw", "event_hits", "alarms_off_events"):
+        df = entry.queries()[name](spark, "/root/testdata/sf0.1")
+        plan = df._jdf.queryExecution().toString()
+        plan = plan[plan.index("== Physical Plan"):]
+        assert "BuildLeft" not in plan and "_lo0" in plan, name
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_lo0" in line], name
