@@ -22,19 +22,36 @@ from .spatial import k_nearest_within
 from .stacks import Rules, runs_with_positions
 
 
-def first_match(sheet: list, at: tuple, stack: list, here: tuple, slack: float) -> int | None:
-    """Index of the first sheet of ``stack`` that shares a near enough reference patch with ``sheet``."""
+def first_match(sheet: dict, at: tuple, sheets: range, members: tuple, here: tuple, slack: float) -> int | None:
+    """The first of ``sheets`` that shares a near enough reference patch with ``sheet``, grid positions by patch.
+
+    ``members`` are flat columns of all sheets of a block: where the members of each sheet begin, then their p, r and c.
+    """
     reach = 1.5 * math.hypot(at[0] - here[0], at[1] - here[1]) + slack
-    by_patch: dict = {}
-    for m in sheet:
-        by_patch.setdefault(m["p"], []).append((m["r"], m["c"]))
-    for j, other in enumerate(stack):
-        for m in other["members"]:
-            if any(math.hypot(r - m["r"], c - m["c"]) <= reach for r, c in by_patch.get(m["p"], ())):
+    begin, ps, rs, cs = members
+    for j in sheets:
+        for m in range(begin[j], begin[j + 1]):
+            if any(math.hypot(r - rs[m], c - cs[m]) <= reach for r, c in sheet.get(ps[m], ())):
                 return j
     return None
 
 
+def _flat_stacks(column: pa.ListArray) -> tuple[list, list, tuple]:
+    """A column of stacks as flat lists: where each stack begins, t of every sheet, and the members as in :func:`first_match`."""
+    sheets = column.values
+    members = sheets.field("members")
+    return column.offsets.to_pylist(), sheets.field("t").to_pylist(), (members.offsets.to_pylist(), *[members.values.field(c).to_pylist() for c in "prc"])
+
+
+def _positions(sheet: int, members: tuple) -> dict:
+    """Grid positions of a sheet's members by reference patch."""
+    begin, ps, rs, cs = members
+    out: dict = {}
+    for m in range(begin[sheet], begin[sheet + 1]):
+        out.setdefault(ps[m], []).append((rs[m], cs[m]))
+    return out
+
+
 def follow_sheets(tracks: DataFrame, placed: DataFrame, by, rules: Rules = Rules()) -> DataFrame:
     """Follow the sheet ``k0`` seen at position ``p0`` of a run to position ``p1``, forwards or backwards.
 
@@ -57,21 +74,22 @@ def follow_sheets(tracks: DataFrame, placed: DataFrame, by, rules: Rules = Rules
     def fold(batches):
         track, origin, last = None, None, None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+            first, ts, members = _flat_stacks(batch.column(batch.num_columns - 1))
             found = []
-            for i, (step, pos, k0, row, col, stack) in enumerate(zip(*columns[n:], strict=True)):
-                name, here = tuple(c[i] for c in columns[:n]), (row, col)
+            for i, (step, pos, k0, row, col) in enumerate(zip(*columns[n:], strict=True)):
+                name, here, stack = tuple(c[i] for c in columns[:n]), (row, col), range(first[i], first[i + 1])
                 if name != track:
                     track, last = name, None
-                    origin = (stack[k0 - 1]["members"], here) if step == 0 and k0 and k0 <= len(stack) else None
+                    origin = (_positions(stack[k0 - 1], members), here) if step == 0 and k0 and k0 <= len(stack) else None
                 if origin is None:
                     continue
-                j = first_match(*(last or origin), stack, here, slack)
+                j = first_match(*(last or origin), stack, members, here, slack)
                 if j is None and last and last[1] != origin[1]:
-                    j = first_match(*origin, stack, here, slack)
+                    j = first_match(*origin, stack, members, here, slack)
                 if j is not None:
-                    last = (stack[j]["members"], here)
-                    found.append((*name, pos, j + 1, stack[j]["t"]))
+                    last = (_positions(j, members), here)
+                    found.append((*name, pos, j - first[i] + 1, ts[j]))
             out = list(zip(*found, strict=True)) or [()] * (n + 3)
             kinds = [*[batch.schema.field(c).type for c in range(n)], pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*by, "pos", "j", "t"])

@@ -31,19 +31,29 @@ def cell_centres(cells: DataFrame, vertices: DataFrame, by=("patch",)) -> DataFr
     return mean.withColumnsRenamed({"_r": "row", "_q": "col"})
 
 
-def _neighbour(column: str, w, pos: str, step: int) -> Column:
+def _neighbour(column: Column | str, w, pos: str, step: int) -> Column:
     """Value on the adjacent grid position along the line, NULL if that vertex is missing."""
     fn = F.lead if step > 0 else F.lag
     return F.when(fn(pos).over(w) == F.col(pos) + step, fn(column).over(w))
 
 
+def _bound(value: Column) -> Column:
+    """The value as one row of a generator: later filters and projections read it instead of repeating its whole expression."""
+    return F.explode(F.array(value))
+
+
 def _difference(vertices: DataFrame, by, line: str, pos: str, prefix: str) -> DataFrame:
     w = W.partitionBy(*by, line).orderBy(pos)
-    out = vertices
-    near = {a: (_neighbour(a, w, pos, -1), _neighbour(a, w, pos, 1)) for a in XYZ}
-    return out.select("*", *[
-        F.coalesce(nxt - prv, nxt - F.col(a), F.col(a) - prv).alias(f"{prefix}{a}") for a, (prv, nxt) in near.items()
-    ])
+    here = F.struct(pos, *XYZ)  # one window function a side: each costs its own pass over a line
+    d = vertices.select("*", F.lag(here).over(w).alias("_prv"), F.lead(here).over(w).alias("_nxt"))
+
+    def difference(a: str) -> Column:
+        prv = F.when(F.col(f"_prv.{pos}") == F.col(pos) - 1, F.col(f"_prv.{a}"))
+        nxt = F.when(F.col(f"_nxt.{pos}") == F.col(pos) + 1, F.col(f"_nxt.{a}"))
+        return F.coalesce(nxt - prv, nxt - F.col(a), F.col(a) - prv)
+
+    d = d.select(*vertices.columns, _bound(F.struct(*[difference(a).alias(a) for a in XYZ])).alias("_d"))
+    return d.select(*vertices.columns, *[F.col(f"_d.{a}").alias(f"{prefix}{a}") for a in XYZ])
 
 
 def normals(vertices: DataFrame, by=("patch",)) -> DataFrame:
@@ -55,10 +65,10 @@ def normals(vertices: DataFrame, by=("patch",)) -> DataFrame:
     v = vertices.filter("valid") if "valid" in vertices.columns else vertices
     d = _difference(_difference(v, by, "row", "col", "_u"), by, "col", "row", "_v")
     n = cross([F.col(f"_u{a}") for a in XYZ], [F.col(f"_v{a}") for a in XYZ])
-    d = d.select("*", *[c.alias(f"_n{a}") for c, a in zip(n, XYZ)])
-    length = F.nullif(norm([F.col(f"_n{a}") for a in XYZ]), F.lit(0.0))
-    d = d.select("*", *[(F.col(f"_n{a}") / length).alias(f"n{a}") for a in XYZ])
-    return d.drop(*[f"_{k}{a}" for k in "uvn" for a in XYZ])
+    length = F.nullif(norm([F.col(f"_n.{a}") for a in XYZ]), F.lit(0.0))
+    d = d.select(*v.columns, _bound(F.struct(*[c.alias(a) for c, a in zip(n, XYZ)])).alias("_n"))
+    d = d.select(*v.columns, "_n", _bound(length).alias("_length"))
+    return d.select(*v.columns, *[(F.col(f"_n.{a}") / F.col("_length")).alias(f"n{a}") for a in XYZ])
 
 
 def surface_area(vertices: DataFrame, by=("patch",)) -> DataFrame:
@@ -89,11 +99,11 @@ def neighbour_steps(vertices: DataFrame, by=("patch",)) -> DataFrame:
     out = None
     for axis, line, pos in (("v", "col", "row"), ("u", "row", "col")):
         w = W.partitionBy(*by, line).orderBy(pos)
-        d = v.select(*by, "row", "col", *XYZ, *[_neighbour(a, w, pos, 1).alias(f"_{a}") for a in XYZ]).filter("_x is not null")
+        d = v.select(*by, "row", "col", *XYZ, _neighbour(F.struct(*XYZ), w, pos, 1).alias("_n")).filter("_n.x is not null")
         part = d.select(
             *by, F.lit(axis).alias("axis"), "row", "col",
-            distance([F.col(a) for a in XYZ], [F.col(f"_{a}") for a in XYZ]).alias("step"),
-            *[((F.col(a) + F.col(f"_{a}")) / 2).alias(a) for a in XYZ],
+            distance([F.col(a) for a in XYZ], [F.col(f"_n.{a}") for a in XYZ]).alias("step"),
+            *[((F.col(a) + F.col(f"_n.{a}")) / 2).alias(a) for a in XYZ],
         )
         out = part if out is None else out.unionByName(part)
     return out

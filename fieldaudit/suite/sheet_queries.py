@@ -9,6 +9,7 @@ from ..operators import follow as fo
 from ..operators import grid as gr
 from ..operators import stacks as st
 from ..operators import stats as sa
+from ..session import cut_lineage
 from .base import SEED, Tables, query, rounded, s6, with_views
 from .grid_queries import CROSS, NORMALS, STEPS, XYZ, _cloud
 
@@ -128,7 +129,7 @@ def _placed(t: Tables) -> tuple[DataFrame, DataFrame, st.Labels]:
     """Vertices with normals, their placed stacks along both axes, and the labels."""
     probes, cloud = _cloud(t)
     labels = st.label_surfaces(probes, cloud)
-    return probes, st.place(probes, labels.assigned, "row").unionByName(st.place(probes, labels.assigned, "col")), labels
+    return probes, st.place(probes, labels.assigned), labels
 
 
 @query(
@@ -183,11 +184,12 @@ def followed_sheet(t: Tables):
 
 def _metrics(t: Tables) -> DataFrame:
     probes, placed, labels = _placed(t)
-    m = fo.transitions(labels.segments).filter("delta <> 0").select(
+    segments = cut_lineage(labels.segments)  # read by the members and by the metrics
+    m = fo.transitions(segments).filter("delta <> 0").select(
         F.concat_ws("/", "patch", "run", "pos_a").alias("member"), "patch", "run", "pos_a", "pos_b", (F.col("delta") + (F.col("pos_a") % 3 == 2).cast("long")).alias("delta"))
     scores = gr.neighbour_steps(t.grid()).select("patch", "axis", "row", "col", F.col("step").alias("score"), F.lit(20.0).alias("ref"))
     edges = [fo.run_edges(probes, scores.filter(F.col("axis") == name).drop("axis"), axis) for axis, name in (("row", "u"), ("col", "v"))]
-    return fo.transition_metrics(m, placed, labels.segments, edges[0].unionByName(edges[1]))
+    return fo.transition_metrics(m, placed, segments, edges[0].unionByName(edges[1]))
 
 
 @query(
