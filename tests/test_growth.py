@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fieldaudit.operators import grid as gr
+from fieldaudit.operators import spatial as sp
 from fieldaudit.operators import stacks as st
 
 
@@ -39,3 +40,11 @@ def test_a_line_grows_into_few_cells_and_none_is_missed(spark):
     turn = lambda i: f"13.99D * (cos(_k * pi() / 4) * {u[i]} + sin(_k * pi() / 4) * {v[i]})"
     at = near.selectExpr("patch", *[f"{a} + _t * n{a} + {turn(i)} as {a}" for i, a in enumerate("xyz")]).selectExpr("patch", f"{cell} as _cell")
     assert {(r["patch"], r["_cell"]) for r in at.distinct().collect()} <= set(cells)
+
+
+def test_the_nearest_neighbour_sorts_no_other_pairs(spark):
+    pts = [(i, float(i % 10), float(i // 10), 0.0) for i in range(100)]
+    q = spark.createDataFrame([(1, 2.2, 3.1, 0.0), (2, 4.5, 4.5, 0.0), (None, 7.9, 1.0, 0.0), (3, 500.0, 0.0, 0.0)], "q long, x double, y double, z double")
+    got = sp.k_nearest_within(q, spark.createDataFrame(pts, "id long, x double, y double, z double"), 1, 6.0, ids=["q"], order=["id"])
+    assert "_least" in _plan(got)
+    assert {(r["q"], r["id"], r["rank"]) for r in got.collect()} == {(1, 32, 1), (2, 44, 1), (None, 18, 1)}
