@@ -26,7 +26,8 @@ def reconcile(want: DataFrame, remote: DataFrame, local: DataFrame, mirror: Data
     key = ["patch", "file"]
     j = want
     for name, df in (("remote", remote), ("local", local), ("mirror", mirror)):
-        j = j.join(df.select(*key, F.col("bytes").alias(f"{name}_bytes")), key, "left")
+        # a listing made by an explode counts for Spark as few rows, and would be broadcast whole
+        j = j.join(df.select(*key, F.col("bytes").alias(f"{name}_bytes")).hint("merge"), key, "left")
     r = F.col("remote_bytes")
     state = (
         F.when(r.isNull(), F.when(F.col("required"), "lost").otherwise("absent"))

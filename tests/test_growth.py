@@ -48,3 +48,13 @@ def test_the_nearest_neighbour_sorts_no_other_pairs(spark):
     got = sp.k_nearest_within(q, spark.createDataFrame(pts, "id long, x double, y double, z double"), 1, 6.0, ids=["q"], order=["id"])
     assert "_least" in _plan(got)
     assert {(r["q"], r["id"], r["rank"]) for r in got.collect()} == {(1, 32, 1), (2, 44, 1), (None, 18, 1)}
+
+
+def test_a_listing_is_never_broadcast(spark):
+    from fieldaudit.sources import listing as li
+
+    c = spark.range(50).withColumnRenamed("id", "patch")
+    files = li.wanted(c).select("patch", "file", F.lit(1).cast("long").alias("bytes"))
+    got = li.reconcile(li.wanted(c), files, files.filter("patch < 10"), files.filter("patch < 20"))
+    assert "BroadcastHashJoin" not in _plan(got, "Physical Plan")
+    assert {r["state"]: r["count"] for r in got.groupBy("state").count().collect()} == {"have": 40, "copy": 40, "get": 120}
