@@ -58,3 +58,14 @@ def test_a_listing_is_never_broadcast(spark):
     got = li.reconcile(li.wanted(c), files, files.filter("patch < 10"), files.filter("patch < 20"))
     assert "BroadcastHashJoin" not in _plan(got, "Physical Plan")
     assert {r["state"]: r["count"] for r in got.groupBy("state").count().collect()} == {"have": 40, "copy": 40, "get": 120}
+
+
+def test_false_alarms_search_once(spark):
+    from fieldaudit.plans.score import false_alarm_pairs
+
+    kept = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 0.0), ("d", 1, 1, 9.0, 0.0, 0.0), ("d", 2, 0, 0.0, 0.0, 0.0)], "detector string, patch long, alarm_ord long, x double, y double, z double")
+    runs = spark.createDataFrame([(7, 1, 0.5, 0.0, 0.0), (7, 1, 0.0, 0.5, 0.0), (8, 1, 0.0, 0.0, 0.5), (7, 1, 9.0, 0.0, 0.5)], "run_id long, patch long, x double, y double, z double")
+    events = spark.createDataFrame([(1, 1, 9.5, 0.0, 0.0)], "event_id long, patch long, x double, y double, z double")
+    got = false_alarm_pairs(kept, runs, events, 1.0)
+    assert "LeftAnti" not in _plan(got)
+    assert {tuple(r) for r in got.collect()} == {("d", 1, 0, 7), ("d", 1, 0, 8)}
