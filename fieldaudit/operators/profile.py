@@ -120,6 +120,7 @@ SWEEP = {
     "mid_bias": [0.0, 0.15, 0.3],
 }
 FALSE_PASS_MAX = 0.05
+SWEEP_TASKS = 128  # tasks a sigma
 CEILINGS = [0.05, 0.075, 0.10, 0.15]
 
 
@@ -136,7 +137,8 @@ def sweep(controls: DataFrame, step: float, grid: dict[str, list[float]] = SWEEP
         values = ", ".join(f"{float(v)!r}D" for v in grid[name])
         return d.selectExpr("*", f"explode(array({values})) as {name}")
 
-    cut = window(controls)
+    # a profile is few bytes and much work, so the bytes of a partition say nothing about its time
+    cut = window(controls).repartition(SWEEP_TASKS)
     d = None
     for sigma in grid["sigma"]:
         part = smooth(cut, sigma / step).selectExpr("*", f"{float(sigma)!r}D as sigma").drop("v")

@@ -69,3 +69,13 @@ def test_false_alarms_search_once(spark):
     got = false_alarm_pairs(kept, runs, events, 1.0)
     assert "LeftAnti" not in _plan(got)
     assert {tuple(r) for r in got.collect()} == {("d", 1, 0, 7), ("d", 1, 0, 8)}
+
+
+def test_a_sweep_deals_its_profiles(spark):
+    from fieldaudit.operators import profile as P
+
+    rows = [(i, "adjacent", "tune", [float(k) for k in range(64)], [float((k * (i + 3)) % 11) for k in range(64)], 28.0, 36.0, 8.0) for i in range(6)]
+    controls = spark.createDataFrame(rows, "profile_id long, kind string, split string, t array<double>, v array<double>, t0 double, t1 double, s double")
+    got = P.sweep(controls, 1.0, {"sigma": [1.0], "end_zone": [0.2], "min_dark": [1.0], "q": [20.0], "mid_bias": [0.15]})
+    assert f"RoundRobinPartitioning({P.SWEEP_TASKS})" in _plan(got, "Physical Plan")
+    assert [r["n"] for r in got.collect()] == [6]
