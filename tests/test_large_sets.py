@@ -50,6 +50,26 @@ def test_counts_above_a_byte(spark, monkeypatch):
     assert {r["k"] for r in B.pooled_draws(blocks, {"k": F.col("k")}, "b", draws=3).collect()} == {700.0 * third}
 
 
+def test_block_sets_share_the_hashes_of_a_slice(spark, monkeypatch, tmp_path):
+    """36 sets of 15,000 blocks hashed every slot 36 times."""
+    log = str(tmp_path / "calls")
+    picks = B._picks
+
+    def logged(seed, draw, first, last, n):
+        with open(log, "a") as f:
+            f.write(f"{draw} {first}\n")
+        return picks(seed, draw, first, last, n)
+
+    monkeypatch.setattr(B, "MATRIX_BLOCKS", 0)
+    monkeypatch.setattr(B, "SLICE", 16)
+    blocks = spark.range(100).select((F.col("id") % 4 * (F.col("id") % 3)).alias("s"), F.col("id").alias("b"), (F.col("id") % 5).alias("k"))
+    joined = B.pooled_draws(blocks, {"k": F.col("k")}, "b", ["s"], draws=6, plan=B.draw_slots(blocks.groupBy("s").agg(F.count(F.lit(1)).alias("n")), 6, by=["s"])).collect()
+    monkeypatch.setattr(B, "_picks", logged)
+    assert sorted(B.pooled_draws(blocks, {"k": F.col("k")}, "b", ["s"], draws=6).collect()) == sorted(joined)
+    calls = open(log).read().splitlines()
+    assert len(calls) == len(set(calls))
+
+
 def test_picks_are_not_broadcast(spark):
     """Spark takes picks for as few rows as there are block sets; a plan that sends them to the driver grows with draws x blocks."""
     blocks = spark.range(5000).select(F.col("id").alias("b"), (F.col("id") % 3).alias("k"))
