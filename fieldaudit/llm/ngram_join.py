@@ -6,8 +6,8 @@
    ``HOT_SHARE`` documents, counted over all documents), so common passages name few candidates.
 3. Of the classes that share such an n-gram, those with no partner of a fitting size go, and groups whose pairs all meet
    in another group.  The others are first compared with their first partner only, which joins groups of copies with one exact comparison per member.
-4. Where a group still holds several components, its classes go to size-banded tiles.  Hashed bitmaps bound the
-   overlap of two sets from above (a bit set in one only is an element of one only); pairs of different
+4. Where a group still holds several components, its classes go to size-banded tiles.  Bitmaps of parities bound the
+   overlap of two sets from above (a bit that differs takes an element of one only); pairs of different
    components that may reach the threshold are compared exactly, as sorted arrays.  First the best pair of each class
    in a group, then all that are left.
 
@@ -32,7 +32,7 @@ from .common import giving_back, text_slices, written
 from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
-HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 4, 1 << 20
+HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 1, 1 << 20
 #: Up to so many document ids are broadcast to fetch texts; more are joined.
 BROADCAST_ROWS = 1_000_000
 #: Pairs that a task remembers, so as not to tell them again.
@@ -84,12 +84,14 @@ def _prefix(grams: np.ndarray, at: np.ndarray, hot: np.ndarray, num: int, den: i
 
 
 def _bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """For each set a bitmap of at least ``BITS`` bits per element, a power of two."""
+    """For each set a bitmap of at least ``BITS`` bits per element, a power of two: whether an odd number of elements hash to a bit.
+
+    The elements that two sets share cancel out, so a bit per element tells sets apart as well as four bits that say whether any does.
+    """
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         wide = 1 << max(6, int(BITS * (b - a) - 1).bit_length())
-        bits = np.zeros(wide, np.uint8)
-        bits[(grams[a:b] & np.uint64(wide - 1)).astype(np.int64)] = 1
+        bits = (np.bincount((grams[a:b] & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)
         out.append(np.packbits(bits, bitorder="little").tobytes())
     return out
 
@@ -176,8 +178,8 @@ def may_reach(a: bytes, size_a: int, b: bytes, size_b: int, num: int, den: int)
     """Do the bitmaps of two sets leave room for the threshold?  The wider one folds onto the narrower."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     w = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(m.reshape(-1, w), axis=0) if len(m) > w else m for m in (x, y))
-    bound = min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
+    x, y = (np.bitwise_xor.reduce(m.reshape(-1, w), axis=0) if len(m) > w else m for m in (x, y))
+    bound = (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
     return bound >= needed(size_a, size_b, num, den)
 
 
@@ -241,11 +243,9 @@ def tile_pairs(sig, size, comp, band, salt, bits: list[bytes], low: int, crossin
             continue
         w = int(width[i])
         if w not in folded:  # wider maps fold onto narrower ones
-            folded[w] = np.array([np.bitwise_or.reduce(m.reshape(-1, w), axis=0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps])
+            folded[w] = np.array([np.bitwise_xor.reduce(m.reshape(-1, w), axis=0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps])
         mine, theirs = folded[w][i], folded[w][j]
-        mine_only = np.bitwise_count(mine & ~theirs).sum(1)
-        theirs_only = np.bitwise_count(theirs & ~mine).sum(1)
-        bound = np.minimum(int(size[i]) - mine_only.astype(np.int64), size[j] - theirs_only.astype(np.int64))
+        bound = (int(size[i]) + size[j] - np.bitwise_count(mine ^ theirs).sum(1).astype(np.int64)) // 2
         may = bound >= needed(int(size[i]), size[j], num, den)
         out_u += [sig[i]] * int(may.sum())
         out_v += sig[j[may]].tolist()

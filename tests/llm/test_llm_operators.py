@@ -201,6 +201,18 @@ def test_bitmaps_never_lose_a_pair():
             assert ngram_join.may_reach(x, len(a), y, len(b), 85, 100)
 
 
+def test_bitmaps_are_small_and_tell_sets_apart():
+    """Bitmaps of four to eight bits an element were most of the shuffle, and of its growth."""
+    rng = np.random.default_rng(3)
+    for size in (70, 300, 1000, 5000):
+        a, other = (np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: size * 7 // 10], other[: size * 3 // 10]]))
+        maps = [ngram_join._bitmaps(s, np.array([0, len(s)]))[0] for s in (a, b, other)]
+        assert all(8 * len(m) <= max(64, 2 * size) for m in maps)
+        assert not ngram_join.may_reach(maps[0], len(a), maps[2], len(other), 85, 100)
+        assert not ngram_join.may_reach(maps[0], len(a), maps[1], len(b), 85, 100)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_token_ids_equal_the_tokenizer(name):
     enc = tokens.WordEncoder(tokens.vocabulary(name))
