@@ -32,7 +32,7 @@ from .common import giving_back, text_slices, written
 from .grams import SPACE, mix, shingles, words
 
 #: An n-gram is frequent from one in so many documents on; at most HOT_SHARE times the mean set size are.
-HOT_SHARE, TILE, BITS, MOST = 8000, 2048, 1, 1 << 20
+HOT_SHARE, TILE, MOST = 8000, 2048, 1 << 20
 #: Up to so many document ids are broadcast to fetch texts; more are joined.
 BROADCAST_ROWS = 1_000_000
 #: Pairs that a task remembers, so as not to tell them again.
@@ -83,14 +83,19 @@ def _prefix(grams: np.ndarray, at: np.ndarray, hot: np.ndarray, num: int, den: i
     return out, many
 
 
-def _bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """For each set a bitmap of at least ``BITS`` bits per element, a power of two: whether an odd number of elements hash to a bit.
+def bits_for(num: int, den: int) -> int:
+    """Bits an element of the bitmaps: sets at a lower threshold differ by more elements, of which fewer may fall on one bit."""
+    return max(1, -(-12 * (den - num) // (den + num)))
 
-    The elements that two sets share cancel out, so a bit per element tells sets apart as well as four bits that say whether any does.
+
+def _bitmaps(grams: np.ndarray, at: np.ndarray, per: int = 1) -> list[bytes]:
+    """For each set a bitmap of at least ``per`` bits per element, a power of two: whether an odd number of elements hash to a bit.
+
+    The elements that two sets share cancel out, so few bits tell sets apart.
     """
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        wide = 1 << max(6, int(BITS * (b - a) - 1).bit_length())
+        wide = 1 << max(6, int(per * (b - a) - 1).bit_length())
         bits = (np.bincount((grams[a:b] & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)
         out.append(np.packbits(bits, bitorder="little").tobytes())
     return out
@@ -99,13 +104,15 @@ def _bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
 def _describe(docs: DataFrame, n: int, hot: np.ndarray, num: int, den: int, maps: bool = True) -> DataFrame:
     """``(doc_id, size, sig, prefix, bits)`` of every row."""
 
+    per = bits_for(num, den)
+
     def run(batches):
         for batch in text_slices(batches, 1, 1 << 19):
             grams, at = sets(batch.column(1), n)
             first, many = _prefix(grams, at, hot, num, den)
             ends = np.append(0, np.cumsum(many)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(_signature(grams, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))), pa.array(_bitmaps(grams, at) if maps else [None] * len(batch), pa.binary())],
+                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array(_signature(grams, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))), pa.array(_bitmaps(grams, at, per) if maps else [None] * len(batch), pa.binary())],
                 ["doc_id", "size", "sig", "prefix", "bits"])
 
     return docs.mapInArrow(giving_back(run), "doc_id long, size int, sig long, prefix array<long>, bits binary")

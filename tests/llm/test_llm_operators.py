@@ -201,6 +201,16 @@ def test_bitmaps_never_lose_a_pair():
             assert ngram_join.may_reach(x, len(a), y, len(b), 85, 100)
 
 
+def test_bitmaps_grow_as_the_threshold_falls():
+    """At 80 % a bit an element let four times the pairs of a large group of near copies pass."""
+    assert [ngram_join.bits_for(k, 100) for k in (90, 85, 80, 50)] == [1, 1, 2, 4]
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:430], rng.integers(0, 1 << 62, 70).astype(np.uint64)]))  # 430 of 570 shared
+    x, y = (ngram_join._bitmaps(s, np.array([0, len(s)]), ngram_join.bits_for(80, 100))[0] for s in (a, b))
+    assert not ngram_join.may_reach(x, len(a), y, len(b), 80, 100)
+
+
 def test_bitmaps_are_small_and_tell_sets_apart():
     """Bitmaps of four to eight bits an element were most of the shuffle, and of its growth."""
     rng = np.random.default_rng(3)
