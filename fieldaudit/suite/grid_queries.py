@@ -352,7 +352,7 @@ def split_crossings(t: Tables):
 )
 def sheet_stacks(t: Tables):
     probes, cloud = _cloud(t)
-    stack = st.merge_sheets(st.split_crossings(st.line_crossings(probes, cloud)))
+    stack = st.sheet_stacks(probes, cloud)
     out = stack.select("patch", "row", "col", F.posexplode("stack").alias("i", "s"))
     return out.select("patch", "row", "col", (F.col("i") + 1).cast("long").alias("sheet"), r6("s.t").alias("t"))
 
@@ -371,7 +371,7 @@ def sheet_stacks(t: Tables):
 )
 def sheet_assignment(t: Tables):
     probes, cloud = _cloud(t)
-    a = st.assign(st.merge_sheets(st.split_crossings(st.line_crossings(probes, cloud))))
+    a = st.assign(st.sheet_stacks(probes, cloud))
     return longs(rounded(a.select("patch", "row", "col", "offset", "spacing", "k"), "offset", "spacing"), "k")
 
 

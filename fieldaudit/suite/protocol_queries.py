@@ -88,7 +88,7 @@ def lineage_crossings(t: Tables):
 )
 def lineage_stacks(t: Tables):
     """Sheet stacks over surfaces of other growths only."""
-    stack = st.merge_sheets(st.split_crossings(st.line_crossings(*_relatives(t), lineage="lineage")))
+    stack = st.sheet_stacks(*_relatives(t), lineage="lineage")
     out = stack.select("patch", "row", "col", F.posexplode("stack").alias("i", "s"))
     return out.select("patch", "row", "col", (F.col("i") + 1).cast("long").alias("sheet"), r6("s.t").alias("t"))
 

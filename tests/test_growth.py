@@ -79,3 +79,25 @@ def test_a_sweep_deals_its_profiles(spark):
     got = P.sweep(controls, 1.0, {"sigma": [1.0], "end_zone": [0.2], "min_dark": [1.0], "q": [20.0], "mid_bias": [0.15]})
     assert f"RoundRobinPartitioning({P.SWEEP_TASKS})" in _plan(got, "Physical Plan")
     assert [r["n"] for r in got.collect()] == [6]
+
+
+def test_stacks_of_tiles_are_those_of_the_crossings(spark):
+    """Crossings are no rows any more, and a patch that comes back, a sheet seen twice and copies merge as before."""
+    rng, rows = random.Random(5), []
+    for p in range(12):
+        for i in range(60):
+            v = [rng.gauss(0, 0.4), rng.gauss(0, 0.4), 1.0]
+            d = math.sqrt(sum(a * a for a in v))
+            turn = 40 * (i % 3) if p == 4 else 0  # one patch meets a line at distant places of its grid
+            rows.append((f"p{p}", i // 8 + turn, i % 8, f"k{p // 3}" if p != 7 else None, *[1270.0 + rng.uniform(-40, 40) for _ in range(2)], 9.0 * p + rng.uniform(-4, 4), *[a / d for a in v]))
+    rows += [(f"q{k}", *rows[300][1:]) for k in range(4)] + [("nan", 0, 0, "k", float("nan"), 0.0, 0.0, 0.0, 0.0, 1.0)]
+    probes = spark.createDataFrame(rows, "patch string, row int, col long, kin string, x double, y double, z double, nx double, ny double, nz double")
+    cloud = probes.withColumnsRenamed({"patch": "p", "row": "r", "col": "c"})
+    for rules, lineage in ((st.Rules(), None), (st.Rules(), "kin"), (st.Rules(min_spacing=3.0, patch_gap=1.0, same_patch_cells=2.0), None), (st.Rules().rescaled(0.5, 0.0192), "kin")):
+        got = st.sheet_stacks(probes, cloud, rules, lineage)
+        plan = _plan(got, "Physical Plan")
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        want = st.merge_sheets(st.split_crossings(st.line_crossings(probes, cloud, rules, lineage), rules), rules)
+        assert got.dtypes == want.select(*got.columns).dtypes
+        got, want = ({(r["patch"], r["row"], r["col"]): r["stack"] for r in d.collect()} for d in (got, want))
+        assert len(want) > 400 and got == want
