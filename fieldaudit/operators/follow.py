@@ -15,11 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED
-from ..session import ship
+from ..session import cut_lineage, ship
 from .ordered import exact_percentiles
 from .sampling import cap_per_group
 from .spatial import k_nearest_within
-from .stacks import Rules, runs_with_positions
+from .stacks import Rules
 
 
 def first_match(sheet: dict, at: tuple, sheets: range, members: tuple, here: tuple, slack: float) -> int | None:
@@ -104,6 +104,12 @@ def transitions(segments: DataFrame) -> DataFrame:
     return d.filter("pos_b IS NOT NULL").select("patch", "run", *[F.col(c).cast("long").alias(c) for c in ("pos_a", "pos_b", "delta")])
 
 
+def _inside(placed: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of ``placed`` between ``_lo`` and ``_hi`` of a run; Spark finds their positions before it fetches their stacks."""
+    p, s = placed.alias("p"), spans.alias("s")
+    return p.join(s, F.expr("p.patch = s.patch AND p.run = s.run AND p.pos BETWEEN s._lo AND s._hi"), "left_semi")
+
+
 def transition_metrics(members: DataFrame, placed: DataFrame, segments: DataFrame, edges: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """How a surface moves from one sheet to another between two positions of a run, one row per member.
 
@@ -116,6 +122,8 @@ def transition_metrics(members: DataFrame, placed: DataFrame, segments: DataFram
     edges(patch, run, pos, score, ref) are scores of the edges from a position to the next; those from ``pos_a`` - 1 to
     ``pos_b`` count, NaN and NULL scores don't.  Steps and offsets are in voxels, rates per millimetre.
     """
+    own = members.groupBy("patch", "run").agg(F.min("pos_a").alias("_lo"), F.max("pos_b").alias("_hi"))
+    placed = cut_lineage(_inside(placed, own).select("patch", "run", "pos", "arc", "row", "col", "stack", "k", "spacing"))  # read by ends, tracks and steps
     at = placed.select("patch", "run", "pos", "arc", "k", "spacing")
     ends = {s: at.select("patch", "run", F.col("pos").alias(f"pos_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("arc", "k", "spacing")]) for s in "ab"}
     known = transitions(segments).distinct().withColumn("reproduced", F.lit(True))
@@ -160,7 +168,7 @@ def transition_metrics(members: DataFrame, placed: DataFrame, segments: DataFram
     out = out.select(*kept)
     if edges is None:
         return out
-    zone = start.select("member", "patch", "run", "pos_a", "pos_b").join(edges, ["patch", "run"]).filter("pos BETWEEN pos_a - 1 AND pos_b AND NOT isnan(score)")
+    zone = start.select("member", "patch", "run", "pos_a", "pos_b").join(edges.join(own.select("patch", "run"), ["patch", "run"], "left_semi"), ["patch", "run"]).filter("pos BETWEEN pos_a - 1 AND pos_b AND NOT isnan(score)")
     zone = zone.groupBy("member").agg(F.max("score").alias("zone_score"), F.max(F.col("score") * F.col("ref")).alias("zone_voxels"))
     return out.join(zone, "member", "left")
 
@@ -188,11 +196,14 @@ def negative_noise(negatives: DataFrame, placed: DataFrame, rules: Rules = Rules
     return d.select("negative", "pos", F.abs(F.col("_ta") - F.col("ta")).alias("step"), (F.abs(F.col("_f") - F.col("f")) * 0.5 * (F.col("gap") + F.col("_gap"))).alias("step_sf"))
 
 
-def run_edges(vertices: DataFrame, scores: DataFrame, axis: str) -> DataFrame:
-    """(patch, run, pos, score, ref): edge scores(patch, row, col, score, ref) from each position of a run to the next."""
-    runs = runs_with_positions(vertices, axis)
+def run_edges(runs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(patch, run, pos, score, ref): edge scores(patch, axis, row, col, score, ref) from each position of a run to the next.
+
+    runs(patch, row, col, axis, run, pos), as :func:`stacks.positions` makes them.
+    """
     inner = runs.withColumn("_next", F.lead("pos").over(W.partitionBy("patch", "run").orderBy("pos"))).filter("_next IS NOT NULL")
-    return inner.select("patch", "row", "col", "run", "pos").join(scores, ["patch", "row", "col"]).select("patch", "run", "pos", "score", "ref")
+    return inner.select("patch", "axis", "row", "col", "run", "pos").join(scores, ["patch", "axis", "row", "col"]).select("patch", "run", "pos", "score", "ref")
+
 
 #: Fixed values of the published protocol: an abrupt step in voxels, the planted and the candidate edge score.
 ABRUPT, PLANTED, CANDIDATE = 6.0, 0.5, 0.25

@@ -125,11 +125,16 @@ _METRICS = """SELECT l.member, l.delta, l.reproduced, l.pos_b - l.pos_a AS n_ste
           FROM located l LEFT JOIN measured m USING (member) LEFT JOIN zone z USING (member)"""
 
 
-def _placed(t: Tables) -> tuple[DataFrame, DataFrame, st.Labels]:
-    """Vertices with normals, their placed stacks along both axes, and the labels."""
-    probes, cloud = _cloud(t)
-    labels = st.label_surfaces(probes, cloud)
-    return probes, st.place(probes, labels.assigned), labels
+def _labels(t: Tables, rules: st.Rules = st.Rules()) -> st.Labels:
+    """The labels of the surfaces against each other; the vertices with their normals are kept, since stacks and runs read them."""
+    probes = cut_lineage(_cloud(t)[0])
+    return st.label_surfaces(probes, probes.withColumnsRenamed({"patch": "p", "row": "r", "col": "c"}), rules)
+
+
+def _placed(t: Tables) -> tuple[DataFrame, st.Labels]:
+    """Placed stacks along both axes, and the labels."""
+    labels = _labels(t)
+    return st.on_runs(labels.runs, labels.assigned), labels
 
 
 @query(
@@ -140,8 +145,7 @@ def _placed(t: Tables) -> tuple[DataFrame, DataFrame, st.Labels]:
 )
 def labelled_segments(t: Tables):
     """Sheet chains of every run: segments with their relative label, coverage and longest gap."""
-    probes, cloud = _cloud(t)
-    seg = st.label_surfaces(probes, cloud).segments
+    seg = _labels(t).segments
     return rounded(seg.select("patch", "axis", "run", "chain", "segment", "label", "i0", "i1", "n", "length", "coverage", "max_gap"), "length", "coverage", "max_gap")
 
 
@@ -163,9 +167,8 @@ def labelled_segments(t: Tables):
 )
 def labelled_switches(t: Tables):
     """Clustered switch events of the labelled surfaces (permissive lengths for the noisy fixture)."""
-    probes, cloud = _cloud(t)
     rules = st.Rules(event_mm=0.0)
-    ev = st.label_surfaces(probes, cloud, rules).events(rules)
+    ev = _labels(t, rules).events(rules)
     return rounded(ev.select("patch", "cluster", "members", *XYZ), *XYZ)
 
 
@@ -175,7 +178,7 @@ def labelled_switches(t: Tables):
 )
 def followed_sheet(t: Tables):
     """The first assigned sheet of every run, followed to the run's end."""
-    _, placed, _ = _placed(t)
+    placed, _ = _placed(t)
     first = placed.groupBy("patch", "run").agg(
         F.min_by(F.struct("pos", "k"), F.when(F.col("k").isNotNull(), F.col("pos"))).alias("s"), F.max("pos").alias("p1")).filter("s IS NOT NULL")
     tracks = first.select(F.concat_ws("/", "patch", "run").alias("track"), "patch", "run", F.col("s.pos").alias("p0"), "p1", F.col("s.k").alias("k0"))
@@ -183,13 +186,13 @@ def followed_sheet(t: Tables):
 
 
 def _metrics(t: Tables) -> DataFrame:
-    probes, placed, labels = _placed(t)
+    placed, labels = _placed(t)
     segments = cut_lineage(labels.segments)  # read by the members and by the metrics
     m = fo.transitions(segments).filter("delta <> 0").select(
         F.concat_ws("/", "patch", "run", "pos_a").alias("member"), "patch", "run", "pos_a", "pos_b", (F.col("delta") + (F.col("pos_a") % 3 == 2).cast("long")).alias("delta"))
-    scores = gr.neighbour_steps(t.grid()).select("patch", "axis", "row", "col", F.col("step").alias("score"), F.lit(20.0).alias("ref"))
-    edges = [fo.run_edges(probes, scores.filter(F.col("axis") == name).drop("axis"), axis) for axis, name in (("row", "u"), ("col", "v"))]
-    return fo.transition_metrics(m, placed, segments, edges[0].unionByName(edges[1]))
+    axis = F.when(F.col("axis") == "u", "row").otherwise("col").alias("axis")
+    scores = gr.neighbour_steps(t.grid()).select("patch", axis, "row", "col", F.col("step").alias("score"), F.lit(20.0).alias("ref"))
+    return fo.transition_metrics(m, placed, segments, fo.run_edges(labels.runs, scores))
 
 
 @query(
@@ -260,9 +263,8 @@ NEGATIVES = {
 
 
 def _noise(t: Tables) -> DataFrame:
-    probes, placed, _ = _placed(t)
-    runs = st.runs_with_positions(probes, "row").unionByName(st.runs_with_positions(probes, "col"))
-    neg = runs.groupBy("patch", "run").agg(F.min("pos").alias("i0"), F.max("pos").alias("i1")).filter("i1 >= 7")
+    placed, labels = _placed(t)
+    neg = labels.runs.groupBy("patch", "run").agg(F.min("pos").alias("i0"), F.max("pos").alias("i1")).filter("i1 >= 7")
     return fo.negative_noise(neg.withColumn("negative", F.concat_ws("/", "patch", "run")), placed)
 
 

@@ -101,3 +101,20 @@ def test_stacks_of_tiles_are_those_of_the_crossings(spark):
         assert got.dtypes == want.select(*got.columns).dtypes
         got, want = ({(r["patch"], r["row"], r["col"]): r["stack"] for r in d.collect()} for d in (got, want))
         assert len(want) > 400 and got == want
+
+
+def test_runs_are_labelled_once_and_stacks_are_fetched_for_members_only(spark):
+    from fieldaudit.operators import follow as fo
+
+    rows = [(p, r, c, 20.0 * c, 20.0 * r, 20.0 * p, 0.0, 0.0, 1.0) for p in range(5) for r in range(4) for c in range(6)]
+    v = spark.createDataFrame(rows, "patch long, row long, col long, x double, y double, z double, nx double, ny double, nz double")
+    cloud = v.selectExpr("patch + 100 as p", "row as r", "col as c", "x", "y", "z + 1 as z", "nx", "ny", "nz")  # a reference sheet beside every surface
+    labels = st.label_surfaces(v, cloud)
+    assert _plan(labels.segments).count("Window [") == 1  # chains of both axes are kept, positions aren't counted anew
+    assert {(r["axis"], r["n"]) for r in labels.segments.collect()} == {("row", 6), ("col", 4)}
+    placed = st.place(v, labels.assigned)
+    spans = placed.filter("patch = 2 and pos = 1").groupBy("patch", "run").agg(F.min("pos").alias("_lo"), (F.max("pos") + 1).alias("_hi"))
+    inside = fo._inside(placed, spans)
+    plan = _plan(inside)
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # positions are picked before their stacks are joined
+    assert inside.count() == 2 * (4 + 6) and inside.select("pos").distinct().count() == 2
