@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED
 from ..functions.stats import ratio
-from ..session import cols, join_same
+from ..session import cols, join_same, ship
 from .bootstrap import DRAWS, draw_slots
 from .ordered import exact_percentiles, hashed_ordinal, running_total, value_blocks
 
+#: Blocks of scores that make a range of :func:`bootstrap_auroc`, and the rows weighed by all draws at once.
+RANGE, WEIGHED = 8, 1024
+
 
 def _auroc_from_counts(counts: DataFrame, score: str, keys) -> DataFrame:
     """AUROC from one row per (keys, score) with class weights ``pos`` and ``neg``."""
@@ -37,25 +44,84 @@ def auroc(df: DataFrame, score: str, positive: Column, keys=()) -> DataFrame:
     return _auroc_from_counts(value_blocks(counts, score, keys), score, keys)
 
 
+def _ranked_draws(ranged: DataFrame, picks: DataFrame, draws: int) -> DataFrame:
+    """(draw, _u, n_pos, n_neg): the rank sums of every draw, from class counts (_range, ordinal, score, pos, neg) and picks (ordinal, _picks).
+
+    A task takes a range of scores and weighs some thousand rows by all draws at once, so no row per draw and score is made;
+    a range leaves a row per draw, and the ranges before it are added to its ranks.
+    """
+    ship(ranged.sparkSession)
+
+    def rank(rows: pa.Table, picked: pa.Table) -> pa.Table:
+        sums, held = np.zeros((3, draws)), None  # rank sum, positives, negatives
+
+        def add(pos, neg):
+            below = sums[2] + np.cumsum(neg, axis=0) - neg
+            sums[0] += (pos * (below + neg / 2)).sum(axis=0)
+            sums[1] += pos.sum(axis=0)
+            sums[2] += neg.sum(axis=0)
+
+        known = np.asarray(picked["_ordinal"])
+        weights = np.zeros((len(known), draws), np.int32)
+        if len(known):
+            lists = picked["_picks"].combine_chunks()
+            flat = lists.flatten()
+            weights[np.repeat(np.arange(len(known)), np.asarray(pc.list_value_length(lists))), np.asarray(flat.field("draw"))] = np.asarray(flat.field("w"))
+        missing = np.asarray(rows["score"].is_null())
+        value = np.asarray(pc.fill_null(rows["score"], 0))
+        order = np.lexsort((value, ~missing))  # NULL first, NaN last
+        missing, value = missing[order], value[order]
+        of = np.argsort(known, kind="stable")
+        at = np.searchsorted(known, np.asarray(rows["ordinal"])[order], sorter=of)
+        pos, neg = (np.asarray(rows[c], np.float64)[order] for c in ("pos", "neg"))
+        opens = np.ones(len(order), bool)
+        same = (missing[1:] == missing[:-1]) & ((value[1:] == value[:-1]) | ((value[1:] != value[1:]) & (value[:-1] != value[:-1])))
+        opens[1:] = ~same
+        for lo in range(0, len(order), WEIGHED) if len(known) else ():
+            hi = min(lo + WEIGHED, len(order))
+            j = of[np.minimum(at[lo:hi], len(known) - 1)]
+            w = np.where((known[j] == np.asarray(rows["ordinal"])[order[lo:hi]])[:, None], weights[j], 0).astype(np.float64)  # a block that no draw picks counts nothing
+            start = np.unique(np.append(0, np.flatnonzero(opens[lo:hi])))
+            p, n = (np.add.reduceat(w * c[lo:hi, None], start, axis=0) for c in (pos, neg))
+            if held is not None:  # the last score of the rows before may go on here
+                if opens[lo]:
+                    add(*held)
+                else:
+                    p[0] += held[0][0]
+                    n[0] += held[1][0]
+            add(p[:-1], n[:-1])
+            held = p[-1:], n[-1:]
+        if held is not None:
+            add(*held)
+        part = rows["_range"][:1].combine_chunks() if rows.num_rows else pa.array([], pa.int64())
+        part = part.take(pa.array(np.zeros(draws if rows.num_rows else 0, np.int64)))
+        return pa.table([part, pa.array(np.arange(draws)[:len(part)]), *[pa.array(v[:len(part)]) for v in sums]], names=["_range", "draw", "u", "p", "n"])
+
+    needed = ranged.select(F.col("_range").alias("_part"), F.col("ordinal").alias("_of")).distinct()
+    needed = needed.join(picks, F.col("_of") == F.col("ordinal")).select("_part", F.col("_of").alias("_ordinal"), "_picks")
+    done = ranged.groupBy("_range").cogroup(needed.groupBy("_part")).applyInArrow(rank, "_range long, draw long, u double, p double, n double")
+    before = W.partitionBy("draw").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 1,000 / RANGE rows a draw
+    done = done.withColumn("_below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    return done.groupBy("draw").agg(
+        F.sum(F.col("u") + F.col("p") * F.col("_below")).alias("_u"), F.sum("p").cast("long").alias("n_pos"), F.sum("n").cast("long").alias("n_neg"))
+
+
 def bootstrap_auroc(
     df: DataFrame, score: str, positive: Column, block: str, draws: int = DRAWS, seed=SEED, probs=(0.025, 0.975)
 ) -> DataFrame:
     """Point estimate and block-bootstrap interval of the AUROC: one row (auroc, lo, hi, n_boot).
 
     A draw weighs every block by how often it was picked; classes are counted per (block, score)
-    before any draw, and ranked per draw in blocks of scores.
+    before any draw, and ranked for all draws at once in ranges of scores.
     """
     counts = df.groupBy(block, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     blocks = hashed_ordinal(counts.select(block).distinct(), block)
     plan = draw_slots(blocks.agg(F.count(F.lit(1)).alias("n")), draws, seed)
     weight = plan.groupBy("draw", "ordinal").agg(F.count(F.lit(1)).alias("w"))
-    binned = value_blocks(counts, score).join(blocks, block)
-    weighed = (
-        weight.join(binned, "ordinal")
-        .groupBy("draw", "_block", score)
-        .agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-    )
-    per_draw = _auroc_from_counts(weighed, score, ["draw"])
+    picks = weight.groupBy("ordinal").agg(F.collect_list(F.struct("draw", F.col("w").cast("int").alias("w"))).alias("_picks"))  # an entry a draw
+    ranged = value_blocks(counts, score).withColumn("_range", F.floor(F.col("_block") / RANGE)).join(blocks, block)
+    per_draw = _ranked_draws(ranged.select("_range", "ordinal", F.col(score).alias("score"), "pos", "neg"), picks, draws)
+    per_draw = per_draw.select("draw", ratio(F.col("_u"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
     ci = per_draw.agg(F.percentile("auroc", list(probs)).alias("q"), F.count("auroc").alias("n_boot"))
     point = auroc(df, score, positive).select("auroc")
     return point.crossJoin(ci).select(

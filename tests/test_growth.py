@@ -118,3 +118,36 @@ def test_runs_are_labelled_once_and_stacks_are_fetched_for_members_only(spark):
     plan = _plan(inside)
     assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # positions are picked before their stacks are joined
     assert inside.count() == 2 * (4 + 6) and inside.select("pos").distinct().count() == 2
+
+
+def test_draws_of_an_auroc_are_ranked_without_a_row_per_draw_and_score(spark):
+    import re
+    from collections import Counter
+
+    from fieldaudit.operators import bootstrap as bs
+    from fieldaudit.operators import stats as sa
+    from fieldaudit.operators.ordered import hashed_ordinal
+
+    scores = [None, float("nan"), 1.0, 2.0, 2.0, 2.5]
+    rows = [(b, scores[b % 6] if b % 7 else 2.0, int(b * 31 % 5 < 2)) for b in range(3000)]  # more rows of a score than are weighed at once
+    df = spark.createDataFrame(rows, "block long, score double, hit int")
+    got = sa.bootstrap_auroc(df, "score", F.col("hit") == 1, "block", draws=4, seed=9, probs=(0.0, 1.0))
+    assert not re.search(r"Aggregate \[draw#\d+L?, _block", _plan(got))
+    at = {r["block"]: r["ordinal"] for r in hashed_ordinal(df.select("block").distinct(), "block").collect()}
+    weight = Counter((r["draw"], r["ordinal"]) for r in bs.draw_slots(spark.createDataFrame([(3000,)], "n long"), 4, 9).collect())
+    level = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+
+    def value(draw):
+        pos, neg = Counter(), Counter()
+        for b, s, hit in rows:
+            (pos if hit else neg)[level(s)] += weight[draw, at[b]] if draw is not None else 1
+        below, u = 0, 0.0
+        for s in sorted({*pos, *neg}):
+            u += pos[s] * (below + neg[s] / 2)
+            below += neg[s]
+        return u / (sum(pos.values()) * sum(neg.values()))
+
+    drawn = [value(d) for d in range(4)]
+    assert tuple(got.first()) == (value(None), min(drawn), max(drawn), 4)
+    one = sa.bootstrap_auroc(df.filter("block < 2"), "score", F.col("hit") == 1, "block", draws=1, seed=9)
+    assert one.first()["n_boot"] <= 1  # a block that no draw picks
