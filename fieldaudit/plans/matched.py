@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def matched_random(bench: Benchmark, alarms: Alarms, detector: str, surface: Dat
     second rate is near the first, within sampling noise while alarms are sparse.
     Result: (detector, density, hits, events, recall, wilson_lo, wilson_hi, false_alarms, length, fa_per_100).
     """
-    patches = bench.scored_patches()
+    patches = cut_lineage(bench.scored_patches())  # a row per patch, read by places, verdicts and both passes
+    bench = replace(bench, scored=patches)
     places = surface.join(patches, "patch", "left_semi")
 
     def drawn(name: str, places: DataFrame, amount, tag: str) -> Alarms:
@@ -33,11 +36,12 @@ def matched_random(bench: Benchmark, alarms: Alarms, detector: str, surface: Dat
 
     own = Alarms(alarms.verdicts.filter(F.col("detector") == detector), alarms.alarms.filter(F.col("detector") == detector).select("detector", "patch", "alarm_ord", "x", "y", "z"))
     base = drawn(RANDOM, places, density, "base")
-    first = cut_lineage(pool(patch_scores(bench, Alarms(own.verdicts.select("detector", "patch").unionByName(base.verdicts), own.alarms.unionByName(base.alarms)), r, dedup_r)))  # two rows, read twice
+    both = cut_lineage(own.alarms.unionByName(base.alarms))  # read by hits, counts and every pass of the de-duplication
+    first = cut_lineage(pool(patch_scores(bench, Alarms(own.verdicts.select("detector", "patch").unionByName(base.verdicts), both), r, dedup_r)))  # two rows, read twice
     wanted, got = (F.sum(F.when(F.col("detector") == d, F.col("false_alarms"))) for d in (detector, RANDOM))
     scaled = first.agg(F.coalesce(F.lit(float(density)) * wanted / F.nullif(got.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_density"))
     again = drawn(MATCHED, places.crossJoin(F.broadcast(scaled)), F.max("_density"), "matched")  # one row
-    second = pool(patch_scores(bench, again, r, dedup_r))
+    second = pool(patch_scores(bench, replace(again, alarms=cut_lineage(again.alarms)), r, dedup_r))
     rows = first.withColumn("density", F.when(F.col("detector") == RANDOM, F.lit(float(density))))
     rows = rows.unionByName(second.crossJoin(F.broadcast(scaled)).withColumnRenamed("_density", "density"))  # one row
     return rows.select(

@@ -151,3 +151,10 @@ def test_draws_of_an_auroc_are_ranked_without_a_row_per_draw_and_score(spark):
     assert tuple(got.first()) == (value(None), min(drawn), max(drawn), 4)
     one = sa.bootstrap_auroc(df.filter("block < 2"), "score", F.col("hit") == 1, "block", draws=1, seed=9)
     assert one.first()["n_boot"] <= 1  # a block that no draw picks
+
+
+def test_random_alarms_are_drawn_once_a_density(spark):
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()["matched_random"](spark, "/root/testdata/sf0.001"))
+    assert "_share" not in plan  # hits, counts and the de-duplication read kept draws
