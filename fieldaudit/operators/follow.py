@@ -14,10 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SEED
 from ..session import cut_lineage, ship
 from .ordered import exact_percentiles
-from .sampling import cap_per_group
 from .spatial import k_nearest_within
 from .stacks import Rules
 
@@ -232,14 +230,13 @@ def event_rollup(members: DataFrame, event="event", keep: Column | None = None,
     return e.filter("n_reproduced > 0").select("*", *[c.alias(n) for n, c in flags.items()])
 
 
-def layer_spacing(layers: DataFrame, reach: float = 80.0, most: int = 3000, probs=(0.1, 0.5, 0.9), seed=SEED) -> DataFrame:
+def layer_spacing(layers: DataFrame, reach: float = 80.0, probs=(0.1, 0.5, 0.9)) -> DataFrame:
     """One row (n, p0, p1, …): percentiles of the distance from a layer's vertices to the tangent planes of the next layer.
 
-    layers(layer, row, col, x, y, z, nx, ny, nz) with consecutive layer numbers.  Of each layer ``most`` vertices are taken, by hash;
-    a vertex counts if its nearest vertex of the next layer is closer than ``reach``.
+    layers(layer, row, col, x, y, z, nx, ny, nz) with consecutive layer numbers.  Every vertex is looked up; it counts if its
+    nearest vertex of the next layer is closer than ``reach``.
     """
-    picked = cap_per_group(layers, most, ["layer"], ["row", "col"], seed)
-    at = picked.select((F.col("layer") + 1).alias("layer"), F.col("row").alias("_row"), F.col("col").alias("_col"), "x", "y", "z")
+    at = layers.select((F.col("layer") + 1).alias("layer"), F.col("row").alias("_row"), F.col("col").alias("_col"), "x", "y", "z")
     near = k_nearest_within(at, layers, 1, reach, ids=["layer", "_row", "_col"], order=["row", "col"], keys=["layer"]).filter(F.col("dist") < reach)
     gap = F.abs(sum((F.col(f"r_{a}") - F.col(a)) * F.col(f"n{a}") for a in ("x", "y", "z")))
     return exact_percentiles(near.select(gap.alias("gap")), "gap", list(probs))

@@ -10,7 +10,7 @@ from ..operators import grid as gr
 from ..operators import stacks as st
 from ..operators import stats as sa
 from ..session import cut_lineage
-from .base import SEED, Tables, query, rounded, s6, with_views
+from .base import Tables, query, rounded, s6, with_views
 from .grid_queries import CROSS, NORMALS, STEPS, XYZ, _cloud
 
 _AXES = {
@@ -238,14 +238,13 @@ def event_rollup(t: Tables):
           SELECT arg_min(gap, (dist, r, c)) AS gap FROM (
             SELECT u.patch, u.row, u.col, v.row AS r, v.col AS c, abs((v.x - u.x) * v.nx + (v.y - u.y) * v.ny + (v.z - u.z) * v.nz) AS gap,
               sqrt((u.x-v.x)*(u.x-v.x) + (u.y-v.y)*(u.y-v.y) + (u.z-v.z)*(u.z-v.z)) AS dist
-            FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY md5('{SEED}|' || patch || '|' || row || '|' || col), row, col) AS k FROM nrm) u
-            JOIN nrm v ON v.patch = u.patch + 1 AND v.row BETWEEN u.row - 4 AND u.row + 4 AND v.col BETWEEN u.col - 4 AND u.col + 4 WHERE u.k <= 2000)
+            FROM nrm u JOIN nrm v ON v.patch = u.patch + 1 AND v.row BETWEEN u.row - 4 AND u.row + 4 AND v.col BETWEEN u.col - 4 AND u.col + 4)
           WHERE dist < 80 GROUP BY patch, row, col)""", "grid", extra=NORMALS),
 )
 def layer_spacing(t: Tables):
-    """Percentiles of the spacing between neighbouring surfaces, over up to 2,000 vertices each."""
+    """Percentiles of the spacing between neighbouring surfaces, over all their vertices."""
     probes, _ = _cloud(t)
-    out = fo.layer_spacing(probes.withColumnRenamed("patch", "layer"), most=2000, seed=SEED)
+    out = fo.layer_spacing(probes.withColumnRenamed("patch", "layer"))
     return rounded(out, "p0", "p1", "p2")
 
 

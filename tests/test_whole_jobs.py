@@ -57,3 +57,19 @@ def test_both_ways_of_pooling(spark, monkeypatch):
     assert run() == joined
     whole = B.pooled_draws(blocks.filter("s = 'u'"), parts, "b", draws=50).orderBy("draw").collect()
     assert [r["k"] for r in whole] == [sum(r["k"] for r in joined if r["s"] == "u" and r["draw"] == d) for d in range(50)]
+
+
+def test_layer_spacing_looks_up_every_vertex(spark, con):
+    from fieldaudit.operators.follow import layer_spacing
+    from fieldaudit.suite.base import with_views
+    from fieldaudit.suite.grid_queries import NORMALS
+
+    side = 56  # 3,136 vertices a layer
+    g = spark.range(2 * side * side).selectExpr(f"id div {side * side} as layer", f"id % {side * side} div {side} as row", f"id % {side} as col")
+    flat = g.selectExpr("*", "20D * col as x", "20D * row as y", "layer * (30D + row div 14) as z", "0D as nx", "0D as ny", "1D as nz")
+    assert tuple(layer_spacing(flat).first()) == (side * side, 30.0, 31.5, 33.0)
+    every = con.sql(with_views(
+        """SELECT count(*) FROM nrm u WHERE EXISTS (SELECT 1 FROM nrm v WHERE v.patch = u.patch + 1 AND abs(v.row - u.row) <= 4 AND abs(v.col - u.col) <= 4
+        AND sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y) + (u.z - v.z) * (u.z - v.z)) < 80)""", "grid", extra=NORMALS)).fetchall()[0][0]
+    assert entry.queries()["layer_spacing"](spark, SF).first()["n"] == every
+    assert compare(spark, con, "layer_spacing", entry.queries()["layer_spacing"], entry.oracle_sql()["layer_spacing"], SF) is None
