@@ -158,3 +158,20 @@ def test_random_alarms_are_drawn_once_a_density(spark):
 
     plan = _plan(entry.queries()["matched_random"](spark, "/root/testdata/sf0.001"))
     assert "_share" not in plan  # hits, counts and the de-duplication read kept draws
+
+
+def test_the_nearest_neighbour_looks_only_as_far_as_its_own_cell_tells(spark):
+    rng, r = random.Random(5), 6.0
+    at = lambda n, span: [(g, i, *[round(rng.uniform(-span, span), 1) for _ in range(3)]) for g in (0, 1) for i in range(n)]
+    qs, ts = at(300, 40.0), at(400, 40.0)
+    qs += [(0, 1000, 11.9, 0.0, 0.0), (0, 1001, 200.0, 0.0, 0.0), (0, 1002, 311.5, 0.0, 0.0), (2, 1003, 0.0, 0.0, 0.0)]
+    ts += [(0, 1000, 12.1, 0.0, 0.0), (0, 1001, 206.0, 0.0, 0.0), (0, 1002, 317.6, 0.0, 0.0), (1, 1003, 200.0, 0.0, 0.0)]
+    ts += [(g, i + 500, x, y, z) for g, i, x, y, z in ts[:50]]  # ties, decided by the order
+    want = set()
+    for g, q, *p in qs:
+        near = sorted((math.sqrt((p[0] - t[0]) * (p[0] - t[0]) + (p[1] - t[1]) * (p[1] - t[1]) + (p[2] - t[2]) * (p[2] - t[2])), i) for h, i, *t in ts if h == g)
+        want |= {(g, q, f"q{q}", i, d) for d, i in near[:1] if d <= r}
+    q = spark.createDataFrame(qs, "g long, q long, x double, y double, z double").withColumn("tag", F.concat(F.lit("q"), "q"))
+    got = sp.k_nearest_within(q, spark.createDataFrame(ts, "g long, id long, x double, y double, z double"), 1, r, ids=["g", "q"], order=["id"], keys=["g"])
+    assert {(x["g"], x["q"], x["tag"], x["id"], x["dist"]) for x in got.collect()} == want and 200 < len(want) < 604
+    assert "_bound" in _plan(got)
