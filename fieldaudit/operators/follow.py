@@ -239,4 +239,4 @@ def layer_spacing(layers: DataFrame, reach: float = 80.0, probs=(0.1, 0.5, 0.9))
     at = layers.select((F.col("layer") + 1).alias("layer"), F.col("row").alias("_row"), F.col("col").alias("_col"), "x", "y", "z")
     near = k_nearest_within(at, layers, 1, reach, ids=["layer", "_row", "_col"], order=["row", "col"], keys=["layer"]).filter(F.col("dist") < reach)
     gap = F.abs(sum((F.col(f"r_{a}") - F.col(a)) * F.col(f"n{a}") for a in ("x", "y", "z")))
-    return exact_percentiles(near.select(gap.alias("gap")), "gap", list(probs))
+    return exact_percentiles(near.select(gap.alias("gap")), "gap", list(probs)).withColumn("n", F.coalesce("n", F.lit(0)))

@@ -73,3 +73,10 @@ def test_layer_spacing_looks_up_every_vertex(spark, con):
         AND sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y) + (u.z - v.z) * (u.z - v.z)) < 80)""", "grid", extra=NORMALS)).fetchall()[0][0]
     assert entry.queries()["layer_spacing"](spark, SF).first()["n"] == every
     assert compare(spark, con, "layer_spacing", entry.queries()["layer_spacing"], entry.oracle_sql()["layer_spacing"], SF) is None
+
+
+def test_layer_spacing_of_a_single_layer(spark):
+    from fieldaudit.operators.follow import layer_spacing
+
+    one = spark.range(9).selectExpr("0L as layer", "id div 3 as row", "id % 3 as col", "20D * id as x", "0D as y", "0D as z", "0D as nx", "0D as ny", "1D as nz")
+    assert tuple(layer_spacing(one).first()) == (0, None, None, None)
